@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, small_batches
 
-N_GRAMS = (2, 3, 4)
+N_GRAMS = (2, 3)
 DIMS = 1 << 18
 SAMPLE = 6000
 BETA = 0.25
@@ -56,14 +56,26 @@ class Features:
                 out.append((h >> np.uint32(3)) & np.uint32(DIMS - 1))
         return np.concatenate(out).astype(np.int32) if out else np.empty(0, np.int32)
 
+    @staticmethod
+    def repeats(text: str | None) -> np.ndarray:
+        """n-grams of the sequence "same word as the one before, or not": its runs of
+        "same" up to six, and their share in tenths.  Slots 0-16 of the space."""
+        words = (text or "").split()
+        if len(words) < 2:
+            return np.empty(0, np.int32)
+        same = "".join(["S" if a == b else "d" for a, b in zip(words, words[1:], strict=False)])
+        runs = [n for n in range(1, 7) if "S" * n in same]
+        return np.array([*runs, 7 + same.count("S") * 9 // len(same)], np.int32)
+
     def __call__(self, text: str | None) -> np.ndarray:
         raw = np.frombuffer((text or "").encode("utf-8"), np.uint8).astype(np.uint32)
         if len(raw) > WINDOW:
             there = np.zeros(DIMS, bool)
+            there[self.repeats(text)] = True
             for a in range(0, len(raw), WINDOW):
                 there[self.hashed(raw[a : a + WINDOW + max(N_GRAMS) - 1])] = True
             return np.flatnonzero(there).astype(np.int32)
-        h = self.hashed(raw)
+        h = np.concatenate((self.hashed(raw), self.repeats(text)))
         place = np.arange(len(h), dtype=np.int32)
         self.last[h] = place
         return h[self.last[h] == place]
