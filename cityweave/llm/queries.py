@@ -35,6 +35,15 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), query_step=20, k=20)
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialize
+    from .mixing import drawn, mixing_plan, token_rows
+
+    rows = materialize(token_rows(table(spark, sf_dir, "documents")), "token-rows")
+    plan = materialize(mixing_plan(rows, target_entropy=0.999, max_repeat=4.0), "mixing-cuts")
+    return drawn(rows, plan).select(F.col("id").alias("doc_id"), "source", "pass", "block", "tokens", F.round("alpha", 4).alias("alpha"), F.round("weight", 4).alias("weight"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import near_vectors
 
@@ -88,5 +97,47 @@ def queries() -> dict:
     return dict(found)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id AS id, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS tokens FROM documents
+), total AS (
+  SELECT source, count(*) AS n_rows, sum(tokens)::BIGINT AS tokens FROM doc GROUP BY source
+), share AS (
+  SELECT source, ln(tokens / (SELECT sum(tokens) FROM total)::DOUBLE) AS lp FROM total WHERE tokens > 0
+), spread AS (
+  SELECT max(lp) - min(lp) AS width, count(*) AS n, max(lp) AS top FROM share
+), search AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN ent >= 0.999 * ln(n) THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN ent >= 0.999 * ln(n) THEN hi ELSE (lo + hi) / 2 END,
+    CASE WHEN (1 - (lo2 + hi2) / 2) * width > ln(4.0) THEN (lo2 + hi2) / 2 ELSE lo2 END,
+    CASE WHEN (1 - (lo2 + hi2) / 2) * width > ln(4.0) THEN hi2 ELSE (lo2 + hi2) / 2 END
+  FROM (SELECT s.*, w.width, w.n, (SELECT ln(sum(exp((s.lo + s.hi) / 2 * lp))) - sum((s.lo + s.hi) / 2 * lp * exp((s.lo + s.hi) / 2 * lp)) / sum(exp((s.lo + s.hi) / 2 * lp)) FROM share) AS ent
+        FROM search s, spread w WHERE s.i < 40)
+), best AS (
+  SELECT round(greatest((lo + hi) / 2, (lo2 + hi2) / 2), 6) AS alpha FROM search WHERE i = 40
+), plan AS (
+  SELECT t.source, t.tokens, b.alpha,
+    CASE WHEN t.tokens > 0 THEN round(exp(b.alpha * lp) / (SELECT sum(exp(b.alpha * lp)) FROM share), 6) ELSE 0 END AS weight,
+    CASE WHEN t.tokens > 0 THEN round(exp((1 - b.alpha) * (w.top - lp)), 4) ELSE 1 END AS repeats,
+    greatest(1, least(4096, ceil(t.n_rows / 256.0)))::BIGINT AS blocks
+  FROM total t LEFT JOIN share USING (source), best b, spread w
+), cut AS (
+  SELECT *, floor(repeats)::BIGINT AS passes, floor(tokens * round((repeats - floor(repeats)) * 10000)::BIGINT / 10000.0)::BIGINT AS rest FROM plan
+), placed AS (
+  SELECT d.id, d.tokens, c.* EXCLUDE (tokens), ('0x' || substr(md5('17#' || d.id), 1, 8))::BIGINT % c.blocks AS block FROM doc d JOIN cut c USING (source)
+), hashed AS (
+  SELECT *, md5(concat_ws('#', '17', passes + 1, source, block)) AS bh, md5(concat_ws('#', '17', passes + 1, id)) AS dh FROM placed
+), running AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY bh, dh RANGE UNBOUNDED PRECEDING) AS through FROM hashed
+), taken AS (
+  SELECT *, passes + CASE WHEN rest > 0 AND through - tokens < rest THEN 1 ELSE 0 END AS last FROM running
+)
+SELECT id AS doc_id, source, unnest(range(1, last + 1)) AS pass, block, tokens, round(alpha, 4) AS alpha, round(weight, 4) AS weight FROM taken
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_temperature_mixing": OP3_SQL}
