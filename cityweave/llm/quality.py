@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import discard, materialize, small_batches
 
@@ -203,22 +204,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, counts: np.ndarray) -> Model:
     return Model(full, b, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with a column `score`; one pass, no shuffle.  The weights are broadcast (1 MB)."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """docs with a column `out`, which replaces one of that name; one pass, no shuffle.
+    The weights are broadcast (1 MB)."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
+    docs = docs.drop(out)
     at = docs.columns.index(text_col)
 
     def run(batches):
         features = Features()
         for batch in batches:
-            scores = pa.array([sent.value.score(features(t)) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), scores], names=[*batch.schema.names, "score"])
+            scored = pa.array([sent.value.score(features(t)) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), scored], names=[*batch.schema.names, out])
 
-    spec = docs.drop("score").schema if "score" in docs.columns else docs.schema
-    if "score" in docs.columns:
-        raise ValueError("docs has a column named score already")
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType([*spec.fields]).add("score", DoubleType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(out, DoubleType()))

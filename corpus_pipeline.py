@@ -23,7 +23,10 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier, trained on the labels, accepts."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("score") >= LEAST_QUALITY).drop("score")
+    name = "quality_score"
+    while name in docs.columns:
+        name += "_"
+    return score(docs, model, out=name).where(F.col(name) >= LEAST_QUALITY).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
