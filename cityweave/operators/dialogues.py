@@ -72,7 +72,7 @@ def training_session(log: Column, marks: tuple[str, str] = ("[example]", "[/exam
     each message, the list of possible actions dropped, and roles swapped, so that
     what the walker said is the answer; one_round keeps the first exchange."""
     cut = rf"(?s)\Q{marks[0]}\E.*?\Q{marks[1]}\E"
-    clean = F.transform(log, lambda m: F.struct(F.when(m["role"] == "user", "assistant").when(m["role"] == "assistant", "user").otherwise(m["role"]).alias("role"), F.trim(F.regexp_replace(F.regexp_replace(m["content"], cut, ""), r"(?m)^Possible actions:.*$", "")).alias("content")))
+    clean = F.transform(log, lambda m: F.struct(F.when(m["role"] == "user", "assistant").when(m["role"] == "assistant", "user").otherwise(m["role"]).alias("role"), F.regexp_replace(F.regexp_replace(F.regexp_replace(m["content"], cut, ""), r"(?m)^Possible actions:.*$", ""), r"^\s+|\s+$", "").alias("content")))
     kept = F.filter(clean, lambda m: m["content"] != "")
     return F.slice(kept, 1, 2) if one_round else kept
 
