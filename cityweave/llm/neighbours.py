@@ -10,7 +10,9 @@ visited buckets hold TARGET of that chance, so easy data take few probes and har
 data many, with no other cap.  Candidates of all tables are merged and ranked
 by exact inner products in double precision on the original vectors.
 
-Buckets are dealt to groups of about GROUP rows; a bucket with more rows is cut
+Buckets are dealt to groups of about GROUP rows, but to no more groups than the
+session's shuffle partitions can take: a query brings K + 1 candidates from each
+group, so their number follows the queries.  A bucket with more rows is cut
 into slots that are visited one by one, so a hot bucket is spread out and every
 row of it is still compared.  Equal vectors are one class with its first K + 1
 ids.  Vectors that are null, zero or hold null or non-finite parts take no part,
@@ -148,7 +150,7 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
     stored = materialize(every.select("rep", "vector").mapInArrow(index, "t int, bucket bigint, rep bigint, vector array<double>"), "buckets")
     slots = F.ceil(F.col("count") / BUCKET).cast("int")
     filled = stored.groupBy("t", "bucket").count().select("t", "bucket", slots.alias("slots"))
-    groups = max(1, math.ceil(total / GROUP))
+    groups = min(max(1, math.ceil(total / GROUP)), max(1, n_parts // TABLES))
     group = F.pmod(F.xxhash64("t", "bucket", "slot"), F.lit(groups)).cast("int")
     rows = stored.join(filled, ["t", "bucket"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
     rows = rows.select("t", group.alias("g"), F.lit(0).alias("kind"), F.col("rep").alias("id"), F.array("bucket").alias("buckets"), "vector")
