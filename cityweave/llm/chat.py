@@ -1,8 +1,8 @@
 """Chat formatting from reply trees.
 
 A conversation is a tree of messages.  Root-to-leaf paths are found by iterative
-self-joins that double the covered stretch each round: after round k a leaf's
-path reaches 2**k messages up, so a tree of depth d takes log2(d) joins.  Paths
+self-joins that double the reach each round, so a tree of depth d takes log2(d)
+rounds up and as many down.  Paths
 are ranked by score, and each chosen path becomes one text with a loss mask.
 
 Template: <|turn|>role<|text|>content<|end|> for every message, one after
@@ -51,32 +51,40 @@ def turns_as_tree(rows: DataFrame) -> DataFrame:
 
 
 def leaf_paths(tree: DataFrame) -> DataFrame:
-    """(conv_id, leaf, nodes): the path from the root to each leaf.
-
-    Messages whose parent is missing are roots; a message on a cycle has no root
-    and is left out.  Each round joins every stretch with the stretch above it."""
+    """(conv_id, leaf, node, up): the messages on the path of each leaf, `up` steps
+    above it.
+
+    Self-joins double the reach: jump k leads from a message to its ancestor 2**k
+    above and holds only the messages that have one.  Then each leaf spreads over
+    its ancestors from the widest jump to the narrowest, meeting each of them once.
+    Messages whose parent is missing are roots; those that lead into a cycle have no
+    root and are left out."""
     links = tree.select("conv_id", "node", "parent")
-    known = links.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    up = links.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("top"), F.array("node").alias("nodes"))
+    known = links.select("conv_id", F.col("node").alias("parent"))
+    jump = materialize(links.where(F.col("parent").isNotNull()).join(known, ["conv_id", "parent"], "left_semi").select("conv_id", "node", F.col("parent").alias("to")), "reply-jump")
+    jumps, sizes = [], []
+    while True:
+        n = jump.count()
+        if not n or sizes and n == sizes[-1]:
+            break
+        jumps.append(jump)
+        sizes.append(n)
+        above = jump.select("conv_id", F.col("node").alias("to"), F.col("to").alias("next"))
+        jump = materialize(jump.join(above, ["conv_id", "to"]).select("conv_id", "node", F.col("next").alias("to")), "reply-jump")
+    cyclic = jump.select("conv_id", "node")  # empty, or those that never run out of ancestors
     inner = links.where(F.col("parent").isNotNull()).select("conv_id", F.col("parent").alias("node")).distinct()
-    leaves = links.select("conv_id", "node").join(inner, ["conv_id", "node"], "left_anti")
-    up = materialize(up, "reply-tree")
-    is_open = F.col("top").isNotNull()
-    n_open, before = up.where(is_open).count(), -1
-    while n_open and n_open != before:  # an unchanged number: only cycles are left
-        above = up.select("conv_id", F.col("node").alias("top"), F.col("top").alias("next"), F.col("nodes").alias("more"))
-        joined = up.join(above, ["conv_id", "top"], "left")
-        nodes = F.when(F.col("more").isNotNull(), F.concat("more", "nodes")).otherwise(F.col("nodes"))
-        up = materialize(joined.select("conv_id", "node", F.col("next").alias("top"), nodes.alias("nodes")), "reply-tree")
-        n_open, before = up.where(is_open).count(), n_open
-    return up.where(F.col("top").isNull()).join(leaves, ["conv_id", "node"], "left_semi").select("conv_id", F.col("node").alias("leaf"), "nodes")
+    leaves = links.select("conv_id", "node").join(inner, ["conv_id", "node"], "left_anti").join(cyclic, ["conv_id", "node"], "left_anti")
+    paths = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    for k in reversed(range(len(jumps))):
+        further = paths.join(jumps[k], ["conv_id", "node"]).select("conv_id", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = materialize(paths.union(further), "reply-paths")
+    return paths
 
 
 def best_branches(tree: DataFrame, paths: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, branch, turns): per conversation the `keep` paths of the highest
     total score (ties: the smaller leaf), turns as an array of (role, text)."""
-    steps = paths.select("conv_id", "leaf", F.posexplode("nodes").alias("pos", "node"))
-    full = steps.join(tree.select("conv_id", "node", "role", "text", "score"), ["conv_id", "node"])
+    full = paths.withColumn("pos", -F.col("up")).join(tree.select("conv_id", "node", "role", "text", "score"), ["conv_id", "node"])
     one = full.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("score").desc(), "leaf"))
     return one.withColumn("branch", rank).where(F.col("branch") <= keep).select("conv_id", "branch", F.expr("transform(turns, t -> struct(t.role, t.text))").alias("turns"))
