@@ -26,8 +26,8 @@ from .common import small_batches
 
 # Fixed value: the pre-token pattern of this vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's memory of encoded words; it is emptied when full.
-MEMORY = 3 << 17
+#: Encoded words in each generation of a worker's memory.
+MEMORY = 1 << 18
 #: Stands for the rank of a pair that has no merge; above all ranks.
 NO_MERGE = 1 << 20
 
@@ -39,7 +39,69 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
+def run_of(key: str) -> str:
+    """The text that a key of Vocabulary.words stands for."""
+    return key[1:] if key[:1] == "\n" else " " + key
+
+
+def key_of(run: str) -> str:
+    return run[1:] if len(run) > 1 and run[0] == " " and run[1] != "\n" else "\n" + run
+
+
+#: Marks that follow words; a run of them is one pre-token.
+MARKS = ".,;:!?#%&*$|)]"
+
+
+class Memory:
+    """What is known of the latest words: a young and an old generation, so that
+    frequent words outlive the rare ones.  Holds at most about 2 * size entries."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def gather(self, rows: list[list[str]]) -> list[bytes]:
+        """The joined values of each row of keys; keys that are not remembered are learnt."""
+        if len(self.known) > self.size:
+            self.old, self.known = self.known, {}
+        get = self.known.get
+        found = [list(map(get, row)) for row in rows]
+        holes = [[i for i, v in enumerate(values) if v is None] if None in values else () for values in found]
+        missing = {row[i] for row, at in zip(rows, holes, strict=True) for i in at}
+        if missing:
+            old = self.old
+            again = [k for k in missing if k in old]
+            self.known.update([(k, old[k]) for k in again])
+            missing.difference_update(again)
+            self._learn(missing)
+            known = self.known
+            for row, values, at in zip(rows, found, holes, strict=True):
+                for i in at:
+                    values[i] = known[row[i]]
+        return [b"".join(values) for values in found]
+
+    def _split(self, missing: set[str], pieces) -> tuple[set[str], list[tuple[str, list[str]]]]:
+        """Keys of single pre-tokens that are to be learnt, and the keys that are several."""
+        known, single, several = self.known, set(), []
+        for key in missing:
+            if key.isalpha() or key[0] == "\n" and key[1:].isalpha():
+                single.add(key)
+                continue
+            body = key.rstrip(MARKS)
+            if body.isalpha() and len(body) < len(key):  # letters, then one run of marks
+                parts = [body, "\n" + key[len(body) :]]
+            else:
+                parts = [key_of(p) for p in pieces.findall(run_of(key))]
+            if len(parts) == 1:
+                single.add(key)
+            else:
+                several.append((key, parts))
+                single.update([p for p in parts if p not in known])
+        return single, several
+
+
+class Vocabulary(Memory):
     """Pair ranks and token bytes of a byte-level BPE file (JSON of the tokenizers library)."""
 
     def __init__(self, spec: str):
@@ -56,7 +118,7 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)  # by rank
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pieces = regex.compile(PIECES)
-        self.known: dict[str, bytes] = {}
+        super().__init__(MEMORY)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; NO_MERGE where there is no merge or a symbol is missing (-1)."""
@@ -147,67 +209,48 @@ class Vocabulary:
         return out
 
     def words(self, text: str) -> list[str]:
-        """Runs of pre-tokens: the text cut before single blanks and around single
-        line feeds, where no pre-token can cross; whole pre-tokens otherwise."""
+        """Keys of runs of whole pre-tokens: the text cut before single blanks and around
+        single line feeds, where no pre-token can cross; single pre-tokens otherwise.
+
+        A key is the run without the blank that leads it; a run that no blank leads
+        has a line feed put in front instead."""
         lines = text.split("\n")
         out: list[str] = []
         for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
             words = line.split(" ")
             if "" in words:  # runs of white space: their cut depends on what follows
-                return self.pieces.findall(text)
-            out.append(words[0])
-            out.extend([" " + w for w in words[1:]])
+                return [key_of(p) for p in self.pieces.findall(text)]
+            if i:
+                out.append("\n\n")
+            words[0] = "\n" + words[0]
+            out += words
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        """Encode words not yet known; their pre-tokens are remembered as well."""
-        known, several, todo = self.known, [], set()
-        for w in missing:
-            if w.isalpha() or (w[0] == " " and w[1:].isalpha()):
-                todo.add(w)
-                continue
-            parts = self.pieces.findall(w)
-            if len(parts) == 1:
-                todo.add(w)
-            else:
-                several.append((w, parts))
-                todo.update(p for p in parts if p not in known)
-        new = list(todo)
-        known.update(zip(new, self.encode_pieces([w.encode("utf-8") for w in new]), strict=True))
-        for w, parts in several:
-            known[w] = b"".join([known[p] for p in parts])
+        single, several = self._split(missing, self.pieces)
+        new, known = list(single), self.known
+        known.update(zip(new, self.encode_pieces([run_of(k).encode("utf-8") for k in new]), strict=True))
+        for key, parts in several:
+            known[key] = b"".join([known[p] for p in parts])
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; special tokens that occur in a text are single ids."""
-        cut: list[list[list[str] | int]] = []
+        rows: list[list[str]] = []
+        shape: list[list[int]] = []  # per text: a special id, or -1 for the next row
         for text in texts:
-            parts: list[list[str] | int] = []
-            at = 0
+            parts, at = [], 0
             for m in self.split.finditer(text) if text and self.split else ():
-                parts += [self.words(text[at : m.start()])] if m.start() > at else []
+                if m.start() > at:
+                    rows.append(self.words(text[at : m.start()]))
+                    parts.append(-1)
                 parts.append(self.special[m[0]])
                 at = m.end()
             if text and at < len(text):
-                parts.append(self.words(text[at:]))
-            cut.append(parts)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known = self.known
-        used: set[str] = set()
-        for parts in cut:
-            for p in parts:
-                if not isinstance(p, int):
-                    used.update(p)
-        used.discard("")
-        known[""] = b""
-        self._learn({w for w in used if w not in known})
-        out = []
-        for parts in cut:
-            ids = [p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in parts]
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
-        return out
+                rows.append(self.words(text[at:]))
+                parts.append(-1)
+            shape.append(parts)
+        got = iter(self.gather(rows))
+        return [np.frombuffer(b"".join([next(got) if p < 0 else p.to_bytes(4, "little") for p in parts]), "<u4") for parts in shape]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, Vocabulary, read_spec  # noqa: F401
+from .bpe import Memory, Vocabulary, key_of, read_spec, run_of
 from .common import materialize, shuffle_partitions, small_batches
 
 BLOCK_IDS = 1 << 20
@@ -90,41 +90,55 @@ class EliasFano:
         return cls(n, low, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u4", offset=at + a + b))
 
 
-class LibraryWords:
+class LibraryWords(Memory):
     """Ids by the tokenizers library, remembered for each distinct word.
 
     Words are runs of whole pre-tokens (Vocabulary.words), so joining the ids of
-    words gives the ids of the text; tests compare this with the library on
-    whole texts.  The memory is emptied when full."""
+    their pre-tokens gives the ids of the text; tests compare this with the library
+    on whole texts.  The library encodes each pre-token that is not yet known."""
 
-    MEMORY = 3 << 17
+    SIZE = 1 << 19
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
+        super().__init__(self.SIZE)
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
         self.cut = Vocabulary(spec)
         self.kind = f"<u{width}"
-        self.known: dict[str, bytes] = {}
+        self.line_feed = self.cut.byte_id[10]
+        self.blank_led = np.array([self.cut.token_bytes.get(i, b"")[:1] == b" " for i in range(max(self.cut.token_bytes) + 1)])
+
+    def _learn(self, missing: set[str]) -> None:
+        known = self.known
+        special = {k for k in missing if self.cut.split and self.cut.split.search(k)}  # the library itself finds those inside
+        single, several = self._split(missing - special, self.cut.pieces)
+        # letters after a blank, or at the start of a line, are one pre-token, so these go to
+        # the library many at a time: only their first token starts with the blank, or the
+        # line feed between them is a token of its own
+        led = [k for k in single if k[0] != "\n" and k.isalpha()]
+        bare = [k for k in single if k[0] == "\n" and k[1:].isalpha()]
+        rest = [*special, *(k for k in single if not (k[1:].isalpha() if k[0] == "\n" else k.isalpha()))]
+        size = int(self.kind[-1])
+        for keys, join in ((led, lambda x: " " + " ".join(x)), (bare, "".join)):
+            lots = [keys[i : i + 64] for i in range(0, len(keys), 64)]
+            for lot, got in zip(lots, self.library.encode_batch_fast([join(x) for x in lots], add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, self.kind)
+                starts = np.flatnonzero(self.blank_led[ids] if keys is led else ids == self.line_feed)
+                ends = [*(size * starts[1:]).tolist(), size * len(ids)]
+                starts = (size * (starts + (keys is bare))).tolist()
+                raw = ids.tobytes()
+                known.update(zip(lot, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+        for key, got in zip(rest, self.library.encode_batch_fast([run_of(k) for k in rest], add_special_tokens=False), strict=True):
+            known[key] = np.array(got.ids, self.kind).tobytes()
+        for key, parts in several:
+            known[key] = b"".join([known[p] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.MEMORY:
-            self.known.clear()
-        known, rows, missing = self.known, [], set()
-        for text in texts:
-            text = text or ""
-            if self.cut.split and self.cut.split.search(text):
-                words = [text]  # the library itself finds special tokens
-            else:
-                words = self.cut.words(text)
-            rows.append(words)
-            missing.update(words)
-        todo = [w for w in missing if w not in known]
-        for w, got in zip(todo, self.library.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-            known[w] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in rows]
+        split, words = self.cut.split, self.cut.words
+        return self.gather([([key_of(t)] if split and split.search(t) else words(t)) if t else [] for t in texts])
 
 
 def id_width(spec: str) -> int:
