@@ -65,6 +65,11 @@ class Tables:
     def road(self) -> DataFrame:
         return self.raw("part").select(F.col("p_partkey").alias("road_id"), F.col("p_name").alias("name"))
 
+    @property
+    def street(self) -> DataFrame:
+        """Roads under names that few of them share."""
+        return self.raw("part").select(F.col("p_partkey").alias("road_id"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string")).alias("name"))
+
     @property
     def lane(self) -> DataFrame:
         return self.raw("lineitem").select(
@@ -137,6 +142,7 @@ VIEWS = {
     "inside": """SELECT p.*, (SELECT min(a.aoi_id) FROM aoi a WHERE abs(p.x - a.cx) < a.half AND abs(p.y - a.cy) < a.half) AS aoi_id FROM poi p""",
     "attached": "SELECT * FROM inside WHERE aoi_id IS NOT NULL",
     "road": "SELECT p_partkey AS road_id, p_name AS name FROM part",
+    "street": "SELECT p_partkey AS road_id, concat(p_name, ' ', p_partkey % 40) AS name FROM part",
     "lane": "SELECT l_orderkey AS junction_id, l_partkey AS road_id, l_suppkey AS aoi_id, l_linenumber::BIGINT AS no, l_quantity*20 AS length FROM lineitem",
     "step": f"""SELECT junction_id AS route_id, no, road_id, aoi_id, r.name AS road_name, floor(length)::BIGINT AS road_length, ([{_DIR8}])[aoi_id % 8 + 1] AS direction FROM lane JOIN road r USING (road_id)""",
     "ends": "SELECT o_orderkey AS route_id, o_custkey AS start_id, (o_custkey*31 + o_orderkey) % (SELECT count(*) FROM customer) AS dest_id FROM orders",

@@ -31,7 +31,7 @@ def names(t: Tables):
     return out.union(qa(p, "category_addr2poi", "poi_id", _lit("Which ", text.top_category(F.col("category")), " is at ", "$full", "?"), F.col("name")))
 
 
-@query("q1_landuse_addr2aoi")
+@query("q1_landuse_addr2aoi", f"""WITH {ADDR}, lu(code, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in text.LAND_USE.items())}) SELECT concat('city-landuse_addr2aoi-', aoi_id) AS id, concat('Which ', label, ' area is at the ', address, '?') AS question, aoi_name AS answer FROM addr JOIN lu ON code = land_use /* aoi lane road */""")
 def land_use(t: Tables):
     a = address_rows(t)
     return qa(a, "landuse_addr2aoi", "aoi_id", _lit("Which ", text.landuse_name(F.col("land_use")), " area is at the ", "$address", "?"), F.col("aoi_name"))
@@ -61,7 +61,7 @@ def junctions(t: Tables):
     return qa(e, "junc_distance", "road_id", _lit("How far is junction ", "$b", " from junction ", "$a", "?"), geo.round50_text(geo.dist_xy(x1, y1, x2, y2)))
 
 
-@query("q4_junction_direction")
+@query("q4_junction_direction", f"WITH {_JP}, az AS (SELECT *, ((((round(90 - degrees(atan2(y2 - y1, x2 - x1)), 2)) % 360) + 360) % 360) AS z FROM jq) SELECT concat('city-junc_direction-', road_id) AS id, concat('In which direction is junction ', b, ' from junction ', a, '?') AS question, (['north','northeast','east','southeast','south','southwest','west','northwest'])[floor(((z + 22.5) % 360)/45)::INT + 1] AS answer FROM az /* lane */")
 def junction_direction(t: Tables):
     e = t.lane.groupBy("road_id").agg(F.min("junction_id").alias("a"), F.max("junction_id").alias("b")).where("a < b")
     at = lambda k: (((F.col(k) * F.col(k) * 13 + F.col(k) * 6007) % 10007).cast("double"), ((F.col(k) * F.col(k) * 7 + F.col(k) * 3001) % 10009).cast("double"))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import coord_distractors, coord_text, dir4, azimuth_xy, dist_xy, floor100
-from ..functions.text import landuse_name, top_category
+from ..functions.text import LAND_USE, landuse_name, top_category
 from ..operators import sampling, spatial, topology
 from .base import Tables, coord_sql, query
 from .place_jobs import ranked_in_aoi
-from .scalar_jobs import address_rows
-from .sequence_jobs import route_directions
+from .scalar_jobs import ADDR, address_rows
+from .sequence_jobs import TOTALS, route_directions
 from .topology_jobs import junction_points, resolve_endpoints
 
 POOL = 32
@@ -54,6 +54,26 @@ def mcq_sql(source: str, key: str, question: str, options: list[str], seed: int
 SELECT k AS {key}, min(q) AS question, string_agg(o, '|' ORDER BY place) AS options, substr('ABCDEFGH', max(CASE WHEN i = 0 THEN place END)::INT, 1) AS answer FROM opts_placed GROUP BY k"""
 
 
+def pool_sql(items: str, seed: int) -> str:
+    """The SQL twin of pooled(): items is a SELECT of one column named item."""
+    return f"""pool_h AS (SELECT item, md5(concat_ws('#', item, '{seed}')) AS h FROM (SELECT DISTINCT item FROM ({items}))),
+ pool_k AS (SELECT item, ('0x' || substr(h, 1, 8))::BIGINT % 16 AS shard, row_number() OVER (PARTITION BY ('0x' || substr(h, 1, 8))::BIGINT % 16 ORDER BY h, item) AS pk FROM pool_h)"""
+
+
+def draw_sql(source: str, key: str, own: str, n: int, seed: int) -> str:
+    """The SQL twin of with_pool() and drawn(): (key, w) for the rows of source."""
+    return f"""drawn AS (SELECT s.{key}, (list(item ORDER BY md5(concat_ws('#', s.{key}, item, '{seed}')), item))[1:{n}] AS w FROM {source} s
+  JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', s.{key}, '{seed}')), 1, 8))::BIGINT % 16 WHERE NOT list_contains({own}, item) GROUP BY s.{key})"""
+
+
+def asked_sql(source: str, key: str, question: str, right: str, wrong: str, seed: int) -> str:
+    """The SQL twin of asked() where the wrong options are a list."""
+    return f"""flat AS (SELECT {key} AS k, {question} AS q, ({right})::VARCHAR AS o, {wrong} AS ws FROM {source} WHERE len({wrong}) >= 1),
+ opts AS (SELECT k, q, 0 AS i, o FROM flat UNION ALL SELECT k, q, unnest(range(1, len(ws) + 1)) AS i, unnest(ws)::VARCHAR AS o FROM flat),
+ opts_placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('#', k, i, '{seed}'))) AS place FROM opts)
+SELECT k AS {key}, min(q) AS question, string_agg(o, '|' ORDER BY place) AS options, substr('ABCDEFGH', max(CASE WHEN i = 0 THEN place END)::INT, 1) AS answer FROM opts_placed GROUP BY k"""
+
+
 _LEN = "len AS (SELECT name, (floor(sum(length)/100)*100)::BIGINT AS l FROM lane JOIN road USING (road_id) GROUP BY name)"
 
 
@@ -82,7 +102,11 @@ def arrived(t: Tables):
     return asked(d.withColumn("wrong", F.filter(wrong, lambda w: w != "")).withColumn("right", answer).where("right <> ''"), "name", F.concat(F.lit("Which places can"), F.when(many, "not").otherwise(""), F.lit(" be reached from "), "name", F.lit("?")), F.col("right"), F.col("wrong"))
 
 
-@query("m3_road_od")
+@query("m3_road_od", f"""WITH p AS (SELECT DISTINCT name, junction_id, (junction_id*junction_id*13 + junction_id*6007) % 10007 AS x, (junction_id*junction_id*7 + junction_id*3001) % 10009 AS y FROM lane JOIN road USING (road_id)),
+ s0 AS (SELECT name, max(x) - min(x) >= max(y) - min(y) AS wide, first(junction_id ORDER BY x, junction_id) AS w, first(junction_id ORDER BY x DESC, junction_id DESC) AS e, first(junction_id ORDER BY y, junction_id) AS s, first(junction_id ORDER BY y DESC, junction_id DESC) AS n, count(*) AS c FROM p GROUP BY name),
+ ends_ AS (SELECT name, CASE WHEN wide THEN w ELSE s END AS a, CASE WHEN wide THEN e ELSE n END AS b FROM s0 WHERE c >= 2),
+ {pool_sql('SELECT junction_id AS item FROM lane', 3)}, {draw_sql('ends_', 'name', '[s.a, s.b]', 6, 3)}, src AS (SELECT name, concat(least(a, b), ' to ', greatest(a, b)) AS r, [concat(least(w[1], w[2]), ' to ', greatest(w[1], w[2])), concat(least(w[3], w[4]), ' to ', greatest(w[3], w[4])), concat(least(w[5], w[6]), ' to ', greatest(w[5], w[6]))] AS ws_ FROM ends_ JOIN drawn USING (name)),
+ {asked_sql('src', 'name', "concat('Between which junctions does ', name, ' run?')", 'r', 'ws_', 3)}""")
 def road_od(t: Tables):
     e = topology.road_endpoints(junction_points(t))
     pair = lambda a, b: F.concat_ws(" to ", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
@@ -93,11 +117,13 @@ def road_od(t: Tables):
     return asked(d, "name", F.concat(F.lit("Between which junctions does "), "name", F.lit(" run?")), pair(F.col("start_id"), F.col("end_id")), wrong, 3)
 
 
-@query("m4_road_link")
+@query("m4_road_link", f"""WITH n AS (SELECT DISTINCT junction_id, name FROM lane JOIN street USING (road_id)), l AS (SELECT a.name, list_sort(list(DISTINCT b.name)) AS linked FROM n a JOIN n b ON a.junction_id = b.junction_id AND a.name <> b.name GROUP BY a.name),
+ {pool_sql('SELECT name AS item FROM street', 4)}, {draw_sql('l', 'name', 'list_append(s.linked, s.name)', 3, 4)}, src AS (SELECT name, len(linked) > 2 AS many, CASE WHEN len(linked) > 2 THEN w[1] ELSE linked[1] END AS r, CASE WHEN len(linked) > 2 THEN linked[1:3] ELSE w END AS ws_ FROM l JOIN drawn USING (name)),
+ {asked_sql('src', 'name', "concat('Which road does ', CASE WHEN many THEN 'not ' ELSE '' END, 'meet ', name, '?')", 'r', 'ws_', 4)}""")
 def road_link(t: Tables):
-    links = topology.road_links(topology.junction_names(t.lane, t.road))
+    links = topology.road_links(topology.junction_names(t.lane, t.street))
     d = links.groupBy("name").agg(F.array_sort(F.collect_set("linked")).alias("linked"))
-    d = with_pool(d, "name", t.road, "name", 4).withColumn("none", drawn(F.col("pool"), F.col("name"), F.concat("linked", F.array("name")), 3, 4)).where("size(none) >= 1")
+    d = with_pool(d, "name", t.street, "name", 4).withColumn("none", drawn(F.col("pool"), F.col("name"), F.concat("linked", F.array("name")), 3, 4)).where("size(none) >= 1")
     many = F.size("linked") > 2
     right = F.when(many, F.col("none")[0]).otherwise(F.col("linked")[0])
     wrong = F.when(many, F.slice("linked", 1, 3)).otherwise(F.col("none"))
@@ -120,7 +146,9 @@ def landmark_env(t: Tables):
     return asked(g.withColumnRenamed("own", "poi_id"), "poi_id", F.concat(F.lit("What is near point "), F.col("poi_id").cast("string"), F.lit("?")), F.col("right"), F.slice("wrong", 1, 4), 5)
 
 
-@query("m6_landmark_path")
+@query("m6_landmark_path", f"""WITH f AS (SELECT aoi_id, min(poi_id) AS poi_id FROM attached GROUP BY 1), sn AS (SELECT route_id, list_sort(list(DISTINCT f.poi_id)) AS seen FROM step JOIN f USING (aoi_id) GROUP BY route_id HAVING count(DISTINCT f.poi_id) >= 3),
+ {pool_sql('SELECT poi_id AS item FROM poi', 6)}, {draw_sql('sn', 'route_id', 's.seen', 1, 6)}, src AS (SELECT route_id, w[1] AS r, seen[1:3] AS ws_ FROM sn JOIN drawn USING (route_id)),
+ {asked_sql('src', 'route_id', "concat('Which point is not seen on route ', route_id, '?')", 'r', 'ws_', 6)} /* aoi lane road */""")
 def landmark_path(t: Tables):
     """Three points beside a route against one that is not beside it."""
     p = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.min("poi_id").alias("poi_id"))
@@ -130,15 +158,20 @@ def landmark_path(t: Tables):
     return asked(d.where("size(out) = 1"), "route_id", F.concat(F.lit("Which point is not seen on route "), F.col("route_id").cast("string"), F.lit("?")), F.col("out")[0], F.slice("seen", 1, 3), 6)
 
 
-@query("m7_boundary_road")
+@query("m7_boundary_road", f"""WITH b AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS roads FROM lane JOIN street USING (road_id) GROUP BY aoi_id),
+ {pool_sql('SELECT name AS item FROM street', 7)}, {draw_sql('b', 'aoi_id', 's.roads', 3, 7)}, src AS (SELECT aoi_id, len(roads) >= 3 AS many, CASE WHEN len(roads) >= 3 THEN w[1] ELSE roads[1] END AS r, CASE WHEN len(roads) >= 3 THEN roads[1:3] ELSE w END AS ws_ FROM b JOIN drawn USING (aoi_id)),
+ {asked_sql('src', 'aoi_id', "concat('Which road does ', CASE WHEN many THEN 'not ' ELSE '' END, 'bound area ', aoi_id, '?')", 'r', 'ws_', 7)}""")
 def boundary_road(t: Tables):
-    b = topology.road_aois(t.lane, t.road).groupBy("aoi_id").agg(F.array_sort(F.collect_set("name")).alias("roads"))
-    d = with_pool(b, "aoi_id", t.road, "name", 7).withColumn("out", drawn(F.col("pool"), F.col("aoi_id"), F.col("roads"), 3, 7)).where("size(out) >= 1")
+    b = topology.road_aois(t.lane, t.street).groupBy("aoi_id").agg(F.array_sort(F.collect_set("name")).alias("roads"))
+    d = with_pool(b, "aoi_id", t.street, "name", 7).withColumn("out", drawn(F.col("pool"), F.col("aoi_id"), F.col("roads"), 3, 7)).where("size(out) >= 1")
     many = F.size("roads") >= 3
     return asked(d.withColumn("right", F.when(many, F.col("out")[0]).otherwise(F.col("roads")[0])).withColumn("wrong", F.when(many, F.slice("roads", 1, 3)).otherwise(F.col("out"))), "aoi_id", F.concat(F.lit("Which road does "), F.when(many, "not ").otherwise(""), F.lit("bound area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("right"), F.col("wrong"), 7)
 
 
-@query("m8_aoi_boundary_poi")
+@query("m8_aoi_boundary_poi", f"""WITH d AS (SELECT p.aoi_id, poi_id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d FROM attached p JOIN aoi USING (aoi_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY d, poi_id) AS up, row_number() OVER (PARTITION BY aoi_id ORDER BY d DESC, poi_id) AS down FROM d),
+ g AS (SELECT aoi_id, max(CASE WHEN up = 1 THEN poi_id END) AS a, max(CASE WHEN up = 2 THEN poi_id END) AS b, max(CASE WHEN down = 1 THEN poi_id END) AS r, list(poi_id) AS own FROM rk GROUP BY aoi_id HAVING count(*) >= 5),
+ {pool_sql('SELECT poi_id AS item FROM poi', 8)}, {draw_sql('g', 'aoi_id', 's.own', 2, 8)}, src AS (SELECT aoi_id, r, list_concat([a, b], coalesce(w, [])) AS ws_ FROM g LEFT JOIN drawn USING (aoi_id)),
+ {asked_sql('src', 'aoi_id', "concat('Which point lies at the border of area ', aoi_id, '?')", 'r', 'ws_', 8)}""")
 def boundary_poi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.array_sort(F.collect_set("poi_id")).alias("own"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     d = with_pool(ranked_in_aoi(t).join(inside, "aoi_id"), "aoi_id", t.poi, "poi_id", 8)
@@ -168,7 +201,8 @@ def poi_types(t: Tables):
     return asked(c, "aoi_id", F.concat(F.lit("How many kinds of place does area "), F.col("aoi_id").cast("string"), F.lit(" hold?")), n, F.array(n - 1, n + 1, n + 2), 10)
 
 
-@query("m11_aoi2addr")
+@query("m11_aoi2addr", f"""WITH {ADDR}, {pool_sql('SELECT address AS item FROM addr', 11)}, {draw_sql('addr', 'aoi_id', '[s.address]', 3, 11)}, src AS (SELECT aoi_id, address, w FROM addr JOIN drawn USING (aoi_id)),
+ {asked_sql('src', 'aoi_id', "concat('What is the address of area ', aoi_id, '?')", 'address', 'w', 11)} /* aoi lane road */""")
 def aoi2addr(t: Tables):
     a = address_rows(t).select("aoi_id", "address")
     d = with_pool(a, "aoi_id", a, "address", 11)
@@ -176,19 +210,23 @@ def aoi2addr(t: Tables):
 
 
 def _land_uses():
-    from ..functions.text import LAND_USE
-
     return F.array(*[F.lit(v) for v in LAND_USE.values()])
 
 
-@query("m12_aoi2type")
+_LU = ", ".join(f"('{k}', '{v}')" for k, v in LAND_USE.items())
+_REPS = "rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, category ORDER BY md5(concat_ws('#', poi_id, '{0}')), poi_id) AS k, count(*) OVER (PARTITION BY aoi_id, category) AS n FROM attached) WHERE k <= floor(n/4.0) + 1)".format
+
+
+@query("m12_aoi2type", f"""WITH lu(code, label) AS (VALUES {_LU}), {_REPS(12)}, g AS (SELECT rp.aoi_id, string_agg(rp.name, ', ' ORDER BY rp.name) AS names FROM rp GROUP BY 1 HAVING count(*) >= 3), a AS (SELECT g.*, label AS r FROM g JOIN aoi USING (aoi_id) JOIN lu ON code = land_use),
+ src AS (SELECT a.aoi_id, names, r, (list(label ORDER BY md5(concat_ws('#', a.aoi_id, label, '12'))))[1:4] AS ws_ FROM a JOIN lu ON label <> r GROUP BY 1, 2, 3), {asked_sql('src', 'aoi_id', "concat('What land use has the area with ', names, '?')", 'r', 'ws_', 12)}""")
 def aoi2type(t: Tables):
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 12).groupBy("aoi_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     d = t.aoi.select("aoi_id", landuse_name(F.col("land_use")).alias("right")).join(r, "aoi_id").withColumn("pool", _land_uses())
     return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.array("right"), 4, 12)), "aoi_id", F.concat(F.lit("What land use has the area with "), "names", F.lit("?")), F.col("right"), F.col("w"), 12)
 
 
-@query("m13_type2aoi")
+@query("m13_type2aoi", f"""WITH lu(code, label) AS (VALUES {_LU}), {_REPS(13)}, g AS (SELECT aoi_id FROM rp GROUP BY 1 HAVING count(*) >= 2), a AS (SELECT aoi.aoi_id, land_use, name FROM aoi JOIN g USING (aoi_id)), same AS (SELECT land_use, list(DISTINCT name) AS own FROM a GROUP BY 1), j AS (SELECT * FROM a JOIN same USING (land_use)),
+ {pool_sql('SELECT name AS item FROM a', 13)}, {draw_sql('j', 'aoi_id', 's.own', 3, 13)}, src AS (SELECT j.*, w, label FROM j JOIN drawn USING (aoi_id) JOIN lu ON code = land_use), {asked_sql('src', 'aoi_id', "concat('Which area is ', label, '?')", 'name', 'w', 13)} /* attached */""")
 def type2aoi(t: Tables):
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 13).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     a = t.aoi.join(r, "aoi_id").select("aoi_id", "land_use", "name")
@@ -215,7 +253,8 @@ def poi2addr(t: Tables):
     return asked(few.withColumnRenamed("center_id", "poi_id"), "poi_id", F.concat(F.lit("What is the address of "), "poi", F.lit("?")), F.col("address"), F.col("w"), 15)
 
 
-@query("m16_poi2type")
+@query("m16_poi2type", f"""WITH f AS (SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY md5(poi_id::VARCHAR)) AS k FROM poi), c AS (SELECT category, string_agg(name, ', ' ORDER BY name) AS names FROM f WHERE k <= 4 GROUP BY category),
+ {pool_sql('SELECT category AS item FROM c', 16)}, {draw_sql('c', 'category', '[s.category]', 4, 16)}, src AS (SELECT category AS key, category, names, w FROM c JOIN drawn USING (category)), {asked_sql('src', 'key', "concat('What kind are ', names, '?')", 'category', 'w', 16)}""")
 def poi2type(t: Tables):
     rank = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.col("poi_id").cast("string"))))
     c = t.poi.withColumn("k", rank).where("k <= 4").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
@@ -233,14 +272,16 @@ def type2poi(t: Tables):
     return asked(d.withColumn("w", F.slice(F.transform(other, lambda s: s["name"]), 1, 4)), "category", F.concat(F.lit("Which place is "), "category", F.lit("?")), F.col("right"), F.col("w"), 17)
 
 
-@query("m18_aoi_poi")
+@query("m18_aoi_poi", f"""WITH g AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS own FROM attached GROUP BY 1), {pool_sql('SELECT name AS item FROM poi', 18)}, {draw_sql('g', 'aoi_id', 's.own', 3, 18)}, src AS (SELECT aoi_id, own[1] AS r, w FROM g JOIN drawn USING (aoi_id)),
+ {asked_sql('src', 'aoi_id', "concat('Which place lies in area ', aoi_id, '?')", 'r', 'w', 18)} /* aoi */""")
 def aoi_poi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.array_sort(F.collect_set("name")).alias("own"))
     d = with_pool(inside, "aoi_id", t.poi, "name", 18)
     return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.col("own"), 3, 18)), "aoi_id", F.concat(F.lit("Which place lies in area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("own")[0], F.col("w"), 18)
 
 
-@query("m19_poi_aoi")
+@query("m19_poi_aoi", f"""WITH g AS (SELECT p.aoi_id, a.name AS aoi_name, (list_sort(list(DISTINCT p.name)))[1:4] AS own FROM attached p JOIN aoi a USING (aoi_id) GROUP BY 1, 2 HAVING count(DISTINCT p.name) >= 4), {pool_sql('SELECT name AS item FROM aoi', 19)}, {draw_sql('g', 'aoi_id', '[s.aoi_name]', 3, 19)},
+ src AS (SELECT aoi_id, aoi_name, own, w FROM g JOIN drawn USING (aoi_id)), {asked_sql('src', 'aoi_id', "concat('Which area holds ', array_to_string(own, ', '), '?')", 'aoi_name', 'w', 19)}""")
 def poi_aoi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 4).alias("own")).where("size(own) = 4")
     d = with_pool(inside.join(t.aoi.select("aoi_id", F.col("name").alias("aoi")), "aoi_id"), "aoi_id", t.aoi, "name", 19)
@@ -316,8 +357,17 @@ def _to_road(t: Tables, ends: str, kind: str, route: bool, seed: int) -> DataFra
     return asked(d, "route_id", q, n, F.array((n / 2).cast("long"), n * 2, n + 500), seed)
 
 
+def _to_road_sql(ends: str, kind: str, route: bool, seed: int) -> str:
+    told = "concat(' by way of ', text)" if route else "''"
+    question = f"concat('{'How far is ' if kind == 'dis' else 'In which direction is '}', road_, ' from ', start_{ends}, {told}, '?')"
+    right, wrong = ("abs(off_)", "[trunc(abs(off_)/2)::BIGINT, abs(off_)*2, abs(off_) + 500]") if kind == "dis" else ("main_", "list_filter(['north','east','south','west'], lambda x: x <> main_)")
+    return f"""WITH {_ENDS}, {TOTALS}, lr AS (SELECT route_id, first(road_name ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS road_, first(direction ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS ld FROM step GROUP BY route_id),
+ o1 AS (SELECT rr.*, road_, ld LIKE '%north%' OR ld LIKE '%south%' AS up_, de, dn FROM rr JOIN net USING (route_id) JOIN lr USING (route_id) WHERE start_{ends} IS NOT NULL), o2 AS (SELECT *, round(CASE WHEN up_ THEN de ELSE dn END, 0)::BIGINT AS off_ FROM o1),
+ src AS (SELECT *, CASE WHEN up_ THEN CASE WHEN off_ > 0 THEN 'east' ELSE 'west' END ELSE CASE WHEN off_ > 0 THEN 'north' ELSE 'south' END END AS main_ FROM o2 WHERE abs(off_) >= 50), {asked_sql('src', 'route_id', question, right, wrong, seed)} /* poi aoi inside ends lane road step */"""
+
+
 for _name, _ends in (("m23_poi2rd", "name"), ("m24_aoi2rd", "aoi")):
     for _kind in ("dis", "dir"):
         for _route in (True, False):
-            query(f"{_name}_{_kind}_{'route' if _route else 'noroute'}")(lambda t, e=_ends, k=_kind, r=_route, s=int(_name[1:3]): _to_road(t, e, k, r, s))
+            query(f"{_name}_{_kind}_{'route' if _route else 'noroute'}", _to_road_sql(_ends, _kind, _route, int(_name[1:3])))(lambda t, e=_ends, k=_kind, r=_route, s=int(_name[1:3]): _to_road(t, e, k, r, s))
 
