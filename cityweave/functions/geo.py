@@ -122,10 +122,10 @@ def to_lnglat(x: Column, y: Column, lng0: float, lat0: float) -> tuple[Column, C
 
 
 def ring_edges(ring: Column) -> Column:
-    """Edges (a, b) of a ring of (x, y); an open ring is closed."""
-    closed = F.when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
-    n = F.size(closed)
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at(closed, i).alias("a"), F.element_at(closed, i + 1).alias("b"))))
+    """Edges (a, b) of a ring of (x, y), open or closed (the closing edge of a closed
+    ring has no length and changes nothing)."""
+    ahead = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, ahead, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def _sum(edges: Column, term) -> Column:
@@ -155,9 +155,8 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def contains(ring: Column, x: Column, y: Column) -> Column:
-    """Strictly inside: a point on the boundary is outside."""
-    edges = ring_edges(ring)
+def contains_edges(edges: Column, x: Column, y: Column) -> Column:
+    """contains() for edges that were made once, before a join."""
 
     def on(e):
         a, b = e["a"], e["b"]
@@ -169,8 +168,12 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
         spans = (a["y"] > y) != (b["y"] > y)
         return spans & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"])
 
-    count = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(crossed(e), 1).otherwise(0))
-    return ~F.exists(edges, on) & (count % 2 == 1)
+    return ~F.exists(edges, on) & (F.size(F.filter(edges, crossed)) % 2 == 1)
+
+
+def contains(ring: Column, x: Column, y: Column) -> Column:
+    """Strictly inside: a point on the boundary is outside."""
+    return contains_edges(ring_edges(ring), x, y)
 
 
 def side_of(hx: Column, hy: Column, cx: Column, cy: Column, px: Column, py: Column) -> Column:

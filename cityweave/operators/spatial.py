@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import contains, dist_xy
+from ..functions.geo import contains_edges, dist_xy, ring_edges
 
 #: Rows up to which the smaller side of a cell join is broadcast, after a count.
 BROADCAST_ROWS = 50_000
@@ -31,16 +31,12 @@ def attach_pois(pois: DataFrame, aois: DataFrame, size: float = 500.0) -> DataFr
     An area covers the cells of its bounding box, so a point meets only the areas of
     its own cell.  Points in no area, and with null coordinates, are left out."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    cover = aois.select(
-        "aoi_id",
-        "ring",
-        F.explode(F.sequence(cell(F.array_min(xs), size), cell(F.array_max(xs), size))).alias("cx"),
-        cell(F.array_min(ys), size).alias("y0"),
-        cell(F.array_max(ys), size).alias("y1"),
-    )
-    cover = cover.select("aoi_id", "ring", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
-    points = pois.where("x is not null and y is not null").drop("aoi_id").withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)})
-    met = points.join(cover, ["cx", "cy"]).where(contains(F.col("ring"), F.col("x"), F.col("y")))
+    boxes = aois.select("aoi_id", ring_edges(F.col("ring")).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
+    cover = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x1"), size))))
+    cover = cover.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y1"), size))))
+    points = pois.where("x is not null and y is not null").select("poi_id", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    near = points.join(cover, ["cx", "cy"]).where("x > x0 and x < x1 and y > y0 and y < y1")
+    met = near.where(contains_edges(F.col("edges"), F.col("x"), F.col("y")))
     first = met.groupBy("poi_id").agg(F.min("aoi_id").alias("aoi_id"))
     return pois.drop("aoi_id").join(first, "poi_id")
 
