@@ -116,9 +116,9 @@ def perplexity(t: Tables):
     return dialogues.perplexity(losses).select(F.col("sample_pos").alias("user_id"), F.round("ppl", 5).alias("ppl"))
 
 
-@query("j17_attach_by_position", "SELECT s.doc_id, l.quality::BIGINT AS weight FROM sft s LEFT JOIN labels l ON l.doc_id = s.doc_id")
+@query("j17_attach_by_position", "SELECT s.doc_id, coalesce(l.quality, -1)::BIGINT AS weight FROM sft s LEFT JOIN labels l ON l.doc_id = s.doc_id")
 def positions(t: Tables):
-    return t.sft.select("doc_id").join(t.raw("labels").select("doc_id", F.col("quality").cast("long").alias("weight")), "doc_id", "left")
+    return t.sft.select("doc_id").join(t.raw("labels").select("doc_id", F.col("quality").cast("long").alias("weight")), "doc_id", "left").fillna(-1, ["weight"])
 
 
 @query("s4_latest_snapshot", "WITH n AS (SELECT concat('map_city', o_custkey % 50, CASE WHEN o_orderkey % 3 = 0 THEN '_fsq' ELSE '' END, '_', strftime(o_orderdate, '%y%m%d')) AS name FROM orders), p AS (SELECT name, regexp_extract(name, '^map_(city\\d+)_(\\d{6})$', 1) AS city, regexp_extract(name, '_(\\d{6})$', 1) AS day FROM n WHERE name NOT LIKE '%fsq%') SELECT city, max(name) AS name FROM p GROUP BY city")

@@ -86,11 +86,11 @@ def per_category(t: Tables):
     return spatial.nearest_per_category(centers(t), t.poi, 800.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("j6_with_aoi", "SELECT p.poi_id, p.aoi_id, a.name AS aoi_name, a.land_use FROM inside p LEFT JOIN aoi a ON a.aoi_id = p.aoi_id")
+@query("j6_with_aoi", "SELECT p.poi_id, coalesce(p.aoi_id, -1) AS aoi_id, a.name AS aoi_name, a.land_use FROM inside p LEFT JOIN aoi a ON a.aoi_id = p.aoi_id")
 def with_aoi(t: Tables):
     a = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id")
     named = a.join(t.aoi.select("aoi_id", F.col("name").alias("aoi_name"), "land_use"), "aoi_id", "left")
-    return t.poi.select("poi_id").join(named, "poi_id", "left").select("poi_id", "aoi_id", "aoi_name", "land_use")
+    return t.poi.select("poi_id").join(named, "poi_id", "left").select("poi_id", F.coalesce("aoi_id", F.lit(-1)).cast("long").alias("aoi_id"), "aoi_name", "land_use")
 
 
 @query("a1_aoi_poi_counts", "WITH c AS (SELECT aoi_id, count(*) AS n FROM attached GROUP BY aoi_id) SELECT aoi_id, n, n = (SELECT max(n) FROM c) AND aoi_id = (SELECT aoi_id FROM c ORDER BY n DESC, aoi_id LIMIT 1) AS is_max, (SELECT aoi_id FROM aoi ORDER BY half DESC, aoi_id LIMIT 1) AS largest FROM c")
@@ -124,9 +124,9 @@ def frequent(t: Tables):
     return t.road.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 10")
 
 
-@query("w12_rank_pois_in_aoi", "WITH d AS (SELECT p.aoi_id, poi_id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d FROM attached p JOIN aoi USING (aoi_id)), r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY d, poi_id) AS up, row_number() OVER (PARTITION BY aoi_id ORDER BY d DESC, poi_id) AS down FROM d) SELECT aoi_id, max(CASE WHEN up = 1 THEN poi_id END) AS nearest, max(CASE WHEN up = 2 THEN poi_id END) AS second, max(CASE WHEN down = 1 THEN poi_id END) AS farthest FROM r GROUP BY aoi_id")
+@query("w12_rank_pois_in_aoi", "WITH d AS (SELECT p.aoi_id, poi_id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d FROM attached p JOIN aoi USING (aoi_id)), r AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY d, poi_id) AS up, row_number() OVER (PARTITION BY aoi_id ORDER BY d DESC, poi_id) AS down FROM d) SELECT aoi_id, max(CASE WHEN up = 1 THEN poi_id END) AS nearest, coalesce(max(CASE WHEN up = 2 THEN poi_id END), -1) AS second, max(CASE WHEN down = 1 THEN poi_id END) AS farthest FROM r GROUP BY aoi_id")
 def ranked_pois(t: Tables):
-    return ranked_in_aoi(t)
+    return ranked_in_aoi(t).fillna(-1, ["second"])
 
 
 def ranked_in_aoi(t: Tables):

@@ -1,9 +1,11 @@
 """Registered queries against their SQL, at the smallest scale."""
 
 import math
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def rows(df):
-    clean = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    clean = lambda v: None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
     return sorted(([clean(v) for v in r] for r in df[sorted(df.columns)].itertuples(index=False)), key=repr)
 
 
