@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,6 +27,11 @@ from .common import small_batches
 
 # Fixed value: the pre-token pattern of this vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space (\s of PIECES) other than the blank and the line feed, as in a character class.
+_SPACE = "\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+OTHER_SPACE = re.compile(f"[{_SPACE}]")
+#: Runs of white space that are not one blank or line feed between two words.
+SPACE_RUNS = re.compile(rf"([ \n{_SPACE}]{{2,}}|[{_SPACE}]|\A[ \n]|[ \n]\Z)")
 #: Encoded words in each generation of a worker's memory.
 MEMORY = 1 << 18
 #: Stands for the rank of a pair that has no merge; above all ranks.
@@ -210,20 +216,44 @@ class Vocabulary(Memory):
 
     def words(self, text: str) -> list[str]:
         """Keys of runs of whole pre-tokens: the text cut before single blanks and around
-        single line feeds, where no pre-token can cross; single pre-tokens otherwise.
+        single line feeds, where no pre-token can cross.  Any other run of white space is
+        cut as the pattern does: its last character stands alone, or leads the next word
+        if it is a blank; at the end of the text the run is whole.
 
         A key is the run without the blank that leads it; a run that no blank leads
         has a line feed put in front instead."""
-        lines = text.split("\n")
         out: list[str] = []
-        for i, line in enumerate(lines):
-            words = line.split(" ")
-            if "" in words:  # runs of white space: their cut depends on what follows
-                return [key_of(p) for p in self.pieces.findall(text)]
-            if i:
-                out.append("\n\n")
-            words[0] = "\n" + words[0]
-            out += words
+        if not OTHER_SPACE.search(text):
+            for i, line in enumerate(text.split("\n")):
+                words = line.split(" ")
+                if "" in words:
+                    break
+                if i:
+                    out.append("\n\n")
+                words[0] = "\n" + words[0]
+                out += words
+            else:
+                return out
+            out = []
+        parts = SPACE_RUNS.split(text)  # words, run, words, run, ..., words
+        for k in range(0, len(parts), 2):
+            some, run = parts[k], parts[k - 1] if k else ""
+            if not some:  # an end of the text
+                if run:
+                    out.append(key_of(run))
+                continue
+            if run[:-1]:
+                out.append(key_of(run[:-1]))
+            led = run[-1:] == " "
+            if run and not led:
+                out.append(key_of(run[-1]))
+            for i, line in enumerate(some.split("\n")):
+                words = line.split(" ")
+                if i:
+                    out.append("\n\n")
+                if i or not led:
+                    words[0] = "\n" + words[0]
+                out += words
         return out
 
     def _learn(self, missing: set[str]) -> None:

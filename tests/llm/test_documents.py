@@ -81,6 +81,19 @@ def test_bpe_equals_the_library(library):
         assert vocab.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_white_space_runs_are_cut_as_the_library_does(library):
+    spec = bpe.read_spec(vocabulary_path())
+    vocab, width, rnd = bpe.Vocabulary(spec), token_files.id_width(spec), random.Random(4)
+    words = token_files.LibraryWords(spec, width)
+    texts = ["foo\n\xa0\xa0bar", "a \xa0 \xa0 b", "a \xa0", "\t\ta", "\u3000\n\u3000a", "\r\n\r\na\x1c \x1cb"]
+    texts += ["".join(rnd.choice("   \n\n\t\r\x85\xa0\xa0\u3000\u2009\x1cab's1.é") for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert vocab.encode_batch([text])[0].tolist() == want, repr(text)
+        assert np.frombuffer(words.encode([text])[0], f"<u{width}").tolist() == want, repr(text)
+    assert len(vocab.encode_batch(texts[:1])[0]) == 4
+
+
 def test_codec_on_odd_input(spark, nasty, library):
     path = vocabulary_path()
     rows = {(r.doc_id, r.text) for r in nasty.collect()}
