@@ -5,7 +5,7 @@ percent escapes and Unicode/character-reference escapes are decoded over the
 whole layer, base64 runs are decoded on their own, and compressed payloads
 (gzip, zlib) inside them are inflated.  Each new layer is scanned and put back
 on the worklist until nothing new appears; a layer whose text was met before
-is not opened again.  Every position of a layer keeps the range of code points
+from the same place of the original is not opened again.  Every position of a layer keeps the range of code points
 of the original text that it came from, so spans are always given in the
 original.
 
@@ -20,6 +20,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -66,6 +67,13 @@ class Layer:
             return a, b
         return self.starts[a], self.ends[b - 1]
 
+    def key(self) -> bytes:
+        """Digest of the text and of where its characters came from."""
+        h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        for side in (self.starts, self.ends):
+            h.update(b"/" + array("q", side or ()).tobytes())
+        return h.digest()
+
 
 def _utf8_chars(raw: bytes) -> tuple[str, list[int]] | None:
     """The text of raw and the byte offset of each character (plus the end)."""
@@ -173,15 +181,16 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     if not text:
         return [], []
     base = sorted(scan(text), key=order)
-    spans, seen, work = set(base), {text}, [Layer(text)]
+    spans, seen, work = set(base), set(), [Layer(text)]
     while work:
         layer = work.pop()
         made = [x for x in (_unpercent(layer), _unescape(layer)) if x]
         made.extend(_from_base64(layer))
         for new in made:
-            if new.text in seen or len(new.text) > MAX_LAYER:
+            key = new.key()
+            if key in seen or len(new.text) > MAX_LAYER:
                 continue
-            seen.add(new.text)
+            seen.add(key)
             spans.update((kind, *new.origin(a, b)) for kind, a, b in scan(new.text))
             work.append(new)
     return base, sorted(spans, key=order)

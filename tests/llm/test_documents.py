@@ -56,6 +56,16 @@ def test_decoded_layers_map_to_the_original(layers):
     assert set(base) <= set(spans) and "abcdefABCDEF1234567" not in secrets.redact_text(text)
 
 
+@pytest.mark.parametrize("first,second", [("base64", "base64"), ("gzip", "gzip"), ("gzip", "base64"), ("zlib", "gzip")])
+def test_an_encoded_secret_that_stands_twice(first, second):
+    a, b = WRAPS[first](SECRET), WRAPS[second](SECRET)
+    text = f"one {a} two {b} end"
+    spans = [s for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
+    at = text.rindex(b)
+    assert any(s[2] <= 4 + len(a) for s in spans) and any(at <= s[1] and s[2] <= at + len(b) for s in spans)
+    assert secrets.redact_text(text).count("[REDACTED]") == 2
+
+
 def test_decoding_cycles_end():
     assert {k for k, _, _ in secrets.find_secrets("%25252525252525zz " * 50 + "A" * 4000)[1]} <= {"hex"}
 
