@@ -13,7 +13,10 @@ over the m pages of the host that have it:
 A branch is removed where the composite importance is under THRESHOLD, unless it
 lies in the page's own article element.  Then the article is taken if there is
 one (else the body), without elements that say what they are: nav, aside, form,
-footer, or a class such as "ad", "sidebar", "comments".
+footer, or a class such as "ad", "sidebar-box", "comments".  Such a name counts
+as a whole ("has-sidebar" and "share-price" are none), never on html, body, article
+and main or around the page's only article, and as an id not on headings,
+sections and paragraphs, where ids are anchors.
 
 Null and empty pages give an empty text.  Pages without a host form one site.
 Hosts with fewer than LEAST_PAGES pages have no usable entropy and rely on the
@@ -46,10 +49,15 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "noembed", "noframes", "xmp"}
-DROPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu", "svg", "math", "canvas", "object", "audio", "video", "map", "fieldset"}
+DROPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "svg", "canvas", "object", "audio", "video"}
 DROPPED_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner nav navbar navigation navi menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search searchbox form comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar skip copyright disclaimer hidden".split()
 )
+#: Words that may stand beside those in a name without changing its role ("promo-box", but not "share-price").
+FRAME_WORDS = set("area bar block bottom box button buttons center container footer group header holder inner item items left link links list outer panel right row section slot top unit wrap wrapper".split())
+#: Elements that class words never remove, and those whose ids are anchors.
+WHOLE = {"html", "body", "article", "main"}
+ANCHORED = {"h1", "h2", "h3", "h4", "h5", "h6", "section", "p", "span", "a"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "html", "nav", "aside", "footer", "header", "form", "td", "th"}
 
@@ -60,18 +68,25 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "article", "path", "children", "head")
+    __slots__ = ("tag", "dropped", "around", "named", "article", "path", "children", "head")
 
-    def __init__(self, tag: str, dropped: bool, article: bool, path: str, head: bool):
+    def __init__(self, tag: str, dropped: bool, around: bool, named: bool, article: bool, path: str, head: bool):
         self.tag, self.dropped, self.article, self.path, self.head = tag, dropped, article, path, head
+        self.around, self.named = around, named  # named as boilerplate outside the article; inside it or without one
         self.children: list[str] = []
 
 
+def boilerplate_name(name: str) -> bool:
+    """Whether a whole class or id says boilerplate: all its words do, or frame them."""
+    words = set(_WORD.findall(name))
+    return bool(words & DROPPED_WORDS) and words <= DROPPED_WORDS | FRAME_WORDS | {w for w in words if w.isdigit()}
+
+
 def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
     """(path, text, in article, named as boilerplate, shape of the parent) of each
     block in page order; shape is filled for the first block of a parent only."""
     page = page or ""
-    stack = [Element("", False, False, "", False)]
+    stack = [Element("", False, False, False, False, "", False)]
     parts: list[str] = []
     out = []
     done: list[Element] = []
@@ -135,13 +150,13 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
         up = stack[-1]
         attrs = {a.lower(): (x or y or z) for a, x, y, z in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
         label = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
-        words = set(_WORD.findall(label))
+        own = () if tag in WHOLE else attrs.get("class", "").lower().split() if tag in ANCHORED else label.split()
+        named = any(map(boilerplate_name, own))
         is_article = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         dropped = (
             up.dropped
             or tag in DROPPED
-            or tag == "header" and not up.article
-            or bool(words & DROPPED_WORDS)
+            or tag in ("header", "menu") and not up.article
             or attrs.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert")
             or "hidden" in attrs
             or attrs.get("aria-hidden", "").lower() == "true"
@@ -153,13 +168,19 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
             path = f"{up.path}>{step}"
         else:
             path = up.path
-        stack.append(Element(tag, dropped, (up.article or is_article) and not dropped, path, up.head or tag == "header"))
+        if is_article and not up.article:
+            around, named = up.named, False
+        else:
+            around, named = up.around, up.named or named
+        stack.append(Element(tag, dropped, around, named, (up.article or is_article) and not dropped, path, up.head or tag == "header"))
     flush()
+    # an article in an element of such a name counts only if the page has no other one
+    other = any(e.article and not e.dropped and not e.around and not e.named for e, _ in out)
     shown: set[int] = set()
     for e, text in out:
         shape = "" if id(e) in shown else "|".join(dict.fromkeys(e.children))
         shown.add(id(e))
-        lost = e.dropped or e.article and e.head and not re.search(r">h[1-6](\.|$)", e.path.rpartition(">")[0] + ">" + e.path.rpartition(">")[2])
+        lost = e.dropped or e.named or e.around and other or e.article and e.head and not re.search(r">h[1-6](\.|$)", e.path.rpartition(">")[0] + ">" + e.path.rpartition(">")[2])
         yield e.path, text, e.article, lost, shape
 
 

@@ -98,3 +98,26 @@ def test_style_tree_scores_repeated_content_low(spark):
     assert low < 0.1 < 0.8 < high
     got = {r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {f"text {i}" for i in range(20)}
+
+
+@pytest.mark.parametrize(
+    "start,end",
+    [
+        ('<body class="has-sidebar"><article>', "</article>"),
+        ('<body class="page no-comments widget"><main id="search">', "</main>"),
+        ('<div class="content no-sidebar"><article>', "</article></div>"),
+        ('<div id="widget-area-main"><article class="related">', "</article></div>"),
+        ('<div class="widget"><article>', "</article></div>"),
+        ('<div class="page has-sidebar">', "</div>"),
+    ],
+)
+def test_class_words_do_not_take_the_text(start, end):
+    inner = '<section id="related-work">A</section><h2 id="search">B</h2><p id="form">C</p><div class="share-price">D</div><p><math>E</math></p><menu><li>F</menu><fieldset>G</fieldset>'
+    inner = inner if "<article" in start or "<main" in start else inner.replace("menu>", "ul>")
+    got = [t for _, t, _, lost, _ in pages.blocks(f'<html class="nav">{start}{inner}<div class="promo-box">x</div><div id="comments">y</div>{end}') if not lost]
+    assert got == list("ABCDEFG")
+
+
+def test_articles_of_a_sidebar_stay_out():
+    page = '<article>whole</article><div class="sidebar"><article>teaser</article></div>'
+    assert [t for _, t, _, lost, _ in pages.blocks(page) if not lost] == ["whole"]
