@@ -10,9 +10,11 @@ over the m pages of the host that have it:
 * presentation: the entropy (base m) of the sequences of child elements, which
   is high where pages differ in shape.
 
-A branch is removed where the composite importance is under THRESHOLD, unless it
-lies in the page's own article element.  Then the article is taken if there is
-one (else the body), without elements that say what they are: nav, aside, form,
+Both are measured over pages of distinct main text, so that copied pages do not
+count as repetition.  A branch, that is a node with all below it, is measured by
+its content alone.  What lies in a node or a branch under THRESHOLD is removed,
+inside the article too; html, body, article and main are no branches.  Then the
+article is taken if there is one (else the body), without elements that say what they are: nav, aside, form,
 footer, or a class such as "ad", "sidebar-box", "comments".  Such a name counts
 as a whole ("has-sidebar" and "share-price" are none), never on html, body, article
 and main or around the page's only article, and as an id not on headings,
@@ -193,27 +195,45 @@ def _short(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of each node of each site.
+def _above(path: str) -> list[str]:
+    """The branches that a block of this path lies in, as node names."""
+    steps = path.split(">")
+    return [">".join(steps[: i + 1]) + ">*" for i in range(1, len(steps)) if steps[i].partition(".")[0] not in WHOLE]
 
-    Rows are pre-aggregated by Spark on the map side before each of the two shuffles."""
+
+def _main(found: list[tuple[str, str, bool, bool, str]]) -> list[str]:
+    """The texts of the blocks that are in the article if there is one, and not lost."""
+    inside = any(a and not lost for _, _, a, lost, _ in found)
+    return [t for _, t, a, lost, _ in found if not lost and (a or not inside)]
+
+
+def style_tree(pages: DataFrame, branches: bool = False) -> DataFrame:
+    """(host, path, pages, importance) of each node of each site that has text of its
+    own, and of the branches if asked for.
+
+    Rows are pre-aggregated by Spark on the map side before each of the shuffles."""
     small_batches(pages.sparkSession)
-    schema = pa.schema([("host", pa.string()), ("path", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("content", pa.int64()), ("path", pa.int64()), ("kind", pa.int8()), ("value", pa.int64())])
 
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, found = host_of(url), set()
-                for path, text, _, _, shape in blocks(page):
-                    p = _short(path)
-                    found.add((host, p, 0, 0))
-                    found.add((host, p, 1, _short(text)))
-                    found.add((host, p, 2, _short(shape)))
+                parsed = list(blocks(page))
+                host, content, found = host_of(url), _short("\n".join(_main(parsed))), set()
+                for path, text, _, _, shape in parsed:
+                    p, value = _short(path), _short(text)
+                    found.add((host, content, p, 0, 0))
+                    found.add((host, content, p, 1, value))
+                    found.add((host, content, p, 2, _short(shape)))
+                    for branch in _above(path) if branches else ():
+                        b = _short(branch)
+                        found.add((host, content, b, 0, 0))
+                        found.add((host, content, b, 1, value))
                 rows += found
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    seen = pages.select("url", "html").mapInArrow(run, "host string, path bigint, kind tinyint, value bigint")
+    seen = pages.select("url", "html").mapInArrow(run, "host string, content bigint, path bigint, kind tinyint, value bigint").distinct()
     counted = seen.groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k"))
     is_ = lambda kind, x: F.when(F.col("kind") == kind, x)
     node = counted.groupBy("host", "path").agg(
@@ -234,7 +254,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row of (page_id, url, html)."""
     spark = pages.sparkSession
     small_batches(spark)
-    tree = style_tree(pages)
+    tree = style_tree(pages, branches=True)
     low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < THRESHOLD))
     per_host = materialize(low.select("host", "path"), "style-tree")
     rows = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))).alias("host"))
@@ -253,9 +273,13 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = []
             for page, low_paths in zip(batch.column(2).to_pylist(), low_cols, strict=True):
                 gone = set(low_paths or ())
-                kept = [(article, lost, text) for path, text, article, lost, _ in blocks(page) if article or not gone or _short(path) not in gone]
-                inside = any(a and not lost for a, lost, _ in kept)
-                texts.append("\n".join(t for a, lost, t in kept if not lost and (a or not inside)))
+                found = list(blocks(page))
+                if gone:
+                    low_ = {path: any(_short(n) in gone for n in (path, *_above(path))) for path in {b[0] for b in found}}
+                    # an article that is removed whole stays the article
+                    inside = any(a and not lost for _, _, a, lost, _ in found)
+                    found = [b for b in found if not low_[b[0]] and (b[2] or not inside)]
+                texts.append("\n".join(_main(found)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     return ready.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), "low").mapInArrow(run, "page_id bigint, url string, text string")

@@ -121,3 +121,15 @@ def test_class_words_do_not_take_the_text(start, end):
 def test_articles_of_a_sidebar_stay_out():
     page = '<article>whole</article><div class="sidebar"><article>teaser</article></div>'
     assert [t for _, t, _, lost, _ in pages.blocks(page) if not lost] == ["whole"]
+
+
+def test_style_tree_acts_inside_the_article_and_on_branches(spark):
+    box = '<div class="x1"><p>Follow our channel</p><ul><li>every day</li></ul></div>'
+    page = "<body><div class=y><{0}><h1>Title {1}</h1><p>Text {1}</p>{2}</{0}></div></body>"
+    rows = [(100 * h + i, f"http://{tag}.com/{i}", page.format(tag, i, box)) for h, tag in enumerate(("article", "div")) for i in range(12)]
+    copies = [(1000 + i, f"http://c.com/{i}", page.format("article", 5, "")) for i in range(30)]  # of one page
+    copies += [(1100 + i, f"http://c.com/x{i}", page.format("article", i, "")) for i in range(6)]
+    df = spark.createDataFrame(rows + copies, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert all(got[100 * h + i] == f"Title {i}\nText {i}" for h in range(2) for i in range(12))
+    assert all(got[1000 + i] == "Title 5\nText 5" for i in range(30)) and all(got[1100 + i] == f"Title {i}\nText {i}" for i in range(6))
