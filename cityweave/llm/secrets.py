@@ -9,19 +9,21 @@ from the same place of the original is not opened again.  Every position of a la
 of the original text that it came from, so spans are always given in the
 original.
 
-Null and empty texts give no spans.  A layer over MAX_LAYER characters is not
-opened (a bound on inflation), the text itself is always scanned whole.
+Null and empty texts give no spans.  Long texts and payloads are decoded in pieces,
+cut where nothing that is looked for can cross, so no layer is left out for its
+size.  A base64 token that is glued to other characters of its alphabet is
+decoded with them: the span found in it may end a few characters late.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +37,22 @@ PATTERNS = (
     ("hex", re.compile(r"[0-9a-f]+"), 16, 0),
 )
 KINDS = {kind: i for i, (kind, *_) in enumerate(PATTERNS)}
-MAX_LAYER = 1 << 23
+#: Characters that are decoded at a time.
+PIECE = 1 << 20
+#: Times that a payload may be compressed (one that inflates to itself has no end).
+DEPTH = 32
 
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+_BREAK = re.compile(r"[ \t\r\n]+")
+_URL_SAFE = str.maketrans("-_", "+/")
+_HEAD = re.compile(rb"[\x08\x18\x28\x38\x48\x58\x68\x78\x1f]")
+#: Shorter stretches hold no secret, encoded or not.
+_READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}")
+_CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\s:%\\{}&#;]""")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -55,48 +67,75 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text; starts[i], ends[i] bound what character i came from."""
+    """A text and where it came from: starts[i], ends[i] bound what character i came
+    from; without them it is part of the original from `at` on, or all of it came
+    from the range `whole`."""
 
-    __slots__ = ("text", "starts", "ends")
+    __slots__ = ("text", "starts", "ends", "at", "whole")
 
-    def __init__(self, text: str, starts=None, ends=None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, starts=None, ends=None, at: int = 0, whole: tuple[int, int] | None = None):
+        self.text, self.starts, self.ends, self.at, self.whole = text, starts, ends, at, whole
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
+        if self.whole:
+            return self.whole
         if self.starts is None:
-            return a, b
+            return self.at + a, self.at + b
         return self.starts[a], self.ends[b - 1]
 
     def key(self) -> bytes:
         """Digest of the text and of where its characters came from."""
         h = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
-        for side in (self.starts, self.ends):
-            h.update(b"/" + array("q", side or ()).tobytes())
+        for side in (self.starts, self.ends, array("q", self.whole or (self.at,))):
+            h.update(b"/" + (side.tobytes() if side else b""))
         return h.digest()
 
 
-def _utf8_chars(raw: bytes) -> tuple[str, list[int]] | None:
-    """The text of raw and the byte offset of each character (plus the end)."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def _pieces(chunks: Iterable[str]) -> Iterator[tuple[int, str]]:
+    """(offset, text) of pieces of about PIECE characters, cut only before characters
+    that no pattern, escape or encoded run can hold: nothing that is looked for is cut."""
+    held: list[str] = []
+    at = size = 0
+    for chunk in chunks:
+        cut = -1
+        if size + len(chunk) > PIECE:
+            for m in _CUT.finditer(chunk):
+                cut = m.start()
+        if cut >= 0:
+            text = "".join([*held, chunk[:cut]])
+            yield at, text
+            at += len(text)
+            held, size, chunk = [], 0, chunk[cut:]
+        held.append(chunk)
+        size += len(chunk)
+    yield at, "".join(held)
+
+
+def _chunks(text: str) -> Iterator[str]:
+    return (text[i : i + PIECE] for i in range(0, len(text), PIECE))
+
+
+def _offsets(text: str) -> list[int]:
+    """The byte offset of each character (plus the end) in UTF-8; lone surrogates stand
+    for single bytes that are no UTF-8."""
     offsets, at = [], 0
     for ch in text:
         offsets.append(at)
-        at += 1 if ch < "\x80" else len(ch.encode("utf-8"))
-    return text, [*offsets, at]
+        at += 1 if ch < "\x80" or "\udc80" <= ch <= "\udcff" else len(ch.encode("utf-8"))
+    return [*offsets, at]
 
 
 def _replaced(layer: Layer, pieces: list[tuple[int, int, list[tuple[str, int, int]]]]) -> Layer:
     """The layer with each piece (start, end, [(character, start, end)]) put in place."""
-    out, starts, ends, at = [], [], [], 0
+    out, starts, ends, at = [], array("q"), array("q"), 0
 
     def keep(a: int, b: int) -> None:
         out.append(layer.text[a:b])
+        if layer.whole:
+            return
         if layer.starts is None:
-            starts.extend(range(a, b))
-            ends.extend(range(a + 1, b + 1))
+            starts.extend(range(layer.at + a, layer.at + b))
+            ends.extend(range(layer.at + a + 1, layer.at + b + 1))
         else:
             starts.extend(layer.starts[a:b])
             ends.extend(layer.ends[a:b])
@@ -104,22 +143,24 @@ def _replaced(layer: Layer, pieces: list[tuple[int, int, list[tuple[str, int, in
     for a, b, chars in pieces:
         keep(at, a)
         for ch, i, j in chars:
-            i, j = layer.origin(i, j)
             out.append(ch)
-            starts.append(i)
-            ends.append(j)
+            if not layer.whole:
+                i, j = layer.origin(i, j)
+                starts.append(i)
+                ends.append(j)
         at = b
     keep(at, len(layer.text))
+    if layer.whole:
+        return Layer("".join(out), whole=layer.whole)
     return Layer("".join(out), starts, ends)
 
 
 def _unpercent(layer: Layer) -> Layer | None:
     pieces = []
     for m in _PERCENT.finditer(layer.text) if "%" in layer.text else ():
-        got = _utf8_chars(bytes.fromhex(m[0].replace("%", "")))
-        if got:
-            text, at = got
-            pieces.append((m.start(), m.end(), [(ch, m.start() + 3 * at[i], m.start() + 3 * at[i + 1]) for i, ch in enumerate(text)]))
+        text = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+        at = _offsets(text)
+        pieces.append((m.start(), m.end(), [(ch, m.start() + 3 * at[i], m.start() + 3 * at[i + 1]) for i, ch in enumerate(text)]))
     return _replaced(layer, pieces) if pieces else None
 
 
@@ -133,46 +174,86 @@ def _unescape(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """gzip or zlib content of raw, if it is that and not over MAX_LAYER bytes."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(wbits=47)
-        out = d.decompress(raw, MAX_LAYER)
-        return out if d.eof else None
-    except zlib.error:
+def _inflate(parts: Iterable[bytes], rest: list[int]) -> Iterator[bytes]:
+    """gzip or zlib content in chunks; zlib.error where it is broken or cut off.  The
+    number of bytes after it is put into rest."""
+    d = zlib.decompressobj(wbits=47)
+    for part in parts:
+        while part and not d.eof:
+            yield d.decompress(part, PIECE)
+            part = d.unconsumed_tail
+        if d.eof:
+            break
+    while not d.eof:
+        part = d.decompress(d.unconsumed_tail, PIECE)
+        if not part and not d.eof:
+            raise zlib.error("cut off")
+        yield part
+    rest[:] = [len(d.unused_data)]
+
+
+def _packed(head: bytes) -> bool:
+    return head[:3] == b"\x1f\x8b\x08" or len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] * 256 + head[1]) % 31 == 0
+
+
+def _inflated(raw: bytes) -> tuple[Iterator[str], int] | None:
+    """The text of a compressed payload that starts raw, inflated as often as it was
+    compressed, in chunks, and the payload's length; None if raw is no such payload."""
+    depth, head, rest = 0, raw[:3], [0]
+    make = lambda n: _inflate(make(n - 1), rest if n == 1 else []) if n else iter((raw,))
+    used = 0
+    while depth < DEPTH and _packed(head):
+        try:
+            head = b""
+            for part in make(depth + 1):  # to its end: a broken payload is none
+                head += part[: 3 - len(head)]
+        except zlib.error:
+            break
+        used = used or len(raw) - rest[0]
+        depth += 1
+    if not depth:
         return None
-
-
-def _readable(text: str) -> bool:
-    return bool(text) and all(ch.isprintable() or ch in "\t\r\n" for ch in text)
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    return (decoder.decode(part) for part in make(depth)), used
 
 
 def _from_base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        whole = layer.origin(m.start(), m.end())
-        packed, depth = raw, 0
-        while (inner := _inflated(packed)) is not None and depth < 32:
-            packed, depth = inner, depth + 1
-        if depth:
-            try:
-                text = packed.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            yield Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
-        elif (got := _utf8_chars(raw)) and _readable(got[0]):
-            text, at = got
-            starts = [layer.origin(m.start() + at[i] * 4 // 3, m.start() + at[i] * 4 // 3 + 1)[0] for i in range(len(text))]
-            ends = [layer.origin((e := min(m.start() + -(-at[i + 1] * 4 // 3), m.start() + len(body))) - 1, e)[1] for i in range(len(text))]
-            yield Layer(text, starts, ends)
+    """What the base64 runs of a layer hold, each run as it stands and joined over line
+    breaks.  A token may start anywhere in a run (after a path or prefix, say), so
+    all four alignments are decoded; the readable stretches and the compressed
+    payloads in them are the layers."""
+    for pattern in (_BASE64, _WRAPPED):
+        for m in pattern.finditer(layer.text):
+            place = [m.start() + i for i, ch in enumerate(m[0]) if ch not in " \t\r\n="] if pattern is _WRAPPED else range(m.start(), m.end() - m[0].count("="))
+            body = _BREAK.sub("", m[0]).rstrip("=").translate(_URL_SAFE)
+            for shift in range(4) if len(body) >= 16 else ():
+                part = body[shift:]
+                part = part[: len(part) - (len(part) % 4 == 1)]
+                raw = base64.b64decode(part + "=" * (-len(part) % 4))
+                for at in [h.start() for h in _HEAD.finditer(raw) if h.start() % 3 == 0]:
+                    if _packed(raw[at : at + 3]) and (got := _inflated(raw[at:])):
+                        first, last = shift + at * 4 // 3, shift - (-(at + got[1]) * 4 // 3)
+                        a, b = layer.origin(place[first], place[first] + 1)[0], layer.origin(place[last - 1], place[last - 1] + 1)[1]
+                        whole = (a, layer.origin(m.start(), m.end())[1] if last >= len(body) else b)
+                        for _, text in _pieces(got[0]):
+                            yield Layer(text, whole=whole)
+                text = raw.decode("utf-8", "surrogateescape")
+                bounds = _offsets(text) if _READABLE.search(text) else []
+                for r in _READABLE.finditer(text):
+                    if layer.whole:
+                        yield Layer(r[0], whole=layer.whole)
+                        continue
+                    starts, ends = array("q"), array("q")
+                    for i in range(r.start(), r.end()):
+                        a, b = shift + bounds[i] * 4 // 3, min(shift - (-bounds[i + 1] * 4 // 3), len(body)) - 1
+                        starts.append(layer.origin(place[a], place[a] + 1)[0])
+                        ends.append(layer.origin(place[b], place[b] + 1)[1])
+                    yield Layer(r[0], starts, ends)
+
+
+def _opened(layer: Layer) -> Iterator[Layer]:
+    yield from (x for x in (_unpercent(layer), _unescape(layer)) if x)
+    yield from _from_base64(layer)
 
 
 def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -181,18 +262,20 @@ def find_secrets(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     if not text:
         return [], []
     base = sorted(scan(text), key=order)
-    spans, seen, work = set(base), set(), [Layer(text)]
+    spans, seen = set(base), set()
+    work = [(Layer(piece, at=at) for at, piece in _pieces(_chunks(text)))]
     while work:
-        layer = work.pop()
-        made = [x for x in (_unpercent(layer), _unescape(layer)) if x]
-        made.extend(_from_base64(layer))
-        for new in made:
-            key = new.key()
-            if key in seen or len(new.text) > MAX_LAYER:
-                continue
-            seen.add(key)
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        key = new.key()
+        if key in seen:
+            continue
+        seen.add(key)
+        if len(work) > 1:
             spans.update((kind, *new.origin(a, b)) for kind, a, b in scan(new.text))
-            work.append(new)
+        work.append(_opened(new))
     return base, sorted(spans, key=order)
 
 

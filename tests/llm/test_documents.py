@@ -66,6 +66,44 @@ def test_an_encoded_secret_that_stands_twice(first, second):
     assert secrets.redact_text(text).count("[REDACTED]") == 2
 
 
+@pytest.mark.parametrize("before,after", [("path/", ""), ("x-token-", ""), ("a_", "_b"), ("ab/c/", "-tail"), ("", "/"), ("q", "x")])
+@pytest.mark.parametrize("wrap", ["base64", "gzip", "zlib"])
+def test_glued_base64(before, after, wrap):
+    inner = WRAPS[wrap](SECRET + "x" * 2).rstrip("=")
+    text = f"see {before}{inner}{after} end"
+    found = [s for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
+    assert found and all(4 <= a < b <= len(text) - 4 for _, a, b in found)
+    assert inner[-12:-6] not in secrets.redact_text(text)
+
+
+@pytest.mark.parametrize("wrap", ["base64", "gzip"])
+@pytest.mark.parametrize("end", ["\n", "\r\n  "])
+def test_wrapped_base64(wrap, end):
+    noise = "".join(random.Random(2).choices("ghijklmnop, ", k=150))
+    inner = WRAPS[wrap](noise + SECRET + noise)
+    lines = [inner[i : i + 76] for i in range(0, len(inner), 76)]
+    text = "Key:\n\n" + end.join(lines) + "\n\nbye"
+    found = [s for s in secrets.find_secrets(text)[1] if s[0] == "assign"]
+    assert found and all(6 <= a < b <= len(text) - 5 for _, a, b in found)
+
+
+def test_payload_spans_end_with_the_payload():
+    inner = WRAPS["gzip"](SECRET).rstrip("=")
+    text = f"foo\n{inner}\nbar"
+    assert {text[a:b] for k, a, b in secrets.find_secrets(text)[1] if k == "assign"} == {inner}
+
+
+def test_long_layers_are_scanned_whole():
+    filler = "some words, " * 800_000  # over nine million characters
+    quoted = WRAPS["url"](SECRET)
+    text = f"{quoted} {filler}{quoted} {filler[:90]}"
+    found = [(a, b) for k, a, b in secrets.find_secrets(text)[1] if k == "assign"]
+    at = text.rindex(quoted)
+    assert len(found) == 2 and found[0][0] == 0 and at == found[1][0] < found[1][1] <= at + len(quoted)
+    packed = WRAPS["gzip"](filler + SECRET)
+    assert [k for k, _, _ in secrets.find_secrets(f"x {packed} y")[1]] == ["assign"]
+
+
 def test_decoding_cycles_end():
     assert {k for k, _, _ in secrets.find_secrets("%25252525252525zz " * 50 + "A" * 4000)[1]} <= {"hex"}
 
