@@ -7,7 +7,9 @@ chance that a neighbour's projections fall into the bucket's cells.  A
 neighbour's projection given the query's is normal; its slope and variance are
 taken from near pairs in a bounded sample (SAMPLE rows).  Probing stops when the
 visited buckets hold TARGET of that chance, so easy data take few probes and hard
-data many, with no other cap.  Candidates of all tables are merged and ranked
+data many, with no other cap.  A query whose visited buckets hold fewer than
+K + 1 rows then goes on through the filled buckets of the first table, in the same
+order, until they do or all are visited.  Candidates of all tables are merged and ranked
 by exact inner products in double precision on the original vectors.
 
 Buckets are dealt to groups of about GROUP rows, but to no more groups than the
@@ -94,6 +96,24 @@ class Hashes:
             out.append(self._visit(one))
         return out
 
+    def fill(self, x: np.ndarray, buckets: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each query the filled buckets of table 0, best first, up to `least` rows."""
+        edges = (np.arange(-CELLS, CELLS + 2) * WIDTH)[None, :] - self.offset[0][:, None]
+        low, high = edges[:, :-1].copy(), edges[:, 1:].copy()
+        low[:, 0], high[:, -1] = -np.inf, np.inf
+        digits = buckets[:, None] // (2 * CELLS + 1) ** np.arange(self.k) % (2 * CELLS + 1)
+        mean = (((x @ self.directions[0]) * self.slope) - self.centre[0]) / self.scale[0]
+        spread = (self.rest / self.scale[0])[:, None]
+        out = []
+        for one in mean:
+            away = np.maximum(0, np.maximum(low - one[:, None], one[:, None] - high)) / spread
+            chance = _phi((high - one[:, None]) / spread) - _phi((low - one[:, None]) / spread)
+            # far tails by their leading term, so that they keep their order
+            logs = np.where(chance > 1e-14, np.log(np.maximum(chance, 1e-300)), -away * away / 2 - 10)
+            order = np.argsort(-logs[np.arange(self.k), digits].sum(axis=1), kind="stable")
+            out.append(buckets[order[: int(np.searchsorted(np.cumsum(counts[order]), least)) + 1]])
+        return out
+
     def _visit(self, chance: np.ndarray) -> np.ndarray:
         """Best-first over products of per-direction chances until TARGET is reached."""
         order = np.argsort(-chance, axis=1, kind="stable")
@@ -111,9 +131,12 @@ class Hashes:
         return code
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
+def _top(scores: np.ndarray, k: int, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k greatest finite scores of each row and of all that tie
+    with the last of them, to within slack."""
     k = min(k, scores.shape[1])
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.tile(np.arange(k), (len(scores), 1))
+    last = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+    return np.nonzero(np.isfinite(scores) & (scores >= (last - slack)[:, None]))
 
 
 def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -149,25 +172,42 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
 
     stored = materialize(every.select("rep", "vector").mapInArrow(index, "t int, bucket bigint, rep bigint, vector array<double>"), "buckets")
     slots = F.ceil(F.col("count") / BUCKET).cast("int")
-    filled = stored.groupBy("t", "bucket").count().select("t", "bucket", slots.alias("slots"))
+    filled = stored.groupBy("t", "bucket").count().select("t", "bucket", slots.alias("slots"), "count")
+    filled = materialize(filled, "filled-buckets")
     groups = min(max(1, math.ceil(total / GROUP)), max(1, n_parts // TABLES))
     group = F.pmod(F.xxhash64("t", "bucket", "slot"), F.lit(groups)).cast("int")
-    rows = stored.join(filled, ["t", "bucket"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
+    rows = stored.join(filled.drop("count"), ["t", "bucket"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
     rows = rows.select("t", group.alias("g"), F.lit(0).alias("kind"), F.col("rep").alias("id"), F.array("bucket").alias("buckets"), "vector")
     # vectors of the asked classes, by class
     wanted = every.join(asked.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("query"), "vector")
     probes = wanted.mapInArrow(visits, "t int, bucket bigint, query bigint")
-    met = probes.join(filled, ["t", "bucket"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    met = materialize(probes.join(filled, ["t", "bucket"]), "probes")
+    held = met.groupBy("query", "t").agg(F.sum("count").alias("n")).where(F.col("n") > k).select("query").distinct()
+    short = materialize(wanted.join(held, "query", "left_anti"), "short-queries")
+    if not short.isEmpty():
+        first_table = filled.where("t = 0").select("bucket", "count").toPandas()  # one row per filled bucket
+        known = spark.sparkContext.broadcast((first_table["bucket"].to_numpy(np.int64), first_table["count"].to_numpy(np.int64)))
+
+        def more(batches):
+            for batch in batches:
+                lists = hashes.value.fill(matrix(batch.column(1)), *known.value, k + 1)
+                at = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
+
+        added = short.select("query", "vector").mapInArrow(more, "t int, bucket bigint, query bigint").join(filled, ["t", "bucket"])
+        met = met.unionByName(added)
+    met = met.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     met = met.select("t", group.alias("g"), "query", "bucket").groupBy("t", "g", "query").agg(F.collect_set("bucket").alias("buckets"))
     asks = met.join(wanted, "query").select("t", "g", F.lit(1).alias("kind"), F.col("query").alias("id"), "buckets", "vector")
 
     def rank(batches):
-        ids = bucket = x = None
+        ids = bucket = x = longest = None
         current = None
         for (t, g, kind), part in runs(batches, ["t", "g", "kind"]):
             if kind == 0:
                 current, ids, x = (t, g), np.array(part.column("id").to_pylist()), matrix(part.column("vector"))
                 bucket = np.array([b[0] for b in part.column("buckets").to_pylist()])
+                longest = np.linalg.norm(x, axis=1).max()
                 numbers, place = np.unique(bucket, return_inverse=True)
                 spot = {b: i for i, b in enumerate(numbers.tolist())}
                 continue
@@ -181,11 +221,7 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
                 for i, bs in enumerate(some.column("buckets").to_pylist()):
                     visited[i, [spot[b] for b in bs if b in spot]] = True
                 scores = np.where(visited[:, place], q @ x.T, -np.inf)
-                top = _top(scores, k + 5)
-                row = np.repeat(np.arange(len(q)), top.shape[1])
-                col = top.ravel()
-                ok = np.isfinite(scores[row, col])
-                row, col = row[ok], col[ok]
+                row, col = _top(scores, k + 1, 1e-12 * longest * np.linalg.norm(q, axis=1))
                 exact = (q[row] * x[col]).sum(axis=1)
                 order = np.lexsort((ids[col], -exact, row))
                 row, col, exact = row[order], col[order], exact[order]

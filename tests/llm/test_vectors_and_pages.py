@@ -74,6 +74,35 @@ def test_nearest_with_few_rows(spark):
     assert neighbours.nearest(frame(spark, x).limit(0)).count() == 0
 
 
+def test_nearest_fills_up_beside_tight_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 16)
+    monkeypatch.setattr(neighbours, "GROUP", 64)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 16))
+    for i in range(900):  # tight groups of 75, and three rows outside of them
+        if i not in (0, 300, 600):
+            x[i] = x[i // 75 * 75 + 1] + rng.standard_normal(16) * 1e-6
+    got = {}
+    for r in neighbours.nearest(frame(spark, x), 5, 20).collect():
+        got.setdefault(r.query_id, set()).add((r.rank, r.vec_id))
+    assert {q: len(v) for q, v in got.items()} == {q: 20 for q in range(0, 900, 5)}
+
+
+def test_nearest_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(3)
+    x = np.unique(rng.integers(0, 2, (500, 12)).astype(float), axis=0)
+    x = x[x.any(axis=1)]
+    rng.shuffle(x)
+    x[0] = 1.0
+    got = {}
+    for r in neighbours.nearest(frame(spark, x), 40, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, len(x), 40):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(len(x)), -score))[:5].tolist()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></li></ul></nav><div class="ad">Buy</div><div class=promo-box>Offer {0}</div>
 <{1}><h1>Title {0}</h1><p>First &amp; best&nbsp;{0}<br>line<p><b>Bold {0}</b> text<script>var x = "</p>";</script></p>
