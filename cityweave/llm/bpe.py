@@ -5,7 +5,7 @@ rank(symbol i, symbol i+1) * size + i.  The root is the leftmost pair of the
 lowest rank; merging it changes at most three leaves, each updated along one
 path to the root.  Trees of many pieces of one size class are held side by
 side in numpy arrays and step together, so a merge of thousands of pieces is a
-few array operations; one very long piece is the same code with one row.
+few array operations; the few very long pieces have their trees walked one by one.
 
 Null and empty texts encode to no ids.  The vocabulary file is read on the
 driver and broadcast (about 2 MB, whatever the data).
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -24,18 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import small_batches
+from .pretokens import Memory
 
-# Fixed value: the pre-token pattern of this vocabulary.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space (\s of PIECES) other than the blank and the line feed, as in a character class.
-_SPACE = "\\t\\x0b\\x0c\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-OTHER_SPACE = re.compile(f"[{_SPACE}]")
-#: Runs of white space that are not one blank or line feed between two words.
-SPACE_RUNS = re.compile(rf"([ \n{_SPACE}]{{2,}}|[{_SPACE}]|\A[ \n]|[ \n]\Z)")
-#: Encoded words in each generation of a worker's memory.
-MEMORY = 1 << 18
 #: Stands for the rank of a pair that has no merge; above all ranks.
 NO_MERGE = 1 << 20
+#: Pieces of one size class up to which their trees are walked one by one.
+FEW = 8
 
 
 def byte_symbols() -> dict[str, int]:
@@ -45,69 +38,7 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def run_of(key: str) -> str:
-    """The text that a key of Vocabulary.words stands for."""
-    return key[1:] if key[:1] == "\n" else " " + key
-
-
-def key_of(run: str) -> str:
-    return run[1:] if len(run) > 1 and run[0] == " " and run[1] != "\n" else "\n" + run
-
-
-#: Marks that follow words; a run of them is one pre-token.
-MARKS = ".,;:!?#%&*$|)]"
-
-
-class Memory:
-    """What is known of the latest words: a young and an old generation, so that
-    frequent words outlive the rare ones.  Holds at most about 2 * size entries."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def gather(self, rows: list[list[str]]) -> list[bytes]:
-        """The joined values of each row of keys; keys that are not remembered are learnt."""
-        if len(self.known) > self.size:
-            self.old, self.known = self.known, {}
-        get = self.known.get
-        found = [list(map(get, row)) for row in rows]
-        holes = [[i for i, v in enumerate(values) if v is None] if None in values else () for values in found]
-        missing = {row[i] for row, at in zip(rows, holes, strict=True) for i in at}
-        if missing:
-            old = self.old
-            again = [k for k in missing if k in old]
-            self.known.update([(k, old[k]) for k in again])
-            missing.difference_update(again)
-            self._learn(missing)
-            known = self.known
-            for row, values, at in zip(rows, found, holes, strict=True):
-                for i in at:
-                    values[i] = known[row[i]]
-        return [b"".join(values) for values in found]
-
-    def _split(self, missing: set[str], pieces) -> tuple[set[str], list[tuple[str, list[str]]]]:
-        """Keys of single pre-tokens that are to be learnt, and the keys that are several."""
-        known, single, several = self.known, set(), []
-        for key in missing:
-            if key.isalpha() or key[0] == "\n" and key[1:].isalpha():
-                single.add(key)
-                continue
-            body = key.rstrip(MARKS)
-            if body.isalpha() and len(body) < len(key):  # letters, then one run of marks
-                parts = [body, "\n" + key[len(body) :]]
-            else:
-                parts = [key_of(p) for p in pieces.findall(run_of(key))]
-            if len(parts) == 1:
-                single.add(key)
-            else:
-                several.append((key, parts))
-                single.update([p for p in parts if p not in known])
-        return single, several
-
-
-class Vocabulary(Memory):
+class Vocabulary:
     """Pair ranks and token bytes of a byte-level BPE file (JSON of the tokenizers library)."""
 
     def __init__(self, spec: str):
@@ -123,8 +54,8 @@ class Vocabulary(Memory):
         self.pair, self.rank = pair[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)  # by rank
         self.split = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.pieces = regex.compile(PIECES)
-        super().__init__(MEMORY)
+        self.rank_of: dict[int, int] = {}
+        self.memory = Memory(self._learn, "<u4")
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; NO_MERGE where there is no merge or a symbol is missing (-1)."""
@@ -186,6 +117,46 @@ class Vocabulary(Memory):
             live = live[flat[root_at + 1] < none]
         return line[:, 1:-1]
 
+    def _merge_one(self, sym: list[int]) -> list[int]:
+        """One long piece: the same tree in a list, without array operations."""
+        n = len(sym)
+        width = 1 << (n - 1).bit_length()
+        none = NO_MERGE * width
+        first = np.minimum(self.ranks(np.array(sym[:-1]), np.array(sym[1:])) * width + np.arange(n - 1), none)
+        levels = [np.concatenate((first, np.full(width - n + 1, none)))]
+        while len(levels[-1]) > 1:
+            levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
+        tree = [none, *np.concatenate(levels[::-1]).tolist()]
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.pair.tolist(), self.rank.tolist(), strict=True))
+            self.merged_list = self.merged.tolist()
+        rank_of, merged = self.rank_of, self.merged_list
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+
+        def put(i: int, value: int) -> None:
+            k = i + width
+            tree[k] = value
+            while k > 1:
+                k >>= 1
+                a, b = tree[2 * k], tree[2 * k + 1]
+                tree[k] = a if a < b else b
+
+        def rank(i: int, j: int) -> int:
+            return rank_of.get((sym[i] << 24) | sym[j], NO_MERGE) * width + i if j < n else none
+
+        while tree[1] < none:
+            r, at = divmod(tree[1], width)
+            gone = after[at]
+            then, ahead = after[gone], before[at]
+            sym[at], sym[gone], after[at] = merged[r], -1, then
+            if then < n:
+                before[then] = at
+            put(gone, none)
+            put(at, min(none, rank(at, then)))
+            if ahead >= 0:
+                put(ahead, min(none, rank(ahead, at)))
+        return [x for x in sym if x >= 0]
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as 32-bit little-endian integers."""
         out = [b""] * len(pieces)
@@ -197,6 +168,10 @@ class Vocabulary(Memory):
             elif p:
                 classes.setdefault(max(2, 1 << (len(p) - 1).bit_length()), []).append(i)
         for width, members in classes.items():
+            if len(members) <= FEW:
+                for i in members:
+                    out[i] = np.array(self._merge_one(self.byte_id[np.frombuffer(pieces[i], np.uint8)].tolist()), "<u4").tobytes()
+                continue
             step = max(1, (1 << 20) // width)
             for k in range(0, len(members), step):
                 some = members[k : k + step]
@@ -214,78 +189,39 @@ class Vocabulary(Memory):
                     at = end
         return out
 
-    def words(self, text: str) -> list[str]:
-        """Keys of runs of whole pre-tokens: the text cut before single blanks and around
-        single line feeds, where no pre-token can cross.  Any other run of white space is
-        cut as the pattern does: its last character stands alone, or leads the next word
-        if it is a blank; at the end of the text the run is whole.
-
-        A key is the run without the blank that leads it; a run that no blank leads
-        has a line feed put in front instead."""
-        out: list[str] = []
-        if not OTHER_SPACE.search(text):
-            for i, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                if "" in words:
-                    break
-                if i:
-                    out.append("\n\n")
-                words[0] = "\n" + words[0]
-                out += words
-            else:
-                return out
-            out = []
-        parts = SPACE_RUNS.split(text)  # words, run, words, run, ..., words
-        for k in range(0, len(parts), 2):
-            some, run = parts[k], parts[k - 1] if k else ""
-            if not some:  # an end of the text
-                if run:
-                    out.append(key_of(run))
-                continue
-            if run[:-1]:
-                out.append(key_of(run[:-1]))
-            led = run[-1:] == " "
-            if run and not led:
-                out.append(key_of(run[-1]))
-            for i, line in enumerate(some.split("\n")):
-                words = line.split(" ")
-                if i:
-                    out.append("\n\n")
-                if i or not led:
-                    words[0] = "\n" + words[0]
-                out += words
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        single, several = self._split(missing, self.pieces)
-        new, known = list(single), self.known
-        known.update(zip(new, self.encode_pieces([run_of(k).encode("utf-8") for k in new]), strict=True))
-        for key, parts in several:
-            known[key] = b"".join([known[p] for p in parts])
+    def _learn(self, pieces: list[str], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.encode_pieces([p.encode("utf-8", "replace") for p in pieces])
+        return np.frombuffer(b"".join(got), "<u4"), np.array([len(x) // 4 for x in got], np.int64)
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; special tokens that occur in a text are single ids."""
-        rows: list[list[str]] = []
-        shape: list[list[int]] = []  # per text: a special id, or -1 for the next row
-        for text in texts:
-            parts, at = [], 0
-            for m in self.split.finditer(text) if text and self.split else ():
-                if m.start() > at:
-                    rows.append(self.words(text[at : m.start()]))
-                    parts.append(-1)
-                parts.append(self.special[m[0]])
-                at = m.end()
-            if text and at < len(text):
-                rows.append(self.words(text[at:]))
-                parts.append(-1)
-            shape.append(parts)
-        got = iter(self.gather(rows))
-        return [np.frombuffer(b"".join([next(got) if p < 0 else p.to_bytes(4, "little") for p in parts]), "<u4") for parts in shape]
+        return with_specials(texts, self.split, self.special, self.memory)
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
+def with_specials(texts: list[str | None], split, special: dict[str, int], memory: Memory) -> list[np.ndarray]:
+    """Ids of each text; texts are cut at special tokens, which are single ids."""
+    plain: list[str] = []
+    shape: list[list[int]] = []  # per text: a special id, or -1 for the next plain part
+    for text in texts:
+        parts, at = [], 0
+        for m in split.finditer(text) if text and split else ():
+            if m.start() > at:
+                plain.append(text[at : m.start()])
+                parts.append(-1)
+            parts.append(special[m[0]])
+            at = m.end()
+        if text and at < len(text):
+            plain.append(text[at:])
+            parts.append(-1)
+        shape.append(parts)
+    got = iter(memory.encode(plain))
+    one = lambda p: next(got) if p < 0 else np.array([p], memory.kind)
+    return [one(parts[0]) if len(parts) == 1 else np.concatenate([np.empty(0, memory.kind), *map(one, parts)]) for parts in shape]
+
+
 _LOADED: dict[str, Vocabulary] = {}
 
 

@@ -7,7 +7,9 @@ neighbours in ascending id order:
   bucket, block      position: blocks ascend by (bucket, block)
   n_docs, n_ids      documents and ids in the block
   first_doc          the least document id
-  docs               document ids as differences to first_doc, 64-bit
+  last_doc           the greatest one
+  n_null             rows without an id; they stand first
+  docs               document ids as differences to first_doc, Elias-Fano coded
   ids                all ids one after another, `width` bytes each
   ef                 the n_docs + 1 boundaries, Elias-Fano coded (class EliasFano)
 
@@ -26,10 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memory, Vocabulary, key_of, read_spec, run_of
+from .bpe import Vocabulary, read_spec, with_specials
 from .common import materialize, shuffle_partitions, small_batches
+from .pretokens import Memory, taken
 
 BLOCK_IDS = 1 << 20
+#: Blocks up to which their offsets are broadcast (24 bytes each).
+BROADCAST_BLOCKS = 1_000_000
 
 
 class EliasFano:
@@ -75,6 +80,17 @@ class EliasFano:
         one = s * self.SUPER + int(np.flatnonzero(part)[i - int(self.directory[s])])
         return ((one - i) << self.low) | int(self._lows(i, 1)[0])
 
+    def least(self, value: int) -> int:
+        """The place of the first value that is not less than `value` (n if there is none)."""
+        a, b = 0, self.n
+        while a < b:
+            mid = (a + b) // 2
+            if self.select(mid) < value:
+                a = mid + 1
+            else:
+                b = mid
+        return a
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
         return ((ones - np.arange(self.n)) << self.low) | self._lows(0, self.n)
@@ -90,55 +106,51 @@ class EliasFano:
         return cls(n, low, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u4", offset=at + a + b))
 
 
-class LibraryWords(Memory):
-    """Ids by the tokenizers library, remembered for each distinct word.
-
-    Words are runs of whole pre-tokens (Vocabulary.words), so joining the ids of
-    their pre-tokens gives the ids of the text; tests compare this with the library
-    on whole texts.  The library encodes each pre-token that is not yet known."""
+class LibraryWords:
+    """Ids by the tokenizers library, which encodes each distinct pre-token; joining the
+    ids of a text's pre-tokens gives the ids of the text."""
 
-    SIZE = 1 << 19
+    #: Words that go to the library in one call.
+    LOT = 256
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
-        super().__init__(self.SIZE)
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cut = Vocabulary(spec)
+        self.vocabulary = Vocabulary(spec)
         self.kind = f"<u{width}"
-        self.line_feed = self.cut.byte_id[10]
-        self.blank_led = np.array([self.cut.token_bytes.get(i, b"")[:1] == b" " for i in range(max(self.cut.token_bytes) + 1)])
-
-    def _learn(self, missing: set[str]) -> None:
-        known = self.known
-        special = {k for k in missing if self.cut.split and self.cut.split.search(k)}  # the library itself finds those inside
-        single, several = self._split(missing - special, self.cut.pieces)
-        # letters after a blank, or at the start of a line, are one pre-token, so these go to
-        # the library many at a time: only their first token starts with the blank, or the
-        # line feed between them is a token of its own
-        led = [k for k in single if k[0] != "\n" and k.isalpha()]
-        bare = [k for k in single if k[0] == "\n" and k[1:].isalpha()]
-        rest = [*special, *(k for k in single if not (k[1:].isalpha() if k[0] == "\n" else k.isalpha()))]
-        size = int(self.kind[-1])
-        for keys, join in ((led, lambda x: " " + " ".join(x)), (bare, "".join)):
-            lots = [keys[i : i + 64] for i in range(0, len(keys), 64)]
-            for lot, got in zip(lots, self.library.encode_batch_fast([join(x) for x in lots], add_special_tokens=False), strict=True):
-                ids = np.array(got.ids, self.kind)
-                starts = np.flatnonzero(self.blank_led[ids] if keys is led else ids == self.line_feed)
-                ends = [*(size * starts[1:]).tolist(), size * len(ids)]
-                starts = (size * (starts + (keys is bare))).tolist()
-                raw = ids.tobytes()
-                known.update(zip(lot, [raw[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
-        for key, got in zip(rest, self.library.encode_batch_fast([run_of(k) for k in rest], add_special_tokens=False), strict=True):
-            known[key] = np.array(got.ids, self.kind).tobytes()
-        for key, parts in several:
-            known[key] = b"".join([known[p] for p in parts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, words = self.cut.split, self.cut.words
-        return self.gather([([key_of(t)] if split and split.search(t) else words(t)) if t else [] for t in texts])
+        self.memory = Memory(self._learn, self.kind)
+        of = self.vocabulary.token_bytes
+        self.line_feed = self.vocabulary.byte_id[10]
+        self.blank_led = np.array([of.get(i, b"")[:1] == b" " for i in range(max(of) + 1)])
+
+    def _learn(self, pieces: list[str], letters: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Letters after a blank, or at the start of a line, are one pre-token, so these go
+        to the library many at a time: only their first token starts with the blank, or
+        the line feed between them is a token of its own."""
+        led = [i for i, p in enumerate(pieces) if letters[i] and p[0] == " "]
+        bare = [i for i, p in enumerate(pieces) if letters[i] and p[0] != " "]
+        rest = [i for i in range(len(pieces)) if not letters[i]]
+        order, ids, sizes = [*led, *bare, *rest], [np.empty(0, self.kind)], []
+        for some, mark in ((led, ""), (bare, "\n")):
+            lots = [some[i : i + self.LOT] for i in range(0, len(some), self.LOT)]
+            for got in self.library.encode_batch_fast([mark + mark.join([pieces[i] for i in lot]) for lot in lots], add_special_tokens=False):
+                x = np.array(got.ids, self.kind)
+                head = x == self.line_feed if mark else self.blank_led[x]
+                sizes.append(np.diff(np.flatnonzero(np.append(head, True))) - len(mark))
+                ids.append(x[~head] if mark else x)
+        got = self.library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)
+        sizes.append(np.array([len(g.ids) for g in got], np.int64))
+        flat, size = np.concatenate([*ids, *(np.array(g.ids, self.kind) for g in got)]), np.concatenate(sizes)
+        # from the order in which they were encoded to that of the pieces
+        start, place = np.cumsum(size) - size, np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return taken(flat, start[place], size[place]), size[place]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        return with_specials(texts, self.vocabulary.split, self.vocabulary.special, self.memory)
 
 
 def id_width(spec: str) -> int:
@@ -179,21 +191,22 @@ def write_token_files(docs: DataFrame, vocabulary: str, label: str = "token-file
     def encode(batches):
         for batch in batches:
             words = _words(spec.value, width)
-            ids = [x + end for x in words.encode(batch.column(1).to_pylist())]
+            ids = [x.tobytes() + end for x in words.encode(batch.column(1).to_pylist())]
             doc = batch.column(0)
             where = np.searchsorted(cuts, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(where), doc, pa.array(ids, pa.binary())], schema=coded)
 
-    block = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("first_doc", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("ef", pa.binary())])
+    block = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_null", pa.int64()), ("docs", pa.binary()), ("ids", pa.binary()), ("ef", pa.binary())])
 
     def pack(batches):
         bucket, number, docs_, parts, size = None, 0, [], [], 0
 
         def made():
-            first = docs_[0] if docs_[0] is not None else -(1 << 63)
+            known = [x for x in docs_ if x is not None]
+            first, last = (known[0], known[-1]) if known else (None, None)
             ends = np.cumsum([0, *(len(p) // width for p in parts)])
-            known = np.array([x if x is not None else -(1 << 63) for x in docs_], np.int64)
-            row = [bucket, number, len(docs_), int(ends[-1]), width, first, (known - np.int64(first)).astype("<i8").tobytes(), b"".join(parts), EliasFano.of(ends).to_bytes()]
+            coded_docs = EliasFano.of(np.array([x - first for x in known], np.uint64)).to_bytes()
+            row = [bucket, number, len(docs_), int(ends[-1]), width, first, last, len(docs_) - len(known), coded_docs, b"".join(parts), EliasFano.of(ends).to_bytes()]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, block, strict=True)], schema=block)
 
         for batch in batches:
@@ -211,7 +224,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, label: str = "token-file
 
     encoded = rows.mapInArrow(encode, "bucket int, doc_id bigint, ids binary")
     dealt = encoded.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("ids"))
-    blocks = dealt.mapInArrow(pack, "bucket int, block int, n_docs bigint, n_ids bigint, width int, first_doc bigint, docs binary, ids binary, ef binary")
+    blocks = dealt.mapInArrow(pack, "bucket int, block int, n_docs bigint, n_ids bigint, width int, first_doc bigint, last_doc bigint, n_null bigint, docs binary, ids binary, ef binary")
     return materialize(blocks, label)
 
 
@@ -229,7 +242,8 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
         .join(before, "bucket")
         .select("bucket", "block", (F.col("before") + F.col("inner")).alias("base"))
     )
-    placed = blocks.join(F.broadcast(base), ["bucket", "block"]).select("base", "width", "first_doc", "docs", "ids", "ef")
+    few = blocks.count() <= BROADCAST_BLOCKS
+    placed = blocks.join(F.broadcast(base) if few else base, ["bucket", "block"]).select("base", "width", "first_doc", "n_null", "docs", "ids", "ef")
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def unpack(batches):
@@ -237,9 +251,33 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 ends = EliasFano.from_bytes(row["ef"]).all()
                 ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes()
-                doc = np.frombuffer(row["docs"], "<i8") + np.int64(row["first_doc"])
+                doc = [None] * row["n_null"] + (EliasFano.from_bytes(row["docs"]).all() + (row["first_doc"] or 0)).tolist()
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                null = doc == np.iinfo(np.int64).min
-                yield pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], schema=out)
 
     return placed.mapInArrow(unpack, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def fetch(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents asked for, found by select: neither the ids nor the
+    boundaries of a block are decoded as a whole.  Only blocks whose range of ids holds
+    one that is asked for are read; rows that repeat an id are all returned."""
+    wanted = sorted(set(doc_ids))
+    ranges = F.exists(F.array(*[F.lit(d).cast("long") for d in wanted]), lambda d: d.between(F.col("first_doc"), F.col("last_doc")))
+    near = blocks.where(F.col("last_doc") >= wanted[0]).where(F.col("first_doc") <= wanted[-1]).where(ranges) if wanted else blocks.limit(0)
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def look(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                docs, ends = EliasFano.from_bytes(row["docs"]), EliasFano.from_bytes(row["ef"])
+                found: list[tuple[int, list[int]]] = []
+                for d in wanted:
+                    i = docs.least(d - row["first_doc"])
+                    while i < docs.n and docs.select(i) == d - row["first_doc"]:
+                        a, b = ends.select(i + row["n_null"]), ends.select(i + row["n_null"] + 1)
+                        found.append((d, np.frombuffer(row["ids"], f"<u{row['width']}", b - a, a * row["width"]).tolist()))
+                        i += 1
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], out[1].type)], schema=out)
+
+    return near.select("width", "first_doc", "n_null", "docs", "ids", "ef").mapInArrow(look, "doc_id bigint, ids array<bigint>")

@@ -11,9 +11,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
-from cityweave.llm import bpe, chat, mixing, ngram_join, quality, secrets, shingles, token_files
+from cityweave.llm import bpe, chat, mixing, ngram_join, pretokens, quality, secrets, shingles, token_files
 from cityweave.llm.graph import components
 from cityweave.llm.queries import vocabulary_path
 
@@ -142,6 +143,30 @@ def test_white_space_runs_are_cut_as_the_library_does(library):
     assert len(vocab.encode_batch(texts[:1])[0]) == 4
 
 
+def test_pretokens_are_those_of_the_pattern():
+    rnd = random.Random(6)
+    marks = [*"ab s t'rvmld  \n\n'\"!.,1２é\u0301\xa0\u3000\t\r\x1c\x85 中🙂ª²Ⅷ", "'s", "'re", "'ll "]
+    pattern = regex.compile(pretokens.PIECES)
+    for _ in range(2000):
+        texts = ["".join(rnd.choices(marks, k=rnd.randrange(15))) for _ in range(3)]
+        joined, at, hashes, first = pretokens.cut(texts)
+        pieces = [joined[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert [pieces[a:b] for a, b in zip(first[:-1], first[1:], strict=True)] == [pattern.findall(t) for t in texts]
+        assert len(set(hashes.tolist())) == len(set(pieces))
+
+
+def test_long_texts_and_a_full_memory(library, monkeypatch):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdeé", k=rnd.randrange(1, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=800)) + rnd.choice(["", "  \n", "\n x"]) for _ in range(6)] + ["b" * 3000, "ab" * 700 + " c" * 40]
+    monkeypatch.setattr(pretokens, "ROUND", 500)
+    monkeypatch.setattr(pretokens, "ENTRIES", 200)
+    spec = bpe.read_spec(vocabulary_path())
+    for encode in (bpe.Vocabulary(spec).encode_batch, token_files.LibraryWords(spec, 2).encode):
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_codec_on_odd_input(spark, nasty, library):
     path = vocabulary_path()
     rows = {(r.doc_id, r.text) for r in nasty.collect()}
@@ -177,6 +202,16 @@ def test_token_files(spark, nasty, library, monkeypatch):
     assert token_files.read_token_files(token_files.write_token_files(nasty.limit(0), vocabulary_path())).count() == 0
 
 
+def test_documents_are_fetched_by_select(spark, nasty, library, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 300)
+    blocks = token_files.write_token_files(nasty.union(nasty.where("doc_id = 9")), vocabulary_path())
+    wanted = [0, 3, 5, 9, 11, 77]
+    got = sorted((r.doc_id, r.ids) for r in token_files.fetch(blocks, wanted).collect())
+    texts = [(r.doc_id, r.text) for r in nasty.collect()] + [(9, r.text) for r in nasty.where("doc_id = 9").collect()]
+    assert got == sorted((d, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in texts if d in wanted)
+    assert token_files.fetch(blocks, []).count() == 0
+
+
 def python_shingles(text, k):
     table = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").encode().translate(table).decode())
