@@ -64,10 +64,18 @@ def road_axis(direction: Column) -> Column:
 
 
 def quadrant_dir(dx: Column, dy: Column) -> Column:
-    """Direction words of a displacement; on an axis the plain word; "same point" at 0, 0."""
-    ns = F.when(dy > 0, F.lit("north")).when(dy < 0, F.lit("south")).otherwise(F.lit(""))
-    ew = F.when(dx > 0, F.lit("east")).when(dx < 0, F.lit("west")).otherwise(F.lit(""))
-    return F.when((dx == 0) & (dy == 0), F.lit("same point")).otherwise(F.concat(ns, ew))
+    """Direction of a displacement, cut at 45 degrees: northward ones are diagonal when
+    flatter than that, else north; southward ones are diagonal when steeper, else east
+    or west.  On an axis the plain word; "same point" at 0, 0."""
+    flat, steep = F.abs(dy) < F.abs(dx), F.abs(dy) > F.abs(dx)
+    side = F.when(dx > 0, F.lit("east")).otherwise(F.lit("west"))
+    return (
+        F.when((dx == 0) & (dy == 0), F.lit("same point"))
+        .when(dx == 0, F.when(dy > 0, F.lit("north")).otherwise(F.lit("south")))
+        .when(dy == 0, side)
+        .when(dy > 0, F.when(flat, F.concat(F.lit("north"), side)).otherwise(F.lit("north")))
+        .otherwise(F.when(steep, F.concat(F.lit("south"), side)).otherwise(side))
+    )
 
 
 def grid_lnglat(lng0: Column, lat0: Column, lng: Column, lat: Column, cell: float = 0.0001) -> tuple[Column, Column]:
@@ -203,4 +211,5 @@ def fixed4(v: Column) -> Column:
 
 
 def coord_distractors(lng: Column, lat: Column, step: float = 0.01) -> Column:
-    return F.array(*[coord_text(lng + dx, lat + dy) for dx, dy in ((step, 0.0), (-step, 0.0), (0.0, step), (0.0, -step))])
+    """The four diagonal neighbours."""
+    return F.array(*[coord_text(lng + dx, lat + dy) for dx in (-step, step) for dy in (-step, step)])

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Land-use codes and their names.
+# Land-use codes and their names; the evaluation jobs know all but B1.
 LAND_USE = {
-    "R": "residential", "B": "commercial and business facilities", "M": "industrial", "W": "logistics and warehouse", "S": "road, street and transportation",
-    "U": "municipal utilities", "G": "green space and square", "A": "administration and public services", "E1": "water", "E2": "agricultural and forest",
-    "E3": "other non-construction", "H": "construction", "A3": "education and research",
+    "E3": "OtherNon-construction", "R": "Residential", "S4": "TrafficStation&Park", "A4": "Sports", "B31": "Entertainment", "B1": "CommercialFacilities",
+    "U9": "OtherPublicFacilities", "A3": "Education", "G1": "Park&GreenLand", "B": "CommercialService&IndustryFacilities", "B32": "Resort&Fitness",
+    "B13": "Restaurant&Bar", "A9": "ReligiousFacilities", "A5": "Hospital",
 }
+EVAL_LAND_USE = {code: name for code, name in LAND_USE.items() if code != "B1"}
 CODES = tuple(LAND_USE)
-# The four ways in which an answer letter is given, tried in this order.
+# The four ways in which an answer letter is given, tried in this order:
+# "answer is A", "choose A" (not "answer is not A"); "A is correct" (not "A isn't right");
+# a text that starts with the letter; a line that does.
 CHOICE_PATTERNS = (
-    r"(?i)\banswer\s*(?:is|:)?\s*:?\s*\(?([A-H])\b",
-    r"(?i)\b(?:option|choice)\s*:?\s*\(?([A-H])\b",
-    r"^\s*\(?([A-H])(?:[).:,]|\s*$)",
-    r"\b([A-H])\b(?!')",
+    r"(?:(?:[Cc]hoose)|(?:(?:[Aa]nswer|[Cc]hoice)(?![^A-H]{0,20}?(?:n't|not))[^A-H]{0,10}?\b(?:|is|:|be))\b)[^A-H]{0,20}?\b([A-H])\b",
+    r"\b([A-H])\b(?![^A-H]{0,8}?(?:n't|not)[^A-H]{0,5}?(?:correct|right))[^A-H]{0,10}?\b(?:correct|right)\b",
+    r"^([A-H])(?:\.|,|:|$)",
+    r"\n\s*([A-H])",
 )
 
 
@@ -29,8 +32,8 @@ def join_labels(labels: Column) -> Column:
     return F.coalesce(F.array_join(labels, "|"), F.lit(""))
 
 
-def landuse_name(code: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LAND_USE.items() for x in pair]), code)
+def landuse_name(code: Column, names: dict[str, str] = LAND_USE) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code)
 
 
 def address_text(side: Column, road: Column, offset: Column, toward: Column, junction: Column, inside: Column) -> Column:
@@ -68,7 +71,7 @@ def task_type(record_id: Column) -> Column:
 
 
 def extract_choice(text: Column, default: str = "Z") -> Column:
-    found = [F.nullif(F.upper(F.regexp_extract(text, p, 1)), F.lit("")) for p in CHOICE_PATTERNS]
+    found = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in CHOICE_PATTERNS]
     return F.coalesce(*found, F.lit(default))
 
 

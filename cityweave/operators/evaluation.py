@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_choice, keyed
+from ..functions.text import extract_choice, keyed, keyed_number
 from . import sequences
 from .sampling import make_mcq
 
@@ -59,10 +59,12 @@ def next_place_inputs(visits: DataFrame, seed: int = 0, per_user: int = 5, other
     h = sequences.history_target(visits).join(visits.select("traj_id", "user_id").distinct(), "traj_id").where(F.size("history") > 0)
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(keyed(F.col("traj_id"), seed=seed), "traj_id"))
     h = h.withColumn("k", rank).where(F.col("k") <= per_user)
-    places = visits.groupBy("loc_id").agg(F.count(F.lit(1)).alias("n"))
-    shards = 8
-    pool = places.groupBy(F.pmod("loc_id", F.lit(shards)).alias("shard")).agg(F.slice(F.array_sort(F.collect_list(F.struct(keyed(F.col("loc_id"), seed=seed).alias("h"), "loc_id"))), 1, 64).alias("pool"))
-    j = h.withColumn("shard", F.pmod(F.xxhash64("traj_id"), F.lit(shards))).join(F.broadcast(pool), "shard")
+    # at most 64 places a shard, ranked before any are collected
+    shards, most = 8, 64
+    places = visits.select("loc_id").distinct().withColumns({"shard": F.pmod("loc_id", F.lit(shards)), "h": keyed(F.col("loc_id"), seed=seed)})
+    order = F.row_number().over(Window.partitionBy("shard").orderBy("h", "loc_id"))
+    pool = places.withColumn("r", order).where(F.col("r") <= most).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("h", "loc_id"))).alias("pool"))
+    j = h.withColumn("shard", keyed_number(shards, F.col("traj_id"), seed=seed)).join(F.broadcast(pool), "shard")
     wrong = F.filter("pool", lambda p: p["loc_id"] != F.col("target"))
     drawn = F.slice(F.array_sort(F.transform(wrong, lambda p: F.struct(F.md5(F.concat_ws("#", F.col("traj_id"), p["loc_id"].cast("string"))).alias("h"), p["loc_id"].cast("string").alias("o")))), 1, others)
     question = F.concat(F.lit("Places so far: "), F.array_join(F.transform("history", lambda x: x.cast("string")), ", "), F.lit(". Which is next?"))

@@ -8,21 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.text import keyed, keyed_number, letter
 
 
-def stratified_cap(df: DataFrame, key: str, n: int, row_key: str, exclude: tuple[str, ...] = (), seed: int = 0) -> DataFrame:
-    """At most n rows per value of key, drawn by hash.
-
-    A window over a key with most of all rows would be one task; so exact counts
-    first give a hash bound under which a little more than n rows fall, and only
-    those are ranked.  A stratum where the bound was too tight is ranked whole."""
-    rows = df.where(~F.col(key).isin(*exclude)) if exclude else df
-    draw = F.conv(F.substring(keyed(F.col(row_key), seed=seed), 1, 8), 16, 10).cast("long")
-    marked = rows.withColumn("_md5", keyed(F.col(row_key), seed=seed)).withColumn("_draw", draw)
-    bound = ((F.lit(2.0) * n + 64) / F.col("count") * (1 << 32)).cast("long")
-    sized = marked.groupBy(key).count().withColumn("_bound", F.when(F.col("count") <= 4 * n + 256, F.lit(1 << 33)).otherwise(bound))
-    near = marked.join(sized.select(key, "_bound"), key).where("_draw < _bound")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_md5", row_key))
-    got = near.withColumn("_rank", rank).where(F.col("_rank") <= n)
-    return got.select(*df.columns)
+def stratified_cap(df: DataFrame, key: str, n: int, row_key: str, exclude: tuple[str, ...] = (), seed: int = 0, salts: int = 64) -> DataFrame:
+    """At most n rows per value of key, drawn by hash; null is a value.
+
+    Ranks run in two steps, first within salted parts of a key, so that a key with most
+    of all rows meets in no task: the second step sees at most salts * n of its rows."""
+    rows = df.where(~F.coalesce(F.col(key).isin(*exclude), F.lit(False))) if exclude else df
+    marked = rows.withColumn("_draw", keyed(F.col(row_key), seed=seed)).withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)))
+    for by in ((key, "_salt"), (key,)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_draw", row_key))
+        marked = marked.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    return marked.select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, row_key: str, seed: int = 0) -> DataFrame:
@@ -74,22 +70,25 @@ def interleaved(df: DataFrame, source: str, position: str, probs: dict[str, floa
     return again.withColumn("time", (F.col("round") * F.col("n") + F.col(position)) / F.col("prob")).where("time <= bound").drop("bound", "prob", "n", "rounds")
 
 
-def negatives(keys: DataFrame, key: str, universe: DataFrame, item: str, positives: DataFrame, k: int, seed: int = 0, over: int = 4) -> DataFrame:
-    """(key, item, rank): k items per key that are no positive of it.
-
-    No cross join: items are numbered by hash order in buckets, each key draws
-    over * k of the numbers by hash, positives are anti-joined away and the rest
-    ranked.  `over` must exceed the share of positives; keys that come out short
-    are visible by their rank."""
-    number = F.row_number().over(Window.partitionBy("_shard").orderBy(keyed(F.col(item), seed=seed), item)) - 1
-    shards = 16
-    items = universe.select(item).distinct().withColumn("_shard", keyed_number(shards, F.col(item), seed=seed)).withColumn("_no", number)
-    size = items.groupBy("_shard").agg(F.count(F.lit(1)).alias("_size"))
-    draws = keys.select(key).distinct().withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(over * k))))
-    draws = draws.withColumn("_shard", keyed_number(shards, F.col(key), F.col("_try"), seed=seed))
-    draws = draws.join(F.broadcast(size), "_shard").withColumn("_no", F.pmod(F.conv(F.substring(keyed(F.col(key), F.col("_try"), "no", seed=seed), 1, 8), 16, 10).cast("long"), F.col("_size")))
-    picked = draws.join(items.select("_shard", F.col("_no").cast("long"), item), ["_shard", "_no"]).select(key, item).distinct()
-    free = picked.join(positives.select(key, item).distinct(), [key, item], "left_anti")
+def negatives(keys: DataFrame, key: str, universe: DataFrame, item: str, positives: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """(key, item, rank): k items per key that are no positive of it; all there are, if fewer.
+
+    No cross join: items are numbered in hash order (ranks in hash shards plus the
+    shards' offsets), and a key takes the k + p items that follow a place of its own
+    hash, round the end; p is the number of its positives, so k are left when those are
+    anti-joined away."""
+    digest = universe.select(item).where(F.col(item).isNotNull()).distinct().withColumn("_h", keyed(F.col(item), seed=seed)).withColumn("_shard", F.substring("_h", 1, 3))
+    within = F.row_number().over(Window.partitionBy("_shard").orderBy("_h", item)) - 1
+    sizes = digest.groupBy("_shard").count()  # at most 4096 rows
+    offset = F.coalesce(F.sum("count").over(Window.orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = digest.withColumn("_in", within).join(F.broadcast(sizes.withColumn("_from", offset)), "_shard").select((F.col("_from") + F.col("_in")).alias("_no"), item)
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_total"))
+    own = positives.select(key, item).distinct()
+    asked = keys.select(key).distinct().join(own.groupBy(key).agg(F.count(F.lit(1)).alias("_p")), key, "left").join(F.broadcast(total), F.lit(True)).where("_total > 0")
+    start = F.pmod(F.conv(F.substring(keyed(F.col(key), "start", seed=seed), 1, 8), 16, 10).cast("long"), F.col("_total"))
+    some = F.least(F.col("_total"), F.lit(k) + F.coalesce("_p", F.lit(0))).cast("long")
+    drawn = asked.select(key, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), some - 1), lambda i: F.pmod(start + i, F.col("_total")))).alias("_no"))
+    free = drawn.join(placed, "_no").select(key, item).join(own, [key, item], "left_anti")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(keyed(F.col(key), F.col(item), seed=seed), item))
     return free.withColumn("rank", rank).where(F.col("rank") <= k)
 

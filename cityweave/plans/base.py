@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.geo import DIR8
 from ..functions.text import CODES
 
+#: What models say around the letter they mean; in 3, 5, 6 and 10 they mean none.
+SAID = (
+    "The answer is {}", "Answer: {}", "The answer is a hotel, {}", "The answer is not {}", "A is wrong. {} is correct", "A nice place near the river", "",
+    "I think so.\n  {}", "{}. because it is near", "A or B? I would choose {}", "{} isn't right",
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -56,7 +61,7 @@ class Tables:
             ((k * k * 13 + k * 6007 + 13) % 10007).cast("double").alias("cx"),
             ((k * k * 7 + k * 3001 + n * 397 + 29) % 10009).cast("double").alias("cy"),
             F.when(k % 10 == 0, 1200.0).otherwise(350.0).alias("half"),
-            F.element_at(F.array(*map(F.lit, CODES)), (n % 13 + 1).cast("int")).alias("land_use"),
+            F.element_at(F.array(*map(F.lit, CODES)), (n % 14 + 1).cast("int")).alias("land_use"),
         )
         corner = lambda sx, sy: F.struct((F.col("cx") + sx * F.col("half")).alias("x"), (F.col("cy") + sy * F.col("half")).alias("y"))
         return a.withColumn("ring", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)))
@@ -118,8 +123,7 @@ class Tables:
         """Model outputs: model, task, event_id, text, answer."""
         e = F.col("event_id")
         said = F.substring(F.lit("ABCDE"), (e % 5 + 1).cast("int"), F.lit(1))
-        forms = [F.concat(F.lit("The answer is "), said), F.concat(F.lit("Answer: "), said), F.concat(F.lit("("), said, F.lit(")")), F.concat(F.lit("option "), said, F.lit(".")), F.concat(said, F.lit(". because it is near")), F.lit("")]
-        text = F.element_at(F.array(*forms), (e % 6 + 1).cast("int"))
+        text = F.element_at(F.array(*[F.replace(F.lit(form), F.lit("{}"), said) for form in SAID]), (e % len(SAID) + 1).cast("int"))
         return self.raw("events").select((F.col("user_id") % 4).alias("model"), F.col("event_type").alias("task"), "event_id", text.alias("text"), F.substring(F.lit("ABCD"), (e % 4 + 1).cast("int"), F.lit(1)).alias("answer"))
 
     @property
@@ -138,7 +142,7 @@ VIEWS = {
   ((c_custkey*c_custkey*31 + c_custkey*7919) % 10007)::DOUBLE AS x, ((c_custkey*c_custkey*17 + c_custkey*4729 + c_nationkey*401) % 10009)::DOUBLE AS y,
   116.0::DOUBLE + ((c_custkey*c_custkey*31 + c_custkey*7919) % 10007)::DOUBLE/100000 AS lng, 39.9::DOUBLE + ((c_custkey*c_custkey*17 + c_custkey*4729 + c_nationkey*401) % 10009)::DOUBLE/100000 AS lat FROM customer""",
     "aoi": f"""SELECT s_suppkey AS aoi_id, s_name AS name, ((s_suppkey*s_suppkey*13 + s_suppkey*6007 + 13) % 10007)::DOUBLE AS cx,
-  ((s_suppkey*s_suppkey*7 + s_suppkey*3001 + s_nationkey*397 + 29) % 10009)::DOUBLE AS cy, CASE WHEN s_suppkey % 10 = 0 THEN 1200.0 ELSE 350.0 END::DOUBLE AS half, ([{_CODES}])[s_nationkey % 13 + 1] AS land_use FROM supplier""",
+  ((s_suppkey*s_suppkey*7 + s_suppkey*3001 + s_nationkey*397 + 29) % 10009)::DOUBLE AS cy, CASE WHEN s_suppkey % 10 = 0 THEN 1200.0 ELSE 350.0 END::DOUBLE AS half, ([{_CODES}])[s_nationkey % 14 + 1] AS land_use FROM supplier""",
     "inside": """SELECT p.*, (SELECT min(a.aoi_id) FROM aoi a WHERE abs(p.x - a.cx) < a.half AND abs(p.y - a.cy) < a.half) AS aoi_id FROM poi p""",
     "attached": "SELECT * FROM inside WHERE aoi_id IS NOT NULL",
     "road": "SELECT p_partkey AS road_id, p_name AS name FROM part",
@@ -150,8 +154,7 @@ VIEWS = {
   least(value, 1440.0)/1440 AS duration, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY ts, event_id) AS seq, ((k*k*31 + k*7919) % 10007)::DOUBLE AS x, ((k*k*17 + k*4729) % 10009)::DOUBLE AS y
   FROM (SELECT *, regexp_extract(props, '"k": *([0-9]+)', 1)::BIGINT AS k FROM events)""",
     "output": """SELECT user_id % 4 AS model, event_type AS task, event_id,
-  CASE event_id % 6 WHEN 0 THEN 'The answer is ' || s WHEN 1 THEN 'Answer: ' || s WHEN 2 THEN '(' || s || ')' WHEN 3 THEN 'option ' || s || '.' WHEN 4 THEN s || '. because it is near' ELSE '' END AS text,
-  CASE WHEN event_id % 6 = 5 THEN 'Z' ELSE s END AS said, substr('ABCD', (event_id % 4 + 1)::INT, 1) AS answer FROM (SELECT *, substr('ABCDE', (event_id % 5 + 1)::INT, 1) AS s FROM events)""",
+  CASE WHEN event_id % 11 IN (3, 5, 6, 10) THEN 'Z' ELSE s END AS said, substr('ABCD', (event_id % 4 + 1)::INT, 1) AS answer FROM (SELECT *, substr('ABCDE', (event_id % 5 + 1)::INT, 1) AS s FROM events)""",
     "dialogue": "SELECT conv_id, turn, role, text FROM conversations",
     "sft": "SELECT doc_id, text, lang, source AS data_source FROM documents",
 }

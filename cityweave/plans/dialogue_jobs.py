@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import dialogues, sampling, spatial, topology
-from .base import Tables, coord_sql, query
+from .base import Tables, coord_sql, number_sql, query
 from .mcq_jobs import ends_of
 from .scalar_jobs import ADDR, address_rows
-from .sequence_jobs import merged_routes, route_directions
+from .sequence_jobs import NARRATED, merged_routes, route_directions
 
 
 def qa(df: DataFrame, task: str, key: str, question: Column, answer: Column) -> DataFrame:
@@ -109,7 +109,9 @@ def roads_of(t: Tables):
     return qa(a, "aoi2longest_connected_road", "aoi_id", _lit("Which is the longest road at ", "$aoi", "?"), F.col("longest")).union(qa(area, "aoi_area", "aoi_id", _lit("How large is ", "$name", "?"), F.col("area")))
 
 
-@query("q8_route_repairs")
+@query("q8_route_repairs", f"""WITH RECURSIVE {NARRATED}, pt AS (SELECT *, len(parts) AS n, {number_sql(1 << 20, 'route_id', seed=8)} % len(parts) AS gone FROM told WHERE len(parts) BETWEEN 3 AND 12), ex AS (SELECT route_id, parts, gone, unnest(range(n)) AS i FROM pt)
+SELECT concat('city-scrambled_task_route-', route_id) AS id, concat('Put in order: ', string_agg(parts[i + 1], '; ' ORDER BY md5(concat_ws('#', route_id, i)))) AS question, array_to_string(any_value(parts), '; ') AS answer FROM ex GROUP BY route_id
+UNION ALL SELECT concat('city-lacking_task_route-', route_id), concat('What is missing: ', string_agg(CASE WHEN i <> gone THEN parts[i + 1] END, '; ' ORDER BY i)), any_value(parts[gone + 1]) FROM ex GROUP BY route_id /* step */""")
 def repairs(t: Tables):
     """Merged routes in scrambled order, or lacking a stretch, with the repair as answer."""
     from ..operators.sequences import narrate

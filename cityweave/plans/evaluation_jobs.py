@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_choice, keyed
 from ..operators import evaluation
 from ..operators.helpers import best_option, similarity_scores
-from .base import Tables, md5_sql, query
+from .base import Tables, md5_sql, number_sql, query
+from .mcq_jobs import asked_sql
 
 _SCORED = "sc AS (SELECT model, task, count(*) AS n, sum(CASE WHEN said = answer THEN 1 ELSE 0 END)::BIGINT AS correct FROM output GROUP BY model, task)"
 
@@ -69,7 +70,14 @@ def navigation(t: Tables):
     return s.select("model", "case_id", "skipped", "successes", F.round("steps", 6).alias("steps"), F.round("completion", 6).alias("completion"))
 
 
-@query("e6_next_place_inputs")
+@query(
+    "e6_next_place_inputs",
+    f"""WITH h AS (SELECT traj_id, user_id, string_agg(CASE WHEN seq < m THEN loc_id::VARCHAR END, ', ' ORDER BY seq) AS history, max(CASE WHEN seq = m THEN loc_id END) AS target FROM (SELECT *, max(seq) OVER (PARTITION BY traj_id) AS m FROM visit) GROUP BY traj_id, user_id HAVING count(*) > 1),
+ few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {md5_sql('traj_id', seed=3)}, traj_id) AS k FROM h) WHERE k <= 5),
+ pl AS (SELECT *, row_number() OVER (PARTITION BY loc_id % 8 ORDER BY {md5_sql('loc_id', seed=3)}, loc_id) AS r FROM (SELECT DISTINCT loc_id FROM visit)),
+ w AS (SELECT traj_id, (list(loc_id ORDER BY md5(concat_ws('#', traj_id, loc_id)), loc_id::VARCHAR))[1:5] AS ws_ FROM few JOIN pl ON r <= 64 AND loc_id % 8 = {number_sql(8, 'traj_id', seed=3)} WHERE loc_id <> target GROUP BY traj_id),
+ src AS (SELECT few.*, ws_ FROM few JOIN w USING (traj_id)), {asked_sql('src', 'traj_id', "concat('Places so far: ', history, '. Which is next?')", 'target', 'ws_', 3)}""",
+)
 def next_place(t: Tables):
     """At most five trajectories a user, the last place to be told from five others."""
     return evaluation.next_place_inputs(t.visit, seed=3)
@@ -90,7 +98,20 @@ def fuzzy(t: Tables):
 
 
 
-@query("e9_trajectory_jsd")
+def _jsd_sql(name: str, source: str, bins: str, top: float, closed: bool) -> str:
+    edge, last = (str(top), "bins - 1") if closed else (f"(bins - 1)*({top}/bins)", "bins - 2")
+    return f"""SELECT '{name}' AS measure, bins, (SELECT round((sum(CASE WHEN p > 0 THEN p*ln(2*p/(p + q)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q*ln(2*q/(p + q)) ELSE 0 END))/2, 6) FROM
+ (SELECT r/sum(r) OVER () AS p, g/sum(g) OVER () AS q FROM (SELECT count(*) FILTER (kind = 'real') AS r, count(*) FILTER (kind = 'generated') AS g FROM (SELECT kind, least(floor(v/({top}/bins)), {last}) AS bin FROM {source} WHERE v >= 0 AND v <= {edge}) GROUP BY bin))) AS jsd
+ FROM (SELECT nullif(greatest({bins}, 0), 0)::BIGINT AS bins FROM {source} LIMIT 1)"""
+
+
+_BINS = "(SELECT floor(3.5*stddev_pop(v)/pow(count(*), 1/3.0)) FROM {0})".format
+
+
+@query("e9_trajectory_jsd", f"""WITH sd AS (SELECT kind, sqrt((x - nx)*(x - nx) + (y - ny)*(y - ny)) AS v FROM (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM visit WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) WHERE nx IS NOT NULL),
+ gr AS (SELECT kind, avg(sqrt((x - mx)*(x - mx) + (y - my)*(y - my))) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY traj_id) AS mx, avg(y) OVER (PARTITION BY traj_id) AS my FROM visit) GROUP BY traj_id, kind),
+ du AS (SELECT kind, duration AS v FROM visit), rp AS (SELECT kind, count(DISTINCT loc_id)::DOUBLE/count(*) AS v FROM visit GROUP BY traj_id, kind)
+{_jsd_sql('distance', 'sd', _BINS('sd'), 10000.0, False)} UNION ALL {_jsd_sql('radius', 'gr', _BINS('gr'), 10000.0, False)} UNION ALL {_jsd_sql('duration', 'du', '48', 1.0, True)} UNION ALL {_jsd_sql('repeat_rate', 'rp', '48', 1.0, True)}""")
 def jsd(t: Tables):
     return evaluation.trajectory_jsd(t.visit)
 

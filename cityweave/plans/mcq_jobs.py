@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import coord_distractors, coord_text, dir4, azimuth_xy, dist_xy, floor100
-from ..functions.text import LAND_USE, landuse_name, top_category
+from ..functions.text import EVAL_LAND_USE, landuse_name, top_category
 from ..operators import sampling, spatial, topology
 from .base import Tables, coord_sql, query
+from .mix_jobs import groups_sql
 from .place_jobs import ranked_in_aoi
 from .scalar_jobs import ADDR, address_rows
 from .sequence_jobs import TOTALS, route_directions
@@ -84,7 +85,11 @@ def road_length(t: Tables):
     return asked(d, "name", F.concat(F.lit("How long is "), "name", F.lit("?")), F.col("l"), F.array(tenth(1), tenth(3), F.col("l") * 2, F.col("l") * 3))
 
 
-@query("m2_road_arrived_pois")
+@query("m2_road_arrived_pois", f"""WITH have AS (SELECT DISTINCT r.name, p.name AS poi FROM lane JOIN road r USING (road_id) JOIN attached p USING (aoi_id)), hk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(concat_ws('#', name, poi)), poi) AS k FROM have),
+ nr AS (SELECT name, count(*) AS n, list_sort(list(poi) FILTER (k <= 15)) AS near FROM hk GROUP BY name HAVING count(*) >= 5), {pool_sql('SELECT name AS item FROM poi', 2)},
+ fr AS (SELECT nr.name, list_sort(list(item)) AS far FROM nr JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', nr.name, '2')), 1, 8))::BIGINT % 16 WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.name = nr.name AND h.poi = item) GROUP BY nr.name),
+ src AS (SELECT name, n > 15 AS many, CASE WHEN n > 15 THEN array_to_string(far[1:5], ', ') ELSE array_to_string(near[1:5], ', ') END AS r, list_filter(list_transform([1, 6, 11], lambda i: array_to_string(CASE WHEN n > 15 THEN near ELSE far END[i:i + 4], ', ')), lambda x: x <> '') AS ws_ FROM nr JOIN fr USING (name)),
+ ok AS (SELECT * FROM src WHERE r <> ''), {asked_sql('ok', 'name', "concat('Which places can', CASE WHEN many THEN 'not' ELSE '' END, ' be reached from ', name, '?')", 'r', 'ws_', 0)} /* poi aoi inside attached */""")
 def arrived(t: Tables):
     """More than 15 points within reach: which can not be reached; else which can."""
     p = spatial.attach_pois(t.poi, t.aoi).select("aoi_id", F.col("name").alias("poi"))
@@ -130,20 +135,40 @@ def road_link(t: Tables):
     return asked(d.withColumn("right", right).withColumn("wrong", wrong), "name", F.concat(F.lit("Which road does "), F.when(many, "not ").otherwise(""), F.lit("meet "), "name", F.lit("?")), F.col("right"), F.col("wrong"), 4)
 
 
-@query("m5_landmark_env")
+KINDS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+CORNERS = ((-500, -500), (-500, 500), (500, -500), (500, 500))
+
+
+def town(t: Tables) -> DataFrame:
+    """The points moved together, so that many stand within 100 m of each other."""
+    return t.poi.select("poi_id", "name", "category", (F.col("x") % 1500).alias("x"), (F.col("y") % 1500).alias("y"))
+
+
+_TOWN = "town AS (SELECT poi_id, name, category, x % 1500 AS x, y % 1500 AS y FROM poi)"
+_HOLD = " OR ".join(f"category LIKE '{k}%'" for k in KINDS)
+_CORNER = " UNION ALL ".join(f"SELECT poi_id, {i} AS corner, x + {dx} AS cx, y + {dy} AS cy FROM town" for i, (dx, dy) in enumerate(CORNERS))
+
+
+@query("m5_landmark_env", f"""WITH {_TOWN}, nr AS (SELECT a.poi_id, a.name AS own, b.name, split_part(b.category, ' > ', 1) AS kind, b.poi_id AS other, sqrt((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y)) AS d FROM town a JOIN town b ON abs(b.x - a.x) <= 100 AND abs(b.y - a.y) <= 100),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY poi_id, kind ORDER BY d, other) AS k FROM nr WHERE d <= 100 AND ({_HOLD.replace('category', 'kind')})),
+ env AS (SELECT poi_id, own, string_agg(name, ',' ORDER BY kind, k) AS told FROM rk WHERE k <= 10 AND name <> own GROUP BY 1, 2 HAVING count(*) >= 5),
+ corner AS ({_CORNER}), cn AS (SELECT c.poi_id, corner, first(b.name ORDER BY md5(concat_ws('#', c.poi_id, corner, b.poi_id, '5')), b.poi_id) AS name FROM corner c JOIN town b ON abs(b.x - cx) <= 100 AND abs(b.y - cy) <= 100 WHERE (b.x - cx)*(b.x - cx) + (b.y - cy)*(b.y - cy) <= 10000 GROUP BY 1, 2),
+ src AS (SELECT env.poi_id, own, told, ws_ FROM env JOIN (SELECT poi_id, list(name ORDER BY corner) AS ws_ FROM cn GROUP BY 1) USING (poi_id)), {asked_sql('src', 'poi_id', "concat('Which point is likely in this environment: ', told, '?')", 'own', 'ws_', 5)}""")
 def landmark_env(t: Tables):
-    """What stands within 100 m of a point, against what stands round corners 500 m off."""
-    p = t.poi
-    at = lambda dx, dy, i: p.select(F.concat_ws("/", "poi_id", F.lit(i)).alias("center_id"), (F.col("x") + dx).alias("cx"), (F.col("y") + dy).alias("cy"))
-    c = at(0, 0, 0)
-    for i, (dx, dy) in enumerate(((500, 500), (500, -500), (-500, 500), (-500, -500)), 1):
-        c = c.union(at(dx, dy, i))
-    near = spatial.within(c, t.poi, 300.0).withColumn("own", F.split("center_id", "/")[0].cast("long")).where("own <> poi_id")
-    said = near.groupBy("center_id", "own").agg(F.array_join(F.array_sort(F.collect_set("category")), ", ").alias("env"), F.count(F.lit(1)).alias("n"))
-    slot = F.split("center_id", "/")[1].cast("int")
-    g = said.groupBy("own").agg(F.max(F.when((slot == 0) & (F.col("n") >= 2), F.col("env"))).alias("right"), F.array_sort(F.collect_set(F.when(slot > 0, F.col("env")))).alias("others")).where("right is not null")
-    g = g.withColumn("wrong", F.filter("others", lambda x: x != F.col("right")))
-    return asked(g.withColumnRenamed("own", "poi_id"), "poi_id", F.concat(F.lit("What is near point "), F.col("poi_id").cast("string"), F.lit("?")), F.col("right"), F.slice("wrong", 1, 4), 5)
+    """The point in an environment of five or more named points within 100 m (the ten
+    nearest of each kind), against points round the four corners 500 m off."""
+    p = town(t)
+    c = p.select(F.col("poi_id").alias("center_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    named = p.select("poi_id", "name")
+    near = spatial.pois_near(c, p, 100.0, list(KINDS), 10).join(named, "poi_id").join(named.select(F.col("poi_id").alias("center_id"), F.col("name").alias("own")), "center_id").where("name <> own")
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "rank", "name"))), lambda s: s["name"]), ",")
+    env = near.groupBy("center_id", "own").agg(told.alias("told"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    corners = F.explode(F.array(*[F.struct(F.lit(i).alias("corner"), (F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for i, (dx, dy) in enumerate(CORNERS)]))
+    far = c.join(env.select("center_id"), "center_id", "left_semi").select("center_id", corners.alias("c")).select(F.concat_ws("#", "center_id", "c.corner").alias("center_id"), "c.cx", "c.cy")
+    drawn_ = spatial.within(far, p, 100.0).groupBy("center_id").agg(F.min(F.struct(F.md5(F.concat_ws("#", "center_id", "poi_id", F.lit("5"))).alias("h"), "poi_id", "name")).alias("m"))
+    wrong = drawn_.groupBy(F.split("center_id", "#")[0].cast("long").alias("center_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.split("center_id", "#")[1].alias("corner"), "m.name"))), lambda s: s["name"]).alias("wrong"))
+    d = env.join(wrong, "center_id").withColumnRenamed("center_id", "poi_id")
+    return asked(d, "poi_id", F.concat(F.lit("Which point is likely in this environment: "), "told", F.lit("?")), F.col("own"), F.col("wrong"), 5)
 
 
 @query("m6_landmark_path", f"""WITH f AS (SELECT aoi_id, min(poi_id) AS poi_id FROM attached GROUP BY 1), sn AS (SELECT route_id, list_sort(list(DISTINCT f.poi_id)) AS seen FROM step JOIN f USING (aoi_id) GROUP BY route_id HAVING count(DISTINCT f.poi_id) >= 3),
@@ -179,7 +204,8 @@ def boundary_poi(t: Tables):
     return asked(d, "aoi_id", F.concat(F.lit("Which point lies at the border of area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("farthest"), F.concat(F.array("nearest", "second"), F.col("out")), 8)
 
 
-@query("m9_aoi_group")
+@query("m9_aoi_group", f"""WITH {groups_sql('SELECT DISTINCT aoi_id FROM attached', 10, 9)}, fw AS (SELECT aoi_id, name FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY md5(poi_id::VARCHAR)) AS k FROM attached) WHERE k <= 5),
+ src AS (SELECT group_id, size, string_agg(name, ', ' ORDER BY name) AS names FROM (SELECT group_id, size, unnest(ids) AS aoi_id FROM grp) JOIN fw USING (aoi_id) GROUP BY 1, 2), {asked_sql('src', 'group_id', "concat('How many areas hold ', names, '?')", 'size', 'list_filter([1, 2, 3, 4, 5], lambda i: i <> size)', 9)}""")
 def aoi_group(t: Tables):
     """Into how many areas do the listed points fall."""
     g = sampling.aoi_groups(t.aoi.join(spatial.attach_pois(t.poi, t.aoi).select("aoi_id").distinct(), "aoi_id"), 10, seed=9)
@@ -210,10 +236,10 @@ def aoi2addr(t: Tables):
 
 
 def _land_uses():
-    return F.array(*[F.lit(v) for v in LAND_USE.values()])
+    return F.array(*[F.lit(v) for v in EVAL_LAND_USE.values()])
 
 
-_LU = ", ".join(f"('{k}', '{v}')" for k, v in LAND_USE.items())
+_LU = ", ".join(f"('{k}', '{v}')" for k, v in EVAL_LAND_USE.items())
 _REPS = "rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, category ORDER BY md5(concat_ws('#', poi_id, '{0}')), poi_id) AS k, count(*) OVER (PARTITION BY aoi_id, category) AS n FROM attached) WHERE k <= floor(n/4.0) + 1)".format
 
 
@@ -221,30 +247,34 @@ _REPS = "rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id,
  src AS (SELECT a.aoi_id, names, r, (list(label ORDER BY md5(concat_ws('#', a.aoi_id, label, '12'))))[1:4] AS ws_ FROM a JOIN lu ON label <> r GROUP BY 1, 2, 3), {asked_sql('src', 'aoi_id', "concat('What land use has the area with ', names, '?')", 'r', 'ws_', 12)}""")
 def aoi2type(t: Tables):
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 12).groupBy("aoi_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count(F.lit(1)).alias("n")).where("n >= 3")
-    d = t.aoi.select("aoi_id", landuse_name(F.col("land_use")).alias("right")).join(r, "aoi_id").withColumn("pool", _land_uses())
+    d = t.aoi.select("aoi_id", landuse_name(F.col("land_use"), EVAL_LAND_USE).alias("right")).where("right is not null").join(r, "aoi_id").withColumn("pool", _land_uses())
     return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.array("right"), 4, 12)), "aoi_id", F.concat(F.lit("What land use has the area with "), "names", F.lit("?")), F.col("right"), F.col("w"), 12)
 
 
-@query("m13_type2aoi", f"""WITH lu(code, label) AS (VALUES {_LU}), {_REPS(13)}, g AS (SELECT aoi_id FROM rp GROUP BY 1 HAVING count(*) >= 2), a AS (SELECT aoi.aoi_id, land_use, name FROM aoi JOIN g USING (aoi_id)), same AS (SELECT land_use, list(DISTINCT name) AS own FROM a GROUP BY 1), j AS (SELECT * FROM a JOIN same USING (land_use)),
- {pool_sql('SELECT name AS item FROM a', 13)}, {draw_sql('j', 'aoi_id', 's.own', 3, 13)}, src AS (SELECT j.*, w, label FROM j JOIN drawn USING (aoi_id) JOIN lu ON code = land_use), {asked_sql('src', 'aoi_id', "concat('Which area is ', label, '?')", 'name', 'w', 13)} /* attached */""")
+@query("m13_type2aoi", f"""WITH lu(code, label) AS (VALUES {_LU}), {_REPS(13)}, g AS (SELECT aoi_id FROM rp GROUP BY 1 HAVING count(*) >= 2), a AS (SELECT aoi.aoi_id, land_use, name FROM aoi JOIN g USING (aoi_id)),
+ {pool_sql("SELECT concat(land_use, '|', name) AS item FROM a", 13)}, cand AS (SELECT a.aoi_id, substr(item, strpos(item, '|') + 1) AS o, md5(concat_ws('#', a.aoi_id, item, '13')) AS h FROM a JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', a.aoi_id, '13')), 1, 8))::BIGINT % 16 WHERE split_part(item, '|', 1) <> a.land_use),
+ src AS (SELECT a.aoi_id, name, label, w FROM a JOIN lu ON code = land_use JOIN (SELECT aoi_id, (list(o ORDER BY h, o))[1:3] AS w FROM cand GROUP BY 1) USING (aoi_id)), {asked_sql('src', 'aoi_id', "concat('Which area is ', label, '?')", 'name', 'w', 13)} /* attached */""")
 def type2aoi(t: Tables):
+    """An area of a land use against areas of others; pool items carry their land use."""
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 13).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    a = t.aoi.join(r, "aoi_id").select("aoi_id", "land_use", "name")
-    same = a.groupBy("land_use").agg(F.array_sort(F.collect_set("name")).alias("same"))
-    d = with_pool(a.join(F.broadcast(same), "land_use"), "aoi_id", a, "name", 13)
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.col("same"), 3, 13)), "aoi_id", F.concat(F.lit("Which area is "), landuse_name(F.col("land_use")), F.lit("?")), F.col("name"), F.col("w"), 13)
+    a = t.aoi.join(r, "aoi_id").select("aoi_id", "land_use", "name", landuse_name(F.col("land_use"), EVAL_LAND_USE).alias("label"), F.concat_ws("|", "land_use", "name").alias("item"))
+    d = with_pool(a.where("label is not null"), "aoi_id", a, "item", 13)
+    other = F.filter("pool", lambda x: F.split(x, r"\|")[0] != F.col("land_use"))
+    w = F.transform(drawn(other, F.col("aoi_id"), F.array().cast("array<string>"), 3, 13), lambda x: F.regexp_extract(x, r"\|(.*)", 1))
+    return asked(d.withColumn("w", w), "aoi_id", F.concat(F.lit("Which area is "), "label", F.lit("?")), F.col("name"), F.col("w"), 13)
 
 
 _FMT = coord_sql
 
 
-@query("m14_poi2coor", f"WITH f AS (SELECT name FROM poi GROUP BY name HAVING count(*) <= 10), p AS (SELECT * FROM poi JOIN f USING (name)), {mcq_sql('p', 'poi_id', "concat('Where is ', name, '?')", [_FMT('lng', 'lat'), _FMT('lng + 0.01', 'lat'), _FMT('lng - 0.01', 'lat'), _FMT('lng', 'lat + 0.01'), _FMT('lng', 'lat - 0.01')], 14)}")
+@query("m14_poi2coor", f"WITH f AS (SELECT name FROM poi GROUP BY name HAVING count(*) <= 10), p AS (SELECT * FROM poi JOIN f USING (name)), {mcq_sql('p', 'poi_id', "concat('Where is ', name, '?')", [_FMT('lng', 'lat'), _FMT('lng - 0.01', 'lat - 0.01'), _FMT('lng - 0.01', 'lat + 0.01'), _FMT('lng + 0.01', 'lat - 0.01'), _FMT('lng + 0.01', 'lat + 0.01')], 14)}")
 def poi2coor(t: Tables):
     rare = t.poi.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n <= 10").select("name")
     return asked(t.poi.join(rare, "name"), "poi_id", F.concat(F.lit("Where is "), "name", F.lit("?")), coord_text(F.col("lng"), F.col("lat")), coord_distractors(F.col("lng"), F.col("lat")), 14)
 
 
-@query("m15_poi2addr")
+@query("m15_poi2addr", f"""WITH {ADDR}, ap AS (SELECT p.poi_id, p.name, p.x, p.y, address FROM attached p JOIN addr USING (aoi_id)), nr AS (SELECT DISTINCT a.poi_id, a.name, a.address, b.address AS near FROM ap a JOIN ap b ON abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500 AND a.address <> b.address WHERE sqrt((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y)) <= 500),
+ src AS (SELECT poi_id, name, address, (list_sort(list(near)))[1:4] AS ws_ FROM nr GROUP BY 1, 2, 3 HAVING count(*) >= 2), {asked_sql('src', 'poi_id', "concat('What is the address of ', name, '?')", 'address', 'ws_', 15)} /* aoi lane road */""")
 def poi2addr(t: Tables):
     a = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id", "x", "y", F.col("name").alias("poi")).join(address_rows(t).select("aoi_id", "address"), "aoi_id")
     near = spatial.within(a.select(F.col("poi_id").alias("center_id"), F.col("x").alias("cx"), F.col("y").alias("cy")), a.select("poi_id", "x", "y", F.col("address").alias("near")), 500.0)
@@ -262,14 +292,14 @@ def poi2type(t: Tables):
     return asked(d.withColumn("w", drawn(F.col("pool"), F.col("category"), F.array("category"), 4, 16)).withColumn("key", F.col("category")), "key", F.concat(F.lit("What kind are "), "names", F.lit("?")), F.col("category"), F.col("w"), 16)
 
 
-@query("m17_type2poi")
+@query("m17_type2poi", f"""WITH c AS (SELECT category, min(name) AS r FROM poi GROUP BY 1), {pool_sql("SELECT concat(category, '|', name) AS item FROM poi", 17)}, w AS (SELECT category, (list(split_part(item, '|', 2) ORDER BY pk))[1:4] AS ws_ FROM c JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', category, '17')), 1, 8))::BIGINT % 16 WHERE split_part(item, '|', 1) <> category GROUP BY 1),
+ src AS (SELECT category AS key, category, r, ws_ FROM c JOIN w USING (category)), {asked_sql('src', 'key', "concat('Which place is ', category, '?')", 'r', 'ws_', 17)}""")
 def type2poi(t: Tables):
     c = t.poi.groupBy("category").agg(F.min("name").alias("right"))
-    pool = pooled(t.poi.select(F.to_json(F.struct("category", "name")).alias("item")), "item", seed=17)
-    shard = F.pmod(F.xxhash64("category"), F.lit(16))
-    d = c.withColumn("shard", shard).join(F.broadcast(pool), "shard")
-    other = F.filter(F.transform("pool", lambda j: F.from_json(j, "category string, name string")), lambda s: s["category"] != F.col("category"))
-    return asked(d.withColumn("w", F.slice(F.transform(other, lambda s: s["name"]), 1, 4)), "category", F.concat(F.lit("Which place is "), "category", F.lit("?")), F.col("right"), F.col("w"), 17)
+    d = with_pool(c, "category", t.poi.select(F.concat_ws("|", "category", "name").alias("item")), "item", 17)
+    other = F.filter("pool", lambda x: F.split(x, r"\|")[0] != F.col("category"))
+    w = F.slice(F.transform(other, lambda x: F.split(x, r"\|")[1]), 1, 4)
+    return asked(d.withColumn("w", w).withColumn("key", F.col("category")), "key", F.concat(F.lit("Which place is "), "category", F.lit("?")), F.col("right"), F.col("w"), 17)
 
 
 @query("m18_aoi_poi", f"""WITH g AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS own FROM attached GROUP BY 1), {pool_sql('SELECT name AS item FROM poi', 18)}, {draw_sql('g', 'aoi_id', 's.own', 3, 18)}, src AS (SELECT aoi_id, own[1] AS r, w FROM g JOIN drawn USING (aoi_id)),

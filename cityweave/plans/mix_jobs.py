@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keyed
 from ..operators import dialogues, sampling, sequences
-from .base import Tables, md5_sql, query
+from .base import Tables, md5_sql, number_sql, query
 
 
-@query("w13_stratified_cap", f"SELECT doc_id, data_source FROM (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY {md5_sql('doc_id', seed=1)}, doc_id) AS k FROM sft WHERE data_source <> 'src19') WHERE k <= 20")
+@query("w13_stratified_cap", f"SELECT doc_id, data_source FROM (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY {md5_sql('doc_id', seed=1)}, doc_id) AS k FROM sft WHERE data_source IS DISTINCT FROM 'src19') WHERE k <= 20")
 def capped(t: Tables):
     return sampling.stratified_cap(t.sft, "data_source", 20, "doc_id", ("src19",), seed=1).select("doc_id", "data_source")
 
@@ -31,7 +31,15 @@ def styles(t: Tables):
     return sampling.style_segments(t.sft, 8, "doc_id", seed=4).select("doc_id", F.col("style").cast("long"))
 
 
-@query("w18_aoi_groups")
+def groups_sql(areas: str, per_size: int, seed: int) -> str:
+    """The SQL twin of sampling.aoi_groups(): grp (group_id, size, ids)."""
+    return f"""gs AS (SELECT aoi_id, size, {number_sql(64, 'aoi_id', 'size', seed=seed)} AS shard FROM ({areas}), (SELECT unnest(range(1, 6)) AS size)),
+ gn AS (SELECT *, (row_number() OVER (PARTITION BY size, shard ORDER BY {md5_sql('aoi_id', 'size', "'order'", seed=seed)}, aoi_id) - 1) // size AS no FROM gs),
+ gl AS (SELECT size, list_sort(list(aoi_id)) AS ids FROM gn GROUP BY size, shard, no HAVING count(*) = size),
+ grp AS (SELECT concat(size, '-', rank) AS group_id, size, ids FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY {md5_sql('size', "array_to_string(ids, '_')", seed=seed)}) AS rank FROM gl) WHERE rank <= {per_size})"""
+
+
+@query("w18_aoi_groups", f"WITH {groups_sql('SELECT aoi_id FROM aoi', 10, 8)} SELECT group_id, size, array_to_string(ids, ',') AS aoi_ids FROM grp")
 def groups(t: Tables):
     g = sampling.aoi_groups(t.aoi, 10, seed=8)
     return g.select("group_id", "size", F.array_join(F.transform("aoi_ids", lambda x: x.cast("string")), ",").alias("aoi_ids"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import contains, dist_xy
 from ..functions.text import keyed, top_category
 from ..operators import sampling, spatial
-from .base import Tables, md5_sql, query
+from .base import Tables, md5_sql, number_sql, query
 
 BBOX = (116.02, 39.92, 116.08, 39.98)
 RING = ((2000.0, 2000.0), (8000.0, 2000.0), (8000.0, 8000.0), (2000.0, 8000.0))
@@ -142,18 +142,30 @@ def reps(t: Tables):
     return sampling.representatives(spatial.attach_pois(t.poi, t.aoi), seed=5).select("aoi_id", "category", "poi_id")
 
 
-@query("j15_negatives")
+def negatives_sql(keys: str, key: str, items: str, item: str, positives: str, k: int, seed: int) -> str:
+    """The SQL twin of sampling.negatives(); the arguments are SELECTs of those columns."""
+    return f"""ng_item AS (SELECT {item}, row_number() OVER (ORDER BY {md5_sql(item, seed=seed)}, {item}) - 1 AS no FROM (SELECT DISTINCT {item} FROM ({items}))),
+ ng_own AS (SELECT DISTINCT {key}, {item} FROM ({positives})), ng_n AS (SELECT count(*) AS total FROM ng_item),
+ ng_key AS (SELECT {key}, total, least(total, {k} + (SELECT count(*) FROM ng_own o WHERE o.{key} = q.{key})) AS n_draw, {number_sql('total', key, "'start'", seed=seed)} AS start_ FROM (SELECT DISTINCT {key} FROM ({keys})) q, ng_n),
+ ng_draw AS (SELECT {key}, unnest(list_transform(range(n_draw), lambda i: (start_ + i) % total)) AS no FROM ng_key),
+ neg AS (SELECT * FROM (SELECT {key}, {item}, row_number() OVER (PARTITION BY {key} ORDER BY {md5_sql(key, item, seed=seed)}, {item}) AS rank FROM ng_draw JOIN ng_item USING (no) ANTI JOIN ng_own USING ({key}, {item})) WHERE rank <= {k})"""
+
+
+@query("j15_negatives", f"WITH {negatives_sql('SELECT aoi_id FROM aoi', 'aoi_id', 'SELECT poi_id FROM poi', 'poi_id', 'SELECT aoi_id, poi_id FROM attached', 5, 2)} SELECT aoi_id, poi_id, rank FROM neg")
 def outsiders(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).select("aoi_id", "poi_id")
     return sampling.negatives(t.aoi.select("aoi_id"), "aoi_id", t.poi, "poi_id", inside, 5, seed=2).select("aoi_id", "poi_id", F.col("rank").cast("long"))
 
 
-@query("j16_walk_tasks")
+_WALKS = negatives_sql("SELECT aoi_id AS start_aoi FROM aoi", "start_aoi", "SELECT aoi_id AS dest_aoi FROM aoi", "dest_aoi", "SELECT aoi_id AS start_aoi, aoi_id AS dest_aoi FROM aoi", 500, 4)
+
+
+@query("j16_walk_tasks", f"WITH {_WALKS}, one AS (SELECT aoi_id, first(poi_id ORDER BY {md5_sql('poi_id', seed=4)}, poi_id) AS poi FROM attached GROUP BY aoi_id) SELECT start_aoi, dest_aoi, a.poi AS start_poi, b.poi AS dest_poi FROM neg JOIN one a ON a.aoi_id = start_aoi JOIN one b ON b.aoi_id = dest_aoi /* aoi */")
 def walks(t: Tables):
-    """Start and destination areas, at most 20 destinations a start, one point each side."""
+    """Start and destination areas, at most 500 destinations a start, one point each side."""
     a = t.aoi.select(F.col("aoi_id").alias("start_aoi"))
     own = a.select("start_aoi", F.col("start_aoi").alias("dest_aoi"))
-    pairs = sampling.negatives(a, "start_aoi", t.aoi.select(F.col("aoi_id").alias("dest_aoi")), "dest_aoi", own, 20, seed=4)
+    pairs = sampling.negatives(a, "start_aoi", t.aoi.select(F.col("aoi_id").alias("dest_aoi")), "dest_aoi", own, 500, seed=4)
     one = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.min(F.struct(keyed(F.col("poi_id"), seed=4).alias("h"), "poi_id")).alias("m")).select("aoi_id", F.col("m.poi_id").alias("poi"))
     got = pairs.join(one.select(F.col("aoi_id").alias("start_aoi"), F.col("poi").alias("start_poi")), "start_aoi")
     return got.join(one.select(F.col("aoi_id").alias("dest_aoi"), F.col("poi").alias("dest_poi")), "dest_aoi").select("start_aoi", "dest_aoi", "start_poi", "dest_poi")

@@ -41,7 +41,9 @@ def distance_and_angle(t: Tables):
     f"""WITH {_PAIR}, a AS (SELECT *, {_AZ} AS az FROM pair), d AS (SELECT *, {_D8.format('az')} AS d8, {_D4.format('az')} AS d4 FROM a)
 SELECT poi_id, d8, d4, concat('from ', CASE d4 WHEN 'north' THEN 'south' WHEN 'south' THEN 'north' WHEN 'east' THEN 'west' ELSE 'east' END, ' to ', d4) AS phrase,
   CASE WHEN d4 IN ('east','west') THEN 'south-north' ELSE 'east-west' END AS axis,
-  CASE WHEN x2 = x1 AND y2 = y1 THEN 'same point' ELSE concat(CASE WHEN y2 > y1 THEN 'north' WHEN y2 < y1 THEN 'south' ELSE '' END, CASE WHEN x2 > x1 THEN 'east' WHEN x2 < x1 THEN 'west' ELSE '' END) END AS quadrant FROM d""",
+  CASE WHEN x2 = x1 AND y2 = y1 THEN 'same point' WHEN x2 = x1 THEN CASE WHEN y2 > y1 THEN 'north' ELSE 'south' END WHEN y2 = y1 THEN CASE WHEN x2 > x1 THEN 'east' ELSE 'west' END
+   WHEN y2 > y1 AND degrees(atan(abs((y2 - y1)/(x2 - x1)))) >= 45 THEN 'north' WHEN y2 < y1 AND degrees(atan(abs((y2 - y1)/(x2 - x1)))) <= 45 THEN CASE WHEN x2 > x1 THEN 'east' ELSE 'west' END
+   ELSE concat(CASE WHEN y2 > y1 THEN 'north' ELSE 'south' END, CASE WHEN x2 > x1 THEN 'east' ELSE 'west' END) END AS quadrant FROM d""",
 )
 def directions(t: Tables):
     c = F.col
@@ -53,12 +55,12 @@ def directions(t: Tables):
 @query(
     "g9_g10_g17_g18_grids_and_rounding",
     f"""SELECT poi_id, trunc((x - 5000)/10)::BIGINT AS gx, (floor((x + 100)/250)*88 + floor((y + 100)/250))::BIGINT AS grid,
-  CASE WHEN round_even(x/50, 0) = 0 THEN 'within 50m' ELSE concat((round_even(x/50, 0)::BIGINT*50)::VARCHAR, 'm') END AS near50, (floor(y/100)*100)::BIGINT AS down100, {coord_sql('lng', 'lat')} AS coord FROM poi""",
+  CASE WHEN round_even(x/50, 0) = 0 THEN 'within 50m' ELSE concat((round_even(x/50, 0)::BIGINT*50)::VARCHAR, 'm') END AS near50, (floor(y/100)*100)::BIGINT AS down100, {coord_sql('lng', 'lat')} AS coord, concat_ws(' / ', {', '.join(coord_sql(f'lng {a} 0.01', f'lat {b} 0.01') for a in '-+' for b in '-+')}) AS around FROM poi""",
 )
 def grids(t: Tables):
     c = F.col
     gx, _ = geo.grid_lnglat(F.lit(5000.0), F.lit(0.0), c("x"), c("y"), 10.0)
-    return t.poi.select("poi_id", gx.alias("gx"), geo.grid_xy(c("x"), c("y"), -100.0, -100.0).alias("grid"), geo.round50_text(c("x")).alias("near50"), geo.floor100(c("y")).alias("down100"), geo.coord_text(c("lng"), c("lat")).alias("coord"))
+    return t.poi.select("poi_id", gx.alias("gx"), geo.grid_xy(c("x"), c("y"), -100.0, -100.0).alias("grid"), geo.round50_text(c("x")).alias("near50"), geo.floor100(c("y")).alias("down100"), geo.coord_text(c("lng"), c("lat")).alias("coord"), F.array_join(geo.coord_distractors(c("lng"), c("lat")), " / ").alias("around"))
 
 
 @query(
@@ -103,12 +105,12 @@ def clock(t: Tables):
     return e.select("event_id", F.date_format(timefns.round_half_hour(ts.cast("timestamp")), "yyyy-MM-dd HH:mm").alias("half_hour"), timefns.day_type(ts).alias("day_type"), F.round(timefns.day_fraction(F.col("clock")), 6).alias("fraction"), later.alias("later"), over.alias("next_day"), timefns.travel_minutes(F.col("value") * 100).alias("travel"))
 
 
-@query("t1_t3_categories", "SELECT a.aoi_id, a.land_use, CASE a.land_use WHEN 'R' THEN 'residential' WHEN 'B' THEN 'commercial and business facilities' WHEN 'M' THEN 'industrial' WHEN 'W' THEN 'logistics and warehouse' WHEN 'S' THEN 'road, street and transportation' WHEN 'U' THEN 'municipal utilities' WHEN 'G' THEN 'green space and square' WHEN 'A' THEN 'administration and public services' WHEN 'E1' THEN 'water' WHEN 'E2' THEN 'agricultural and forest' WHEN 'E3' THEN 'other non-construction' WHEN 'H' THEN 'construction' WHEN 'A3' THEN 'education and research' END AS land_use_name, string_agg(DISTINCT split_part(p.category, ' > ', 1), '|' ORDER BY split_part(p.category, ' > ', 1)) AS labels FROM aoi a JOIN attached p USING (aoi_id) GROUP BY a.aoi_id, a.land_use")
+@query("t1_t3_categories", "SELECT a.aoi_id, a.land_use, CASE a.land_use WHEN 'E3' THEN 'OtherNon-construction' WHEN 'R' THEN 'Residential' WHEN 'S4' THEN 'TrafficStation&Park' WHEN 'A4' THEN 'Sports' WHEN 'B31' THEN 'Entertainment' WHEN 'B1' THEN 'CommercialFacilities' WHEN 'U9' THEN 'OtherPublicFacilities' WHEN 'A3' THEN 'Education' WHEN 'G1' THEN 'Park&GreenLand' WHEN 'B' THEN 'CommercialService&IndustryFacilities' WHEN 'B32' THEN 'Resort&Fitness' WHEN 'B13' THEN 'Restaurant&Bar' WHEN 'A9' THEN 'ReligiousFacilities' WHEN 'A5' THEN 'Hospital' END AS land_use_name, a.land_use <> 'B1' AS evaluated, string_agg(DISTINCT split_part(p.category, ' > ', 1), '|' ORDER BY split_part(p.category, ' > ', 1)) AS labels FROM aoi a JOIN attached p USING (aoi_id) GROUP BY a.aoi_id, a.land_use")
 def categories(t: Tables):
     from ..operators.spatial import attach_pois
 
     inside = attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.array_sort(F.collect_set(text.top_category(F.col("category")))).alias("labels"))
-    return t.aoi.join(inside, "aoi_id").select("aoi_id", "land_use", text.landuse_name(F.col("land_use")).alias("land_use_name"), text.join_labels(F.col("labels")).alias("labels"))
+    return t.aoi.join(inside, "aoi_id").select("aoi_id", "land_use", text.landuse_name(F.col("land_use")).alias("land_use_name"), text.landuse_name(F.col("land_use"), text.EVAL_LAND_USE).isNotNull().alias("evaluated"), text.join_labels(F.col("labels")).alias("labels"))
 
 
 def address_rows(t: Tables):

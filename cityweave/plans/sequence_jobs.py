@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, routes
 from ..operators import sequences, spatial
-from .base import Tables, query
+from .base import Tables, number_sql, query
 
 
 @query("w1_step_distances", "SELECT traj_id, seq, round(d, 6) AS distance FROM (SELECT traj_id, seq, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS d FROM visit WINDOW w AS (PARTITION BY traj_id ORDER BY seq)) WHERE d IS NOT NULL")
@@ -68,12 +68,18 @@ def merge(t: Tables):
     return merged_routes(t).select("route_id", F.array_join(text, "").alias("stretches"))
 
 
-@query("w8_narrate_route")
+NARRATED = f"""{_MERGE}, stretch AS (SELECT route_id, list_filter(string_split(concat(done, CASE WHEN len >= 300 THEN concat(name, '/', dir, '/', len, ';') ELSE '' END), ';'), lambda x: x <> '') AS l FROM ended WHERE r = 1),
+ told AS (SELECT route_id, list_transform(l, lambda x, i: concat(CASE WHEN i > 1 THEN concat('at the junction turn into ', split_part(x, '/', 1), ', ') ELSE '' END, 'walk along ', split_part(x, '/', 1), ' for ', split_part(x, '/', 3), ' meters ', split_part(x, '/', 2))) AS parts FROM stretch)"""
+
+
+@query("w8_narrate_route", f"WITH RECURSIVE {NARRATED} SELECT route_id, array_to_string(parts, '; ') AS text FROM told /* step */")
 def narrated(t: Tables):
     return merged_routes(t).select("route_id", sequences.narrate(F.col("merged")).alias("text"))
 
 
-@query("w9_step_landmarks")
+@query("w9_step_landmarks", """WITH sn AS (SELECT DISTINCT route_id, aoi_id FROM step), nr AS (SELECT a.aoi_id, a.cx, a.cy, p.poi_id, p.x, p.y, sqrt((p.x - a.cx)*(p.x - a.cx) + (p.y - a.cy)*(p.y - a.cy)) AS d FROM aoi a JOIN poi p ON abs(p.x - a.cx) <= 200 AND abs(p.y - a.cy) <= 200),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY d, poi_id) AS rank FROM nr WHERE d <= 200), v AS (SELECT sn.route_id, rk.*, (b.x - cx)*(rk.y - cy) - (b.y - cy)*(rk.x - cx) AS side FROM sn JOIN rk USING (aoi_id) JOIN ends e ON e.route_id = sn.route_id JOIN poi b ON b.poi_id = e.dest_id WHERE rank <= 3)
+SELECT concat(route_id, '-', aoi_id) AS center_id, rank, poi_id, CASE WHEN side > 0 THEN 'left' WHEN side < 0 THEN 'right' ELSE 'on the line' END AS side FROM v /* lane road */""")
 def landmarks(t: Tables):
     """The three nearest points within 200 m of each step's area centre, with their
     side of the heading to the destination."""
@@ -142,7 +148,9 @@ def user_sets(t: Tables):
     return t.visit.groupBy("user_id").agg(F.count_distinct("traj_id").alias("trajectories"), F.count_distinct("loc_id").alias("places"), F.count(F.lit(1)).alias("visits"))
 
 
-@query("t20_drop_step")
+@query("t20_drop_step", f"""WITH f AS (SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY no, road_id, aoi_id, road_length) - 1 AS i, concat('walk along ', road_name, ' for ', road_length, ' meters ', direction) AS p, count(*) OVER (PARTITION BY route_id) AS n FROM step),
+ d AS (SELECT *, {number_sql(1 << 30, 'route_id', seed=6)} % n AS gone FROM f WHERE n > 1)
+SELECT route_id, string_agg(CASE WHEN i <> gone THEN p END, ', ' ORDER BY i) AS lacking, string_agg(p, ', ' ORDER BY md5(concat_ws('#', route_id, i))) AS scrambled, max(CASE WHEN i = gone THEN p END) AS missing FROM d GROUP BY route_id /* lane road */""")
 def dropped(t: Tables):
     """Route text without one step, and in scrambled order, both drawn by hash."""
     from ..functions.text import keyed_number

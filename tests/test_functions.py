@@ -20,7 +20,9 @@ def test_angles_and_directions(spark):
     assert one(spark, *(geo.azimuth_xy(*lit(0, 0, x, y)) for x, y in ((1, 0), (0, 1), (-1, 0), (0, -1)))) == (90, 0, 270, 180)
     assert one(spark, *(geo.dir8(F.lit(a)) for a in (22.5, 22.49, 337.5, 180.0))) == ("northeast", "north", "north", "south")
     assert one(spark, *(geo.dir4(F.lit(a)) for a in (45.0, 315.0, 135.0, 225.0))) == ("east", "north", "south", "west")
-    assert one(spark, geo.dir_phrase(F.lit("north")), geo.road_axis(F.lit("east")), geo.quadrant_dir(*lit(1, -1)), geo.quadrant_dir(*lit(0, 0)), geo.quadrant_dir(*lit(3, 0))) == ("from south to north", "south-north", "southeast", "same point", "east")
+    assert one(spark, geo.dir_phrase(F.lit("north")), geo.road_axis(F.lit("east")), geo.quadrant_dir(*lit(1, -1)), geo.quadrant_dir(*lit(0, 0)), geo.quadrant_dir(*lit(3, 0))) == ("from south to north", "south-north", "east", "same point", "east")
+    cut = {(1, 9): "north", (9, 1): "northeast", (-9, 1): "northwest", (1, -9): "southeast", (-1, -9): "southwest", (-9, -1): "west", (0, -1): "south"}
+    assert one(spark, *(geo.quadrant_dir(*lit(*d)) for d in cut)) == tuple(cut.values())
 
 
 def test_rounding_and_grids(spark):
@@ -74,7 +76,8 @@ def test_addresses(spark):
 
 
 def test_answers(spark):
-    said = {"The answer is B": "B", "Answer: c": "C", "(D) because": "D", "I think option E is right": "E", "": "Z", "none of these": "Z", "A": "A"}
+    said = {"The answer is B": "B", "Answer: C": "C", "The answer is a hotel, D": "D", "E is right": "E", "": "Z", "none of these": "Z", "A": "A", "x\n F": "F"}
+    said |= {"The answer is not A": "Z", "A nice place near the river": "Z", "A is wrong. B is correct": "B", "A or B? I would choose B": "B", "B isn't right": "Z", "B, since it is near": "B"}
     assert one(spark, *(text.extract_choice(F.lit(s)) for s in said)) == tuple(said.values())
     assert one(spark, text.first_int(F.lit("no")), text.first_int(F.lit("a 12 b 345")), text.longest_int(F.lit("a 12 b 345")), text.route_length(F.lit("x for 10 meters, y for 32 meters")), text.task_type(F.lit("beijing-poi2addr-17"))) == (-1, 12, 345, 42, "poi2addr")
     assert one(spark, text.parse_score(F.lit("Score: 7.5")), text.parse_score(F.lit("Score: x"))) == (7.5, None)

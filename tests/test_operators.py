@@ -66,6 +66,8 @@ def test_stratified_cap_is_exact(spark):
     got = sampling.stratified_cap(df, "key", 30, "id", seed=1)
     counts = {r.key: r["count"] for r in got.groupBy("key").count().collect()}
     assert counts == {"few": 30, "hot": 30}
+    odd = df.union(spark.range(9000, 9003).select("id", F.lit(None).cast("string")))
+    assert {r.key: r["count"] for r in sampling.stratified_cap(odd, "key", 30, "id", ("few",)).groupBy("key").count().collect()} == {"hot": 30, None: 3}
     again = sampling.stratified_cap(df.repartition(7), "key", 30, "id", seed=1)
     assert {r.id for r in got.collect()} == {r.id for r in again.collect()}
 
@@ -76,7 +78,9 @@ def test_negatives_are_never_positives(spark):
     positives = keys.crossJoin(items.where("i % 3 = 0"))
     got = sampling.negatives(keys, "k", items, "i", positives, 4)
     rows = got.collect()
-    assert rows and all(r.i % 3 for r in rows) and max(r["rank"] for r in rows) <= 4
+    assert all(r.i % 3 for r in rows) and sorted((r.k, r["rank"]) for r in rows) == [(k, r) for k in range(20) for r in range(1, 5)]
+    few = sampling.negatives(keys, "k", items, "i", keys.crossJoin(items.where("i <> 7")), 4).collect()
+    assert sorted((r.k, r.i) for r in few) == [(k, 7) for k in range(20)]
 
 
 def test_mcq_answer_is_by_place(spark):
