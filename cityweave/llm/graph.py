@@ -53,15 +53,15 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the neighbours of every node on its least neighbour, first
     the larger ones, then the smaller ones, until the edges are stars.  Rounds grow
-    with the logarithm of the diameter; minima are pre-aggregated, so a hub does
-    not gather in one task."""
+    with the logarithm of the diameter.  Minima are pre-aggregated and written before
+    the join, so that Spark can split the join at a hub (adaptive skew joins)."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = materialize(e, "edges")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
     seen = mark(e)
     while seen[0]:
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         large = materialize(large, "edges")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -69,6 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = materialize(hung.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(e)
         discard(large)
+        discard(least)
         e, now = small, mark(small)
         if now == seen:
             break

@@ -8,13 +8,16 @@
 3. The global order is (frequency, hash).  A set of n shingles that has a partner
    of the wanted similarity shares one of its first n - ceil(t n) + 1 shingles with
    it, so sets whose prefix is all unshared are done.  The rest post their prefix.
-4. Sets that meet at a posted shingle, directly or over others, form a candidate
-   group.  A group is cut into blocks of at most BLOCK shingles and each pair of
-   blocks goes to a task of its own, so a large group is spread out.
-5. In a task, the sets of one block stand in a prefix tree: sorted sequences, where
-   neighbours share the path of their common prefix.  One walk down the tree keeps
-   the overlap with all sets of the other block at once, and leaves a subtree as
-   soon as the remaining length cannot make up what is missing.
+4. Sets that meet at a posted shingle, directly or over others, lie together in one
+   task if they hold at most BLOCK shingles.  A larger group is parted: two sets that
+   meet at a shingle posted by at most LIGHT sets are compared as a pair; sets that
+   meet at shingles posted by more form groups of their own, cut into blocks of
+   about BLOCK shingles, and each pair of blocks goes to a task of its own.  So chains
+   of sets that share little are never compared all with all.
+5. In a task, the sets of one block stand in a prefix tree: the walk goes from a range
+   of sorted sequences to the ranges that go on with the same shingle.  A node holds
+   the overlap with those sets of the other block that can still reach what they
+   need with the longest set below the node; when none can, the subtree is left.
 6. Links become components.  Texts with the same set are one class from step 3 on,
    so copies are never compared with each other.
 
@@ -33,13 +36,18 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, shuffle_partitions, small_batches
 from .graph import UnionFind, components, forest_edges
+from .pretokens import taken
 from .shingles import fingerprint, shingle_sets
 from .streams import runs
 
 #: Shingles that a writer gathers before it sends blobs, and documents at most.
 CHUNK, CHUNK_DOCS = 1 << 20, 60_000
 #: Shingles of a block in a candidate group.
-BLOCK = 200_000
+BLOCK = 100_000
+#: Sets at a shingle of a large group up to which they are compared in pairs.
+LIGHT = 8
+#: Shingles of a path that are taken at a time.
+STEP = 64
 
 
 def prefix_length(n, percent: int):
@@ -161,67 +169,109 @@ class Block:
 def tree_join(left: Block, right: Block | None, percent: int) -> list[tuple[int, int]]:
     """Pairs of left x right (or inside left) with Jaccard >= percent / 100.
 
-    The sets' shingles are numbered in an order that all sets share."""
+    The sets' shingles stand in an order that all sets share."""
     other = right or left
     numbers, where = np.unique(np.concatenate(left.sets), return_inverse=True)
     ends = np.cumsum([0, *map(len, left.sets)])
-    # numbers of the global order: rank by first place would not be consistent, so
-    # sequences keep the order they came in and are compared by their numbers
     seqs = [where[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    member = np.zeros((len(numbers), len(other.sets)), np.uint8)
-    for q, s in enumerate(other.sets):
-        at = np.searchsorted(numbers, s)
-        at[at == len(numbers)] = 0
-        member[at[numbers[at] == s], q] = 1
+    # the sets of the other block at each shingle
+    flat = np.concatenate(other.sets)
+    at = np.minimum(np.searchsorted(numbers, flat), len(numbers) - 1)
+    met = numbers[at] == flat
+    owner = np.repeat(np.arange(len(other.sets)), [len(s) for s in other.sets])[met]
+    by = np.argsort(at[met], kind="stable")
+    owner, first = owner[by], np.searchsorted(at[met][by], np.arange(len(numbers) + 1))
     order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
-    length = np.array([len(s) for s in other.sets], np.int64)
+    seqs = [seqs[i] for i in order]
+    length, size = np.array([len(s) for s in seqs]), left.sizes[order]
+    n = len(other.sets)
+
+    def need(own: int, ids: np.ndarray) -> np.ndarray:  # 100 o >= percent (a + b - o)
+        return -(-percent * (own + other.sizes[ids]) // (100 + percent))
+
+    smallest = int(other.sizes.min())
     found: list[tuple[int, int]] = []
-    stack: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(other.sets), np.int64))]
-    previous: np.ndarray | None = None
-    for i in order:
-        seq, size = seqs[i], int(left.sizes[i])
-        if previous is not None:
-            m = min(len(previous), len(seq))
-            differ = np.flatnonzero(previous[:m] != seq[:m])
-            common = int(differ[0]) if len(differ) else m
-            while stack[-1][0] > common:
-                stack.pop()
-            depth, overlap = stack[-1]
-            if depth < common:
-                stack.append((common, overlap + member[seq[depth:common]].sum(axis=0, dtype=np.int64)))
-        previous = seq
-        # overlap needed: 100 o >= percent (a + b - o)
-        need = -(-percent * (size + other.sizes) // (100 + percent))
-        depth, overlap = stack[-1]
-        alive = np.minimum(length, len(seq)) >= need
-        while depth < len(seq):
-            alive &= overlap + (len(seq) - depth) >= need
-            if not alive.any():
+    none = np.empty(0, np.int64)
+    stack = [(0, len(seqs), 0, none, none)]
+    while stack:
+        lo, hi, depth, ids, count = stack.pop()
+        path, last = seqs[lo], seqs[hi - 1]
+        shared = min(len(path), len(last))
+        differ = np.flatnonzero(path[:shared] != last[:shared])
+        shared = int(differ[0]) if len(differ) else shared
+        longest, least = int(length[lo:hi].max()), int(size[lo:hi].min())
+        enter = -(-percent * (least + smallest) // (100 + percent))
+        while depth < shared:
+            some = path[depth : min(shared, depth + STEP)]
+            sizes = first[some + 1] - first[some]
+            got = taken(owner, first[some], sizes)
+            if longest - depth < enter:  # too late for sets that were not met before
+                place = np.searchsorted(ids, got)
+                place = place[(place < len(ids)) & (ids[np.minimum(place, len(ids) - 1)] == got)] if len(ids) else none
+                count = count + np.bincount(place, minlength=len(ids)) if len(ids) else count
+            elif 8 * (len(got) + len(ids)) < n:
+                ids, place = np.unique(np.concatenate((ids, got)), return_inverse=True)
+                count = np.bincount(place, np.concatenate((count, np.ones(len(got), np.int64))), len(ids)).astype(np.int64)
+            else:
+                dense = np.bincount(got, minlength=n)
+                dense[ids] += count
+                ids = np.flatnonzero(dense)
+                count = dense[ids]
+            depth += len(some)
+            alive = count + (longest - depth) >= need(least, ids)
+            ids, count = ids[alive], count[alive]
+            if not len(ids) and longest - depth < enter:
                 break
-            step = min(len(seq), depth + 128)
-            overlap = overlap + member[seq[depth:step]].sum(axis=0, dtype=np.int64)
-            depth = step
-        else:
-            hit = np.flatnonzero(alive & (overlap >= need))
-            found += [(i, int(q)) for q in hit if right is not None or q > i]
+        if depth < shared or not len(ids) and longest - depth < enter:
+            continue
+        while lo < hi and length[lo] == shared:  # sets that end here
+            hit = ids[count >= need(int(size[lo]), ids)]
+            found += [(order[lo], q) for q in hit.tolist() if right is not None or q > order[lo]]
+            lo += 1
+        if lo < hi:
+            heads = np.array([s[shared] for s in seqs[lo:hi]])
+            cuts = [lo, *(np.flatnonzero(heads[1:] != heads[:-1]) + lo + 1).tolist(), hi]
+            stack += [(a, b, shared, ids, count) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return found
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of the links among (id, n, unshared, shared)."""
-    spark = sets.sparkSession
-    n = shuffle_partitions(spark)
+    """Edges (a, b) among (id, n, unshared, shared) that span what its links join."""
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - F.col("unshared")
-    posted = sets.withColumn("pre", prefix.cast("int")).select("id", F.explode(F.expr("slice(shared, 1, pre)")).alias("token"))
+    posted = sets.withColumn("pre", prefix.cast("int")).select("id", "n", F.size("shared").alias("m"), F.explode(F.expr("slice(shared, 1, pre)")).alias("token"))
+    member = materialize(_groups(posted, sets.select("id", F.size("shared").alias("m"))), "candidates")
+    small = _blocked(member.where(F.col("total") <= BLOCK), sets, percent)
+    large = member.where(F.col("total") > BLOCK).select("id")
+    if large.isEmpty():
+        return small
+    crowd = materialize(posted.join(large, "id"), "crowded")
+    met = crowd.groupBy("token").agg(F.count(F.lit(1)).alias("sets"))
+    light = crowd.join(met.where((F.col("sets") > 1) & (F.col("sets") <= LIGHT)), "token").select("token", "id", "n")
+    heavy = crowd.join(met.where(F.col("sets") > LIGHT), "token").drop("sets")
+    pairs = light.select("token", F.col("id").alias("a"), F.col("n").alias("na")).join(light.select("token", F.col("id").alias("b"), F.col("n").alias("nb")), "token")
+    pairs = pairs.where((F.col("a") > F.col("b")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b").distinct()
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("shared").alias(f"s{side}"))
+    overlap = F.size(F.array_intersect("sa", "sb"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(overlap * 100 >= (F.col("na") + F.col("nb") - overlap) * percent).select("a", "b")
+    grouped = materialize(_groups(heavy, heavy.select("id", "m").distinct()), "crowded-candidates")
+    return small.union(near).union(_blocked(grouped, sets, percent))
+
+
+def _groups(posted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(id, component, m, total) of the sets that meet others at posted shingles."""
     least = posted.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top")
-    meet = posted.join(least.select("token", "b"), "token").where("id > b").select(F.col("id").alias("a"), "b")
-    groups = components(forest_edges(meet))
-    member = materialize(sets.join(groups, "id").select("id", "component", "n", F.size("shared").alias("m")), "candidates")
-    size = member.groupBy("component").agg(F.sum("m").alias("total"))
+    meet = posted.select("token", "id").join(least.select("token", "b"), "token").where("id > b").select(F.col("id").alias("a"), "b")
+    member = sizes.join(components(forest_edges(meet)), "id").select("id", "component", "m")
+    return member.join(member.groupBy("component").agg(F.sum("m").alias("total")), "component")
+
+
+def _blocked(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges of the links inside each group, one task for each pair of blocks."""
+    n = shuffle_partitions(sets.sparkSession)
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    placed = member.join(size, "component").select("id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    placed = member.select("id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", F.xxhash64("component").alias("deal"), "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+        "id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     ready = pairs.join(sets.select("id", "n", "shared"), "id")
 
