@@ -1,9 +1,9 @@
 """Embedding near-dedup by a forest of random-projection trees with spill.
 
 Each tree splits recursively: at a node the projection on a random direction is
-cut at the median of a bounded sample (SAMPLE rows), and rows within SPILL
-standard deviations of the cut go to both sides.  Depth follows from the number
-of rows, so that leaves hold about LEAF of them.  Inside a leaf all pairs are
+cut near the median of a bounded sample (SAMPLE rows), and rows within a margin that
+follows from the wanted cosine go to both sides.  Depth and number of trees follow
+from the number of rows (class Forest).  Inside a leaf all pairs are
 compared in double precision; a leaf with more rows is cut into blocks and each
 pair of blocks is a task of its own.  A pair that shares several leaves of the
 forest counts in the first of them only, so link counts need no list of pairs;
@@ -16,66 +16,106 @@ of another length than the most common one link only among equal ones.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
-from .graph import UnionFind, components, forest_edges
+from .graph import components, forest_edges
 from .streams import runs
 from .vectors import matrix, usable
 
-TREES = 3
+TREES, MOST_TREES = 6, 24
 LEAF = 2048
 SPILL = 0.35
+#: For that spill, the mean excess of a pair's difference over both margins, times the
+#: density of a normal variable at its median (in standard deviations).
+PARTED = 0.286 * 0.4
+MISSED = 1e-3
+#: Levels at most, and those whose nodes have cuts of their own.
+MOST_LEVELS, OWN_LEVELS = 40, 12
 SAMPLE = 20_000
 STEP = 512
 
 
 class Forest:
-    """Directions by tree and level, cuts by node; the same for all workers."""
+    """Directions by tree and level, cuts by node; the same for all workers.
+
+    A pair at the limit differs by sqrt(2 - 2 * least) in length, and on a direction by
+    that times a normal variable: the margin is SPILL such standard deviations.  It
+    does not grow with the spread of the data, so few rows go to both sides.  Levels
+    are added until a leaf is expected to hold LEAF rows, copies included; trees, so
+    that a pair at the limit is parted by all of them in about one case of 1 / MISSED."""
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, seed: int = 11):
+    def __init__(self, sample: np.ndarray, total: int, least: float, seed: int = 11):
         rng = np.random.default_rng(seed)
-        dims = sample.shape[1]
-        self.depth = depth
-        self.directions = [rng.standard_normal((dims, depth)) / np.sqrt(dims) for _ in range(trees)]
-        self.cuts: list[np.ndarray] = []
-        self.margins: list[np.ndarray] = []
-        for d in self.directions:
+        dims, n = sample.shape[1], len(sample)
+        self.margin = SPILL * math.sqrt(max(0.0, 2 - 2 * least) / dims)
+        self.directions: list[np.ndarray] = []
+        self.cuts: list[list[np.ndarray]] = []  # by tree and level: of each node, or of all
+        self.depth, parted = MOST_LEVELS, 1.0
+        while not self.cuts or len(self.cuts) < TREES or self.depth and len(self.cuts) < MOST_TREES and parted ** len(self.cuts) > MISSED:
+            d = rng.standard_normal((dims, self.depth)) / math.sqrt(dims)
             p = sample @ d
-            cut = np.zeros(1 << depth) if depth else np.zeros(1)
-            margin = SPILL * p.std(axis=0) if len(sample) else np.zeros(depth)
-            node = np.ones(len(sample), np.int64)
-            for level in range(depth):
-                top = float(np.median(p[:, level])) if len(sample) else 0.0
-                for k in range(1 << level, 2 << level):
-                    here = p[node == k, level]
-                    cut[k] = np.median(here) if len(here) >= 8 else top
-                node = 2 * node + (p[:, level] > cut[node])
-            self.cuts.append(cut)
-            self.margins.append(margin)
+            row, node, cuts, survive = np.arange(n), np.zeros(n, np.int64), [], 1.0
+            for level in range(self.depth):
+                if not self.cuts and total * len(row) / max(1, n) / (1 << level) <= LEAF:
+                    self.depth = level
+                    break
+                x = p[:, level]
+                whole, spread = self._cut(x), max(float(x.std()), 1e-12) if n else 1.0
+                # the chance that a pair at the limit lies on both sides, beyond the margins
+                survive *= 1 - min(0.5, PARTED * (self.margin / max(SPILL, 1e-9)) / spread)
+                nodes = 1 << level
+                cut = np.full(nodes if level < OWN_LEVELS else 1, whole)
+                if level < OWN_LEVELS:
+                    by = np.argsort(node, kind="stable")
+                    at = np.searchsorted(node[by], np.arange(nodes + 1))
+                    for k in range(nodes):
+                        if at[k + 1] - at[k] >= 32:
+                            cut[k] = self._cut(x[row[by[at[k] : at[k + 1]]]])
+                cuts.append(cut)
+                off = x[row] - cut[node if len(cut) > 1 else np.zeros(len(node), np.int64)]
+                left, right = off <= self.margin, off > -self.margin
+                row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
+            self.directions.append(d[:, : self.depth])
+            self.cuts.append(cuts[: self.depth])
+            parted = 1 - survive
+
+    def _cut(self, x: np.ndarray) -> float:
+        """Near the median, where fewest rows lie within the margin."""
+        if not len(x):
+            return 0.0
+        x = np.sort(x)
+        tried = np.quantile(x, (0.5, 0.45, 0.55, 0.4, 0.6))
+        within = np.searchsorted(x, tried + self.margin) - np.searchsorted(x, tried - self.margin)
+        return float(tried[np.argmin(within)])
 
     def leaves(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of all rows; leaves are numbered through the forest."""
         rows, out = [], []
         for t, d in enumerate(self.directions):
             p = unit @ d
-            row, node = np.arange(len(unit)), np.ones(len(unit), np.int64)
-            for level in range(self.depth):
-                off = p[row, level] - self.cuts[t][node]
-                left, right = off <= self.margins[t][level], off > -self.margins[t][level]
+            row, node = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+            for level, cut in enumerate(self.cuts[t]):
+                off = p[row, level] - (cut[node] if len(cut) > 1 else cut[0])
+                left, right = off <= self.margin, off > -self.margin
                 row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
             rows.append(row)
-            out.append(node + (t << (self.depth + 1)))
+            out.append(node + (t << self.depth))
         return np.concatenate(rows), np.concatenate(out)
 
 
-def _compare(x: np.ndarray, y: np.ndarray | None, weight_x, weight_y, least: float, before_x, before_y, sets: UnionFind, shift: int):
-    """Link counts (by the other side's weight) and new spanning edges."""
+def _compare(x: np.ndarray, y: np.ndarray | None, weight_x, weight_y, least: float, before_x, before_y):
+    """Link counts (by the other side's weight) and edges that span what is linked, as
+    places in x and then y."""
     other = x if y is None else y
+    shift = 0 if y is None else len(x)
     n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(other), np.int64)
+    group = np.arange(shift + len(other))  # of the places that are joined so far
     edges = []
     norm_x, norm_y = np.sqrt((x * x).sum(axis=1)), np.sqrt((other * other).sum(axis=1))
     for a in range(0, len(x), STEP):
@@ -89,14 +129,17 @@ def _compare(x: np.ndarray, y: np.ndarray | None, weight_x, weight_y, least: flo
                 close &= (before_x[a : a + STEP].astype(np.float32) @ before_y[b : b + STEP].astype(np.float32).T) == 0
             n_x[a : a + STEP] += close @ weight_y[b : b + STEP]
             n_y[b : b + STEP] += weight_x[a : a + STEP] @ close
-            i, j = np.nonzero(close)
-            for p, q in zip((i + a).tolist(), (j + b + shift).tolist(), strict=True):
-                if sets.union(p, q):
-                    edges.append((p, q))
+            for i in np.flatnonzero(close.any(axis=1)).tolist():
+                near = np.flatnonzero(close[i]) + b + shift
+                for g, first in zip(*np.unique(group[near], return_index=True), strict=True):
+                    mine = group[i + a]
+                    if g != mine:
+                        edges.append((i + a, int(near[first])))
+                        group[group == g] = mine
     return n_x, n_y, edges
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = TREES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept): one row per input row.
 
     n_links counts the other rows whose cosine with this one is >= least;
@@ -105,17 +148,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = TREES, id
     spark = vectors.sparkSession
     n_parts = shuffle_partitions(spark)
     good = materialize(usable(vectors, id_col, vector_col), "vectors")
-    size = materialize(good.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vector-classes")
-    one = good.join(size, "fp").where("id = rep").dropDuplicates(["fp"]).select("rep", "copies", "vector")
-    one = materialize(one, "distinct-vectors")
+    # one row per distinct vector; equal ones meet only as partial aggregates
+    one = materialize(good.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "distinct-vectors")
+    size = one.select("fp", "rep", "copies")
     shapes = one.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
     if shapes:
         dims, total = shapes[0]
-        depth = max(0, int(np.ceil(np.log2(max(1, total) / LEAF))))
         drawn = one.where(F.size("vector") == dims).select("vector", F.xxhash64("rep").alias("h")).where(F.pmod("h", F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * SAMPLE / total))).limit(SAMPLE).collect()
         sample = np.array([r[0] for r in drawn], np.float64).reshape(-1, dims)
         sample /= np.sqrt((sample * sample).sum(axis=1))[:, None]
-        forest = spark.sparkContext.broadcast(Forest(sample, depth, trees))
+        forest = spark.sparkContext.broadcast(Forest(sample, total, least))
 
         def route(batches):
             for batch in batches:
@@ -141,21 +183,21 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, trees: int = TREES, id
             for (leaf, i, j), group in runs(batches, ["leaf", "i", "j"]):
                 block, ids = np.array(group.column("block").to_pylist()), np.array(group.column("rep").to_pylist())
                 weight, x = np.array(group.column("copies").to_pylist()), matrix(group.column("vector"))
-                earlier = [[k for k in row if k < leaf] for row in group.column("leaves").to_pylist()]
-                known = {k: c for c, k in enumerate(sorted({k for row in earlier for k in row}))}
-                before = np.zeros((len(ids), len(known)), np.uint8)
-                for r, row in enumerate(earlier):
-                    before[r, [known[k] for k in row]] = 1
+                # earlier leaves that two or more of these rows share: a pair counts in its first
+                lists = group.column("leaves").combine_chunks()
+                lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+                values, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+                values, row = values[values < leaf], row[values < leaf]
+                seen, where, times = np.unique(values, return_inverse=True, return_counts=True)
+                column = np.cumsum(times > 1) - 1
+                twice = (times > 1)[where]
+                before = np.zeros((len(ids), int((times > 1).sum())), np.uint8)
+                before[row[twice], column[where[twice]]] = 1
                 left = np.flatnonzero(block == i)
                 right = left if i == j else np.flatnonzero(block == j)
                 order = np.concatenate((left, right)) if i != j else left
-                sets = UnionFind(len(order))
-                if i == j:
-                    n_x, n_y, edges = _compare(x[left], None, weight[left], weight[left], least, before[left], before[left], sets, 0)
-                    n = n_x + n_y
-                else:
-                    n_x, n_y, edges = _compare(x[left], x[right], weight[left], weight[right], least, before[left], before[right], sets, len(left))
-                    n = np.concatenate((n_x, n_y))
+                n_x, n_y, edges = _compare(x[left], None if i == j else x[right], weight[left], weight[right], least, before[left], before[right])
+                n = n_x + n_y if i == j else np.concatenate((n_x, n_y))
                 found = np.flatnonzero(n)
                 a = np.concatenate((ids[order][found], np.array([ids[order][p] for p, _ in edges], np.int64)))
                 b = np.concatenate((n[found], np.array([ids[order][q] for _, q in edges], np.int64)))
