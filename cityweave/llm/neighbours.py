@@ -5,7 +5,8 @@ cells floor((a.x + b) / width) of its projections.  A query visits its
 own bucket and perturbed ones in the order of their estimated success: the
 chance that a neighbour's projections fall into the bucket's cells.  A
 neighbour's projection given the query's is normal; its slope and variance are
-taken from near pairs in a bounded sample (SAMPLE rows).  Probing stops when the
+those of the query's own nearest rows in a bounded sample (SAMPLE rows), in GROUPS
+from near to far.  Probing stops when the
 visited buckets hold TARGET of that chance, so easy data take few probes and hard
 data many, with no other cap.  A query whose visited buckets hold fewer than
 K + 1 rows then goes on through the filled buckets of the first table, in the same
@@ -40,12 +41,17 @@ WIDTH = 1.2  # of a cell, in standard deviations of a projection
 BUCKET = 1024
 GROUP = 4096
 SAMPLE = 4096
+GROUPS = 4  # of a query's neighbours in the sample, each with an estimate of its own
 TARGET = 0.86  # of each table; two tables together reach about 1 - 0.14**2
 CELLS = 6  # cells at each side of the middle that are told apart; the outer ones are open
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
+    """The normal distribution function, to seven places (a rational approximation of erf)."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z) / 2
+    return np.where(x > 0, 1 - tail, tail)
 
 
 class Hashes:
@@ -60,20 +66,25 @@ class Hashes:
         self.scale = [np.maximum((sample @ d).std(axis=0), 1e-12) for d in self.directions]
         self.centre = [(sample @ d).mean(axis=0) for d in self.directions]
         self.offset = [rng.uniform(0, WIDTH, self.k) for _ in range(TABLES)]
-        queries = sample[: min(256, len(sample))]
-        near = queries @ sample.T
-        near[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-        k = min(nearest, len(sample) - 1)
-        slope, rest = [1.0], [1e-12]
-        if k > 0:
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            inner = np.take_along_axis(near, at, 1)
-            norms = (sample * sample).sum(axis=1)
-            own = norms[: len(queries), None]
-            slope = inner / own
-            rest = np.maximum(norms[at] - inner * inner / own, 1e-12)
-        self.slope = float(np.mean(slope))
-        self.rest = math.sqrt(float(np.mean(rest)))
+        self.sample, self.norms, self.nearest = sample, (sample * sample).sum(axis=1), nearest
+
+    def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and remaining spread of the neighbours of each row, by GROUPS of them: for
+        those in the sample with the largest inner products, nearest group first."""
+        own = np.maximum((x * x).sum(axis=1), 1e-300)[:, None]
+        inner = x @ self.sample.T
+        inner[np.abs(own + self.norms - 2 * inner) <= 1e-9 * (own + self.norms)] = -np.inf  # the row itself
+        k = min(self.nearest, inner.shape[1])
+        at = np.argpartition(-inner, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(inner, at, 1)
+        order = np.argsort(-top, axis=1, kind="stable")
+        at, top = np.take_along_axis(at, order, 1), np.take_along_axis(top, order, 1)
+        lost = ~np.isfinite(top)
+        top = np.where(lost, own, top)  # no other row in the sample: look at the own place
+        rest = np.where(lost, 0.0, np.maximum(self.norms[at] - top * top / own, 0.0))
+        parts = np.array_split(np.arange(k), min(GROUPS, k))
+        slope = np.stack([(top[:, g] / own).mean(axis=1) for g in parts], 1)
+        return slope, np.sqrt(np.maximum(np.stack([rest[:, g].mean(axis=1) for g in parts], 1), 1e-12))
 
     def _placed(self, x: np.ndarray, t: int) -> np.ndarray:
         return ((x @ self.directions[t]) - self.centre[t]) / self.scale[t]
@@ -86,15 +97,15 @@ class Hashes:
         """The buckets that each query visits, in order of estimated success."""
         edges = (np.arange(-CELLS, CELLS + 2) * WIDTH)[None, None, :] - self.offset[t][None, :, None]
         raw = x @ self.directions[t]
-        mean = ((raw * self.slope) - self.centre[t]) / self.scale[t]
-        spread = self.rest / self.scale[t]
-        upto = _phi((edges - mean[:, :, None]) / spread[None, :, None])
-        upto[:, :, 0], upto[:, :, -1] = 0.0, 1.0
-        chance = np.diff(upto, axis=2)
-        out = []
-        for one in chance:
-            out.append(self._visit(one))
-        return out
+        slopes, rests = self.near(x)
+        chance = np.zeros((len(x), self.k, 2 * CELLS + 1))
+        for slope, rest in zip(slopes.T, rests.T, strict=True):
+            mean = (raw * slope[:, None] - self.centre[t]) / self.scale[t]
+            upto = _phi((edges - mean[:, :, None]) / (rest[:, None] / self.scale[t])[:, :, None])
+            upto[:, :, 0], upto[:, :, -1] = 0.0, 1.0
+            chance += np.diff(upto, axis=2) / slopes.shape[1]
+        own = self.buckets(x, t)
+        return [np.unique(np.append(self._visit(one), b)) for one, b in zip(chance, own, strict=True)]
 
     def fill(self, x: np.ndarray, buckets: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
         """For each query the filled buckets of table 0, best first, up to `least` rows."""
@@ -102,10 +113,11 @@ class Hashes:
         low, high = edges[:, :-1].copy(), edges[:, 1:].copy()
         low[:, 0], high[:, -1] = -np.inf, np.inf
         digits = buckets[:, None] // (2 * CELLS + 1) ** np.arange(self.k) % (2 * CELLS + 1)
-        mean = (((x @ self.directions[0]) * self.slope) - self.centre[0]) / self.scale[0]
-        spread = (self.rest / self.scale[0])[:, None]
+        slopes, rests = self.near(x)
+        means = ((x @ self.directions[0]) * slopes.mean(axis=1)[:, None] - self.centre[0]) / self.scale[0]
         out = []
-        for one in mean:
+        for one, rest in zip(means, rests[:, -1], strict=True):
+            spread = (rest / self.scale[0])[:, None]
             away = np.maximum(0, np.maximum(low - one[:, None], one[:, None] - high)) / spread
             chance = _phi((high - one[:, None]) / spread) - _phi((low - one[:, None]) / spread)
             # far tails by their leading term, so that they keep their order
