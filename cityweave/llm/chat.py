@@ -8,7 +8,8 @@ are ranked by score, and each chosen path becomes one text with a loss mask.
 Template: <|turn|>role<|text|>content<|end|> for every message, one after
 another.  Control strings inside roles and contents are broken up by a backslash
 after their first character, and backslashes are doubled, so the text can be
-read back exactly.  Null roles and contents count as empty.
+read back exactly.  Null roles and contents count as empty.  The rows without a
+conversation id are one conversation, whose id is null.
 """
 
 from __future__ import annotations
@@ -130,5 +131,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def format_conversations(rows: DataFrame, keep: int = 1) -> DataFrame:
     """(conv_id, branch, formatted, loss) of every conversation of (conv_id, turn, role, text)."""
-    tree = materialize(turns_as_tree(rows), "reply-nodes")
-    return format_turns(best_branches(tree, leaf_paths(tree), keep))
+    one = rows.withColumn("conv_id", F.struct("conv_id"))  # equal to itself where the id is null
+    tree = materialize(turns_as_tree(one), "reply-nodes")
+    return format_turns(best_branches(tree, leaf_paths(tree), keep)).withColumn("conv_id", F.col("conv_id.conv_id"))
