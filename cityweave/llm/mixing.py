@@ -11,7 +11,8 @@ Repetitions are whole passes and one partial pass.  Each pass orders the
 source's blocks by a hash of (seed, pass, source, block) and the rows of a block
 by a hash of (seed, pass, id); the partial pass stops with the row that reaches
 the budget.  Block and row where it stops are kept per source as hash values, so
-each row decides by itself and only one row per source is joined to the texts.
+each row decides by itself and only one row per source is joined to the texts.  The
+hashes of block and row are also the place of each taken row in the mixed order.
 
 A null source counts as the source ''.  Texts that are null, empty or blank have
 no tokens; a source of only such texts is taken once.  Rows that repeat an id
@@ -23,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a block, and blocks of a source at most: bounds of the two windows.
+#: Rows of a block, and blocks of a source (or the root of its rows, if that is more),
+#: so that both windows grow with the root.
 BLOCK_ROWS, MAX_BLOCKS = 256, 4096
 #: Sources up to which their table is broadcast (under 200 bytes each).
 BROADCAST_SOURCES = 50_000
@@ -97,6 +99,11 @@ def row_hash(turn: Column, key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("#", F.lit(str(seed)), turn.cast("string"), key.cast("string")))
 
 
+def place_of(turn: Column, source: Column, block: Column, key: Column, seed: int) -> Column:
+    """Half of the block's hash and half of the row's."""
+    return F.concat(F.substring(block_hash(turn, source, block, seed), 1, 16), F.substring(row_hash(turn, key, seed), 1, 16))
+
+
 def mixing_plan(rows: DataFrame, target_entropy: float | None, max_repeat: float, seed: int = 17) -> DataFrame:
     """One row per source: weights, passes, and where the partial pass stops.
 
@@ -104,7 +111,8 @@ def mixing_plan(rows: DataFrame, target_entropy: float | None, max_repeat: float
     weights = source_weights(rows, target_entropy, max_repeat)
     passes = F.floor("repeats").cast("long")
     tenths = F.round((F.col("repeats") - F.floor("repeats")) * 10000, 0).cast("long")
-    blocks = F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("n_rows") / BLOCK_ROWS))).cast("long")
+    most = F.greatest(F.lit(MAX_BLOCKS), F.ceil(F.sqrt("n_rows")))
+    blocks = F.greatest(F.lit(1), F.least(most, F.ceil(F.col("n_rows") / BLOCK_ROWS))).cast("long")
     plan = weights.select("source", "n_rows", "tokens", "alpha", "weight", "repeats", passes.alias("passes"), F.floor(F.col("tokens") * tenths / 10000).cast("long").alias("rest"), blocks.alias("blocks"))
     plan = materialize(plan, "mixing-plan")
     part = with_sources(rows, plan.where("rest > 0").select("source", "passes", "rest", "blocks"))
@@ -113,7 +121,7 @@ def mixing_plan(rows: DataFrame, target_entropy: float | None, max_repeat: float
     size = part.groupBy("source", "bh", "rest").agg(F.sum("tokens").alias("size"))
     upto = Window.partitionBy("source").orderBy("bh").rowsBetween(Window.unboundedPreceding, -1)
     last = size.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where("before < rest and before + size >= rest").select("source", "bh", F.col("before"))
-    inside = part.join(F.broadcast(last), ["source", "bh"]).withColumn("dh", row_hash(turn, F.col("id"), seed))
+    inside = part.join(F.broadcast(last) if plan.count() <= BROADCAST_SOURCES else last, ["source", "bh"]).withColumn("dh", row_hash(turn, F.col("id"), seed))
     rows_upto = Window.partitionBy("source").orderBy("dh").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     kept = inside.withColumn("through", F.sum("tokens").over(rows_upto) + F.col("before")).where("through >= rest").groupBy("source").agg(F.min("dh").alias("cut_row"), F.min("bh").alias("cut_block"))
     return plan.join(kept, "source", "left")
@@ -129,20 +137,26 @@ def with_sources(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def drawn(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame:
-    """rows (with id and source), once for each pass that takes them; adds pass,
-    block and the hashes that order the mix."""
+    """rows (with id and source), once for each pass that takes them; adds pass, block
+    and place.  Sorting by place gives the mixed order: blocks of all sources and
+    passes in the order of their hash, and in a block the rows in the order of theirs."""
     joined = with_sources(rows, plan.select("source", "alpha", "weight", "passes", "blocks", "cut_block", "cut_row"))
     placed = joined.withColumn("block", block_of(F.col("id"), F.col("blocks"), seed))
     extra = F.col("passes") + 1
     bh = block_hash(extra, F.col("source"), F.col("block"), seed)
     in_part = F.coalesce((bh < F.col("cut_block")) | ((bh == F.col("cut_block")) & (row_hash(extra, F.col("id"), seed) <= F.col("cut_row"))), F.lit(False))
-    return placed.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.when(in_part, extra).otherwise(F.col("passes"))))).drop("passes", "blocks", "cut_block", "cut_row")
+    return placed.withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.when(in_part, extra).otherwise(F.col("passes"))))).drop("passes", "blocks", "cut_block", "cut_row").withColumn("place", place_of(F.col("pass"), F.col("source"), F.col("block"), F.col("id"), seed))
 
 
 def mix(docs: DataFrame, target_entropy: float | None = 0.95, max_repeat: float = 4.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with rows repeated to the mixing weights; the columns of docs."""
+    """docs with rows repeated to the mixing weights, in the order of the mix: sorted
+    within partitions, and partition by partition; the columns of docs."""
     rows = materialize(token_rows(docs, id_col, text_col, source_col), "token-rows")
     plan = materialize(mixing_plan(rows, target_entropy, max_repeat, seed), "mixing-cuts")
     row = F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row")
     keyed = docs.select(row, docs[id_col].cast("long").alias("id"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"))
-    return drawn(keyed, plan, seed).select("row.*")
+    mixed = drawn(keyed, plan, seed).select("row", "place")
+    # places are even, so their first 32 bits deal out equal ranges without a look at the data
+    n = shuffle_partitions(docs.sparkSession)
+    part = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("int")
+    return mixed.repartitionById(n, part).sortWithinPartitions("place").select("row.*")

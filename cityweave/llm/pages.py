@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,7 +64,10 @@ ANCHORED = {"h1", "h2", "h3", "h4", "h5", "h6", "section", "p", "span", "a"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "html", "nav", "aside", "footer", "header", "form", "td", "th"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+)>|<[!?][^>]*>", re.DOTALL)
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.DOTALL)
+#: Tags whose quotes are never closed, after which quotes no longer hide the ends of tags.
+UNCLOSED = 16
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -92,6 +96,7 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
     parts: list[str] = []
     out = []
     done: list[Element] = []
+    open_: Counter[str] = Counter()  # elements on the stack by tag: no search for what is not there
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
@@ -102,26 +107,25 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
 
     def pop(n: int) -> None:
         while len(stack) > n:
-            done.append(stack.pop())
+            last = stack.pop()
+            open_[last.tag] -= 1
+            done.append(last)
 
     at = 0
-    while True:
-        m = _TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            parts.append(page[at:end])
-        if not m:
-            break
+    tags = Tags(page)
+    while m := tags.after(at):
+        if m.start() > at:
+            parts.append(page[at : m.start()])
         at = m.end()
         name = m[2]
         if not name:
             continue
         tag = name.lower()
         if m[1]:
-            if tag == "br" or tag == "p" and all(e.tag != "p" for e in stack):
+            if tag == "br" or tag == "p" and not open_["p"]:
                 parts.append(" ")
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if open_[tag] else 0
             if depth:
                 if tag in BLOCK or any(e.tag in BLOCK for e in stack[depth:]):
                     if tag not in BLOCK:
@@ -141,9 +145,11 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
             continue
         if tag in BLOCK:
             flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if depth and not any(e.tag in SCOPE for e in stack[depth + 1 :]):
-                pop(depth)
+            for i in range(len(stack) - 1, 0, -1) if open_["p"] else ():
+                if stack[i].tag == "p":
+                    pop(i)
+                if i >= len(stack) or stack[i].tag in SCOPE:
+                    break
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSES.get(tag, ()):
                     pop(i)
@@ -174,7 +180,9 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
             around, named = up.named, False
         else:
             around, named = up.around, up.named or named
+        open_[tag] += 1
         stack.append(Element(tag, dropped, around, named, (up.article or is_article) and not dropped, path, up.head or tag == "header"))
+    parts.append(page[at:])
     flush()
     # an article in an element of such a name counts only if the page has no other one
     other = any(e.article and not e.dropped and not e.around and not e.named for e, _ in out)
@@ -186,6 +194,25 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, bool, bool, str]]:
         yield e.path, text, e.article, lost, shape
 
 
+class Tags:
+    """Tags and comments of a page from left to right.  A page of many unclosed quotes
+    is read in time that grows with its length all the same."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.failed = page, page.rfind(">"), 0
+
+    def after(self, at: int) -> re.Match | None:
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            if at < self.last or page.startswith("<!--", at):
+                m = (_TAG if self.failed < UNCLOSED else _PLAIN_TAG).match(page, at)
+                if m:
+                    return m
+                self.failed += page[at + 1 : at + 2].isalpha()
+            at += 1
+        return None
+
+
 def host_of(url: str | None) -> str:
     m = _HOST.match(url or "")
     return m[1].lower() if m else ""

@@ -3,8 +3,8 @@
 Features are indicators of the byte n-grams (N_GRAMS) of a text, hashed to DIMS
 slots.  Log-count ratios come from all labelled training rows.  A linear hinge
 loss over the scaled indicators is then fitted by dual coordinate descent on at
-most SAMPLE labelled rows (the documented bound), chosen by a hash of the id;
-the fit runs on the driver, whose memory that bound limits.  Weights are drawn
+most SAMPLE labelled rows of SAMPLE_BYTES in all (the documented bound), chosen by a
+hash; the fit runs on the driver, whose memory that bound limits.  Weights are drawn
 towards their mean magnitude (interpolation BETA) and margins mapped to 0..1 by
 a logistic curve fitted on a held-back fifth of the sample.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -30,6 +30,8 @@ from .common import discard, materialize, small_batches
 N_GRAMS = (2, 3)
 DIMS = 1 << 18
 SAMPLE = 6000
+#: Bytes of features that the fit takes at most (4 a feature), whatever the texts' length.
+SAMPLE_BYTES = 1 << 27
 BETA = 0.25
 WINDOW = 1 << 20
 #: Label rows up to which they are broadcast (16 bytes each); beyond, a shuffle join.
@@ -173,7 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = np.zeros((2, DIMS), np.float64)
     for block, data in found.where("block >= 0").groupBy("block").applyInPandas(add, "block bigint, data binary").collect():
         counts[:, block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(data, np.int64).reshape(2, _BLOCK)
-    drawn = found.where("block < 0").orderBy(F.xxhash64("data"), "block").limit(sample).collect()
+    few = found.where("block < 0").select("block", "data", F.xxhash64("data").alias("h")).orderBy("h", "block").limit(sample)
+    upto = Window.orderBy("h", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    drawn = few.withColumn("size", F.sum(F.length("data")).over(upto)).where(F.col("size") <= SAMPLE_BYTES).select("block", "data").collect()
     discard(found)
     return fit([np.frombuffer(d, "<i4") for _, d in drawn], np.array([1 if b == -2 else -1 for b, _ in drawn]), counts)
 

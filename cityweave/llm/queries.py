@@ -41,7 +41,7 @@ def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = materialize(token_rows(table(spark, sf_dir, "documents")), "token-rows")
     plan = materialize(mixing_plan(rows, target_entropy=0.999, max_repeat=4.0), "mixing-cuts")
-    return drawn(rows, plan).select(F.col("id").alias("doc_id"), "source", "pass", "block", "tokens", F.round("alpha", 4).alias("alpha"), F.round("weight", 4).alias("weight"))
+    return drawn(rows, plan).select(F.col("id").alias("doc_id"), "source", "pass", "block", "place", "tokens", F.round("alpha", 4).alias("alpha"), F.round("weight", 4).alias("weight"))
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +122,7 @@ WITH RECURSIVE doc AS (
   SELECT t.source, t.tokens, b.alpha,
     CASE WHEN t.tokens > 0 THEN round(exp(b.alpha * lp) / (SELECT sum(exp(b.alpha * lp)) FROM share), 6) ELSE 0 END AS weight,
     CASE WHEN t.tokens > 0 THEN round(exp((1 - b.alpha) * (w.top - lp)), 4) ELSE 1 END AS repeats,
-    greatest(1, least(4096, ceil(t.n_rows / 256.0)))::BIGINT AS blocks
+    greatest(1, least(greatest(4096, ceil(sqrt(t.n_rows))), ceil(t.n_rows / 256.0)))::BIGINT AS blocks
   FROM total t LEFT JOIN share USING (source), best b, spread w
 ), cut AS (
   SELECT *, floor(repeats)::BIGINT AS passes, floor(tokens * round((repeats - floor(repeats)) * 10000)::BIGINT / 10000.0)::BIGINT AS rest FROM plan
@@ -135,7 +135,8 @@ WITH RECURSIVE doc AS (
 ), taken AS (
   SELECT *, passes + CASE WHEN rest > 0 AND through - tokens < rest THEN 1 ELSE 0 END AS last FROM running
 )
-SELECT id AS doc_id, source, unnest(range(1, last + 1)) AS pass, block, tokens, round(alpha, 4) AS alpha, round(weight, 4) AS weight FROM taken
+SELECT doc_id, source, pass, block, concat(substr(md5(concat_ws('#', '17', pass, source, block)), 1, 16), substr(md5(concat_ws('#', '17', pass, doc_id)), 1, 16)) AS place, tokens, alpha, weight
+FROM (SELECT id AS doc_id, source, unnest(range(1, last + 1)) AS pass, block, tokens, round(alpha, 4) AS alpha, round(weight, 4) AS weight FROM taken)
 """
 
 
