@@ -81,3 +81,44 @@ def pretraining_text(messages: Column, task: Column) -> Column:
     """The task text and all assistant turns, joined by line feeds."""
     said = F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["content"])
     return F.concat_ws("\n", task, F.array_join(said, "\n"))
+
+
+# Full names of address tags.
+TAG_NAMES = {"roadno": "road_number", "cellno": "cell_number", "floorno": "floor_number", "prov": "province", "houseno": "house_number"}
+
+
+def address_tag_dialogues(df: DataFrame) -> DataFrame:
+    """(id, question, answer) from (id, tokens, tags): the elements of a tagged address
+    as JSON, in the order in which they first occur; of a repeated one the last text."""
+    from ..functions.text import bio_components
+
+    names = F.create_map(*[F.lit(x) for pair in TAG_NAMES.items() for x in pair])
+    parts = F.transform(bio_components(F.col("tokens"), F.col("tags")), lambda p: F.struct(F.coalesce(F.try_element_at(names, p["kind"]), p["kind"]).alias("kind"), p["text"].alias("text")))
+    d = df.withColumn("_parts", parts).withColumn("_kinds", F.array_distinct(F.transform("_parts", lambda p: p["kind"])))
+    values = F.transform("_kinds", lambda k: F.element_at(F.filter("_parts", lambda p: p["kind"] == k), -1)["text"])
+    whole = F.replace(F.array_join("tokens", ""), F.lit("_"), F.lit(" "))
+    return d.select("id", F.concat(F.lit("Name "), F.array_join("_kinds", ", "), F.lit(" of: "), whole).alias("question"), F.to_json(F.map_from_arrays("_kinds", values)).alias("answer"))
+
+
+def matching_pairs(df: DataFrame, place: str) -> DataFrame:
+    """Pairs (sentence1, sentence2) labelled exact_match of which one mentions the place."""
+    near = F.col("sentence1").contains(place) | F.col("sentence2").contains(place)
+    return df.where((F.col("label") == "exact_match") & near).withColumns({"question": F.concat(F.lit("Which address is the same as "), "sentence1", F.lit("?")), "answer": F.col("sentence2")})
+
+
+def story_dialogues(df: DataFrame) -> DataFrame:
+    """(id, question, answer) from (id, story, question, q_type, candidates, truth, said).
+
+    truth holds places in the candidates (q_type CO, FR) or the texts themselves; rows
+    without one are left out, and so are those whose final answer is another.  The
+    question names the candidates; the answer comes before the model's reasoning."""
+    from ..functions.text import parse_final_answer
+
+    by_place = F.col("q_type").isin("CO", "FR") & (F.size("candidates") > 0)
+    meant = F.transform("truth", lambda x: F.try_element_at("candidates", x.try_cast("int") + 1))
+    true = F.array_join(F.when(by_place, meant).otherwise(F.col("truth")), ", ")
+    final = parse_final_answer(F.col("said"))
+    kept = df.where((F.size("truth") > 0) & (F.trim(true) == final))
+    reasons = F.when(F.col("said").contains("Final Answer:"), F.regexp_replace(F.element_at(F.split("said", "Final Answer:"), 1), r"^\s+|\s+$", "")).otherwise("No reasoning provided.")
+    options = F.when(F.size("candidates") > 0, F.concat(F.lit(" The possible answers are: "), F.array_join("candidates", ", "), F.lit("."))).otherwise("")
+    return kept.select("id", F.concat("story", F.lit(" "), "question", options).alias("question"), F.concat(F.lit("Answer: "), final, F.lit("\n"), reasons).alias("answer"))

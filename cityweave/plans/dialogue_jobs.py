@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import dialogues, sampling, spatial, topology
+from ..operators import dialogues, spatial, topology
 from .base import Tables, coord_sql, number_sql, query
-from .mcq_jobs import ends_of
 from .scalar_jobs import ADDR, address_rows
-from .sequence_jobs import NARRATED, merged_routes, route_directions
+from .sequence_jobs import NARRATED, merged_routes
 
 
 def qa(df: DataFrame, task: str, key: str, question: Column, answer: Column) -> DataFrame:
@@ -124,30 +123,6 @@ def repairs(t: Tables):
     return qa(r, "scrambled_task_route", "route_id", F.concat(F.lit("Put in order: "), mixed), F.col("whole")).union(qa(r, "lacking_task_route", "route_id", F.concat(F.lit("What is missing: "), lacking), F.element_at(parts, (no + 1).cast("int"))))
 
 
-def _reasoned(t: Tables, start: str, dest: str) -> DataFrame:
-    d = ends_of(t).join(route_directions(t).select("route_id", "east_m", "north_m", "axis", "main"), "route_id")
-    return sampling.sample_n(d.where(f"{start} is not null and {dest} is not null and main is not null"), 1000, "route_id", 1)
-
-
-@query("r1_r2_direction_reasoning")
-def direction_reasoning(t: Tables):
-    """Worked steps to the main direction of a route between places and areas."""
-    d = _reasoned(t, "start_name", "dest_aoi")
-    steps = _lit("Net east: ", "$east_m", " m. Net north: ", "$north_m", " m. The ", "$axis", " axis is larger, so it lies ", "$main", ".")
-    return qa(d, "poi2aoi_direction", "route_id", _lit("By way of ", "$text", ", where is ", "$dest_aoi", " from ", "$start_name", "?"), steps)
-
-
-@query("r3_distance_reasoning")
-def distance_reasoning(t: Tables):
-    """Sum chains in eight phrasings by hash segment."""
-    d = sampling.style_segments(_reasoned(t, "start_name", "dest_name"), 8, "route_id", seed=2)
-    lengths = t.route.select("route_id", F.transform("steps", lambda s: s["road_length"]).alias("v"))
-    chain, total = text.sum_chain_text(F.col("v"))
-    s = d.join(lengths, "route_id").withColumn("chain", chain).withColumn("total", total)
-    said = F.when(F.col("style") % 2 == 0, _lit("$chain", ". In all ", "$total", " meters.")).otherwise(_lit("Add the stretches: ", "$chain", ". The answer is ", "$total", "."))
-    return qa(s, "poi2poi_distance", "route_id", _lit("How far is ", "$dest_name", " from ", "$start_name", "?"), said)
-
-
 def conversation(t: Tables) -> DataFrame:
     m = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda s: F.struct(s["role"].alias("role"), s["text"].alias("content")))
     return t.dialogue.groupBy("conv_id").agg(m.alias("messages"))
@@ -196,7 +171,9 @@ def prompts(t: Tables):
     return b.select("item_id", text.mcq_prompt(F.concat(F.lit("Read: "), F.substring(F.md5("text"), 1, 8)), F.array(i.cast("string"), (i + 1).cast("string"))).alias("prompt"))
 
 
-@query("f9_exact_pairs", "SELECT a.doc_id, b.doc_id AS twin FROM sft a JOIN sft b ON a.text = b.text AND a.doc_id < b.doc_id")
+@query("f9_exact_pairs", "SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS twin FROM sft WHERE text IS NOT NULL QUALIFY doc_id <> twin")
 def twins(t: Tables):
-    h = t.sft.select("doc_id", F.sha2("text", 256).alias("h"))
-    return h.join(h.select(F.col("doc_id").alias("twin"), "h"), "h").where("doc_id < twin").select("doc_id", "twin")
+    """Each row whose text an earlier one has, with the first of them: rows, not pairs."""
+    h = t.sft.where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    first = h.groupBy("h").agg(F.min("doc_id").alias("twin"))
+    return h.join(first, "h").where("doc_id <> twin").select("doc_id", "twin")

@@ -38,8 +38,8 @@ def geojson(t: Tables):
     path = scratch(t, "geojson")
     geometry = F.when(F.col("poi_id") % 5 != 0, F.struct(F.lit("LineString").alias("type"), F.array(F.array("x", "y"), F.array("y", "x")).alias("coordinates"))).otherwise(F.struct(F.lit("MultiPoint").alias("type"), F.array(F.array("x", "y")).alias("coordinates")))
     feature = F.struct(F.struct("name").alias("properties"), geometry.alias("geometry"))
-    shard = t.poi.groupBy((F.col("poi_id") % 16).alias("shard")).agg(F.collect_list(feature).alias("features"))
-    shard.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition(16).write.text(path)
+    shard = t.poi.groupBy(F.floor(F.col("poi_id") / 500).alias("shard")).agg(F.collect_list(feature).alias("features"))  # at most 500 a file
+    shard.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     lines = src.read_geojson_lines(t.spark, path)
     return lines.select("name", F.size("coords").cast("long").alias("n"), F.col("coords")[0][0].alias("first_x"))
 
@@ -82,8 +82,12 @@ def sink(t: Tables):
     return t.spark.read.csv(path, header=True).select("category", "task", "question", "A", "B", "answer")
 
 
-@query("c2_tagged_corpus_dialogues", "SELECT concat('geo-', item_id) AS id, concat('Same place? ', left(text, 20)) AS question, CASE WHEN item_id % 2 = 0 THEN 'yes' ELSE 'no' END AS answer FROM benchmark WHERE length(text) > 0")
-def pairs(t: Tables):
-    """Sentence-pair records that mention a place become question and answer."""
-    b = t.raw("benchmark").where("length(text) > 0")
-    return b.select(F.concat(F.lit("geo-"), F.col("item_id").cast("string")).alias("id"), F.concat(F.lit("Same place? "), F.substring("text", 1, 20)).alias("question"), F.when(F.col("item_id") % 2 == 0, "yes").otherwise("no").alias("answer"))
+@query("s7_read_dir", "SELECT conv_id::VARCHAR AS id, count(*) AS turns FROM dialogue WHERE conv_id % 2 = 0 GROUP BY conv_id")
+def by_name(t: Tables):
+    """Only the files whose name holds a text are read; each row bears its file's name."""
+    path = scratch(t, "named")
+    d = conversation(t).select(F.col("conv_id").cast("string").alias("id"), F.size("messages").cast("long").alias("turns"), F.when(F.col("conv_id") % 2 == 0, "sft").otherwise("raw").alias("kind"))
+    for kind in ("sft", "raw"):
+        d.where(F.col("kind") == kind).select("id", "turns").write.json(f"{path}/{kind}")
+    got = src.read_dir(t.spark, f"{path}/*", "sft", "id string, turns bigint", folders=True)
+    return got.where(F.col("file_name").contains("sft")).select("id", "turns")

@@ -330,7 +330,7 @@ def ends_of(t: Tables) -> DataFrame:
     return r.withColumn("dir", dir4(az)).withColumn("air", dist_xy(F.col("start_x"), F.col("start_y"), F.col("dest_x"), F.col("dest_y")))
 
 
-def _dirs(own: Column) -> Column:
+def others(own: Column) -> Column:
     return F.filter(F.array(*map(F.lit, ("north", "east", "south", "west"))), lambda d: d != own)
 
 
@@ -341,7 +341,7 @@ def _between(t: Tables, start: str, dest: str, more: Column, kind: str, route: b
     q = F.concat(F.lit(ask), dest, F.lit(" from "), start, told, F.lit("?"))
     n = F.col("length")
     if kind == "dir":
-        return asked(d, "route_id", q, F.col("dir"), _dirs(F.col("dir")), seed)
+        return asked(d, "route_id", q, F.col("dir"), others(F.col("dir")), seed)
     return asked(d, "route_id", q, n, F.array((n / 2).cast("long"), n * 2, more), seed)
 
 
@@ -369,31 +369,41 @@ for _name, _start, _dest, _more in (("m20_poi2poi", "start_name", "dest_name", -
             )
 
 
-def _to_road(t: Tables, ends: str, kind: str, route: bool, seed: int) -> DataFrame:
-    """Distance or direction from a start to the road of the destination, from the net
-    metres of the route on the axis across that road (at least 50)."""
+def road_rows(t: Tables, ends: str) -> DataFrame:
+    """Routes with the road of their destination, whether it runs south-north (up), the
+    net metres of the route across it (off, at least 50 either way) and their direction."""
     d = ends_of(t).join(route_directions(t).select("route_id", "east_m", "north_m"), "route_id")
     roads = t.step.groupBy("route_id").agg(F.max_by("road_name", F.struct("no", "road_id", "aoi_id", "road_length")).alias("road"), F.max_by("direction", F.struct("no", "road_id", "aoi_id", "road_length")).alias("last_dir"))
     d = d.join(roads, "route_id").where(F.col(f"start_{ends}").isNotNull())
-    across = F.when(F.col("last_dir").contains("north") | F.col("last_dir").contains("south"), F.col("east_m")).otherwise(F.col("north_m"))
     up = F.col("last_dir").contains("north") | F.col("last_dir").contains("south")
-    d = d.withColumn("off", F.round(across, 0).cast("long")).where(F.abs("off") >= 50)
-    main = F.when(up, F.when(F.col("off") > 0, "east").otherwise("west")).otherwise(F.when(F.col("off") > 0, "north").otherwise("south"))
+    across = F.when(up, F.col("east_m")).otherwise(F.col("north_m"))
+    d = d.withColumn("up", up).withColumn("off", F.round(across, 0).cast("long")).where(F.abs("off") >= 50)
+    return d.withColumn("main", F.when(F.col("up"), F.when(F.col("off") > 0, "east").otherwise("west")).otherwise(F.when(F.col("off") > 0, "north").otherwise("south")))
+
+
+def _to_road(t: Tables, ends: str, kind: str, route: bool, seed: int) -> DataFrame:
+    """Distance or direction from a start to the road of the destination."""
+    d = road_rows(t, ends)
     told = F.concat(F.lit(" by way of "), "text") if route else F.lit("")
     q = F.concat(F.lit("How far is " if kind == "dis" else "In which direction is "), "road", F.lit(" from "), f"start_{ends}", told, F.lit("?"))
     n = F.abs("off")
     if kind == "dir":
-        return asked(d.withColumn("main", main), "route_id", q, F.col("main"), _dirs(F.col("main")), seed)
+        return asked(d, "route_id", q, F.col("main"), others(F.col("main")), seed)
     return asked(d, "route_id", q, n, F.array((n / 2).cast("long"), n * 2, n + 500), seed)
 
 
+def road_rows_sql(ends: str) -> str:
+    """The SQL twin of road_rows(): src."""
+    return f"""WITH {_ENDS}, {TOTALS}, lr AS (SELECT route_id, first(road_name ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS road_, first(direction ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS ld FROM step GROUP BY route_id),
+ o1 AS (SELECT rr.*, road_, ld LIKE '%north%' OR ld LIKE '%south%' AS up_, de, dn FROM rr JOIN net USING (route_id) JOIN lr USING (route_id) WHERE start_{ends} IS NOT NULL), o2 AS (SELECT *, round(CASE WHEN up_ THEN de ELSE dn END, 0)::BIGINT AS off_ FROM o1),
+ src AS (SELECT *, CASE WHEN up_ THEN CASE WHEN off_ > 0 THEN 'east' ELSE 'west' END ELSE CASE WHEN off_ > 0 THEN 'north' ELSE 'south' END END AS main_ FROM o2 WHERE abs(off_) >= 50)"""
+
+
 def _to_road_sql(ends: str, kind: str, route: bool, seed: int) -> str:
     told = "concat(' by way of ', text)" if route else "''"
     question = f"concat('{'How far is ' if kind == 'dis' else 'In which direction is '}', road_, ' from ', start_{ends}, {told}, '?')"
     right, wrong = ("abs(off_)", "[trunc(abs(off_)/2)::BIGINT, abs(off_)*2, abs(off_) + 500]") if kind == "dis" else ("main_", "list_filter(['north','east','south','west'], lambda x: x <> main_)")
-    return f"""WITH {_ENDS}, {TOTALS}, lr AS (SELECT route_id, first(road_name ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS road_, first(direction ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS ld FROM step GROUP BY route_id),
- o1 AS (SELECT rr.*, road_, ld LIKE '%north%' OR ld LIKE '%south%' AS up_, de, dn FROM rr JOIN net USING (route_id) JOIN lr USING (route_id) WHERE start_{ends} IS NOT NULL), o2 AS (SELECT *, round(CASE WHEN up_ THEN de ELSE dn END, 0)::BIGINT AS off_ FROM o1),
- src AS (SELECT *, CASE WHEN up_ THEN CASE WHEN off_ > 0 THEN 'east' ELSE 'west' END ELSE CASE WHEN off_ > 0 THEN 'north' ELSE 'south' END END AS main_ FROM o2 WHERE abs(off_) >= 50), {asked_sql('src', 'route_id', question, right, wrong, seed)} /* poi aoi inside ends lane road step */"""
+    return f"{road_rows_sql(ends)}, {asked_sql('src', 'route_id', question, right, wrong, seed)} /* poi aoi inside ends lane road step */"
 
 
 for _name, _ends in (("m23_poi2rd", "name"), ("m24_aoi2rd", "aoi")):

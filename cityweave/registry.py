@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import base, dialogue_jobs, evaluation_jobs, io_jobs, mcq_jobs, mix_jobs, place_jobs, scalar_jobs, sequence_jobs, topology_jobs  # noqa: F401
+from .plans import base, dialogue_jobs, evaluation_jobs, io_jobs, mcq_jobs, mix_jobs, place_jobs, reasoning_jobs, record_jobs, scalar_jobs, sequence_jobs, topology_jobs  # noqa: F401
 
 
 def queries() -> dict:

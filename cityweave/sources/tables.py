@@ -82,10 +82,12 @@ def write_dialogues(df: DataFrame, path: str) -> None:
     df.write.partitionBy("task").json(path)
 
 
-def read_dir(spark: SparkSession, path: str, name_contains: str, schema: str) -> DataFrame:
-    """JSON files whose name holds a text, labelled with their name."""
+def read_dir(spark: SparkSession, path: str, name_contains: str, schema: str, folders: bool = False) -> DataFrame:
+    """JSON files whose name holds a text, labelled with their name; with folders=True
+    the name is that of the folder and the file."""
     df = spark.read.schema(schema).json(path)
-    return df.select("*", F.col("_metadata.file_name").alias("file_name")).where(F.col("file_name").contains(name_contains))
+    name = F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+)$", 1) if folders else F.col("_metadata.file_name")
+    return df.select("*", name.alias("file_name")).where(F.col("file_name").contains(name_contains))
 
 
 def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
