@@ -21,6 +21,17 @@ def aoi_longest_road(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     return ranked
 
 
+def pair_counts_by_road(lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """(name, pairs, a, b): how many ordered pairs of distinct areas a road name has, and
+    the least of them; no pairs are made."""
+    two = F.slice(F.array_sort(F.collect_list("aoi_id")), 1, 2)
+    least = Window.partitionBy("name").orderBy("aoi_id")
+    beside = road_aois(lanes, roads)
+    n = beside.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = beside.withColumn("k", F.row_number().over(least)).where("k <= 2").groupBy("name").agg(two.alias("two"))
+    return n.join(first, "name").select("name", (F.col("n") * (F.col("n") - 1)).alias("pairs"), F.col("two")[0].alias("a"), F.col("two")[1].alias("b"))
+
+
 def aoi_pairs_by_road(lanes: DataFrame, roads: DataFrame, cap: int | None = None) -> DataFrame:
     """(name, a, b): ordered pairs of distinct areas on one road name."""
     beside = road_aois(lanes, roads)
@@ -49,6 +60,32 @@ def junction_of_lane(lanes: DataFrame, roads: DataFrame, other: str = "name") ->
     return named.join(met, "junction_id").where("o <> name").groupBy("junction_id", "road_id").agg(F.min("o").alias("other"))
 
 
+def junction_sides(lanes: DataFrame, roads: DataFrame, points: DataFrame) -> DataFrame:
+    """(road_id, k, side, junction_id, other, x, y): for lane k of a road, in order, the
+    junction of the lane before it (predecessor) and after it (successor), with the
+    least other road name there and the junction's centre.
+
+    lanes: road_id, k, junction_id, name ordered by k; points: junction_id, x, y of each
+    lane, whose mean is the centre."""
+    order = Window.partitionBy("road_id").orderBy("k")
+    near = lanes.select("road_id", "k", F.lag("junction_id").over(order).alias("before"), F.lead("junction_id").over(order).alias("after"))
+    sides = F.explode(F.array(F.struct(F.lit("predecessor").alias("side"), F.col("before").alias("junction_id")), F.struct(F.lit("successor").alias("side"), F.col("after").alias("junction_id"))))
+    met = near.select("road_id", "k", sides.alias("s")).select("road_id", "k", "s.side", "s.junction_id").where("junction_id is not null").join(roads, "road_id")
+    centre = points.groupBy("junction_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    # of each junction the two least names: the other one is the first that is not the road's
+    names = junction_names(lanes, roads).select("junction_id", F.slice("names", 1, 2).alias("names"))
+    other = F.when(F.col("names")[0] != F.col("name"), F.col("names")[0]).otherwise(F.try_element_at("names", F.lit(2)))
+    return met.join(names, "junction_id").join(centre, "junction_id").select("road_id", "k", "side", "junction_id", other.alias("other"), "x", "y")
+
+
+def junction_records(lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """(junction_id, names, x, y): the names of two or three roads, and the point of the
+    last lane; lanes: junction_id, road_id, no, x, y."""
+    last = lanes.groupBy("junction_id").agg(F.max(F.struct("no", "road_id", "x", "y")).alias("m"))
+    named = junction_names(lanes, roads).where(F.size("names") >= 2)
+    return named.join(last, "junction_id").select("junction_id", F.slice("names", 1, 3).alias("names"), "m.x", "m.y")
+
+
 def road_length_estimate(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     """(name, length): per road, in lane order, a lane counts unless an earlier counted
     lane has it as a side lane; the sum of a name is divided by 1 + the side lanes of

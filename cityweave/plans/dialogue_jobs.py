@@ -36,6 +36,12 @@ def land_use(t: Tables):
     return qa(a, "landuse_addr2aoi", "aoi_id", _lit("Which ", text.landuse_name(F.col("land_use")), " area is at the ", "$address", "?"), F.col("aoi_name"))
 
 
+@query("q2_poi_address_elements", f"WITH {ADDR} SELECT concat('city-poi_addr_element-', poi_id) AS id, concat('Name the elements of: ', address, ', inside ', aoi_name) AS question, concat('{{\"side\":\"', side, '\",\"road\":\"', road_, '\",\"offset\":\"', off_, '\",\"toward\":\"', toward, '\",\"junction\":\"', junction, '\",\"inside\":\"', aoi_name, '\"}}') AS answer FROM attached p JOIN addr USING (aoi_id) /* aoi lane road */")
+def poi_elements(t: Tables):
+    p = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id").join(address_rows(t), "aoi_id").withColumn("full", _lit("$address", ", inside ", "$aoi_name"))
+    return qa(p, "poi_addr_element", "poi_id", _lit("Name the elements of: ", "$full"), F.to_json(text.parse_address(F.col("full"))))
+
+
 @query("q2_address_elements", f"WITH {ADDR} SELECT concat('city-aoi_addr_element-', aoi_id) AS id, concat('Name the elements of: ', address) AS question, concat('{{\"side\":\"', side, '\",\"road\":\"', road_, '\",\"offset\":\"', off_, '\",\"toward\":\"', toward, '\",\"junction\":\"', junction, '\"}}') AS answer FROM addr /* aoi lane road */")
 def elements(t: Tables):
     a = address_rows(t)
@@ -52,6 +58,21 @@ def coordinates(t: Tables):
 _JP = "jp AS (SELECT road_id, no, junction_id, (junction_id*junction_id*13 + junction_id*6007) % 10007 AS x, (junction_id*junction_id*7 + junction_id*3001) % 10009 AS y FROM lane), je AS (SELECT road_id, min(junction_id) AS a, max(junction_id) AS b FROM jp GROUP BY road_id HAVING min(junction_id) < max(junction_id)), jq AS (SELECT je.*, (a*a*13 + a*6007) % 10007 AS x1, (a*a*7 + a*3001) % 10009 AS y1, (b*b*13 + b*6007) % 10007 AS x2, (b*b*7 + b*3001) % 10009 AS y2 FROM je)"
 
 
+_JC = coord_sql("116.0 + x/100000", "39.9 + y/100000")
+_JN = "jn AS (SELECT junction_id, (junction_id*junction_id*13 + junction_id*6007) % 10007 AS x, (junction_id*junction_id*7 + junction_id*3001) % 10009 AS y, array_to_string((list_sort(list(DISTINCT name)))[1:3], ' and ') AS roads FROM lane JOIN road USING (road_id) GROUP BY junction_id HAVING count(DISTINCT name) >= 2)"
+
+
+@query("q3_junction_coordinates", f"WITH {_JN} SELECT concat('city-junc_addr2coords-', junction_id) AS id, concat('Where is junction ', junction_id, ' of ', roads, '?') AS question, {_JC} AS answer FROM jn UNION ALL SELECT concat('city-junc_coords2addr-', junction_id), concat('Which junction is at ', {_JC}, '?'), concat('junction ', junction_id, ' of ', roads) FROM jn /* lane road */")
+def junction_coordinates(t: Tables):
+    """Junctions are named by two or three of their roads."""
+    j = F.col("junction_id")
+    x, y = ((j * j * 13 + j * 6007) % 10007).cast("double"), ((j * j * 7 + j * 3001) % 10009).cast("double")
+    named = topology.junction_names(t.lane, t.road).where("size(names) >= 2")
+    d = named.select("junction_id", F.array_join(F.slice("names", 1, 3), " and ").alias("roads"), geo.coord_text(116.0 + x / 100000, 39.9 + y / 100000).alias("at"))
+    there = qa(d, "junc_addr2coords", "junction_id", _lit("Where is junction ", "$junction_id", " of ", "$roads", "?"), F.col("at"))
+    return there.union(qa(d, "junc_coords2addr", "junction_id", _lit("Which junction is at ", "$at", "?"), _lit("junction ", "$junction_id", " of ", "$roads")))
+
+
 @query("q4_junctions", f"WITH {_JP} SELECT concat('city-junc_distance-', road_id) AS id, concat('How far is junction ', b, ' from junction ', a, '?') AS question, CASE WHEN round_even(sqrt((x1-x2)**2 + (y1-y2)**2)/50, 0) = 0 THEN 'within 50m' ELSE concat(round_even(sqrt((x1-x2)**2 + (y1-y2)**2)/50, 0)::BIGINT*50, 'm') END AS answer FROM jq /* lane */")
 def junctions(t: Tables):
     e = t.lane.groupBy("road_id").agg(F.min("junction_id").alias("a"), F.max("junction_id").alias("b")).where("a < b")
@@ -76,6 +97,14 @@ def category_qa(t: Tables):
     return qa(top, "aoi_category2poi", "aoi_id", _lit("Name a ", "$category", " in ", "$aoi", "."), F.col("poi")).union(qa(top, "aoi_landuse2poi_category", "aoi_id", _lit("Which kind is most common in ", "$aoi", "?"), F.col("category")))
 
 
+@query("q5_category_land_use", f"WITH lu(code, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in text.LAND_USE.items())}), c AS (SELECT p.category, land_use, count(*) AS n FROM attached p JOIN aoi USING (aoi_id) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, land_use) AS k FROM c) SELECT concat('city-poi_category2aoi_landuse-', md5(category)) AS id, concat('On what kind of land do most ', category, ' lie?') AS question, label AS answer FROM r JOIN lu ON code = land_use WHERE k = 1")
+def category_land_use(t: Tables):
+    c = spatial.attach_pois(t.poi, t.aoi).select("aoi_id", "category").join(t.aoi.select("aoi_id", "land_use"), "aoi_id").groupBy("category", "land_use").agg(F.count(F.lit(1)).alias("n"))
+    k = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "land_use"))
+    top = c.withColumn("k", k).where("k = 1").withColumn("key", F.md5("category"))
+    return qa(top, "poi_category2aoi_landuse", "key", _lit("On what kind of land do most ", "$category", " lie?"), text.landuse_name(F.col("land_use")))
+
+
 @query("q6_adjacent_pois", "WITH f AS (SELECT aoi_id, min(poi_id) AS poi_id FROM attached GROUP BY 1 HAVING count(*) > 1) SELECT concat('city-poi2adjacency_pois-', f.poi_id) AS id, concat('What is near ', p.name, '?') AS question, string_agg(o.name, ', ' ORDER BY o.name) AS answer FROM f JOIN poi p ON p.poi_id = f.poi_id JOIN attached o ON o.aoi_id = f.aoi_id AND o.poi_id <> f.poi_id GROUP BY f.poi_id, p.name")
 def adjacent(t: Tables):
     p = spatial.attach_pois(t.poi, t.aoi)
@@ -108,6 +137,25 @@ def roads_of(t: Tables):
     return qa(a, "aoi2longest_connected_road", "aoi_id", _lit("Which is the longest road at ", "$aoi", "?"), F.col("longest")).union(qa(area, "aoi_area", "aoi_id", _lit("How large is ", "$name", "?"), F.col("area")))
 
 
+@query("q10_places_around_areas", """WITH b AS (SELECT aoi_id, string_agg(DISTINCT r.name, ', ' ORDER BY r.name) AS roads FROM lane JOIN road r USING (road_id) GROUP BY aoi_id),
+ near AS (SELECT a.aoi_id, a.name AS aoi, p.poi_id, p.name, split_part(p.category, ' > ', 1) AS kind, sqrt((p.x - cx)*(p.x - cx) + (p.y - cy)*(p.y - cy)) AS d FROM aoi a JOIN poi p ON abs(p.x - cx) <= 800 AND abs(p.y - cy) <= 800), rk AS (SELECT *, row_number() OVER (PARTITION BY aoi_id, kind ORDER BY d, poi_id) AS k FROM near WHERE d <= 800)
+SELECT concat('city-aoi2connected_road-', aoi_id) AS id, concat('Which roads meet ', a.name, '?') AS question, roads AS answer FROM b JOIN aoi a USING (aoi_id)
+UNION ALL SELECT concat('city-aoi_range_category2poi-', aoi_id, '/', kind), concat('Which ', kind, ' lie within 800 m of ', aoi, '?'), string_agg(name, ', ' ORDER BY k) FROM rk WHERE k <= 10 GROUP BY aoi_id, aoi, kind
+UNION ALL SELECT concat('city-aoi_category2nearest_poi-', aoi_id, '/', kind), concat('Which ', kind, ' is nearest to ', aoi, '?'), name FROM rk WHERE k = 1 /* lane road poi aoi */""")
+def around_areas(t: Tables):
+    from .mcq_jobs import KINDS
+
+    named = t.aoi.select("aoi_id", F.col("name").alias("aoi"))
+    roads = topology.road_aois(t.lane, t.road).groupBy("aoi_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("roads")).join(named, "aoi_id")
+    out = qa(roads, "aoi2connected_road", "aoi_id", _lit("Which roads meet ", "$aoi", "?"), F.col("roads"))
+    c = t.aoi.select(F.col("aoi_id").alias("center_id"), "cx", "cy")
+    near = spatial.pois_near(c, t.poi, 800.0, list(KINDS), 10).join(t.poi.select("poi_id", "name"), "poi_id").join(named.withColumnRenamed("aoi_id", "center_id"), "center_id")
+    near = near.withColumn("key", F.concat_ws("/", "center_id", "prefix"))
+    listed = near.groupBy("key", "prefix", "aoi").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda s: s["name"]), ", ").alias("names"))
+    out = out.union(qa(listed, "aoi_range_category2poi", "key", _lit("Which ", "$prefix", " lie within 800 m of ", "$aoi", "?"), F.col("names")))
+    return out.union(qa(near.where("rank = 1"), "aoi_category2nearest_poi", "key", _lit("Which ", "$prefix", " is nearest to ", "$aoi", "?"), F.col("name")))
+
+
 @query("q8_route_repairs", f"""WITH RECURSIVE {NARRATED}, pt AS (SELECT *, len(parts) AS n, {number_sql(1 << 20, 'route_id', seed=8)} % len(parts) AS gone FROM told WHERE len(parts) BETWEEN 3 AND 12), ex AS (SELECT route_id, parts, gone, unnest(range(n)) AS i FROM pt)
 SELECT concat('city-scrambled_task_route-', route_id) AS id, concat('Put in order: ', string_agg(parts[i + 1], '; ' ORDER BY md5(concat_ws('#', route_id, i)))) AS question, array_to_string(any_value(parts), '; ') AS answer FROM ex GROUP BY route_id
 UNION ALL SELECT concat('city-lacking_task_route-', route_id), concat('What is missing: ', string_agg(CASE WHEN i <> gone THEN parts[i + 1] END, '; ' ORDER BY i)), any_value(parts[gone + 1]) FROM ex GROUP BY route_id /* step */""")

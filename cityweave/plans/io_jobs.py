@@ -61,16 +61,15 @@ def jsonl(t: Tables):
     return got.select("id", "task", F.size("diag").cast("long").alias("turns"))
 
 
-@query("s9_read_traces", "SELECT traj_id, seq - 1 AS seq, event_type AS event, loc_id AS poi_id FROM visit WHERE user_id < 20")
+@query("s9_read_traces", "SELECT user_id, kind AS model, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type AS event, loc_id AS poi_id FROM visit")
 def traces(t: Tables):
-    """One JSON array per trajectory and file; a third kind of file is unreadable."""
+    """One JSON array and file for all visits of a user, below a folder per model."""
     path = scratch(t, "traces")
-    v = t.visit.where("user_id < 20")
-    step = F.array("event_type", F.lit("(08:00, 09:00)"), F.col("loc_id").cast("string"))
-    j = v.groupBy("traj_id", "kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", step.alias("s")))), lambda x: x["s"])).alias("value"))
-    j.repartition(F.col("traj_id")).write.option("maxRecordsPerFile", 1).partitionBy("kind", "traj_id").text(path)
+    step = F.array("event_type", F.lit("(08:00, 09:00)"), F.col("loc_id").cast("string"), F.col("user_id").cast("string"))
+    j = t.visit.groupBy("user_id", "kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("s")))), lambda x: x["s"])).alias("value"))
+    j.select("kind", "value").repartition("kind").write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
     good, _ = src.read_traces(t.spark, path)
-    return good.select(F.regexp_extract("file", r"traj_id=([^/]+)", 1).alias("traj_id"), "seq", "event", "poi_id")
+    return good.select(F.col("extra")[0].cast("long").alias("user_id"), F.regexp_extract("model", "kind=(.*)", 1).alias("model"), "seq", "event", "poi_id")
 
 
 @query("s10_task_sink", "WITH c AS (SELECT aoi_id, count(*) AS n FROM attached GROUP BY aoi_id) SELECT 'area' AS category, 'count' AS task, concat('How many in ', aoi_id, '?') AS question, n::VARCHAR AS A, (n + 1)::VARCHAR AS B, 'A' AS answer FROM c")

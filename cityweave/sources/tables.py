@@ -92,13 +92,13 @@ def read_dir(spark: SparkSession, path: str, name_contains: str, schema: str, fo
 
 def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Generated traces, one JSON array per file below a folder per model, and the count
-    of unreadable files per model."""
+    of unreadable files per model.  extra: what a step holds beyond event, span, place."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     model = F.element_at(F.split("file", "/"), -2)
     parsed = raw.select(model.alias("model"), "file", F.from_json("value", "array<array<string>>").alias("trace"))
     bad = parsed.where("trace is null").groupBy("model").agg(F.count(F.lit(1)).alias("unreadable"))
     good = parsed.where("trace is not null").select("model", "file", F.posexplode("trace").alias("seq", "step"))
-    return good.select("model", "file", F.col("seq").cast("long"), F.col("step")[0].alias("event"), F.col("step")[1].alias("span"), F.col("step")[2].try_cast("long").alias("poi_id")), bad
+    return good.select("model", "file", F.col("seq").cast("long"), F.col("step")[0].alias("event"), F.col("step")[1].alias("span"), F.col("step")[2].try_cast("long").alias("poi_id"), F.slice("step", 4, F.greatest(F.size("step") - 3, F.lit(0))).alias("extra")), bad
 
 
 def write_tasks(df: DataFrame, path: str) -> None:
