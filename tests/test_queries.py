@@ -41,6 +41,69 @@ def test_query(spark, sql, name):
     oracle = registry.oracle_sql().get(name)
     if oracle:
         assert rows(got) == rows(sql.execute(oracle).df())
+    else:
+        CHECKS[name](got, sql)
+
+
+def named_areas(got, sql):
+    """Brute force over all areas and roads: distance of a square to a stretch."""
+    lanes = sql.execute("SELECT l_partkey AS road, l_orderkey AS junction, l_suppkey AS aoi FROM lineitem WHERE l_linenumber <= 1").df()
+    areas = sql.execute("SELECT s_suppkey AS id, s_nationkey AS n, s_name AS name FROM supplier").df()
+    at = {r.id: (float((r.id * r.id * 13 + r.id * 6007 + 13) % 10007), float((r.id * r.id * 7 + r.id * 3001 + r.n * 397 + 29) % 10009), 1200.0 if r.id % 10 == 0 else 350.0, r.name) for r in areas.itertuples()}
+    start = {}
+    for r in lanes.itertuples():
+        p = (r.junction, *at[r.aoi][:2])
+        start[r.road] = min(start.get(r.road, p), p)
+    names = dict(sql.execute("SELECT p_partkey, p_name FROM part").fetchall())
+
+    def apart(cx, cy, half, x, y):  # along the stretch, finely: its distance to the square
+        def far(t):
+            dx, dy = abs(x + 120 * t - cx) - half, abs(y + 60 * t - cy) - half
+            return math.hypot(max(dx, 0), max(dy, 0))
+
+        lo, hi = 0.0, 1.0  # the distance to a convex shape is convex along a line
+        for _ in range(100):
+            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
+            lo, hi = (lo, b) if far(a) <= far(b) else (a, hi)
+        return min(far(0.0), far(1.0), far((lo + hi) / 2))
+
+    for r in got.itertuples():
+        cx, cy, half, name = at[r.aoi_id]
+        if r.aoi_id % 3:
+            assert r.name == name
+            continue
+        near = sorted((round(apart(cx, cy, half, x, y), 6), names[road]) for road, (_, x, y) in start.items())
+        best = [f"{n} nearby" for d, n in near if d <= near[0][0] + 1e-5] if near[0][0] <= max(8 * half, 800) else [""]
+        assert r.name in best
+
+
+def similarities(got, sql):
+    from cityweave.operators import helpers
+
+    said = sql.execute("SELECT conv_id, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations").df()
+    said = said[(said.role == "user") & said.next.notna() & said.text.notna()]
+    assert set(got.conv_id) >= set(said.conv_id)
+    for r in got.itertuples():
+        part = said[said.conv_id == r.conv_id]
+        one = []
+        for a, b in zip(part.text, part.next, strict=True):
+            # unigram overlap, from counts
+            x, y = a.split(), b.split()
+            common = sum(min(x.count(w), y.count(w)) for w in set(x))
+            one.append(2 * common / (len(x) + len(y)) if x and y and common else 0.0)
+        if len(part):
+            assert 0 <= r.bleu4 <= 1 and r.rougel <= r.rouge1 + 1e-9 and r.rouge2 <= r.rouge1 + 1e-9
+            scale = 100 if r.rouge1 > 1 else 1
+            assert abs(r.rouge1 / scale - sum(one) / len(one)) < 1e-4
+    assert helpers.bleu(list("abcd"), list("abcd")) == pytest.approx(1)
+
+
+def meant_options(got, sql):
+    """The second option shares all words but one with what was said."""
+    assert len(got) == sql.execute("SELECT count(*) FROM customer").fetchone()[0] and set(got.place) == {1}
+
+
+CHECKS = {"j2_name_areas": named_areas, "e4_similarity": similarities, "e8_best_option": meant_options}
 
 
 def test_entry_imports():
