@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,18 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.schemas: dict = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A fresh DataFrame each time, for self-joins; footers are read for the schema once."""
+        path = f"{self.dir}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
+
+    @cached_property
+    def n_customers(self) -> int:
+        return self.raw("customer").count()
 
     @property
     def poi(self) -> DataFrame:
@@ -99,7 +109,7 @@ class Tables:
         """One row per order: ends, and the steps as an array."""
         s = F.struct(F.col("no"), F.col("road_id"), F.col("aoi_id"), F.lit("road").alias("type"), "road_name", "road_length", "direction", F.lit(None).cast("string").alias("junc_name"))
         steps = self.step.groupBy("route_id").agg(F.array_sort(F.collect_list(s)).alias("steps"))
-        n = self.raw("customer").count()
+        n = self.n_customers
         o = self.raw("orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("start_id"), ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % n).alias("dest_id"))
         return o.join(steps, "route_id").withColumn("routes", F.transform("steps", lambda t: F.struct(t["type"].alias("type"), t["road_name"].alias("road_name"), t["road_length"].alias("road_length"), t["direction"].alias("direction"), t["junc_name"].alias("junc_name"))))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import routes
 from ..functions.geo import coord_distractors, coord_text, dir4, azimuth_xy, dist_xy, floor100
 from ..functions.text import EVAL_LAND_USE, landuse_name, top_category
 from ..operators import sampling, spatial, topology
@@ -15,7 +16,7 @@ from .base import Tables, coord_sql, query
 from .mix_jobs import groups_sql
 from .place_jobs import ranked_in_aoi
 from .scalar_jobs import ADDR, address_rows
-from .sequence_jobs import TOTALS, route_directions
+from .sequence_jobs import TOTALS
 from .topology_jobs import junction_points, resolve_endpoints
 
 POOL = 32
@@ -319,12 +320,16 @@ def poi_aoi(t: Tables):
 
 
 def ends_of(t: Tables) -> DataFrame:
-    """Routes with both end points, the length of the route and the direction."""
+    """Routes with both end points, their length, steps and text, and the direction.  Steps
+    are collected only where a query uses them."""
     e = resolve_endpoints(t)
     inside = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id").join(t.aoi.select("aoi_id", F.col("name").alias("aoi")), "aoi_id").select("poi_id", "aoi")
     p = t.poi.select("poi_id", "name", "x", "y").join(inside, "poi_id", "left")
     side = lambda s: p.select(F.col("poi_id").alias(f"{s}_poi"), F.col("name").alias(f"{s}_name"), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"), F.col("aoi").alias(f"{s}_aoi"))
-    length = t.step.groupBy("route_id").agg(F.sum("road_length").alias("length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "road_id", "aoi_id", "road_name", "road_length", "direction"))), lambda s: F.concat(s["road_name"], F.lit(" "), s["road_length"].cast("string"), F.lit(" "), s["direction"])), ", ").alias("text"))
+    step = F.struct("no", "road_id", "aoi_id", F.lit("road").alias("type"), "road_name", "road_length", "direction")
+    length = t.step.groupBy("route_id").agg(F.sum("road_length").alias("length"), F.array_sort(F.collect_list(step)).alias("steps"))
+    told = F.transform("steps", lambda s: F.concat(s["road_name"], F.lit(" "), s["road_length"].cast("string"), F.lit(" "), s["direction"]))
+    length = length.withColumn("text", F.array_join(told, ", "))
     r = e.join(side("start"), "start_poi").join(side("dest"), "dest_poi").join(length, "route_id")
     az = azimuth_xy(F.col("start_x"), F.col("start_y"), F.col("dest_x"), F.col("dest_y"))
     return r.withColumn("dir", dir4(az)).withColumn("air", dist_xy(F.col("start_x"), F.col("start_y"), F.col("dest_x"), F.col("dest_y")))
@@ -372,9 +377,10 @@ for _name, _start, _dest, _more in (("m20_poi2poi", "start_name", "dest_name", -
 def road_rows(t: Tables, ends: str) -> DataFrame:
     """Routes with the road of their destination, whether it runs south-north (up), the
     net metres of the route across it (off, at least 50 either way) and their direction."""
-    d = ends_of(t).join(route_directions(t).select("route_id", "east_m", "north_m"), "route_id")
-    roads = t.step.groupBy("route_id").agg(F.max_by("road_name", F.struct("no", "road_id", "aoi_id", "road_length")).alias("road"), F.max_by("direction", F.struct("no", "road_id", "aoi_id", "road_length")).alias("last_dir"))
-    d = d.join(roads, "route_id").where(F.col(f"start_{ends}").isNotNull())
+    d = ends_of(t).where(F.col(f"start_{ends}").isNotNull()).withColumn("t", routes.direction_totals(F.col("steps")))
+    net = lambda a, b: F.round(F.col(f"t.{a}") - F.col(f"t.{b}"), 3)
+    last = F.element_at("steps", -1)
+    d = d.select("*", net("east", "west").alias("east_m"), net("north", "south").alias("north_m"), last["road_name"].alias("road"), last["direction"].alias("last_dir"))
     up = F.col("last_dir").contains("north") | F.col("last_dir").contains("south")
     across = F.when(up, F.col("east_m")).otherwise(F.col("north_m"))
     d = d.withColumn("up", up).withColumn("off", F.round(across, 0).cast("long")).where(F.abs("off") >= 50)

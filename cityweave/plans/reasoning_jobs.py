@@ -48,15 +48,15 @@ def flat(df: DataFrame, key: str, task: str) -> DataFrame:
     return df.select(F.concat(F.lit(f"city-{task}-"), F.col(key).cast("string")).alias("id"), said.alias("diag"))
 
 
-def with_totals(t: Tables, d: DataFrame) -> DataFrame:
-    return d.join(t.route.select("route_id", routes.direction_totals(F.col("routes")).alias("t"), F.transform("steps", lambda s: s["road_length"]).alias("lengths")), "route_id")
+def with_totals(d: DataFrame) -> DataFrame:
+    return d.withColumns({"t": routes.direction_totals(F.col("steps")), "lengths": F.transform("steps", lambda s: s["road_length"])})
 
 
 # R1: to a road
 
 
 def _to_road(t: Tables, ends: str, kind: str, seed: int) -> DataFrame:
-    d = with_totals(t, road_rows(t, ends))
+    d = with_totals(road_rows(t, ends))
     n = F.abs("off")
     runs = F.when(F.col("up"), "south-north").otherwise("east-west")
     steps = F.concat(totals_text(F.col("t")), axes_text(F.col("t")), F.lit("Step 3. "), "road", F.lit(" runs "), runs, F.lit(", so the metres across it count: "), n.cast("string"), F.lit(" towards "), "main", F.lit("."))
@@ -85,7 +85,7 @@ for _ends, _what in (("name", "poi2rd"), ("aoi", "aoi2rd")):
 
 
 def _drawn(t: Tables, dest: str) -> DataFrame:
-    d = with_totals(t, ends_of(t)).where(F.col("start_name").isNotNull() & F.col(dest).isNotNull())
+    d = with_totals(ends_of(t)).where(F.col("start_name").isNotNull() & F.col(dest).isNotNull())
     return sampling.sample_n(d, FIRST, "route_id", 1)
 
 

@@ -18,7 +18,7 @@ def resolve_endpoints(t: Tables):
     """Routes name their ends by "name(category)"; the first point of a key is meant."""
     key = F.concat("name", F.lit("("), "category", F.lit(")"))
     first = t.poi.select(key.alias("key"), "poi_id").groupBy("key").agg(F.min("poi_id").alias("poi_id"))
-    n = t.raw("customer").count()
+    n = t.n_customers
     o = t.raw("orders").select(F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("start_id"), ((F.col("o_custkey") * 31 + F.col("o_orderkey")) % n).alias("dest_id"))
     named = t.poi.select("poi_id", key.alias("key"))
     e = o.join(named.select(F.col("poi_id").alias("start_id"), F.col("key").alias("s")), "start_id").join(named.select(F.col("poi_id").alias("dest_id"), F.col("key").alias("d")), "dest_id")
