@@ -39,8 +39,6 @@ PATTERNS = (
 KINDS = {kind: i for i, (kind, *_) in enumerate(PATTERNS)}
 #: Characters that are decoded at a time.
 PIECE = 1 << 20
-#: Times that a payload may be compressed (one that inflates to itself has no end).
-DEPTH = 32
 
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -198,20 +196,30 @@ def _packed(head: bytes) -> bool:
 
 def _inflated(raw: bytes) -> tuple[Iterator[str], int] | None:
     """The text of a compressed payload that starts raw, inflated as often as it was
-    compressed, in chunks, and the payload's length; None if raw is no such payload."""
-    depth, head, rest = 0, raw[:3], [0]
-    make = lambda n: _inflate(make(n - 1), rest if n == 1 else []) if n else iter((raw,))
-    used = 0
-    while depth < DEPTH and _packed(head):
+    compressed, in chunks, and the payload's length; None if raw is no such payload.
+
+    A layer of up to PIECE bytes, or twice those of raw, is held and inflated further from
+    there; longer ones are inflated again from the last that was held.  One that was met before (a payload
+    that inflates to itself) ends the chain."""
+    held, depth, head, rest = raw, 0, raw[:3], [0]  # depth: layers from held on
+    make = lambda n: _inflate(make(n - 1), rest if n == 1 else []) if n else iter((held,))
+    used, seen, most = 0, set(), max(PIECE, 2 * len(raw))
+    while _packed(head):
         try:
-            head = b""
+            head, size, kept, mark = b"", 0, [], hashlib.blake2b(digest_size=16)
             for part in make(depth + 1):  # to its end: a broken payload is none
                 head += part[: 3 - len(head)]
+                size += len(part)
+                mark.update(part)
+                kept = [*kept, part] if size <= most else []
         except zlib.error:
             break
         used = used or len(raw) - rest[0]
-        depth += 1
-    if not depth:
+        if mark.digest() in seen:
+            break
+        seen.add(mark.digest())
+        held, depth = (b"".join(kept), 0) if size <= most else (held, depth + 1)
+    if not used:
         return None
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     return (decoder.decode(part) for part in make(depth)), used

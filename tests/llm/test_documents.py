@@ -105,6 +105,16 @@ def test_long_layers_are_scanned_whole():
     assert [k for k, _, _ in secrets.find_secrets(f"x {packed} y")[1]] == ["assign"]
 
 
+@pytest.mark.parametrize("filler", [0, 200_000])
+def test_payloads_are_inflated_as_often_as_they_were_compressed(filler):
+    """The long one has layers that are not held."""
+    body = (SECRET + " some words," * filler).encode()
+    for level in range(60 if not filler else 3):
+        body = gzip.compress(body, mtime=0) if level % 2 else zlib.compress(body)
+    text = f"foo\n{base64.b64encode(body).decode()}\nbar"
+    assert any(k == "assign" for k, _, _ in secrets.find_secrets(text)[1])
+
+
 def test_decoding_cycles_end():
     assert {k for k, _, _ in secrets.find_secrets("%25252525252525zz " * 50 + "A" * 4000)[1]} <= {"hex"}
 
