@@ -92,6 +92,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), vocabulary_path()))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    model = train(docs, labels.where(~held))
+    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    rows, books = compress(table(spark, sf_dir, "embeddings"))
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.digest() if books else "").alias("codebooks_sha256"))
+
+
 def queries() -> dict:
     found = {f.__name__: f for f in globals().values() if callable(f) and getattr(f, "__name__", "").startswith("op")}
     return dict(found)
@@ -140,5 +162,71 @@ FROM (SELECT id AS doc_id, source, unnest(range(1, last + 1)) AS pass, block, to
 """
 
 
+def codes_sql(rounds: int = 6) -> str:
+    """The rounds one after the other, over one row per component."""
+    far = """far{i} AS MATERIALIZED (
+  SELECT k.vec_id, k.part, c.entry, sum((k.v - c.v) * (k.v - c.v))::BIGINT AS d FROM piece k JOIN book{i} c USING (part, pos) GROUP BY ALL
+), code{i} AS MATERIALIZED (
+  SELECT vec_id, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d FROM far{i} GROUP BY ALL
+)"""
+    better = """mean{j} AS (
+  SELECT part, entry, pos, ((s - ((s % n) + n) % n) // n)::BIGINT AS v FROM (SELECT part, entry, pos, sum(v) AS s, count(*) AS n FROM code{i} JOIN piece USING (vec_id, part) GROUP BY ALL)
+), book{j} AS MATERIALIZED (
+  SELECT part, entry, pos, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN mean{j} m USING (part, entry, pos)
+)"""
+    steps = [part.format(i=i, j=i + 1) for i in range(rounds) for part in (far, better)] + [far.format(i=rounds)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), placed AS (
+  SELECT vec_id, q, len(q) // 8 AS step, unnest(range(len(q))) AS i FROM kept
+), piece AS MATERIALIZED (
+  SELECT vec_id, (i // step)::INT AS part, (i % step)::INT AS pos, q[i + 1] AS v FROM placed
+), book0 AS MATERIALIZED (
+  SELECT part, f.entry, pos, v FROM piece JOIN (SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::INT AS entry FROM kept ORDER BY vec_id LIMIT 16) f USING (vec_id)
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM code{rounds} GROUP BY ALL
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+OP11_SQL = r"""
+WITH turn_rows AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), orig AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turn_rows
+), conv AS (
+  SELECT conv_id AS c, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(1, 9)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turn_rows)
+), size AS (
+  SELECT conv_id AS base, count(*) AS n FROM orig GROUP BY ALL
+), rebuilt AS (
+  SELECT c, pos, role, text FROM conv JOIN orig ON conv_id = base AND pos <= h
+  UNION ALL
+  SELECT c, pos - h + least(h, coalesce(n, 0)), role, text FROM conv JOIN orig ON conv_id = c AND pos > h LEFT JOIN size USING (base)
+), seq AS (
+  SELECT c, list(md5(len(role) || ':' || role || text) ORDER BY pos) AS said, list(len(text) ORDER BY pos) AS chars FROM rebuilt GROUP BY ALL
+), step AS (
+  SELECT c, d, md5(array_to_string(said[1:d], ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(said[1:d - 1], ',')) END AS p, coalesce(chars[d], 0) AS chars, d = len(said) AS last
+  FROM (SELECT c, coalesce(said, []) AS said, chars, unnest(range(0, coalesce(len(said), 0) + 1)) AS d FROM conv LEFT JOIN seq USING (c))
+), node AS (
+  SELECT d, k, any_value(p) AS p, min(c) AS conv, count(*) AS n, any_value(chars) AS chars, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends FROM step GROUP BY ALL
+), child AS (
+  SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL
+), worth AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child USING (d, k)
+), subtree AS (
+  SELECT s.d, s.k, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n - 1) * w.chars)::BIGINT AS saved_tokens FROM worth w JOIN step s ON s.c = w.conv AND s.d <= w.d GROUP BY ALL
+)
+SELECT w.conv AS conv_id, w.d::BIGINT AS depth, u.conv AS parent_conv_id, w.n AS n_convs, w.n_children, n_leaves, saved_tokens, sha256(w.ends) AS ends_sha256
+FROM worth w JOIN subtree USING (d, k) LEFT JOIN node u ON u.d = w.d - 1 AND u.k = w.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_temperature_mixing": OP3_SQL}
+    return {"op11_conversation_trie": OP11_SQL, "op3_temperature_mixing": OP3_SQL, "op13_vector_codes": codes_sql()}
