@@ -93,6 +93,31 @@ def negatives(keys: DataFrame, key: str, universe: DataFrame, item: str, positiv
     return free.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def outside_group(keys: DataFrame, key: str, group: str, universe: DataFrame, item: str, item_group: str, k: int, seed: int = 0) -> DataFrame:
+    """(key, item, rank): k items of other groups than the key's own; all there are, if fewer.
+
+    Items are numbered by group and hash (ranks in hash shards plus the shards' offsets),
+    so a group is one interval.  A key takes k numbers at even strides from a place of
+    its own hash on the ring without that interval, so nothing is tried in vain,
+    however large the group."""
+    shard = F.substring("_h", 1, 2)
+    digest = universe.select(F.col(item_group).alias("_g"), F.col(item).alias(item)).where("_g is not null").where(F.col(item).isNotNull()).distinct().withColumn("_h", keyed(F.col(item), seed=seed)).withColumn("_shard", shard)
+    within = F.row_number().over(Window.partitionBy("_g", "_shard").orderBy("_h", item)) - 1
+    sizes = digest.groupBy("_g", "_shard").count()  # at most 256 rows a group
+    before = Window.orderBy("_g", "_shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_from", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    placed = digest.withColumn("_in", within).join(sizes.drop("count"), ["_g", "_shard"]).select((F.col("_from") + F.col("_in")).alias("_no"), item)
+    spans = sizes.groupBy("_g").agg(F.min("_from").alias("_lo"), F.sum("count").alias("_n"))
+    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("_total"))
+    asked = keys.select(key, F.col(group).alias("_g")).distinct().join(spans, "_g", "left").join(F.broadcast(total), F.lit(True)).withColumn("_out", F.col("_total") - F.coalesce("_n", F.lit(0))).where("_out > 0")
+    start = F.pmod(F.conv(F.substring(keyed(F.col(key), "start", seed=seed), 1, 8), 16, 10).cast("long"), F.col("_out"))
+    stride = F.greatest(F.floor(F.col("_out") / k), F.lit(1))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("_out"), F.lit(k)) - 1), lambda i: F.pmod(start + i * stride, F.col("_out")))
+    number = F.transform(place, lambda p: F.when(p < F.coalesce("_lo", "_total"), p).otherwise(p + F.coalesce("_n", F.lit(0))))
+    drawn = asked.select(key, F.posexplode(number).alias("rank", "_no"))
+    return drawn.join(placed, "_no").select(key, item, (F.col("rank") + 1).alias("rank"))
+
+
 def make_mcq(df: DataFrame, key: str, question: Column, answer: Column, distractors: Column, seed: int = 0) -> DataFrame:
     """(key, question, options, answer): options in hash order of their place, so
     that equal texts stay apart, and the letter of the true one.  Options and letter

@@ -9,6 +9,8 @@ from ..functions.geo import contains_edges, dist_xy, ring_edges
 
 #: Rows up to which the smaller side of a cell join is broadcast, after a count.
 BROADCAST_ROWS = 50_000
+#: Rows of a cell beyond which it is dealt over salts.
+HOT_ROWS = 100_000
 
 
 def cell(v: Column, size: float) -> Column:
@@ -25,22 +27,79 @@ def in_bbox(df: DataFrame, lng: str, lat: str, bbox: tuple[float, float, float,
     return df.where(F.col(lng).between(bbox[0], bbox[2]) & F.col(lat).between(bbox[1], bbox[3]))
 
 
-def attach_pois(pois: DataFrame, aois: DataFrame, size: float = 500.0) -> DataFrame:
+def box_level(width: Column, size: float) -> Column:
+    """The level whose cells, size * 2^level wide, are no smaller than `width`: a box then
+    covers four of them at most."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(width, F.lit(size)) / size))).cast("int")
+
+
+def level_cells(df: DataFrame, level: Column, size: float, x0: Column, x1: Column, y0: Column, y1: Column) -> DataFrame:
+    """df with (level, cx, cy): a row per cell of that level that the box touches."""
+    wide = F.pow(F.lit(2.0), F.col("level")) * size
+    at = df.withColumn("level", level).withColumn("cx", F.explode(F.sequence(cell(x0, wide), cell(x1, wide))))
+    return at.withColumn("cy", F.explode(F.sequence(cell(y0, wide), cell(y1, wide))))
+
+
+def attach_pois(pois: DataFrame, aois: DataFrame, size: float = 500.0, hot: int = HOT_ROWS) -> DataFrame:
     """pois with the area that strictly contains them (the least aoi_id of several).
 
-    An area covers the cells of its bounding box, so a point meets only the areas of
-    its own cell.  Points in no area, and with null coordinates, are left out."""
+    A cover of many levels: an area stands in at most four cells of the level that fits
+    its box, however large it is, and a point in one cell of each level that any area has.
+    The join is on cells; a broadcast while the cover is small, otherwise a shuffle in
+    which the points of a cell with more than `hot` of them are dealt over salts and
+    the areas of such a cell are copied to each.  Points in no area, and with null
+    coordinates, are left out."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxes = aois.select("aoi_id", ring_edges(F.col("ring")).alias("edges"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    cover = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0"), size), cell(F.col("x1"), size))))
-    cover = cover.withColumn("cy", F.explode(F.sequence(cell(F.col("y0"), size), cell(F.col("y1"), size))))
-    points = pois.where("x is not null and y is not null").select("poi_id", "x", "y", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    near = points.join(cover, ["cx", "cy"]).where("x > x0 and x < x1 and y > y0 and y < y1")
-    met = near.where(contains_edges(F.col("edges"), F.col("x"), F.col("y")))
+    boxes = boxes.where("x0 is not null and y0 is not null")
+    level = box_level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), size)
+    cover = level_cells(boxes, level, size, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"))
+    known = boxes.agg(F.count(F.lit(1)).alias("n"), F.collect_set(level).alias("levels")).first()
+    levels = sorted(known["levels"])  # one a doubling of size
+    points = pois.where("x is not null and y is not null").select("poi_id", "x", "y", F.explode(F.array(*map(F.lit, levels))).alias("level")) if levels else pois.where("false").select("poi_id", "x", "y", F.lit(0).alias("level"))
+    wide = F.pow(F.lit(2.0), F.col("level")) * size
+    points = points.withColumns({"cx": cell(F.col("x"), wide), "cy": cell(F.col("y"), wide)})
+    by = ["level", "cx", "cy"]
+    if 4 * known["n"] <= BROADCAST_ROWS:
+        near = points.join(F.broadcast(cover), by)
+    else:
+        near = salted_join(points, cover, by, "poi_id", hot)
+    met = near.where("x > x0 and x < x1 and y > y0 and y < y1").where(contains_edges(F.col("edges"), F.col("x"), F.col("y")))
     first = met.groupBy("poi_id").agg(F.min("aoi_id").alias("aoi_id"))
     return pois.drop("aoi_id").join(first, "poi_id")
 
 
+def salted_join(many: DataFrame, few: DataFrame, by: list[str], key: str, hot: int = HOT_ROWS) -> DataFrame:
+    """many joined with few on `by`.  Keys with more than `hot` rows of many are parted into
+    salts by a hash of `key`, and their rows of few are copied to each salt.  There are
+    at most rows / hot such keys."""
+    busy = many.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*by, F.ceil(F.col("_n") / hot).cast("int").alias("_salts"))
+    busy = sized_broadcast(busy)
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(busy, by, "left").withColumn("_salt", F.pmod(F.xxhash64(key), salts).cast("int")).drop("_salts")
+    right = few.join(busy, by, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*by, "_salt"]).drop("_salt")
+
+
+def dense_ids(df: DataFrame, key: str, out: str, first: int = 0, parts: int | None = None) -> DataFrame:
+    """df with `out`: first, first + 1, ... in the order of the numeric column `key`, whose
+    values are distinct.
+
+    Rows are cut into ranges at approximate quantiles (a list as long as there are
+    parts), ranked within their range, and moved on by the sizes of the ranges before:
+    no window over all rows."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.array(*[F.lit(i / n) for i in range(1, n)])
+    cuts = sorted(set(df.agg(F.percentile_approx(key, share, 1000).alias("c")).first()["c"] or [])) if n > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a part
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offset = sizes.select("_part", (F.coalesce(before, F.lit(0)) + first).alias("_from"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return ranged.withColumn("_rank", rank).join(F.broadcast(offset), "_part").withColumn(out, F.col("_from") + F.col("_rank")).drop("_part", "_rank", "_from")
+
+
 def aoi_members(attached: DataFrame) -> DataFrame:
     """(aoi_id, poi_ids): the points of each area, in id order."""
     return attached.groupBy("aoi_id").agg(F.array_sort(F.collect_list("poi_id")).alias("poi_ids"))
@@ -92,23 +151,42 @@ def name_areas(aois: DataFrame, roads: DataFrame, least: float = 800.0) -> DataF
     """Names for unnamed areas: the nearest named road within max(perimeter, least)
     metres, plus " nearby"; others keep theirs.
 
-    aois: aoi_id, name, ring; roads: road_id, name, line.  Roads cover the cells of
-    their bounding box; an area looks in the cells of its box grown by its reach.
-    Segment distances are the one part in Python (see ring_line_distance)."""
+    aois: aoi_id, name, ring; roads: road_id, name, line.  Two stages: all areas look
+    within `least` metres, where the nearest road is the nearest of all; only those that
+    found none there and may reach further look within their own reach."""
     from ..functions.geo import ring_length
-    from .helpers import ring_line_distance
 
     reach = F.greatest(ring_length(F.col("ring")), F.lit(float(least)))
-    lo_hi = lambda col, k: (F.array_min(F.transform(col, lambda p: p[k])), F.array_max(F.transform(col, lambda p: p[k])))
-
-    def covered(df, col, grow):
-        (x0, x1), (y0, y1) = lo_hi(col, "x"), lo_hi(col, "y")
-        gx = df.withColumn("cx", F.explode(F.sequence(cell(x0 - grow, least), cell(x1 + grow, least))))
-        return gx.withColumn("cy", F.explode(F.sequence(cell(y0 - grow, least), cell(y1 + grow, least))))
-
     unnamed = aois.where(F.coalesce("name", F.lit("")) == "").select("aoi_id", "ring", reach.alias("reach"))
     lines = roads.where(F.coalesce("name", F.lit("")) != "").select("road_id", F.col("name").alias("road_name"), "line")
-    met = covered(unnamed, "ring", F.col("reach")).select("aoi_id", "cx", "cy").join(covered(lines, "line", F.lit(0.0)).select("road_id", "cx", "cy"), ["cx", "cy"]).select("aoi_id", "road_id").distinct()
-    pairs = met.join(unnamed, "aoi_id").join(lines, "road_id").withColumn("d", ring_line_distance("ring", "line")).where("d <= reach")
-    best = pairs.groupBy("aoi_id").agg(F.min(F.struct("d", "road_name")).alias("best")).select("aoi_id", F.concat("best.road_name", F.lit(" nearby")).alias("found"))
+    fine = nearest_roads(unnamed.withColumn("reach", F.lit(float(least))), lines, least)
+    rest = unnamed.where(F.col("reach") > least).join(fine.select("aoi_id"), "aoi_id", "left_anti")
+    best = fine.union(nearest_roads(rest, lines, least)).select("aoi_id", F.concat("road_name", F.lit(" nearby")).alias("found"))
     return aois.join(best, "aoi_id", "left").withColumn("name", F.coalesce(F.nullif("name", F.lit("")), "found", F.lit(""))).drop("found")
+
+
+def road_candidates(areas: DataFrame, lines: DataFrame, size: float) -> DataFrame:
+    """(aoi_id, road_id): pairs whose boxes, the area's grown by its reach, share a cell and
+    overlap.
+
+    An area stands in at most four cells of the level that fits its grown box, a road in
+    the cells of its box at each of those levels."""
+    lo_hi = lambda col, k: (F.array_min(F.transform(col, lambda p: p[k])), F.array_max(F.transform(col, lambda p: p[k])))
+    (x0, x1), (y0, y1) = lo_hi("ring", "x"), lo_hi("ring", "y")
+    grown = areas.select("aoi_id", (x0 - F.col("reach")).alias("ax0"), (x1 + F.col("reach")).alias("ax1"), (y0 - F.col("reach")).alias("ay0"), (y1 + F.col("reach")).alias("ay1")).where("ax0 is not null and ay0 is not null")
+    level = box_level(F.greatest(F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")), size)
+    levels = sorted(r[0] for r in grown.select(level.alias("level")).distinct().collect()) or [0]
+    (x0, x1), (y0, y1) = lo_hi("line", "x"), lo_hi("line", "y")
+    boxes = lines.select("road_id", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1")).where("x0 is not null and y0 is not null")
+    at = level_cells(boxes.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))), F.col("_level"), size, F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")).drop("_level")
+    met = level_cells(grown, level, size, F.col("ax0"), F.col("ax1"), F.col("ay0"), F.col("ay1")).join(at, ["level", "cx", "cy"])
+    return met.where("x0 <= ax1 and x1 >= ax0 and y0 <= ay1 and y1 >= ay0").select("aoi_id", "road_id").distinct()
+
+
+def nearest_roads(areas: DataFrame, lines: DataFrame, size: float) -> DataFrame:
+    """(aoi_id, road_name) of the nearest line within each area's reach (ties: the least
+    name); segment distances are the one part in Python (see ring_line_distance)."""
+    from .helpers import ring_line_distance
+
+    pairs = road_candidates(areas, lines, size).join(areas, "aoi_id").join(lines, "road_id").withColumn("d", ring_line_distance("ring", "line")).where("d <= reach")
+    return pairs.groupBy("aoi_id").agg(F.min(F.struct("d", "road_name")).alias("best")).select("aoi_id", "best.road_name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import azimuth_xy, dir4, dir8
 
 def road_aois(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     """(name, aoi_id): areas beside the lanes of a road name."""
@@ -21,24 +22,43 @@ def aoi_longest_road(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     return ranked
 
 
+def road_members(lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """(name, aoi_id, no, n): the areas on a road name, numbered from 0 by id, and how many
+    they are: area a and any other of the n are a pair.
+
+    Numbers come from counts by blocks of ids and ranks inside a block, so an avenue
+    with most of all areas is ranked in many tasks."""
+    beside = road_aois(lanes, roads).withColumn("block", F.floor(F.col("aoi_id") / BLOCK_IDS))
+    sizes = beside.groupBy("name", "block").agg(F.count(F.lit(1)).alias("size"))
+    by = Window.partitionBy("name")
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("size").over(by))
+    rank = F.row_number().over(Window.partitionBy("name", "block").orderBy("aoi_id")) - 1
+    return beside.withColumn("k", rank).join(sizes, ["name", "block"]).select("name", "aoi_id", (F.col("before") + F.col("k")).alias("no"), "n")
+
+
+#: Ids that are ranked in one window.
+BLOCK_IDS = 1 << 16
+
+
 def pair_counts_by_road(lanes: DataFrame, roads: DataFrame) -> DataFrame:
     """(name, pairs, a, b): how many ordered pairs of distinct areas a road name has, and
     the least of them; no pairs are made."""
-    two = F.slice(F.array_sort(F.collect_list("aoi_id")), 1, 2)
-    least = Window.partitionBy("name").orderBy("aoi_id")
-    beside = road_aois(lanes, roads)
-    n = beside.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = beside.withColumn("k", F.row_number().over(least)).where("k <= 2").groupBy("name").agg(two.alias("two"))
-    return n.join(first, "name").select("name", (F.col("n") * (F.col("n") - 1)).alias("pairs"), F.col("two")[0].alias("a"), F.col("two")[1].alias("b"))
+    m = road_members(lanes, roads).where("n > 1 and no < 2")
+    two = m.groupBy("name").agg(F.max("n").alias("n"), F.min("aoi_id").alias("a"), F.max("aoi_id").alias("b"))
+    return two.select("name", (F.col("n") * (F.col("n") - 1)).alias("pairs"), "a", "b")
+
 
+def aoi_pairs_by_road(lanes: DataFrame, roads: DataFrame, block: int = 256) -> DataFrame:
+    """(name, a, b): ordered pairs of distinct areas on one road name.
 
-def aoi_pairs_by_road(lanes: DataFrame, roads: DataFrame, cap: int | None = None) -> DataFrame:
-    """(name, a, b): ordered pairs of distinct areas on one road name."""
-    beside = road_aois(lanes, roads)
-    if cap is not None:
-        k = F.row_number().over(Window.partitionBy("name").orderBy(F.md5(F.col("aoi_id").cast("string"))))
-        beside = beside.withColumn("k", k).where(F.col("k") <= cap).drop("k")
-    return beside.select("name", F.col("aoi_id").alias("a")).join(beside.select("name", F.col("aoi_id").alias("b")), "name").where("a <> b")
+    A road's members stand in blocks, and each pair of blocks is a key of the join: a
+    task meets block x block pairs at most, however many areas the road has, and every
+    pair comes once."""
+    m = road_members(lanes, roads).where("n > 1").withColumn("own", F.floor(F.col("no") / block))
+    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))
+    a = m.select("name", F.col("aoi_id").alias("a"), F.col("own").alias("i"), F.explode(every).alias("j"))
+    b = m.select("name", F.col("aoi_id").alias("b"), F.col("own").alias("j"), F.explode(every).alias("i"))
+    return a.join(b, ["name", "i", "j"]).where("a <> b").select("name", "a", "b")
 
 
 def junction_names(lanes: DataFrame, roads: DataFrame) -> DataFrame:
@@ -53,29 +73,63 @@ def road_links(names: DataFrame) -> DataFrame:
     return a.select("name", F.explode("names").alias("linked")).where("name <> linked").distinct()
 
 
-def junction_of_lane(lanes: DataFrame, roads: DataFrame, other: str = "name") -> DataFrame:
-    """(junction_id, road_id, other): the least other road name at a lane's junction."""
-    named = lanes.join(roads, "road_id").select("junction_id", "road_id", "name").distinct()
-    met = named.select("junction_id", F.col("name").alias("o"))
-    return named.join(met, "junction_id").where("o <> name").groupBy("junction_id", "road_id").agg(F.min("o").alias("other"))
-
-
-def junction_sides(lanes: DataFrame, roads: DataFrame, points: DataFrame) -> DataFrame:
-    """(road_id, k, side, junction_id, other, x, y): for lane k of a road, in order, the
-    junction of the lane before it (predecessor) and after it (successor), with the
-    least other road name there and the junction's centre.
-
-    lanes: road_id, k, junction_id, name ordered by k; points: junction_id, x, y of each
-    lane, whose mean is the centre."""
-    order = Window.partitionBy("road_id").orderBy("k")
-    near = lanes.select("road_id", "k", F.lag("junction_id").over(order).alias("before"), F.lead("junction_id").over(order).alias("after"))
-    sides = F.explode(F.array(F.struct(F.lit("predecessor").alias("side"), F.col("before").alias("junction_id")), F.struct(F.lit("successor").alias("side"), F.col("after").alias("junction_id"))))
-    met = near.select("road_id", "k", sides.alias("s")).select("road_id", "k", "s.side", "s.junction_id").where("junction_id is not null").join(roads, "road_id")
-    centre = points.groupBy("junction_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    # of each junction the two least names: the other one is the first that is not the road's
-    names = junction_names(lanes, roads).select("junction_id", F.slice("names", 1, 2).alias("names"))
-    other = F.when(F.col("names")[0] != F.col("name"), F.col("names")[0]).otherwise(F.try_element_at("names", F.lit(2)))
-    return met.join(names, "junction_id").join(centre, "junction_id").select("road_id", "k", "side", "junction_id", other.alias("other"), "x", "y")
+def junction_of_lane(lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """(junction_id, road_id, others): the other road names at a lane's junction, sorted;
+    names are gathered once a junction, so one with many lanes makes no pairs."""
+    met = lanes.select("junction_id", "road_id").distinct().join(roads, "road_id").join(junction_names(lanes, roads), "junction_id")
+    return met.select("junction_id", "road_id", F.array_remove("names", F.col("name")).alias("others")).where(F.size("others") > 0)
+
+
+#: The way of a lane at a junction (it leads in, or out again) and the side of the lane on which that junction is.
+SIDES = {"out": "predecessor", "in": "successor"}
+UNKNOWN = "unknown road"
+
+
+def _named(roads: DataFrame) -> DataFrame:
+    return roads.select("road_id", F.coalesce(F.nullif("name", F.lit("")), F.lit(UNKNOWN)).alias("name"))
+
+
+def lane_sides(edges: DataFrame, lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """(lane_id, side, junction_id, names, x, y): the junction before a lane (predecessor)
+    and after it (successor), the names of the roads beyond that junction, sorted, and
+    its centre, the mean of the centres of the lanes that meet there.
+
+    edges: junction_id, lane_id, way ("in" leads into the junction, "out" leaves it);
+    lanes: lane_id, road_id, x, y.  Two hops, lane to junction to lanes, as two
+    equi-joins: names are gathered once a junction and way, so a junction with
+    hundreds of lanes costs one row for each of them."""
+    edges = edges.select("junction_id", "lane_id", "way").distinct()
+    met = edges.join(lanes.select("lane_id", "road_id", "x", "y"), "lane_id").join(_named(roads), "road_id")
+    names = met.groupBy("junction_id", "way").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    beyond = names.select("junction_id", F.when(F.col("way") == "in", "out").otherwise("in").alias("way"), "names")
+    centre = met.select("junction_id", "lane_id", "x", "y").distinct().groupBy("junction_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    side = F.when(F.col("way") == "out", SIDES["out"]).otherwise(SIDES["in"])
+    joined = edges.join(beyond, ["junction_id", "way"], "left").join(centre, "junction_id")
+    return joined.select("lane_id", side.alias("side"), "junction_id", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "x", "y")
+
+
+def aoi_addresses(positions: DataFrame, edges: DataFrame, lanes: DataFrame, roads: DataFrame, aois: DataFrame) -> DataFrame:
+    """(aoi_id, lane_id, from, road, metres, junction, toward, side) of each area that can
+    be reached: the address by the first of its driving positions whose lane has a
+    neighbour.
+
+    positions: aoi_id, pos (their order), lane_id, s (metres along the lane); edges,
+    lanes (with length) and roads as for lane_sides; aois: aoi_id, cx, cy.  The junction
+    before the lane is preferred, s metres away; without one it is the junction
+    after it, length - s metres away.  junction is the least name beyond that is not
+    the road's own, else the road's; toward is the direction (of 8) from the junction to
+    the area's centre, side that (of 4) from the lane to it.  Positions on lanes without
+    neighbours are passed over; an area with no other has no address.  One minimum an
+    area, so no list of positions is gathered."""
+    at = positions.select("aoi_id", "pos", "lane_id", "s").join(lane_sides(edges, lanes, roads).select("lane_id", F.col("side").alias("from"), "junction_id", "names", F.col("x").alias("jx"), F.col("y").alias("jy")), "lane_id")
+    first = at.groupBy("aoi_id").agg(F.min(F.struct("pos", "from", "junction_id", "lane_id", "s", "names", "jx", "jy")).alias("m")).select("aoi_id", "m.*")
+    placed = first.join(lanes.select("lane_id", "road_id", "length", "x", "y"), "lane_id").join(_named(roads).withColumnRenamed("name", "road"), "road_id").join(aois.select("aoi_id", "cx", "cy"), "aoi_id")
+    metres = F.when(F.col("from") == SIDES["out"], F.col("s")).otherwise(F.col("length") - F.col("s"))
+    other = F.coalesce(F.try_element_at(F.filter("names", lambda n: n != F.col("road")), F.lit(1)), "road")
+    return placed.select(
+        "aoi_id", "lane_id", "from", "road", metres.alias("metres"), other.alias("junction"),
+        dir8(azimuth_xy(F.col("jx"), F.col("jy"), F.col("cx"), F.col("cy"))).alias("toward"), dir4(azimuth_xy(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).alias("side"),
+    )
 
 
 def junction_records(lanes: DataFrame, roads: DataFrame) -> DataFrame:

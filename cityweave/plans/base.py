@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import DIR8
@@ -95,6 +95,31 @@ class Tables:
             (F.col("l_quantity") * 20).alias("length"),
         )
 
+    @property
+    def lanes(self) -> DataFrame:
+        """The lanes with numbers: lane_id, road_id, k (their order on the road), junction_id,
+        aoi_id, no, length, and x, y of the junction they belong to."""
+        order = Window.partitionBy("road_id").orderBy("junction_id", "no", "aoi_id", "length")
+        j = F.col("junction_id")
+        lanes = self.lane.withColumn("k", F.row_number().over(order).cast("long"))
+        return lanes.withColumns({"lane_id": F.col("road_id") * 1000000 + F.col("k"), "x": ((j * j * 13 + j * 6007) % 10007).cast("double"), "y": ((j * j * 7 + j * 3001) % 10009).cast("double")})
+
+    @property
+    def edge(self) -> DataFrame:
+        """junction_id, lane_id, way: lane k of a road leads to lane k + 1, through the latter's
+        junction, where (road_id + k) % 4 < 2; some lanes so have no neighbour."""
+        after = F.lead("junction_id").over(Window.partitionBy("road_id").orderBy("k"))
+        links = self.lanes.select("road_id", "k", after.alias("junction_id")).where("junction_id is not null and (road_id + k) % 4 < 2")
+        both = F.array(F.struct(F.lit("in").alias("way"), F.col("k")), F.struct(F.lit("out").alias("way"), (F.col("k") + 1).alias("k")))
+        met = links.select("road_id", "junction_id", F.explode(both).alias("e"))
+        return met.select("junction_id", (F.col("road_id") * 1000000 + F.col("e.k")).alias("lane_id"), "e.way")
+
+    @property
+    def position(self) -> DataFrame:
+        """Driving positions of the areas: aoi_id, pos, lane_id, s."""
+        s = F.col("length") * (F.col("no") % 4 + 1) / 5
+        return self.lanes.select("aoi_id", F.struct("junction_id", "no", "road_id", "length", "k").alias("pos"), "lane_id", s.alias("s"))
+
     @property
     def step(self) -> DataFrame:
         """Route steps: route_id, no, road_id, aoi_id, road_name, road_length, direction."""
@@ -115,8 +140,6 @@ class Tables:
 
     @property
     def visit(self) -> DataFrame:
-        from pyspark.sql import Window
-
         k = F.get_json_object("props", "$.k").cast("long")
         e = self.raw("events").select(
             F.concat_ws("_", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("traj_id"),
@@ -158,6 +181,12 @@ VIEWS = {
     "road": "SELECT p_partkey AS road_id, p_name AS name FROM part",
     "street": "SELECT p_partkey AS road_id, concat(p_name, ' ', p_partkey % 40) AS name FROM part",
     "lane": "SELECT l_orderkey AS junction_id, l_partkey AS road_id, l_suppkey AS aoi_id, l_linenumber::BIGINT AS no, l_quantity*20 AS length FROM lineitem",
+    "lanes": """SELECT *, road_id*1000000 + k AS lane_id, ((junction_id*junction_id*13 + junction_id*6007) % 10007)::DOUBLE AS x, ((junction_id*junction_id*7 + junction_id*3001) % 10009)::DOUBLE AS y
+  FROM (SELECT *, row_number() OVER (PARTITION BY road_id ORDER BY junction_id, no, aoi_id, length) AS k FROM lane)""",
+    "edge": """SELECT DISTINCT b.junction_id, way, CASE way WHEN 'in' THEN a.lane_id ELSE b.lane_id END AS lane_id FROM lanes a JOIN lanes b ON b.road_id = a.road_id AND b.k = a.k + 1, (VALUES ('in'), ('out')) w(way) WHERE (a.road_id + a.k) % 4 < 2""",
+    "lane_side": """SELECT e.lane_id, CASE e.way WHEN 'out' THEN 'predecessor' ELSE 'successor' END AS side, e.junction_id, coalesce(names, []) AS names, c.x, c.y FROM edge e
+  LEFT JOIN (SELECT edge.junction_id, way, list_sort(list(DISTINCT r.name)) AS names FROM edge JOIN lanes USING (lane_id) JOIN road r USING (road_id) GROUP BY edge.junction_id, way) n ON n.junction_id = e.junction_id AND n.way <> e.way
+  JOIN (SELECT junction_id, avg(x) AS x, avg(y) AS y FROM (SELECT DISTINCT edge.junction_id, lane_id, x, y FROM edge JOIN lanes USING (lane_id)) GROUP BY 1) c ON c.junction_id = e.junction_id""",
     "step": f"""SELECT junction_id AS route_id, no, road_id, aoi_id, r.name AS road_name, floor(length)::BIGINT AS road_length, ([{_DIR8}])[aoi_id % 8 + 1] AS direction FROM lane JOIN road r USING (road_id)""",
     "ends": "SELECT o_orderkey AS route_id, o_custkey AS start_id, (o_custkey*31 + o_orderkey) % (SELECT count(*) FROM customer) AS dest_id FROM orders",
     "visit": """SELECT concat(user_id, '_', strftime(ts, '%Y%m%d')) AS traj_id, user_id, event_id, ts, event_type, k AS loc_id, CASE WHEN user_id % 2 = 0 THEN 'real' ELSE 'generated' END AS kind,
@@ -168,7 +197,7 @@ VIEWS = {
     "dialogue": "SELECT conv_id, turn, role, text FROM conversations",
     "sft": "SELECT doc_id, text, lang, source AS data_source FROM documents",
 }
-USES = {"inside": ("poi", "aoi"), "attached": ("poi", "aoi", "inside"), "step": ("lane", "road"), "ends": ()}
+USES = {"lanes": ("lane",), "edge": ("lane", "lanes"), "lane_side": ("lane", "lanes", "edge", "road"), "inside": ("poi", "aoi"), "attached": ("poi", "aoi", "inside"), "step": ("lane", "road"), "ends": ()}
 
 
 def with_views(sql: str) -> str:

@@ -1,7 +1,8 @@
 """The multiple-choice jobs: question, options and answer by place.
 
-Distractors are drawn by hash without cross joins: items stand in hash order in
-shards, and a key takes the items that follow a place its own hash gives."""
+Distractors are drawn by hash without cross joins (sampling.negatives, where a key has
+items of its own, and sampling.outside_group, where a whole group is out): every question
+has all its options, and one for which there are too few items is left out."""
 
 from __future__ import annotations
 
@@ -14,38 +15,34 @@ from ..functions.text import EVAL_LAND_USE, landuse_name, top_category
 from ..operators import sampling, spatial, topology
 from .base import Tables, coord_sql, query
 from .mix_jobs import groups_sql
-from .place_jobs import ranked_in_aoi
+from .place_jobs import negatives_sql, outside_sql, ranked_in_aoi
 from .scalar_jobs import ADDR, address_rows
 from .sequence_jobs import TOTALS
 from .topology_jobs import junction_points, resolve_endpoints
 
-POOL = 32
 
+def with_wrong(df: DataFrame, key: str, own: Column, universe: DataFrame, item: str, k: int, seed: int) -> DataFrame:
+    """df with w: k items of universe that are not in its array `own`, drawn by hash; rows
+    for which there are not so many are left out."""
+    positives = df.select(F.col(key).alias("_key"), F.explode(own).alias("_item"))
+    n = sampling.negatives(df.select(F.col(key).alias("_key")), "_key", universe.select(F.col(item).alias("_item")), "_item", positives, k, seed)
+    return in_order(df, key, n, k)
 
-def pooled(items: DataFrame, item: str, shards: int = 16, seed: int = 0) -> DataFrame:
-    """(shard, pool): POOL items of each shard in hash order: a bounded table, whatever
-    the number of items."""
-    d = items.select(F.col(item).alias("item")).where("item is not null").distinct().withColumn("h", F.md5(F.concat_ws("#", F.col("item").cast("string"), F.lit(str(seed)))))
-    d = d.withColumn("shard", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(shards)))
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy("h", "item"))
-    kept = d.withColumn("k", rank).where(F.col("k") <= POOL)
-    return kept.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("k", "item"))).alias("p")).select("shard", F.transform("p", lambda s: s["item"]).alias("pool"))
 
+def with_others(df: DataFrame, key: str, group: str, universe: DataFrame, item: str, k: int, seed: int) -> DataFrame:
+    """df with w: k items of universe (which has a column `group` too) from other groups."""
+    n = sampling.outside_group(df.select(F.col(key).alias("_key"), group), "_key", group, universe.select(group, F.col(item).alias("_item")), "_item", group, k, seed)
+    return in_order(df, key, n, k)
 
-def with_pool(df: DataFrame, key: str, items: DataFrame, item: str, seed: int = 0) -> DataFrame:
-    shard = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("#", F.lit("shard"), F.col(key).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(16))
-    return df.withColumn("shard", shard).join(F.broadcast(pooled(items, item, seed=seed)), "shard").drop("shard")
 
-
-def drawn(pool: Column, key: Column, not_in: Column, k: int, seed: int = 0) -> Column:
-    """k items of the pool outside an array, in hash order of (key, item)."""
-    free = F.filter(pool, lambda x: ~F.array_contains(not_in, x))
-    return F.transform(F.slice(F.array_sort(F.transform(free, lambda x: F.struct(F.md5(F.concat_ws("#", key.cast("string"), x.cast("string"), F.lit(str(seed)))).alias("h"), x.alias("x")))), 1, k), lambda s: s["x"])
+def in_order(df: DataFrame, key: str, drawn: DataFrame, k: int) -> DataFrame:
+    w = F.transform(F.array_sort(F.collect_list(F.struct("rank", "_item"))), lambda s: s["_item"])
+    return df.join(drawn.groupBy(F.col("_key").alias(key)).agg(w.alias("w")).where(F.size("w") == k), key)
 
 
 def asked(df: DataFrame, key: str, question: Column, answer: Column, wrong: Column, seed: int = 0) -> DataFrame:
-    """The job's result: options joined by '|' for a flat table; rows short of options left out."""
-    m = sampling.make_mcq(df.where(F.size(wrong) >= 1), key, question, answer.cast("string"), F.transform(wrong, lambda w: w.cast("string")), seed)
+    """The job's result: options joined by '|' for a flat table."""
+    m = sampling.make_mcq(df, key, question, answer.cast("string"), F.transform(wrong, lambda w: w.cast("string")), seed)
     return m.select(key, "question", F.array_join("options", "|").alias("options"), "answer")
 
 
@@ -56,26 +53,34 @@ def mcq_sql(source: str, key: str, question: str, options: list[str], seed: int
 SELECT k AS {key}, min(q) AS question, string_agg(o, '|' ORDER BY place) AS options, substr('ABCDEFGH', max(CASE WHEN i = 0 THEN place END)::INT, 1) AS answer FROM opts_placed GROUP BY k"""
 
 
-def pool_sql(items: str, seed: int) -> str:
-    """The SQL twin of pooled(): items is a SELECT of one column named item."""
-    return f"""pool_h AS (SELECT item, md5(concat_ws('#', item, '{seed}')) AS h FROM (SELECT DISTINCT item FROM ({items}))),
- pool_k AS (SELECT item, ('0x' || substr(h, 1, 8))::BIGINT % 16 AS shard, row_number() OVER (PARTITION BY ('0x' || substr(h, 1, 8))::BIGINT % 16 ORDER BY h, item) AS pk FROM pool_h)"""
+def wrong_sql(source: str, key: str, own: str, items: str, k: int, seed: int) -> str:
+    """The SQL twin of with_wrong(): drawn (key, w); items is a SELECT of one column named item."""
+    return f"""{negatives_sql(f'SELECT {key} FROM {source}', key, items, 'item', f'SELECT {key}, unnest({own}) AS item FROM {source}', k, seed)}, {in_order_sql(key, k)}"""
+
 
+def others_sql(source: str, key: str, group: str, items: str, k: int, seed: int) -> str:
+    """The SQL twin of with_others(); items is a SELECT of (g, item)."""
+    return f"""{outside_sql(f'SELECT {key}, {group} FROM {source}', key, items, 'item', k, seed)}, {in_order_sql(key, k)}"""
 
-def draw_sql(source: str, key: str, own: str, n: int, seed: int) -> str:
-    """The SQL twin of with_pool() and drawn(): (key, w) for the rows of source."""
-    return f"""drawn AS (SELECT s.{key}, (list(item ORDER BY md5(concat_ws('#', s.{key}, item, '{seed}')), item))[1:{n}] AS w FROM {source} s
-  JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', s.{key}, '{seed}')), 1, 8))::BIGINT % 16 WHERE NOT list_contains({own}, item) GROUP BY s.{key})"""
+
+def in_order_sql(key: str, k: int) -> str:
+    return f"drawn AS (SELECT {key}, list(item ORDER BY rank) AS w FROM neg GROUP BY {key} HAVING count(*) = {k})"
 
 
 def asked_sql(source: str, key: str, question: str, right: str, wrong: str, seed: int) -> str:
     """The SQL twin of asked() where the wrong options are a list."""
-    return f"""flat AS (SELECT {key} AS k, {question} AS q, ({right})::VARCHAR AS o, {wrong} AS ws FROM {source} WHERE len({wrong}) >= 1),
+    return f"""flat AS (SELECT {key} AS k, {question} AS q, ({right})::VARCHAR AS o, {wrong} AS ws FROM {source}),
  opts AS (SELECT k, q, 0 AS i, o FROM flat UNION ALL SELECT k, q, unnest(range(1, len(ws) + 1)) AS i, unnest(ws)::VARCHAR AS o FROM flat),
  opts_placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('#', k, i, '{seed}'))) AS place FROM opts)
 SELECT k AS {key}, min(q) AS question, string_agg(o, '|' ORDER BY place) AS options, substr('ABCDEFGH', max(CASE WHEN i = 0 THEN place END)::INT, 1) AS answer FROM opts_placed GROUP BY k"""
 
 
+def hashed(pool: Column, key: Column, own: Column, k: int, seed: int = 0) -> Column:
+    """k items of a fixed list but `own`, in hash order of (key, item)."""
+    free = F.filter(pool, lambda x: x != own)
+    return F.transform(F.slice(F.array_sort(F.transform(free, lambda x: F.struct(F.md5(F.concat_ws("#", key.cast("string"), x.cast("string"), F.lit(str(seed)))).alias("h"), x.alias("x")))), 1, k), lambda s: s["x"])
+
+
 _LEN = "len AS (SELECT name, (floor(sum(length)/100)*100)::BIGINT AS l FROM lane JOIN road USING (road_id) GROUP BY name)"
 
 
@@ -86,53 +91,50 @@ def road_length(t: Tables):
     return asked(d, "name", F.concat(F.lit("How long is "), "name", F.lit("?")), F.col("l"), F.array(tenth(1), tenth(3), F.col("l") * 2, F.col("l") * 3))
 
 
-@query("m2_road_arrived_pois", f"""WITH have AS (SELECT DISTINCT r.name, p.name AS poi FROM lane JOIN road r USING (road_id) JOIN attached p USING (aoi_id)), hk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(concat_ws('#', name, poi)), poi) AS k FROM have),
- nr AS (SELECT name, count(*) AS n, list_sort(list(poi) FILTER (k <= 15)) AS near FROM hk GROUP BY name HAVING count(*) >= 5), {pool_sql('SELECT name AS item FROM poi', 2)},
- fr AS (SELECT nr.name, list_sort(list(item)) AS far FROM nr JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', nr.name, '2')), 1, 8))::BIGINT % 16 WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.name = nr.name AND h.poi = item) GROUP BY nr.name),
- src AS (SELECT name, n > 15 AS many, CASE WHEN n > 15 THEN array_to_string(far[1:5], ', ') ELSE array_to_string(near[1:5], ', ') END AS r, list_filter(list_transform([1, 6, 11], lambda i: array_to_string(CASE WHEN n > 15 THEN near ELSE far END[i:i + 4], ', ')), lambda x: x <> '') AS ws_ FROM nr JOIN fr USING (name)),
- ok AS (SELECT * FROM src WHERE r <> ''), {asked_sql('ok', 'name', "concat('Which places can', CASE WHEN many THEN 'not' ELSE '' END, ' be reached from ', name, '?')", 'r', 'ws_', 0)} /* poi aoi inside attached */""")
+_FIVES = "list_transform([1, 6, 11], lambda i: array_to_string({0}[i:i + 4], ', '))".format
+
+
+@query("m2_road_arrived_pois", f"""WITH have AS (SELECT DISTINCT r.name, p.name AS item FROM lane JOIN road r USING (road_id) JOIN attached p USING (aoi_id)), hk AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5(concat_ws('#', name, item)), item) AS k FROM have),
+ nr AS (SELECT name, count(*) AS n, list_sort(list(item) FILTER (k <= 15)) AS near FROM hk GROUP BY name HAVING count(*) >= 5), {negatives_sql('SELECT name FROM nr', 'name', 'SELECT name AS item FROM poi', 'item', 'SELECT name, item FROM have', 15, 2)}, {in_order_sql('name', 15)},
+ src AS (SELECT name, n > 15 AS many, CASE WHEN n > 15 THEN array_to_string(w[1:5], ', ') ELSE array_to_string(near[1:5], ', ') END AS r, CASE WHEN n > 15 THEN {_FIVES('near')} ELSE {_FIVES('w')} END AS ws_ FROM nr JOIN drawn USING (name)),
+ {asked_sql('src', 'name', "concat('Which places can', CASE WHEN many THEN 'not' ELSE '' END, ' be reached from ', name, '?')", 'r', 'ws_', 0)} /* poi aoi inside attached */""")
 def arrived(t: Tables):
-    """More than 15 points within reach: which can not be reached; else which can."""
+    """More than 15 points within reach: which five can not be reached; else which can."""
     p = spatial.attach_pois(t.poi, t.aoi).select("aoi_id", F.col("name").alias("poi"))
     have = topology.road_aois(t.lane, t.road).join(p, "aoi_id").select("name", "poi").distinct()
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.md5(F.concat_ws("#", "name", "poi")), "poi"))
     d = have.withColumn("k", rank).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.when(F.col("k") <= 15, F.col("poi")))).alias("near")).where("n >= 5")
-    # the pool's items are checked against all reachable points, not only those shown
-    d = with_pool(d, "name", t.poi, "name", 2)
-    tried = d.select("name", F.explode("pool").alias("poi")).join(have, ["name", "poi"], "left_anti").groupBy("name").agg(F.array_sort(F.collect_list("poi")).alias("far"))
-    d = d.join(tried, "name")
-    text = lambda a, i, n: F.array_join(F.slice(a, i, n), ", ")
+    far = sampling.negatives(d, "name", t.poi.select(F.col("name").alias("poi")), "poi", have, 15, 2)
+    d = in_order(d, "name", far.select(F.col("name").alias("_key"), F.col("poi").alias("_item"), "rank"), 15)
+    fives = lambda a: F.array(*[F.array_join(F.slice(a, i, 5), ", ") for i in (1, 6, 11)])
     many = F.col("n") > 15
-    answer = F.when(many, text(F.col("far"), 1, 5)).otherwise(text(F.col("near"), 1, 5))
-    wrong = F.when(many, F.array(*[text(F.col("near"), i, 5) for i in (1, 6, 11)])).otherwise(F.array(*[text(F.col("far"), i, 5) for i in (1, 6, 11)]))
-    return asked(d.withColumn("wrong", F.filter(wrong, lambda w: w != "")).withColumn("right", answer).where("right <> ''"), "name", F.concat(F.lit("Which places can"), F.when(many, "not").otherwise(""), F.lit(" be reached from "), "name", F.lit("?")), F.col("right"), F.col("wrong"))
+    right = F.array_join(F.when(many, F.slice("w", 1, 5)).otherwise(F.slice("near", 1, 5)), ", ")
+    return asked(d, "name", F.concat(F.lit("Which places can"), F.when(many, "not").otherwise(""), F.lit(" be reached from "), "name", F.lit("?")), right, F.when(many, fives("near")).otherwise(fives("w")))
 
 
 @query("m3_road_od", f"""WITH p AS (SELECT DISTINCT name, junction_id, (junction_id*junction_id*13 + junction_id*6007) % 10007 AS x, (junction_id*junction_id*7 + junction_id*3001) % 10009 AS y FROM lane JOIN road USING (road_id)),
  s0 AS (SELECT name, max(x) - min(x) >= max(y) - min(y) AS wide, first(junction_id ORDER BY x, junction_id) AS w, first(junction_id ORDER BY x DESC, junction_id DESC) AS e, first(junction_id ORDER BY y, junction_id) AS s, first(junction_id ORDER BY y DESC, junction_id DESC) AS n, count(*) AS c FROM p GROUP BY name),
  ends_ AS (SELECT name, CASE WHEN wide THEN w ELSE s END AS a, CASE WHEN wide THEN e ELSE n END AS b FROM s0 WHERE c >= 2),
- {pool_sql('SELECT junction_id AS item FROM lane', 3)}, {draw_sql('ends_', 'name', '[s.a, s.b]', 6, 3)}, src AS (SELECT name, concat(least(a, b), ' to ', greatest(a, b)) AS r, [concat(least(w[1], w[2]), ' to ', greatest(w[1], w[2])), concat(least(w[3], w[4]), ' to ', greatest(w[3], w[4])), concat(least(w[5], w[6]), ' to ', greatest(w[5], w[6]))] AS ws_ FROM ends_ JOIN drawn USING (name)),
+ {wrong_sql('ends_', 'name', '[a, b]', 'SELECT junction_id AS item FROM lane', 6, 3)}, src AS (SELECT name, concat(least(a, b), ' to ', greatest(a, b)) AS r, [concat(least(w[1], w[2]), ' to ', greatest(w[1], w[2])), concat(least(w[3], w[4]), ' to ', greatest(w[3], w[4])), concat(least(w[5], w[6]), ' to ', greatest(w[5], w[6]))] AS ws_ FROM ends_ JOIN drawn USING (name)),
  {asked_sql('src', 'name', "concat('Between which junctions does ', name, ' run?')", 'r', 'ws_', 3)}""")
 def road_od(t: Tables):
     e = topology.road_endpoints(junction_points(t))
     pair = lambda a, b: F.concat_ws(" to ", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))
-    d = with_pool(e.withColumn("own", F.array("start_id", "end_id")), "name", t.lane, "junction_id", 3)
-    w = drawn(F.col("pool"), F.col("name"), F.col("own"), 6, 3)
-    d = d.withColumn("w", w)
+    d = with_wrong(e, "name", F.array("start_id", "end_id"), t.lane, "junction_id", 6, 3)
     wrong = F.array(*[pair(F.col("w")[i], F.col("w")[i + 1]) for i in (0, 2, 4)])
     return asked(d, "name", F.concat(F.lit("Between which junctions does "), "name", F.lit(" run?")), pair(F.col("start_id"), F.col("end_id")), wrong, 3)
 
 
 @query("m4_road_link", f"""WITH n AS (SELECT DISTINCT junction_id, name FROM lane JOIN street USING (road_id)), l AS (SELECT a.name, list_sort(list(DISTINCT b.name)) AS linked FROM n a JOIN n b ON a.junction_id = b.junction_id AND a.name <> b.name GROUP BY a.name),
- {pool_sql('SELECT name AS item FROM street', 4)}, {draw_sql('l', 'name', 'list_append(s.linked, s.name)', 3, 4)}, src AS (SELECT name, len(linked) > 2 AS many, CASE WHEN len(linked) > 2 THEN w[1] ELSE linked[1] END AS r, CASE WHEN len(linked) > 2 THEN linked[1:3] ELSE w END AS ws_ FROM l JOIN drawn USING (name)),
+ {wrong_sql('l', 'name', 'list_append(linked, name)', 'SELECT name AS item FROM street', 3, 4)}, src AS (SELECT name, len(linked) > 2 AS many, CASE WHEN len(linked) > 2 THEN w[1] ELSE linked[1] END AS r, CASE WHEN len(linked) > 2 THEN linked[1:3] ELSE w END AS ws_ FROM l JOIN drawn USING (name)),
  {asked_sql('src', 'name', "concat('Which road does ', CASE WHEN many THEN 'not ' ELSE '' END, 'meet ', name, '?')", 'r', 'ws_', 4)}""")
 def road_link(t: Tables):
     links = topology.road_links(topology.junction_names(t.lane, t.street))
     d = links.groupBy("name").agg(F.array_sort(F.collect_set("linked")).alias("linked"))
-    d = with_pool(d, "name", t.street, "name", 4).withColumn("none", drawn(F.col("pool"), F.col("name"), F.concat("linked", F.array("name")), 3, 4)).where("size(none) >= 1")
+    d = with_wrong(d, "name", F.concat("linked", F.array("name")), t.street, "name", 3, 4)
     many = F.size("linked") > 2
-    right = F.when(many, F.col("none")[0]).otherwise(F.col("linked")[0])
-    wrong = F.when(many, F.slice("linked", 1, 3)).otherwise(F.col("none"))
+    right = F.when(many, F.col("w")[0]).otherwise(F.col("linked")[0])
+    wrong = F.when(many, F.slice("linked", 1, 3)).otherwise(F.col("w"))
     return asked(d.withColumn("right", right).withColumn("wrong", wrong), "name", F.concat(F.lit("Which road does "), F.when(many, "not ").otherwise(""), F.lit("meet "), "name", F.lit("?")), F.col("right"), F.col("wrong"), 4)
 
 
@@ -173,36 +175,34 @@ def landmark_env(t: Tables):
 
 
 @query("m6_landmark_path", f"""WITH f AS (SELECT aoi_id, min(poi_id) AS poi_id FROM attached GROUP BY 1), sn AS (SELECT route_id, list_sort(list(DISTINCT f.poi_id)) AS seen FROM step JOIN f USING (aoi_id) GROUP BY route_id HAVING count(DISTINCT f.poi_id) >= 3),
- {pool_sql('SELECT poi_id AS item FROM poi', 6)}, {draw_sql('sn', 'route_id', 's.seen', 1, 6)}, src AS (SELECT route_id, w[1] AS r, seen[1:3] AS ws_ FROM sn JOIN drawn USING (route_id)),
+ {wrong_sql('sn', 'route_id', 'seen', 'SELECT poi_id AS item FROM poi', 1, 6)}, src AS (SELECT route_id, w[1] AS r, seen[1:3] AS ws_ FROM sn JOIN drawn USING (route_id)),
  {asked_sql('src', 'route_id', "concat('Which point is not seen on route ', route_id, '?')", 'r', 'ws_', 6)} /* aoi lane road */""")
 def landmark_path(t: Tables):
     """Three points beside a route against one that is not beside it."""
     p = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.min("poi_id").alias("poi_id"))
     s = t.step.select("route_id", "aoi_id").join(p, "aoi_id").groupBy("route_id").agg(F.array_sort(F.collect_set("poi_id")).alias("seen")).where("size(seen) >= 3")
-    d = with_pool(s, "route_id", t.poi, "poi_id", 6)
-    d = d.withColumn("out", drawn(F.col("pool"), F.col("route_id"), F.col("seen"), 1, 6))
-    return asked(d.where("size(out) = 1"), "route_id", F.concat(F.lit("Which point is not seen on route "), F.col("route_id").cast("string"), F.lit("?")), F.col("out")[0], F.slice("seen", 1, 3), 6)
+    d = with_wrong(s, "route_id", F.col("seen"), t.poi, "poi_id", 1, 6)
+    return asked(d, "route_id", F.concat(F.lit("Which point is not seen on route "), F.col("route_id").cast("string"), F.lit("?")), F.col("w")[0], F.slice("seen", 1, 3), 6)
 
 
 @query("m7_boundary_road", f"""WITH b AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS roads FROM lane JOIN street USING (road_id) GROUP BY aoi_id),
- {pool_sql('SELECT name AS item FROM street', 7)}, {draw_sql('b', 'aoi_id', 's.roads', 3, 7)}, src AS (SELECT aoi_id, len(roads) >= 3 AS many, CASE WHEN len(roads) >= 3 THEN w[1] ELSE roads[1] END AS r, CASE WHEN len(roads) >= 3 THEN roads[1:3] ELSE w END AS ws_ FROM b JOIN drawn USING (aoi_id)),
+ {wrong_sql('b', 'aoi_id', 'roads', 'SELECT name AS item FROM street', 3, 7)}, src AS (SELECT aoi_id, len(roads) >= 3 AS many, CASE WHEN len(roads) >= 3 THEN w[1] ELSE roads[1] END AS r, CASE WHEN len(roads) >= 3 THEN roads[1:3] ELSE w END AS ws_ FROM b JOIN drawn USING (aoi_id)),
  {asked_sql('src', 'aoi_id', "concat('Which road does ', CASE WHEN many THEN 'not ' ELSE '' END, 'bound area ', aoi_id, '?')", 'r', 'ws_', 7)}""")
 def boundary_road(t: Tables):
     b = topology.road_aois(t.lane, t.street).groupBy("aoi_id").agg(F.array_sort(F.collect_set("name")).alias("roads"))
-    d = with_pool(b, "aoi_id", t.street, "name", 7).withColumn("out", drawn(F.col("pool"), F.col("aoi_id"), F.col("roads"), 3, 7)).where("size(out) >= 1")
+    d = with_wrong(b, "aoi_id", F.col("roads"), t.street, "name", 3, 7)
     many = F.size("roads") >= 3
-    return asked(d.withColumn("right", F.when(many, F.col("out")[0]).otherwise(F.col("roads")[0])).withColumn("wrong", F.when(many, F.slice("roads", 1, 3)).otherwise(F.col("out"))), "aoi_id", F.concat(F.lit("Which road does "), F.when(many, "not ").otherwise(""), F.lit("bound area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("right"), F.col("wrong"), 7)
+    return asked(d.withColumn("right", F.when(many, F.col("w")[0]).otherwise(F.col("roads")[0])).withColumn("wrong", F.when(many, F.slice("roads", 1, 3)).otherwise(F.col("w"))), "aoi_id", F.concat(F.lit("Which road does "), F.when(many, "not ").otherwise(""), F.lit("bound area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("right"), F.col("wrong"), 7)
 
 
 @query("m8_aoi_boundary_poi", f"""WITH d AS (SELECT p.aoi_id, poi_id, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d FROM attached p JOIN aoi USING (aoi_id)), rk AS (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY d, poi_id) AS up, row_number() OVER (PARTITION BY aoi_id ORDER BY d DESC, poi_id) AS down FROM d),
  g AS (SELECT aoi_id, max(CASE WHEN up = 1 THEN poi_id END) AS a, max(CASE WHEN up = 2 THEN poi_id END) AS b, max(CASE WHEN down = 1 THEN poi_id END) AS r, list(poi_id) AS own FROM rk GROUP BY aoi_id HAVING count(*) >= 5),
- {pool_sql('SELECT poi_id AS item FROM poi', 8)}, {draw_sql('g', 'aoi_id', 's.own', 2, 8)}, src AS (SELECT aoi_id, r, list_concat([a, b], coalesce(w, [])) AS ws_ FROM g LEFT JOIN drawn USING (aoi_id)),
+ {wrong_sql('g', 'aoi_id', 'own', 'SELECT poi_id AS item FROM poi', 2, 8)}, src AS (SELECT aoi_id, r, list_concat([a, b], w) AS ws_ FROM g JOIN drawn USING (aoi_id)),
  {asked_sql('src', 'aoi_id', "concat('Which point lies at the border of area ', aoi_id, '?')", 'r', 'ws_', 8)}""")
 def boundary_poi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.array_sort(F.collect_set("poi_id")).alias("own"), F.count(F.lit(1)).alias("n")).where("n >= 5")
-    d = with_pool(ranked_in_aoi(t).join(inside, "aoi_id"), "aoi_id", t.poi, "poi_id", 8)
-    d = d.withColumn("out", drawn(F.col("pool"), F.col("aoi_id"), F.col("own"), 2, 8))
-    return asked(d, "aoi_id", F.concat(F.lit("Which point lies at the border of area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("farthest"), F.concat(F.array("nearest", "second"), F.col("out")), 8)
+    d = with_wrong(inside, "aoi_id", F.col("own"), t.poi, "poi_id", 2, 8).join(ranked_in_aoi(t), "aoi_id")
+    return asked(d, "aoi_id", F.concat(F.lit("Which point lies at the border of area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("farthest"), F.concat(F.array("nearest", "second"), F.col("w")), 8)
 
 
 @query("m9_aoi_group", f"""WITH {groups_sql('SELECT DISTINCT aoi_id FROM attached', 10, 9)}, fw AS (SELECT aoi_id, name FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY md5(poi_id::VARCHAR)) AS k FROM attached) WHERE k <= 5),
@@ -228,12 +228,12 @@ def poi_types(t: Tables):
     return asked(c, "aoi_id", F.concat(F.lit("How many kinds of place does area "), F.col("aoi_id").cast("string"), F.lit(" hold?")), n, F.array(n - 1, n + 1, n + 2), 10)
 
 
-@query("m11_aoi2addr", f"""WITH {ADDR}, {pool_sql('SELECT address AS item FROM addr', 11)}, {draw_sql('addr', 'aoi_id', '[s.address]', 3, 11)}, src AS (SELECT aoi_id, address, w FROM addr JOIN drawn USING (aoi_id)),
+@query("m11_aoi2addr", f"""WITH {ADDR}, {wrong_sql('addr', 'aoi_id', '[address]', 'SELECT address AS item FROM addr', 3, 11)}, src AS (SELECT aoi_id, address, w FROM addr JOIN drawn USING (aoi_id)),
  {asked_sql('src', 'aoi_id', "concat('What is the address of area ', aoi_id, '?')", 'address', 'w', 11)} /* aoi lane road */""")
 def aoi2addr(t: Tables):
     a = address_rows(t).select("aoi_id", "address")
-    d = with_pool(a, "aoi_id", a, "address", 11)
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.array("address"), 3, 11)), "aoi_id", F.concat(F.lit("What is the address of area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("address"), F.col("w"), 11)
+    d = with_wrong(a, "aoi_id", F.array("address"), a, "address", 3, 11)
+    return asked(d, "aoi_id", F.concat(F.lit("What is the address of area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("address"), F.col("w"), 11)
 
 
 def _land_uses():
@@ -249,20 +249,18 @@ _REPS = "rp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id,
 def aoi2type(t: Tables):
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 12).groupBy("aoi_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"), F.count(F.lit(1)).alias("n")).where("n >= 3")
     d = t.aoi.select("aoi_id", landuse_name(F.col("land_use"), EVAL_LAND_USE).alias("right")).where("right is not null").join(r, "aoi_id").withColumn("pool", _land_uses())
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.array("right"), 4, 12)), "aoi_id", F.concat(F.lit("What land use has the area with "), "names", F.lit("?")), F.col("right"), F.col("w"), 12)
+    return asked(d.withColumn("w", hashed(F.col("pool"), F.col("aoi_id"), F.col("right"), 4, 12)), "aoi_id", F.concat(F.lit("What land use has the area with "), "names", F.lit("?")), F.col("right"), F.col("w"), 12)
 
 
 @query("m13_type2aoi", f"""WITH lu(code, label) AS (VALUES {_LU}), {_REPS(13)}, g AS (SELECT aoi_id FROM rp GROUP BY 1 HAVING count(*) >= 2), a AS (SELECT aoi.aoi_id, land_use, name FROM aoi JOIN g USING (aoi_id)),
- {pool_sql("SELECT concat(land_use, '|', name) AS item FROM a", 13)}, cand AS (SELECT a.aoi_id, substr(item, strpos(item, '|') + 1) AS o, md5(concat_ws('#', a.aoi_id, item, '13')) AS h FROM a JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', a.aoi_id, '13')), 1, 8))::BIGINT % 16 WHERE split_part(item, '|', 1) <> a.land_use),
- src AS (SELECT a.aoi_id, name, label, w FROM a JOIN lu ON code = land_use JOIN (SELECT aoi_id, (list(o ORDER BY h, o))[1:3] AS w FROM cand GROUP BY 1) USING (aoi_id)), {asked_sql('src', 'aoi_id', "concat('Which area is ', label, '?')", 'name', 'w', 13)} /* attached */""")
+ {others_sql('a', 'aoi_id', 'land_use', 'SELECT land_use AS g, name AS item FROM a', 3, 13)},
+ src AS (SELECT a.aoi_id, name, label, w FROM a JOIN lu ON code = land_use JOIN drawn USING (aoi_id)), {asked_sql('src', 'aoi_id', "concat('Which area is ', label, '?')", 'name', 'w', 13)} /* attached */""")
 def type2aoi(t: Tables):
-    """An area of a land use against areas of others; pool items carry their land use."""
+    """An area of a land use against areas of others, each with two representatives."""
     r = sampling.representatives(spatial.attach_pois(t.poi, t.aoi), 13).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    a = t.aoi.join(r, "aoi_id").select("aoi_id", "land_use", "name", landuse_name(F.col("land_use"), EVAL_LAND_USE).alias("label"), F.concat_ws("|", "land_use", "name").alias("item"))
-    d = with_pool(a.where("label is not null"), "aoi_id", a, "item", 13)
-    other = F.filter("pool", lambda x: F.split(x, r"\|")[0] != F.col("land_use"))
-    w = F.transform(drawn(other, F.col("aoi_id"), F.array().cast("array<string>"), 3, 13), lambda x: F.regexp_extract(x, r"\|(.*)", 1))
-    return asked(d.withColumn("w", w), "aoi_id", F.concat(F.lit("Which area is "), "label", F.lit("?")), F.col("name"), F.col("w"), 13)
+    a = t.aoi.join(r, "aoi_id").select("aoi_id", "land_use", "name", landuse_name(F.col("land_use"), EVAL_LAND_USE).alias("label"))
+    d = with_others(a.where("label is not null"), "aoi_id", "land_use", a, "name", 3, 13)
+    return asked(d, "aoi_id", F.concat(F.lit("Which area is "), "label", F.lit("?")), F.col("name"), F.col("w"), 13)
 
 
 _FMT = coord_sql
@@ -275,48 +273,47 @@ def poi2coor(t: Tables):
 
 
 @query("m15_poi2addr", f"""WITH {ADDR}, ap AS (SELECT p.poi_id, p.name, p.x, p.y, address FROM attached p JOIN addr USING (aoi_id)), nr AS (SELECT DISTINCT a.poi_id, a.name, a.address, b.address AS near FROM ap a JOIN ap b ON abs(a.x - b.x) <= 500 AND abs(a.y - b.y) <= 500 AND a.address <> b.address WHERE sqrt((b.x - a.x)*(b.x - a.x) + (b.y - a.y)*(b.y - a.y)) <= 500),
- src AS (SELECT poi_id, name, address, (list_sort(list(near)))[1:4] AS ws_ FROM nr GROUP BY 1, 2, 3 HAVING count(*) >= 2), {asked_sql('src', 'poi_id', "concat('What is the address of ', name, '?')", 'address', 'ws_', 15)} /* aoi lane road */""")
+ src AS (SELECT poi_id, name, address, (list_sort(list(near)))[1:4] AS ws_ FROM nr GROUP BY 1, 2, 3 HAVING count(*) >= 4), {asked_sql('src', 'poi_id', "concat('What is the address of ', name, '?')", 'address', 'ws_', 15)} /* aoi lane road */""")
 def poi2addr(t: Tables):
     a = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id", "x", "y", F.col("name").alias("poi")).join(address_rows(t).select("aoi_id", "address"), "aoi_id")
     near = spatial.within(a.select(F.col("poi_id").alias("center_id"), F.col("x").alias("cx"), F.col("y").alias("cy")), a.select("poi_id", "x", "y", F.col("address").alias("near")), 500.0)
     own = a.select(F.col("poi_id").alias("center_id"), "address", "poi")
-    few = near.join(own, "center_id").where("near <> address").groupBy("center_id", "address", "poi").agg(F.slice(F.array_sort(F.collect_set("near")), 1, 4).alias("w")).where("size(w) >= 2")
+    few = near.join(own, "center_id").where("near <> address").groupBy("center_id", "address", "poi").agg(F.slice(F.array_sort(F.collect_set("near")), 1, 4).alias("w")).where("size(w) = 4")
     return asked(few.withColumnRenamed("center_id", "poi_id"), "poi_id", F.concat(F.lit("What is the address of "), "poi", F.lit("?")), F.col("address"), F.col("w"), 15)
 
 
-@query("m16_poi2type", f"""WITH f AS (SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY md5(poi_id::VARCHAR)) AS k FROM poi), c AS (SELECT category, string_agg(name, ', ' ORDER BY name) AS names FROM f WHERE k <= 4 GROUP BY category),
- {pool_sql('SELECT category AS item FROM c', 16)}, {draw_sql('c', 'category', '[s.category]', 4, 16)}, src AS (SELECT category AS key, category, names, w FROM c JOIN drawn USING (category)), {asked_sql('src', 'key', "concat('What kind are ', names, '?')", 'category', 'w', 16)}""")
+@query("m16_poi2type", f"""WITH f AS (SELECT category, name, row_number() OVER (PARTITION BY category ORDER BY md5(poi_id::VARCHAR), poi_id) AS k FROM poi), c AS (SELECT category, string_agg(name, ', ' ORDER BY name) AS names FROM f WHERE k <= 4 GROUP BY category HAVING count(*) = 4),
+ {wrong_sql('c', 'category', '[category]', 'SELECT category AS item FROM poi', 4, 16)}, src AS (SELECT category AS key, category, names, w FROM c JOIN drawn USING (category)), {asked_sql('src', 'key', "concat('What kind are ', names, '?')", 'category', 'w', 16)}""")
 def poi2type(t: Tables):
-    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.col("poi_id").cast("string"))))
-    c = t.poi.withColumn("k", rank).where("k <= 4").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
-    d = with_pool(c, "category", c, "category", 16)
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("category"), F.array("category"), 4, 16)).withColumn("key", F.col("category")), "key", F.concat(F.lit("What kind are "), "names", F.lit("?")), F.col("category"), F.col("w"), 16)
+    """Four points of a category; its name among five."""
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.md5(F.col("poi_id").cast("string")), "poi_id"))
+    c = t.poi.withColumn("k", rank).where("k <= 4").groupBy("category").agg(F.array_sort(F.collect_list("name")).alias("names")).where("size(names) = 4")
+    d = with_wrong(c, "category", F.array("category"), t.poi, "category", 4, 16)
+    return asked(d.withColumn("key", F.col("category")), "key", F.concat(F.lit("What kind are "), F.array_join("names", ", "), F.lit("?")), F.col("category"), F.col("w"), 16)
 
 
-@query("m17_type2poi", f"""WITH c AS (SELECT category, min(name) AS r FROM poi GROUP BY 1), {pool_sql("SELECT concat(category, '|', name) AS item FROM poi", 17)}, w AS (SELECT category, (list(split_part(item, '|', 2) ORDER BY pk))[1:4] AS ws_ FROM c JOIN pool_k ON pk <= {POOL} AND shard = ('0x' || substr(md5(concat_ws('#', 'shard', category, '17')), 1, 8))::BIGINT % 16 WHERE split_part(item, '|', 1) <> category GROUP BY 1),
- src AS (SELECT category AS key, category, r, ws_ FROM c JOIN w USING (category)), {asked_sql('src', 'key', "concat('Which place is ', category, '?')", 'r', 'ws_', 17)}""")
+@query("m17_type2poi", f"""WITH c AS (SELECT category, min(name) AS r FROM poi GROUP BY 1), {others_sql('c', 'category', 'category', 'SELECT category AS g, name AS item FROM poi', 4, 17)},
+ src AS (SELECT category AS key, category, r, w FROM c JOIN drawn USING (category)), {asked_sql('src', 'key', "concat('Which place is ', category, '?')", 'r', 'w', 17)}""")
 def type2poi(t: Tables):
-    c = t.poi.groupBy("category").agg(F.min("name").alias("right"))
-    d = with_pool(c, "category", t.poi.select(F.concat_ws("|", "category", "name").alias("item")), "item", 17)
-    other = F.filter("pool", lambda x: F.split(x, r"\|")[0] != F.col("category"))
-    w = F.slice(F.transform(other, lambda x: F.split(x, r"\|")[1]), 1, 4)
-    return asked(d.withColumn("w", w).withColumn("key", F.col("category")), "key", F.concat(F.lit("Which place is "), "category", F.lit("?")), F.col("right"), F.col("w"), 17)
+    c = t.poi.groupBy("category").agg(F.min("name").alias("right")).withColumn("key", F.col("category"))
+    d = with_others(c, "key", "category", t.poi, "name", 4, 17)
+    return asked(d, "key", F.concat(F.lit("Which place is "), "category", F.lit("?")), F.col("right"), F.col("w"), 17)
 
 
-@query("m18_aoi_poi", f"""WITH g AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS own FROM attached GROUP BY 1), {pool_sql('SELECT name AS item FROM poi', 18)}, {draw_sql('g', 'aoi_id', 's.own', 3, 18)}, src AS (SELECT aoi_id, own[1] AS r, w FROM g JOIN drawn USING (aoi_id)),
+@query("m18_aoi_poi", f"""WITH g AS (SELECT aoi_id, list_sort(list(DISTINCT name)) AS own FROM attached GROUP BY 1), {wrong_sql('g', 'aoi_id', 'own', 'SELECT name AS item FROM poi', 3, 18)}, src AS (SELECT aoi_id, own[1] AS r, w FROM g JOIN drawn USING (aoi_id)),
  {asked_sql('src', 'aoi_id', "concat('Which place lies in area ', aoi_id, '?')", 'r', 'w', 18)} /* aoi */""")
 def aoi_poi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.array_sort(F.collect_set("name")).alias("own"))
-    d = with_pool(inside, "aoi_id", t.poi, "name", 18)
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.col("own"), 3, 18)), "aoi_id", F.concat(F.lit("Which place lies in area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("own")[0], F.col("w"), 18)
+    d = with_wrong(inside, "aoi_id", F.col("own"), t.poi, "name", 3, 18)
+    return asked(d, "aoi_id", F.concat(F.lit("Which place lies in area "), F.col("aoi_id").cast("string"), F.lit("?")), F.col("own")[0], F.col("w"), 18)
 
 
-@query("m19_poi_aoi", f"""WITH g AS (SELECT p.aoi_id, a.name AS aoi_name, (list_sort(list(DISTINCT p.name)))[1:4] AS own FROM attached p JOIN aoi a USING (aoi_id) GROUP BY 1, 2 HAVING count(DISTINCT p.name) >= 4), {pool_sql('SELECT name AS item FROM aoi', 19)}, {draw_sql('g', 'aoi_id', '[s.aoi_name]', 3, 19)},
+@query("m19_poi_aoi", f"""WITH g AS (SELECT p.aoi_id, a.name AS aoi_name, (list_sort(list(DISTINCT p.name)))[1:4] AS own FROM attached p JOIN aoi a USING (aoi_id) GROUP BY 1, 2 HAVING count(DISTINCT p.name) >= 4), {wrong_sql('g', 'aoi_id', '[aoi_name]', 'SELECT name AS item FROM aoi', 3, 19)},
  src AS (SELECT aoi_id, aoi_name, own, w FROM g JOIN drawn USING (aoi_id)), {asked_sql('src', 'aoi_id', "concat('Which area holds ', array_to_string(own, ', '), '?')", 'aoi_name', 'w', 19)}""")
 def poi_aoi(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).groupBy("aoi_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, 4).alias("own")).where("size(own) = 4")
-    d = with_pool(inside.join(t.aoi.select("aoi_id", F.col("name").alias("aoi")), "aoi_id"), "aoi_id", t.aoi, "name", 19)
-    return asked(d.withColumn("w", drawn(F.col("pool"), F.col("aoi_id"), F.array("aoi"), 3, 19)), "aoi_id", F.concat(F.lit("Which area holds "), F.array_join("own", ", "), F.lit("?")), F.col("aoi"), F.col("w"), 19)
+    d = with_wrong(inside.join(t.aoi.select("aoi_id", F.col("name").alias("aoi")), "aoi_id"), "aoi_id", F.array("aoi"), t.aoi, "name", 3, 19)
+    return asked(d, "aoi_id", F.concat(F.lit("Which area holds "), F.array_join("own", ", "), F.lit("?")), F.col("aoi"), F.col("w"), 19)
 
 
 def ends_of(t: Tables) -> DataFrame:

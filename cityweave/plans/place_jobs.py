@@ -58,6 +58,13 @@ def attach(t: Tables):
     return spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id")
 
 
+@query("j1_dense_ids", "SELECT poi_id, aoi_id, 700000000 + row_number() OVER (ORDER BY poi_id) - 1 AS new_id FROM attached")
+def renumbered(t: Tables):
+    """Points that lie in an area get new ids without gaps, in the order of the old ones."""
+    inside = spatial.attach_pois(t.poi, t.aoi).select("poi_id", "aoi_id")
+    return spatial.dense_ids(inside, "poi_id", "new_id", 700_000_000)
+
+
 @query("j1_aoi_members", "SELECT aoi_id, string_agg(poi_id::VARCHAR, ',' ORDER BY poi_id) AS poi_ids, count(*) AS n FROM attached GROUP BY aoi_id")
 def members(t: Tables):
     m = spatial.aoi_members(spatial.attach_pois(t.poi, t.aoi))
@@ -151,6 +158,16 @@ def negatives_sql(keys: str, key: str, items: str, item: str, positives: str, k:
  neg AS (SELECT * FROM (SELECT {key}, {item}, row_number() OVER (PARTITION BY {key} ORDER BY {md5_sql(key, item, seed=seed)}, {item}) AS rank FROM ng_draw JOIN ng_item USING (no) ANTI JOIN ng_own USING ({key}, {item})) WHERE rank <= {k})"""
 
 
+def outside_sql(keys: str, key: str, items: str, item: str, k: int, seed: int) -> str:
+    """The SQL twin of sampling.outside_group(); keys is a SELECT of (key, group), items of (g, item)."""
+    return f"""og_item AS (SELECT g, {item}, row_number() OVER (ORDER BY g, {md5_sql(item, seed=seed)}, {item}) - 1 AS no FROM (SELECT DISTINCT g, {item} FROM ({items}) WHERE g IS NOT NULL AND {item} IS NOT NULL)),
+	 og_n AS (SELECT count(*) AS total FROM og_item), og_span AS (SELECT g, count(*) AS n, min(no) AS lo FROM og_item GROUP BY g),
+	 og_key AS (SELECT k AS {key}, total, coalesce(n, 0) AS n, coalesce(lo, total) AS lo FROM ({keys}) q(k, g) LEFT JOIN og_span USING (g), og_n),
+	 og_start AS (SELECT *, total - n AS out_, {number_sql('(total - n)', key, "'start'", seed=seed)} AS start_ FROM og_key WHERE total > n),
+	 og_place AS (SELECT {key}, lo, n, unnest(range(least(out_, {k}))) AS i, (start_ + i * greatest(out_ // {k}, 1)) % out_ AS p FROM og_start),
+	 neg AS (SELECT {key}, {item}, i + 1 AS rank FROM (SELECT *, CASE WHEN p < lo THEN p ELSE p + n END AS no FROM og_place) JOIN og_item USING (no))"""
+
+
 @query("j15_negatives", f"WITH {negatives_sql('SELECT aoi_id FROM aoi', 'aoi_id', 'SELECT poi_id FROM poi', 'poi_id', 'SELECT aoi_id, poi_id FROM attached', 5, 2)} SELECT aoi_id, poi_id, rank FROM neg")
 def outsiders(t: Tables):
     inside = spatial.attach_pois(t.poi, t.aoi).select("aoi_id", "poi_id")

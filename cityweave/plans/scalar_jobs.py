@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, timefns
+from ..operators import topology
 from .base import Tables, coord_sql, query
 
 _PAIR = """pair AS (SELECT a.poi_id, a.x AS x1, a.y AS y1, a.lng AS lng1, a.lat AS lat1, b.x AS x2, b.y AS y2, b.lng AS lng2, b.lat AS lat2
@@ -114,30 +115,25 @@ def categories(t: Tables):
 
 
 def address_rows(t: Tables):
-    """(aoi_id, side, road, offset, toward, junction, inside, address) by lane order."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("aoi_id").orderBy("junction_id", "no", "road_id", "length"))
-    lanes = t.lane.withColumn("rank", first).where("rank = 1").join(t.road.withColumnRenamed("name", "road"), "road_id")
-    other = t.lane.join(t.road, "road_id").select("junction_id", "name")
-    met = lanes.join(other, "junction_id").where("name <> road").groupBy("aoi_id").agg(F.min("name").alias("junction"))
-    rows = lanes.join(met, "aoi_id", "left").join(t.aoi.select("aoi_id", F.col("name").alias("aoi_name"), "land_use"), "aoi_id")
-    angle = F.col("aoi_id") * 45.0 % 360
-    rows = rows.select("aoi_id", "aoi_name", "land_use", geo.dir4(angle).alias("side"), "road", geo.round50_text(F.col("length")).alias("offset"), geo.dir8(angle).alias("toward"), F.coalesce("junction", F.lit("unknown road")).alias("junction"))
+    """(aoi_id, aoi_name, land_use, side, road, offset, toward, junction, address) of the
+    areas that have an address."""
+    rows = topology.aoi_addresses(t.position, t.edge, t.lanes, t.road, t.aoi).join(t.aoi.select("aoi_id", F.col("name").alias("aoi_name"), "land_use"), "aoi_id")
+    rows = rows.select("aoi_id", "aoi_name", "land_use", "side", "road", geo.round50_text(F.col("metres")).alias("offset"), "toward", "junction", "lane_id", "from")
     return rows.withColumn("address", text.address_text(F.col("side"), F.col("road"), F.col("offset"), F.col("toward"), F.col("junction"), F.lit(None).cast("string")))
 
 
-ADDR = """first_lane AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY junction_id, no, road_id, length) AS rank FROM lane) WHERE rank = 1),
- lr AS (SELECT f.*, r.name AS rd FROM first_lane f JOIN road r USING (road_id)), other AS (SELECT l.junction_id, r.name FROM lane l JOIN road r USING (road_id)),
- met AS (SELECT lr.aoi_id, min(o.name) AS jn FROM lr JOIN other o ON o.junction_id = lr.junction_id AND o.name <> lr.rd GROUP BY 1),
- addr0 AS (SELECT lr.aoi_id, a.name AS aoi_name, a.land_use, (['north','east','south','west'])[floor(((lr.aoi_id*45.0 % 360 + 45) % 360)/90)::INT + 1] AS side, lr.rd AS road_, CASE WHEN round_even(length/50, 0) = 0 THEN 'within 50m' ELSE concat((round_even(length/50, 0)::BIGINT*50)::VARCHAR, 'm') END AS off_,
-  (['north','northeast','east','southeast','south','southwest','west','northwest'])[floor(((lr.aoi_id*45.0 % 360 + 22.5) % 360)/45)::INT + 1] AS toward, coalesce(met.jn, 'unknown road') AS junction FROM lr JOIN aoi a USING (aoi_id) LEFT JOIN met USING (aoi_id)),
- addr AS (SELECT *, concat(side, ' side of ', road_, ', ', off_, ' to the ', toward, ' of the junction with ', junction) AS address FROM addr0)"""
+_AZ2 = "((((round(90 - degrees(atan2({3} - {1}, {2} - {0})), 2)) % 360) + 360) % 360)"
+ADDR = f"""ps AS (SELECT l.aoi_id, l.lane_id, l.length, l.length*(l.no % 4 + 1)/5 AS s, l.x, l.y, r.name AS rd, z.side AS from_, z.names, z.x AS jx, z.y AS jy,
+  row_number() OVER (PARTITION BY l.aoi_id ORDER BY l.junction_id, l.no, l.road_id, l.length, l.k, z.side, z.junction_id) AS rank FROM lanes l JOIN lane_side z USING (lane_id) JOIN road r USING (road_id)),
+ addr1 AS (SELECT p.*, a.name AS aoi_name, a.land_use, CASE from_ WHEN 'predecessor' THEN s ELSE length - s END AS m, {_AZ2.format('jx', 'jy', 'cx', 'cy')} AS az8, {_AZ2.format('p.x', 'p.y', 'cx', 'cy')} AS az4 FROM ps p JOIN aoi a USING (aoi_id) WHERE rank = 1),
+ addr0 AS (SELECT aoi_id, aoi_name, land_use, lane_id, from_, {_D4.format('az4')} AS side, rd AS road_, CASE WHEN round_even(m/50, 0) = 0 THEN 'within 50m' ELSE concat((round_even(m/50, 0)::BIGINT*50)::VARCHAR, 'm') END AS off_,
+  {_D8.format('az8')} AS toward, coalesce(list_filter(names, lambda n: n <> rd)[1], rd) AS junction FROM addr1),
+ addr AS (SELECT *, concat(side, ' side of ', road_, ', ', off_, ' to the ', toward, ' of the junction with ', junction) AS address FROM addr0) /* lanes lane_side */"""
 
 
-@query("j11_t4_aoi_address", f"WITH {ADDR} SELECT aoi_id, aoi_name, address FROM addr /* lane road aoi */")
+@query("j11_t4_aoi_address", f"WITH {ADDR} SELECT aoi_id, aoi_name, lane_id, from_ AS side, address FROM addr /* lane road aoi */")
 def aoi_addresses(t: Tables):
-    return address_rows(t).select("aoi_id", "aoi_name", "address")
+    return address_rows(t).select("aoi_id", "aoi_name", "lane_id", F.col("from").alias("side"), "address")
 
 
 @query("j12_t4_poi_address", f"WITH {ADDR} SELECT p.poi_id, concat(address, ', inside ', aoi_name) AS address FROM attached p JOIN addr USING (aoi_id) /* lane road aoi */")

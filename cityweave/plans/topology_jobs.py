@@ -41,24 +41,26 @@ def longest(t: Tables):
     return topology.aoi_longest_road(t.lane, t.road)
 
 
-@query("j10_junction_of_lane", "WITH n AS (SELECT DISTINCT junction_id, road_id, name FROM lane JOIN road USING (road_id)) SELECT a.junction_id, a.road_id, min(b.name) AS other FROM n a JOIN n b ON b.junction_id = a.junction_id AND b.name <> a.name GROUP BY 1, 2")
+@query("j10_junction_of_lane", "WITH n AS (SELECT DISTINCT junction_id, road_id, name FROM lane JOIN road USING (road_id)) SELECT a.junction_id, a.road_id, string_agg(DISTINCT b.name, ' / ' ORDER BY b.name) AS others FROM n a JOIN n b ON b.junction_id = a.junction_id AND b.name <> a.name GROUP BY 1, 2")
 def junctions(t: Tables):
-    return topology.junction_of_lane(t.lane, t.road)
+    return topology.junction_of_lane(t.lane, t.road).select("junction_id", "road_id", F.array_join("others", " / ").alias("others"))
 
 
-@query("j13_aoi_pairs_by_road", "WITH b AS (SELECT DISTINCT name, aoi_id FROM lane JOIN road USING (road_id)) SELECT x.name, count(*) AS pairs, min(x.aoi_id*100000 + y.aoi_id) AS first FROM b x JOIN b y ON x.name = y.name AND x.aoi_id <> y.aoi_id GROUP BY x.name")
-def pairs(t: Tables):
-    return topology.pair_counts_by_road(t.lane, t.road).select("name", "pairs", (F.col("a") * 100000 + F.col("b")).alias("first"))
+@query("j10_junction_sides", "SELECT lane_id, side, junction_id, array_to_string(names, ' / ') AS names, round(x, 4) AS x, round(y, 4) AS y FROM lane_side")
+def sides(t: Tables):
+    s = topology.lane_sides(t.edge, t.lanes, t.road)
+    return s.select("lane_id", "side", "junction_id", F.array_join("names", " / ").alias("names"), F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("j10_junction_sides", """WITH k AS (SELECT road_id, junction_id, row_number() OVER (PARTITION BY road_id ORDER BY junction_id, no, aoi_id, length) AS k FROM lane), s AS (SELECT road_id, k, lag(junction_id) OVER w AS p, lead(junction_id) OVER w AS n FROM k WINDOW w AS (PARTITION BY road_id ORDER BY k)),
- m AS (SELECT road_id, k, 'predecessor' AS side, p AS junction_id FROM s WHERE p IS NOT NULL UNION ALL SELECT road_id, k, 'successor', n FROM s WHERE n IS NOT NULL), nm AS (SELECT DISTINCT junction_id, name FROM lane JOIN road USING (road_id)), c AS (SELECT junction_id, avg(cx) AS x, avg(cy) AS y FROM lane JOIN aoi USING (aoi_id) GROUP BY 1)
-SELECT m.road_id, m.k, side, m.junction_id, (SELECT min(nm.name) FROM nm WHERE nm.junction_id = m.junction_id AND nm.name <> r.name) AS other, round(x, 4) AS x, round(y, 4) AS y FROM m JOIN road r ON r.road_id = m.road_id JOIN c ON c.junction_id = m.junction_id""")
-def sides(t: Tables):
-    order = Window.partitionBy("road_id").orderBy("junction_id", "no", "aoi_id", "length")
-    lanes = t.lane.select("road_id", "junction_id", F.row_number().over(order).cast("long").alias("k"))
-    points = t.lane.join(t.aoi.select("aoi_id", F.col("cx").alias("x"), F.col("cy").alias("y")), "aoi_id").select("junction_id", "x", "y")
-    return topology.junction_sides(lanes, t.road, points).withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
+@query("j13_aoi_pairs_by_road", "SELECT name, aoi_id, row_number() OVER (PARTITION BY name ORDER BY aoi_id) - 1 AS no, count(*) OVER (PARTITION BY name) AS n FROM (SELECT DISTINCT name, aoi_id FROM lane JOIN road USING (road_id))")
+def members(t: Tables):
+    """Who is on a road, and with how many: each two of them are a pair."""
+    return topology.road_members(t.lane, t.road)
+
+
+@query("j13_pair_counts", "WITH b AS (SELECT DISTINCT name, aoi_id FROM lane JOIN road USING (road_id)) SELECT x.name, count(*) AS pairs, min(x.aoi_id*100000 + y.aoi_id) AS first FROM b x JOIN b y ON x.name = y.name AND x.aoi_id <> y.aoi_id GROUP BY x.name")
+def pairs(t: Tables):
+    return topology.pair_counts_by_road(t.lane, t.road).select("name", "pairs", (F.col("a") * 100000 + F.col("b")).alias("first"))
 
 
 @query("a8_junction_records", "WITH j AS (SELECT junction_id, (list_sort(list(DISTINCT name)))[1:3] AS names FROM lane JOIN road USING (road_id) GROUP BY 1 HAVING count(DISTINCT name) >= 2), l AS (SELECT junction_id, first(cx ORDER BY no DESC, road_id DESC, cx DESC, cy DESC) AS x, first(cy ORDER BY no DESC, road_id DESC, cx DESC, cy DESC) AS y FROM lane JOIN aoi USING (aoi_id) GROUP BY 1) SELECT junction_id, array_to_string(names, ' / ') AS name, x, y FROM j JOIN l USING (junction_id) /* road lane aoi */")
