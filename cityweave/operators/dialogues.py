@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
 
+#: Characters that count one each: kana, ideographs (with extension A and the compatible ones) and Hangul.
+CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}"
+SHARES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
+
+
 def word_count(text: Column) -> Column:
-    """Words by white space: the default estimate of tokens."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s]+")), F.lit(0)).cast("long")
+    """The default estimate of tokens: words by white space, in which each CJK character
+    counts by itself."""
+    return F.coalesce(F.regexp_count(text, F.lit(rf"[{CJK}]|[^\s{CJK}]+")), F.lit(0)).cast("long")
+
+
+def arrow_count(text: str, make: Callable[[], Callable[[str], int]]) -> Column:
+    """A token counter of one's own, in Arrow batches.  make() builds the function from a text
+    to its number of tokens (a loaded tokenizer, say), once a batch of batches; null counts 0."""
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for texts in batches:
+            yield pd.Series([0 if t is None else int(count(t)) for t in texts], dtype="int64")
+
+    return run(text)
 
 
-def token_stats(df: DataFrame, text: str, source: str, count: Column | None = None) -> DataFrame:
-    """Totals and exact percentiles of token counts by source and over all ("all");
-    another counter (a pandas UDF column, say) can be handed in as `count`."""
+def token_stats(df: DataFrame, text: str, source: str, count: Column | None = None, sketch: int | None = None) -> DataFrame:
+    """Totals and percentiles of token counts by source and over all ("all").
+
+    `count` takes another counter (see arrow_count).  Percentiles are exact; with `sketch`
+    they come from KLL sketches of that k, which merge in any order and stay small: a
+    rank is then off by about 2.3 / k (k = 200: 1.3 % with 99 % confidence)."""
     n = df.withColumn("n", word_count(F.col(text)) if count is None else count)
-    p = F.percentile("n", F.array(*map(F.lit, (0.5, 0.75, 0.9, 0.95))))
-    stats = n.rollup(source).agg(F.sum("n").alias("total"), p.alias("p"), F.grouping(source).alias("all"))
-    return stats.select(F.when(F.col("all") == 1, "all").otherwise(F.col(source)).alias(source), "total", *(F.round(F.col("p")[i], 4).alias(k) for i, k in enumerate(("p50", "p75", "p90", "p95"))))
+    if sketch is None:
+        p = F.percentile("n", F.array(*map(F.lit, SHARES.values())))
+        stats = n.rollup(source).agg(F.sum("n").alias("total"), p.alias("p"), F.grouping(source).alias("all"))
+        found = [F.round(F.col("p")[i], 4).alias(k) for i, k in enumerate(SHARES)]
+    else:
+        # one sketch a source, merged for the whole: the texts are read once
+        part = n.groupBy(source).agg(F.sum("n").alias("total"), F.kll_sketch_agg_bigint("n", sketch).alias("s"))
+        stats = part.rollup(source).agg(F.sum("total").alias("total"), F.kll_merge_agg_bigint("s", sketch).alias("s"), F.grouping(source).alias("all"))
+        found = [F.kll_sketch_get_quantile_bigint("s", F.lit(q)).cast("double").alias(k) for k, q in SHARES.items()]
+    return stats.select(F.when(F.col("all") == 1, "all").otherwise(F.col(source)).alias(source), "total", *found)
 
 
 def perplexity(losses: DataFrame) -> DataFrame:
@@ -67,16 +99,47 @@ def to_sharegpt(df: DataFrame, messages: str = "messages") -> DataFrame:
     return df.select(*[c for c in df.columns if c != messages], turns.alias("conversations"))
 
 
+def cleaned(log: Column, marks: tuple[str, str]) -> Column:
+    """Messages without the worked example and the list of possible actions, trimmed."""
+    cut = rf"(?s)\Q{marks[0]}\E.*?\Q{marks[1]}\E"
+    bare = lambda text: F.regexp_replace(F.regexp_replace(F.regexp_replace(text, cut, ""), r"(?m)^Possible actions:.*$", ""), r"^\s+|\s+$", "")
+    return F.transform(log, lambda m: F.struct(m["role"].alias("role"), bare(m["content"]).alias("content")))
+
+
 def training_session(log: Column, marks: tuple[str, str] = ("[example]", "[/example]"), one_round: bool = False) -> Column:
     """A walk log's session as a training dialogue: the worked example is cut out of
     each message, the list of possible actions dropped, and roles swapped, so that
     what the walker said is the answer; one_round keeps the first exchange."""
-    cut = rf"(?s)\Q{marks[0]}\E.*?\Q{marks[1]}\E"
-    clean = F.transform(log, lambda m: F.struct(F.when(m["role"] == "user", "assistant").when(m["role"] == "assistant", "user").otherwise(m["role"]).alias("role"), F.regexp_replace(F.regexp_replace(F.regexp_replace(m["content"], cut, ""), r"(?m)^Possible actions:.*$", ""), r"^\s+|\s+$", "").alias("content")))
-    kept = F.filter(clean, lambda m: m["content"] != "")
+    swapped = F.transform(cleaned(log, marks), lambda m: F.struct(F.when(m["role"] == "user", "assistant").when(m["role"] == "assistant", "user").otherwise(m["role"]).alias("role"), m["content"].alias("content")))
+    kept = F.filter(swapped, lambda m: m["content"] != "")
     return F.slice(kept, 1, 2) if one_round else kept
 
 
+def walk_dialogue(log: Column, marks: tuple[str, str] = ("[example]", "[/example]"), one_round: bool = False) -> Column:
+    """A walk log as a training dialogue in which the walk is told, not steered.
+
+    The log is a task (user), a first steering answer (assistant), and then what the walker
+    saw (user) and how it steered (assistant) in turn.  Worked examples and lists of
+    actions are cut out and empty messages dropped.  The task stays; the first answer
+    goes.  Of the rest, what was seen becomes the answer, behind "After "; a steering
+    message becomes the question, and its text is the movement sentence, the first line
+    of the message that follows it (its own text, where none follows).  one_round keeps
+    the task and the first answer."""
+    kept = F.filter(cleaned(log, marks), lambda m: m["content"] != "")
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    line = lambda m: F.split(m["content"], "\n", 2)[0]
+
+    def told(m, i):
+        after = F.get(kept, i + 1)
+        return F.when(m["role"] == "assistant", turn("user", F.coalesce(line(after), m["content"]))).when(m["role"] == "user", turn("assistant", F.concat(F.lit("After "), m["content"]))).otherwise(m)
+
+    moved = F.filter(F.transform(kept, lambda m, i: F.when(i == 0, m).when(i != 1, told(m, i))), lambda m: m.isNotNull())
+    if not one_round:
+        return moved
+    first = lambda role: F.slice(F.filter(moved, lambda m: m["role"] == role), 1, 1)
+    return F.concat(first("user"), first("assistant"))
+
+
 def pretraining_text(messages: Column, task: Column) -> Column:
     """The task text and all assistant turns, joined by line feeds."""
     said = F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["content"])

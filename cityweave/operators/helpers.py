@@ -114,12 +114,12 @@ def similarity_scores(pred: str, ref: str):
 
 def best_option_of(text: str | None, options) -> int:
     """Place (from 0) of the option that a text names: equal, else the best BLEU over
-    0.01 (ties: more shared characters, then the first); -1 for none."""
+    0.01 (ties: more different characters shared, then the first); -1 for none."""
     text = (text or "").strip()
     options = [o or "" for o in (options if options is not None else [])]
     if text in options:
         return options.index(text)
-    scored = [(bleu(words(o), words(text)), sum((Counter(o) & Counter(text)).values()), -i) for i, o in enumerate(options)]
+    scored = [(bleu(words(o), words(text)), len(set(o) & set(text)), -i) for i, o in enumerate(options)]
     best = max(scored, default=(0.0, 0, 0))
     return -best[2] if best[0] > 0.01 else -1
 

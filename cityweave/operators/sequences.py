@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import dist_xy
+from .spatial import sized_broadcast
 
 
 def step_distances(visits: DataFrame) -> DataFrame:
@@ -32,6 +33,14 @@ def topk_locations(visits: DataFrame, k: int) -> DataFrame:
     return scaffold.join(ranked, ["traj_id", "rank"], "left").select("traj_id", "rank", F.coalesce("loc_id", F.lit(-1)).cast("long").alias("loc_id"), F.coalesce("freq", F.lit(0.0)).alias("freq"))
 
 
+def topk_mass(visits: DataFrame, k: int) -> DataFrame:
+    """(loc_id, n, share): how often a place is among the k most visited ones of a trajectory,
+    and its share of all such; padding does not count."""
+    n = topk_locations(visits, k).where("loc_id <> -1").groupBy("loc_id").agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.join(F.broadcast(total), F.lit(True)).select("loc_id", "n", (F.col("n") / F.col("total")).alias("share"))
+
+
 def history_target(visits: DataFrame) -> DataFrame:
     """(traj_id, history, target): the last place, and those before in order."""
     last = F.row_number().over(Window.partitionBy("traj_id").orderBy(F.desc("seq")))
@@ -79,7 +88,7 @@ def visit_distribution(visits: DataFrame) -> DataFrame:
     kept = visits.withColumn("before", before).where("before is null or before <> loc_id")
     n = kept.groupBy("kind", "loc_id").agg(F.count(F.lit(1)).alias("n"))
     total = kept.groupBy("kind").agg(F.count(F.lit(1)).alias("total"))
-    return n.join(F.broadcast(total), "kind").select("kind", "loc_id", "n", (F.col("n") / F.col("total")).alias("share"))
+    return n.join(sized_broadcast(total), "kind").select("kind", "loc_id", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
 def length_cdf(df: DataFrame, length: str, interval: int) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_choice, keyed
 from ..operators import evaluation
-from ..operators.helpers import best_option, similarity_scores
-from .base import Tables, md5_sql, number_sql, query
+from ..operators.helpers import similarity_scores
+from .base import Tables, md5_sql, query
 from .mcq_jobs import asked_sql
+from .place_jobs import negatives_sql
 
 _SCORED = "sc AS (SELECT model, task, count(*) AS n, sum(CASE WHEN said = answer THEN 1 ELSE 0 END)::BIGINT AS correct FROM output GROUP BY model, task)"
 
@@ -25,12 +25,14 @@ def scored(t: Tables):
 
 @query(
     "e2_a17_leaderboard",
-    f"WITH {_SCORED}, m AS (SELECT model, CASE WHEN task IN ('click', 'view') THEN 'reasoning' ELSE 'memory' END AS category, correct::DOUBLE / n AS acc FROM sc) SELECT model, round(avg(CASE WHEN category = 'memory' THEN acc END), 6) AS memory, round(avg(CASE WHEN category = 'reasoning' THEN acc END), 6) AS reasoning, count(*) AS tasks FROM m GROUP BY model /* output */",
+    f"""WITH {_SCORED}, m AS (SELECT model, CASE WHEN task = 'click' THEN 'route' WHEN task = 'view' THEN 'noroute' ELSE 'memory' END AS category, correct::DOUBLE / n AS acc FROM sc),
+ p AS (SELECT model, round(avg(CASE WHEN category = 'memory' THEN acc END), 4) AS memory, round(avg(CASE WHEN category = 'route' THEN acc END), 4) AS route, round(avg(CASE WHEN category = 'noroute' THEN acc END), 4) AS noroute, count(*) AS tasks FROM m GROUP BY model)
+SELECT *, round(coalesce((route + noroute)/2, route, noroute), 4) AS all_reasoning, tasks = (SELECT count(DISTINCT task) FROM output) AS complete FROM p /* output */""",
 )
 def board(t: Tables):
-    tasks = t.output.select("task").distinct().withColumn("category", F.when(F.col("task").isin("click", "view"), "reasoning").otherwise("memory"))
-    b = evaluation.leaderboard(scored(t), tasks, ("memory", "reasoning"))
-    return b.select("model", F.round("memory", 6).alias("memory"), F.round("reasoning", 6).alias("reasoning"), "tasks")
+    """Means by category, that of the two reasoning ones, and the check of the number of tasks."""
+    tasks = t.output.select("task").distinct().withColumn("category", F.when(F.col("task") == "click", "route").when(F.col("task") == "view", "noroute").otherwise("memory"))
+    return evaluation.leaderboard(scored(t), tasks, ("memory", "route", "noroute"), ("route", "noroute"))
 
 
 @query("a18_subject_accuracy", f"WITH {_SCORED}, x AS (SELECT task, sum(correct) AS c, sum(n) AS n FROM sc GROUP BY task) SELECT coalesce(task, 'Average') AS subject, round(sum(c)::DOUBLE / sum(n), 8) AS accuracy FROM x GROUP BY ROLLUP (task) /* output */")
@@ -74,8 +76,7 @@ def navigation(t: Tables):
     "e6_next_place_inputs",
     f"""WITH h AS (SELECT traj_id, user_id, string_agg(CASE WHEN seq < m THEN loc_id::VARCHAR END, ', ' ORDER BY seq) AS history, max(CASE WHEN seq = m THEN loc_id END) AS target FROM (SELECT *, max(seq) OVER (PARTITION BY traj_id) AS m FROM visit) GROUP BY traj_id, user_id HAVING count(*) > 1),
  few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {md5_sql('traj_id', seed=3)}, traj_id) AS k FROM h) WHERE k <= 5),
- pl AS (SELECT *, row_number() OVER (PARTITION BY loc_id % 8 ORDER BY {md5_sql('loc_id', seed=3)}, loc_id) AS r FROM (SELECT DISTINCT loc_id FROM visit)),
- w AS (SELECT traj_id, (list(loc_id ORDER BY md5(concat_ws('#', traj_id, loc_id)), loc_id::VARCHAR))[1:5] AS ws_ FROM few JOIN pl ON r <= 64 AND loc_id % 8 = {number_sql(8, 'traj_id', seed=3)} WHERE loc_id <> target GROUP BY traj_id),
+ {negatives_sql('SELECT traj_id FROM few', 'traj_id', 'SELECT loc_id FROM visit', 'loc_id', 'SELECT traj_id, target AS loc_id FROM few', 5, 3)}, w AS (SELECT traj_id, list(loc_id ORDER BY rank) AS ws_ FROM neg GROUP BY traj_id HAVING count(*) = 5),
  src AS (SELECT few.*, ws_ FROM few JOIN w USING (traj_id)), {asked_sql('src', 'traj_id', "concat('Places so far: ', history, '. Which is next?')", 'target', 'ws_', 3)}""",
 )
 def next_place(t: Tables):
@@ -83,20 +84,39 @@ def next_place(t: Tables):
     return evaluation.next_place_inputs(t.visit, seed=3)
 
 
-@query("e7_next_place_accuracy", "SELECT model, round(avg(CASE WHEN said = answer THEN 1.0 ELSE 0.0 END), 8) AS by_letter FROM output GROUP BY model")
-def letters(t: Tables):
-    hit = F.when(extract_choice(F.col("text")) == F.col("answer"), 1.0).otherwise(0.0)
-    return t.output.groupBy("model").agg(F.round(F.avg(hit), 8).alias("by_letter"))
+# What is said of a place and four options, by the case a row falls in: equal, equal but for
+# blanks, near, near but for another letter, tied and settled by shared characters, tied
+# to the last and so the first, and nothing alike.  The places of the options are known from how they are made.
+_CASES = 7
+_SAID = ("{n} lies by the old bridge", "  {n} lies by the old bridge ", "C. {n} lies near the bridge", "B. {n} lies by the new bridge", "go west", "tie", "nothing of it")
+_OPTIONS = ("the market {k}", "{n} lies by the old bridge", "go up", "go wets", "tie one", "tie two")
+_MEANT = (1, 1, 1, 1, 3, 4, -1)
+_GIVEN = ("Z", "Z", "C", "B", "Z", "Z", "Z")
 
 
-@query("e8_best_option")
-def fuzzy(t: Tables):
-    """The option that a slightly changed place name means."""
-    p = t.poi.select("poi_id", F.concat("name", F.lit(" in the "), F.lower("category")).alias("said"), F.array(F.concat(F.lit("x "), "category"), F.concat("name", F.lit(" at the "), F.lower("category")), F.lit("nowhere")).alias("options"))
-    return p.select("poi_id", best_option("said", "options").alias("place"))
+def phrased(t: Tables):
+    """(model, poi_id, said, options, truth): answers in free words; the true place is 1, or 4
+    in the tied cases of odd points."""
+    i = (F.col("poi_id") % _CASES + 1).cast("int")
+    fill = lambda form: F.replace(F.replace(F.lit(form), F.lit("{n}"), F.col("name")), F.lit("{k}"), F.col("category"))
+    truth = F.when((F.col("poi_id") % _CASES == 5) & (F.col("poi_id") % 2 == 1), 4).otherwise(1)
+    return t.poi.select((F.col("poi_id") % 3).alias("model"), "poi_id", F.element_at(F.array(*map(fill, _SAID)), i).alias("said"), F.array(*map(fill, _OPTIONS)).alias("options"), truth.alias("truth"))
+
+
+_MEANT_SQL = f"phr AS (SELECT poi_id % 3 AS model, poi_id, ({list(_MEANT)})[poi_id % {_CASES} + 1] AS place, ({list(_GIVEN)})[poi_id % {_CASES} + 1] AS given, CASE WHEN poi_id % {_CASES} = 5 AND poi_id % 2 = 1 THEN 4 ELSE 1 END AS truth FROM poi)"
+
 
+@query("e7_next_place_accuracy", f"WITH {_MEANT_SQL} SELECT model, count(*) AS n, round(avg((given = ['A', 'B', 'C', 'D', 'E'][truth + 1])::INT), 8) AS by_letter, round(avg((place = truth)::INT), 8) AS by_name FROM phr GROUP BY model")
+def next_accuracy(t: Tables):
+    """Accuracy by the letter given and by the option that the words come nearest to."""
+    a = evaluation.next_place_accuracy(phrased(t), "said", "options", "truth", "model")
+    return a.select("model", "n", F.round("by_letter", 8).alias("by_letter"), F.round("by_name", 8).alias("by_name"))
 
 
+@query("e8_best_option", f"WITH {_MEANT_SQL} SELECT poi_id, place FROM phr")
+def fuzzy(t: Tables):
+    return evaluation.match_options(phrased(t), "said", "options").select("poi_id", "place")
+
 
 def _jsd_sql(name: str, source: str, bins: str, top: float, closed: bool) -> str:
     edge, last = (str(top), "bins - 1") if closed else (f"(bins - 1)*({top}/bins)", "bins - 2")
@@ -122,10 +142,16 @@ def histogram(t: Tables):
     return h.select("event_type", "bin", "n", F.round("share", 8).alias("share"), F.round(F.log("n"), 6).alias("log_n"))
 
 
-@query("e11_few_shot", f"WITH s AS (SELECT item_id, item_id % 5 AS subject, row_number() OVER (PARTITION BY item_id % 5 ORDER BY {md5_sql('item_id', seed=1)}, item_id) AS k FROM benchmark WHERE item_id % 2 = 0) SELECT b.item_id, string_agg(s.item_id::VARCHAR, ',' ORDER BY s.k) AS shots FROM benchmark b JOIN s ON s.subject = b.item_id % 5 AND s.k <= 3 WHERE b.item_id % 2 = 1 GROUP BY b.item_id")
+_SHOT = "concat(left(text, 40), chr(10), 'A. ', length(text), chr(10), 'B. ', item_id, chr(10), 'Answer:')"
+
+
+@query("e11_few_shot", f"""WITH q AS (SELECT item_id, item_id % 5 AS subject, {_SHOT} AS said, substr('AB', (item_id % 2 + 1)::INT, 1) AS answer FROM benchmark), s AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY {md5_sql('item_id', seed=1)}, item_id) AS k FROM q WHERE item_id % 4 < 2),
+ m AS (SELECT b.item_id, b.subject, s.k, s.said, s.answer FROM q b JOIN s ON s.subject = b.subject AND s.k <= 3 WHERE b.item_id % 4 >= 2 UNION ALL SELECT item_id, subject, 4, said, answer FROM q WHERE item_id % 4 >= 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY k) AS i FROM m)
+SELECT item_id, string_agg(concat('user:', CASE WHEN i = 1 THEN concat('Questions on ', subject, ' with their answers:', chr(10), chr(10)) ELSE '' END, said, '|assistant:', answer), '|' ORDER BY k) AS messages FROM r GROUP BY item_id""")
 def few_shot(t: Tables):
-    b = t.raw("benchmark").withColumn("subject", F.col("item_id") % 5)
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy(keyed(F.col("item_id"), seed=1), "item_id"))
-    shots = b.where("item_id % 2 = 0").withColumn("k", rank).where("k <= 3").select("subject", "k", F.col("item_id").alias("shot"))
-    joined = b.where("item_id % 2 = 1").join(F.broadcast(shots), "subject")
-    return joined.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "shot"))), lambda s: s["shot"].cast("string")), ",").alias("shots"))
+    """Three drawn questions of the same subject before each question, as messages."""
+    i = F.col("item_id")
+    b = t.raw("benchmark").select(i.alias("id"), (i % 5).alias("subject"), F.substring("text", 1, 40).alias("question"), F.array(F.length("text").cast("string"), i.cast("string")).alias("options"), F.substring(F.lit("AB"), (i % 2 + 1).cast("int"), F.lit(1)).alias("answer"))
+    m = evaluation.few_shot(b.where("id % 4 >= 2"), b.where("id % 4 < 2"), 3, seed=1)
+    return m.select(F.col("id").alias("item_id"), F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|").alias("messages"))

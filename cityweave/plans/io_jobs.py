@@ -18,6 +18,8 @@ from .dialogue_jobs import conversation
 def scratch(t: Tables, label: str) -> str:
     folder = t.spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         t.spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -67,7 +69,7 @@ def traces(t: Tables):
     path = scratch(t, "traces")
     step = F.array("event_type", F.lit("(08:00, 09:00)"), F.col("loc_id").cast("string"), F.col("user_id").cast("string"))
     j = t.visit.groupBy("user_id", "kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", step.alias("s")))), lambda x: x["s"])).alias("value"))
-    j.select("kind", "value").repartition("kind").write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
+    j.repartition("kind", "user_id").select("kind", "value").write.option("maxRecordsPerFile", 1).partitionBy("kind").text(path)
     good, _ = src.read_traces(t.spark, path)
     return good.select(F.col("extra")[0].cast("long").alias("user_id"), F.regexp_extract("model", "kind=(.*)", 1).alias("model"), "seq", "event", "poi_id")
 

@@ -371,22 +371,27 @@ for _name, _start, _dest, _more in (("m20_poi2poi", "start_name", "dest_name", -
             )
 
 
-def road_rows(t: Tables, ends: str) -> DataFrame:
+def road_rows(t: Tables, ends: str, axis_rule: str = "reference") -> DataFrame:
     """Routes with the road of their destination, whether it runs south-north (up), the
-    net metres of the route across it (off, at least 50 either way) and their direction."""
+    net metres of the route that count (off, at least 50 either way) and their direction.
+
+    axis_rule "geometric" counts the metres across the road, "reference" those along it,
+    as the surveyed questions do."""
+    if axis_rule not in ("reference", "geometric"):
+        raise ValueError(f"axis_rule: {axis_rule}")
     d = ends_of(t).where(F.col(f"start_{ends}").isNotNull()).withColumn("t", routes.direction_totals(F.col("steps")))
     net = lambda a, b: F.round(F.col(f"t.{a}") - F.col(f"t.{b}"), 3)
     last = F.element_at("steps", -1)
     d = d.select("*", net("east", "west").alias("east_m"), net("north", "south").alias("north_m"), last["road_name"].alias("road"), last["direction"].alias("last_dir"))
     up = F.col("last_dir").contains("north") | F.col("last_dir").contains("south")
-    across = F.when(up, F.col("east_m")).otherwise(F.col("north_m"))
-    d = d.withColumn("up", up).withColumn("off", F.round(across, 0).cast("long")).where(F.abs("off") >= 50)
-    return d.withColumn("main", F.when(F.col("up"), F.when(F.col("off") > 0, "east").otherwise("west")).otherwise(F.when(F.col("off") > 0, "north").otherwise("south")))
+    eastward = up if axis_rule == "geometric" else ~up
+    d = d.withColumn("up", up).withColumn("_east", eastward).withColumn("off", F.round(F.when(F.col("_east"), F.col("east_m")).otherwise(F.col("north_m")), 0).cast("long")).where(F.abs("off") >= 50)
+    return d.withColumn("main", F.when(F.col("_east"), F.when(F.col("off") > 0, "east").otherwise("west")).otherwise(F.when(F.col("off") > 0, "north").otherwise("south")))
 
 
-def _to_road(t: Tables, ends: str, kind: str, route: bool, seed: int) -> DataFrame:
+def _to_road(t: Tables, ends: str, kind: str, route: bool, rule: str, seed: int) -> DataFrame:
     """Distance or direction from a start to the road of the destination."""
-    d = road_rows(t, ends)
+    d = road_rows(t, ends, rule)
     told = F.concat(F.lit(" by way of "), "text") if route else F.lit("")
     q = F.concat(F.lit("How far is " if kind == "dis" else "In which direction is "), "road", F.lit(" from "), f"start_{ends}", told, F.lit("?"))
     n = F.abs("off")
@@ -395,22 +400,25 @@ def _to_road(t: Tables, ends: str, kind: str, route: bool, seed: int) -> DataFra
     return asked(d, "route_id", q, n, F.array((n / 2).cast("long"), n * 2, n + 500), seed)
 
 
-def road_rows_sql(ends: str) -> str:
+def road_rows_sql(ends: str, axis_rule: str = "reference") -> str:
     """The SQL twin of road_rows(): src."""
+    east = "up_" if axis_rule == "geometric" else "NOT up_"
     return f"""WITH {_ENDS}, {TOTALS}, lr AS (SELECT route_id, first(road_name ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS road_, first(direction ORDER BY no DESC, road_id DESC, aoi_id DESC, road_length DESC) AS ld FROM step GROUP BY route_id),
- o1 AS (SELECT rr.*, road_, ld LIKE '%north%' OR ld LIKE '%south%' AS up_, de, dn FROM rr JOIN net USING (route_id) JOIN lr USING (route_id) WHERE start_{ends} IS NOT NULL), o2 AS (SELECT *, round(CASE WHEN up_ THEN de ELSE dn END, 0)::BIGINT AS off_ FROM o1),
- src AS (SELECT *, CASE WHEN up_ THEN CASE WHEN off_ > 0 THEN 'east' ELSE 'west' END ELSE CASE WHEN off_ > 0 THEN 'north' ELSE 'south' END END AS main_ FROM o2 WHERE abs(off_) >= 50)"""
+ o1 AS (SELECT rr.*, road_, ld LIKE '%north%' OR ld LIKE '%south%' AS up_, de, dn FROM rr JOIN net USING (route_id) JOIN lr USING (route_id) WHERE start_{ends} IS NOT NULL), o2 AS (SELECT *, round(CASE WHEN {east} THEN de ELSE dn END, 0)::BIGINT AS off_ FROM o1),
+ src AS (SELECT *, CASE WHEN {east} THEN CASE WHEN off_ > 0 THEN 'east' ELSE 'west' END ELSE CASE WHEN off_ > 0 THEN 'north' ELSE 'south' END END AS main_ FROM o2 WHERE abs(off_) >= 50)"""
 
 
-def _to_road_sql(ends: str, kind: str, route: bool, seed: int) -> str:
+def _to_road_sql(ends: str, kind: str, route: bool, rule: str, seed: int) -> str:
     told = "concat(' by way of ', text)" if route else "''"
     question = f"concat('{'How far is ' if kind == 'dis' else 'In which direction is '}', road_, ' from ', start_{ends}, {told}, '?')"
     right, wrong = ("abs(off_)", "[trunc(abs(off_)/2)::BIGINT, abs(off_)*2, abs(off_) + 500]") if kind == "dis" else ("main_", "list_filter(['north','east','south','west'], lambda x: x <> main_)")
-    return f"{road_rows_sql(ends)}, {asked_sql('src', 'route_id', question, right, wrong, seed)} /* poi aoi inside ends lane road step */"
+    return f"{road_rows_sql(ends, rule)}, {asked_sql('src', 'route_id', question, right, wrong, seed)} /* poi aoi inside ends lane road step */"
 
 
 for _name, _ends in (("m23_poi2rd", "name"), ("m24_aoi2rd", "aoi")):
     for _kind in ("dis", "dir"):
         for _route in (True, False):
-            query(f"{_name}_{_kind}_{'route' if _route else 'noroute'}", _to_road_sql(_ends, _kind, _route, int(_name[1:3])))(lambda t, e=_ends, k=_kind, r=_route, s=int(_name[1:3]): _to_road(t, e, k, r, s))
+            for _rule, _tail in (("reference", ""), ("geometric", "_geometric")):
+                _full = f"{_name}_{_kind}_{'route' if _route else 'noroute'}{_tail}"
+                query(_full, _to_road_sql(_ends, _kind, _route, _rule, int(_name[1:3])))(lambda t, e=_ends, k=_kind, r=_route, u=_rule, s=int(_name[1:3]): _to_road(t, e, k, r, u, s))
 

@@ -106,9 +106,14 @@ def cdf(t: Tables):
     return sequences.length_cdf(t.sft.withColumn("n_chars", F.length("text")), "n_chars", 1000).withColumn("percent", F.round("percent", 6))
 
 
-@query("a13_token_stats", "WITH w AS (SELECT data_source, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM sft) SELECT coalesce(data_source, 'all') AS data_source, sum(n)::BIGINT AS total, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.75), 4) AS p75, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95 FROM w GROUP BY ROLLUP (data_source)")
+_COUNT = f"[{dialogues.CJK}]|[^\\s{dialogues.CJK}]+"
+
+
+@query("a13_token_stats", f"WITH w AS (SELECT data_source, len(regexp_extract_all(concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(' 城市road道路', doc_id, 'かな 도로') ELSE '' END), '{_COUNT}')) AS n FROM sft) SELECT coalesce(data_source, 'all') AS data_source, sum(n)::BIGINT AS total, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.75), 4) AS p75, round(quantile_cont(n, 0.9), 4) AS p90, round(quantile_cont(n, 0.95), 4) AS p95 FROM w GROUP BY ROLLUP (data_source)")
 def token_stats(t: Tables):
-    return dialogues.token_stats(t.sft, "text", "data_source")
+    """Counts of texts of which a third goes on in other scripts."""
+    more = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" 城市road道路"), F.col("doc_id").cast("string"), F.lit("かな 도로"))).otherwise("")
+    return dialogues.token_stats(t.sft.withColumn("text", F.concat(F.coalesce("text", F.lit("")), more)), "text", "data_source")
 
 
 @query("a14_valid_token_ratio", "WITH w AS (SELECT role, len(regexp_extract_all(text, '[^\\s]+')) AS n FROM dialogue) SELECT sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::BIGINT AS trained, sum(n)::BIGINT AS total, round(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::DOUBLE / sum(n), 8) AS ratio FROM w")

@@ -56,7 +56,7 @@ def with_totals(d: DataFrame) -> DataFrame:
 
 
 def _to_road(t: Tables, ends: str, kind: str, seed: int) -> DataFrame:
-    d = with_totals(road_rows(t, ends))
+    d = with_totals(road_rows(t, ends, "geometric"))
     n = F.abs("off")
     runs = F.when(F.col("up"), "south-north").otherwise("east-west")
     steps = F.concat(totals_text(F.col("t")), axes_text(F.col("t")), F.lit("Step 3. "), "road", F.lit(" runs "), runs, F.lit(", so the metres across it count: "), n.cast("string"), F.lit(" towards "), "main", F.lit("."))
@@ -72,7 +72,7 @@ def _to_road_sql(ends: str, kind: str, task: str, seed: int) -> str:
     steps = f"concat({_totals_sql()}, {_axes_sql()}, 'Step 3. ', road_, ' runs ', CASE WHEN up_ THEN 'south-north' ELSE 'east-west' END, ', so the metres across it count: ', abs(off_), ' towards ', main_, '.')"
     question = f"concat('{'How far is ' if kind == 'dis' else 'In which direction is '}', road_, ' from ', start_{ends}, '?')"
     right, wrong = ("abs(off_)", "[trunc(abs(off_)/2)::BIGINT, abs(off_)*2, abs(off_) + 500]") if kind == "dis" else ("main_", "list_filter(['north','east','south','west'], lambda x: x <> main_)")
-    return f"{road_rows_sql(ends)}, full_ AS (SELECT * FROM src JOIN tot USING (route_id)), {reasoned_sql('full_', 'route_id', task, 'text', question, steps, right, wrong, seed)} /* poi aoi inside ends lane road step */"
+    return f"{road_rows_sql(ends, "geometric")}, full_ AS (SELECT * FROM src JOIN tot USING (route_id)), {reasoned_sql('full_', 'route_id', task, 'text', question, steps, right, wrong, seed)} /* poi aoi inside ends lane road step */"
 
 
 for _ends, _what in (("name", "poi2rd"), ("aoi", "aoi2rd")):
@@ -158,7 +158,7 @@ def poi2poi_dir(t: Tables):
     return flat(reasoned(d, "route_id", F.col("text"), q, steps, F.col("main"), others(F.col("main")), 34, F.col("style") > 2), "route_id", "poi2poi_dir")
 
 
-_ONLY = "You only need to consider the distances walking along the roads. "
+_ONLY = "Count nothing but the metres on the way. "
 _WALK = f"concat(CASE WHEN style % 4 IN (3, 0) THEN '{_ONLY}' ELSE '' END, 'How many metres do I walk from ', start_name, ' to ', dest_name, '?')"
 
 

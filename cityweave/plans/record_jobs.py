@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from ..functions import text
 from ..operators import dialogues, normalize, sequences
-from .base import Tables, query
+from .base import Tables, number_sql, query
 
 BAD = ["idiot"]
 
@@ -53,14 +54,15 @@ def flat(messages: str = "messages") -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit("")))), "|")
 
 
-@query("c4_source_normalisers", f"WITH {_RECORDS} SELECT data_source, count(*) AS n, min(md5(concat(coalesce(prompt, ''), '#', {_FLAT}))) AS least, max(md5(concat(coalesce(prompt, ''), '#', {_FLAT}))) AS most FROM rec GROUP BY data_source /* dialogue sft */")
+@query("c4_source_normalisers", f"WITH {_RECORDS} SELECT data_source, count(*) AS n, sum(('0x' || substr(h, 1, 8))::BIGINT)::BIGINT AS digests, sum(('0x' || substr(h, 9, 8))::BIGINT)::BIGINT AS more FROM (SELECT *, md5(concat(coalesce(prompt, ''), '#', {_FLAT})) AS h FROM rec) GROUP BY data_source /* dialogue sft */")
 def normalised(t: Tables):
     every = list(sources(t).values())
     out = every[0]
     for df in every[1:]:
         out = out.unionByName(df)
     digest = F.md5(F.concat(F.coalesce("prompt", F.lit("")), F.lit("#"), flat()))
-    return out.groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("least"), F.max(digest).alias("most"))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 8), 16, 10).cast("long"))
+    return out.select("data_source", digest.alias("h")).groupBy("data_source").agg(F.count(F.lit(1)).alias("n"), part(1).alias("digests"), part(9).alias("more"))
 
 
 QUOTAS = {"sharegpt": 100, "rounds": 0, "signal": 50, "walks": 30}
@@ -93,18 +95,43 @@ def mixing_stats(t: Tables):
 
 # tagged corpora
 
+_TAG_KINDS = ("prov", "road", "roadno")
+_TAG_MARKS = ("B", "I", "E", "O", "I", "B")
 
-@query("c2_tagged_corpus_dialogues", """SELECT concat('tags-', conv_id, '-', turn) AS id, concat('Name province, road_number of: ', upper(role), turn, 'r x', CASE WHEN turn % 2 = 0 THEN concat('P', turn) ELSE '' END) AS question,
- concat('{"province":"', CASE WHEN turn % 2 = 0 THEN concat('P', turn) ELSE upper(role) END, '","road_number":"', turn, 'r"}') AS answer FROM dialogue""")
+
+def tagged(t: Tables) -> DataFrame:
+    """(id, tokens, tags): the first ten words of each turn, tagged by hash."""
+    d = t.dialogue.select(F.concat_ws("-", F.lit("tags"), "conv_id", "turn").alias("id"), F.slice(F.split(F.coalesce("text", F.lit("")), r"\s+"), 1, 10).alias("tokens"))
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+
+    def tag(i):
+        n = text.keyed_number(1 << 20, F.col("id"), i, seed=18)
+        mark = pick(_TAG_MARKS, n)
+        return F.when(mark == "O", mark).otherwise(F.concat(mark, F.lit("-"), pick(_TAG_KINDS, F.floor(n / 8))))
+
+    return d.withColumn("tags", F.transform("tokens", lambda _, i: tag(i)))
+
+
+TAGGED = f"""tg0 AS (SELECT concat_ws('-', 'tags', conv_id, turn) AS id, string_split_regex(coalesce(text, ''), '\\s+')[1:10] AS tokens FROM dialogue), tg1 AS (SELECT id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tg0),
+ tg2 AS (SELECT *, {number_sql(1 << 20, 'id', 'i', seed=18)} AS n FROM tg1), tg AS (SELECT id, i, token, ({list(_TAG_MARKS)})[n % {len(_TAG_MARKS)} + 1] AS mark, ({list(_TAG_KINDS)})[n // 8 % {len(_TAG_KINDS)} + 1] AS kind FROM tg2)"""
+#: Runs as islands: an inner or end tag goes on with the run of a tag of its kind just before it.
+RUNS = """st AS (SELECT *, CASE WHEN mark IN ('I', 'E') AND lag(CASE WHEN mark <> 'O' THEN kind END) OVER w = kind THEN 0 ELSE 1 END AS starts FROM tg WINDOW w AS (PARTITION BY id ORDER BY i)),
+ rn AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY i) AS run FROM st), runs AS (SELECT id, run, any_value(kind) AS kind, string_agg(token, '' ORDER BY i) AS text FROM rn WHERE mark <> 'O' GROUP BY id, run)"""
+
+
+@query("t18_bio_components", f"WITH {TAGGED}, {RUNS} SELECT id, coalesce(string_agg(concat(kind, '=', text), '|' ORDER BY run), '') AS parts FROM (SELECT DISTINCT id FROM tg) LEFT JOIN runs USING (id) GROUP BY id /* dialogue */")
+def bio(t: Tables):
+    parts = text.bio_components(F.col("tokens"), F.col("tags"))
+    return tagged(t).select("id", F.array_join(F.transform(parts, lambda p: F.concat(p["kind"], F.lit("="), p["text"])), "|").alias("parts"))
+
+
+@query("c2_tagged_corpus_dialogues", f"""WITH {TAGGED}, {RUNS}, named AS (SELECT id, run, CASE kind WHEN 'prov' THEN 'province' WHEN 'roadno' THEN 'road_number' ELSE kind END AS kind, text FROM runs),
+ kinds AS (SELECT id, kind, min(run) AS first_, first(text ORDER BY run DESC) AS text FROM named GROUP BY id, kind),
+ told AS (SELECT id, string_agg(kind, ', ' ORDER BY first_) AS names, concat('{{', string_agg(concat('"', kind, '":', to_json(text)::VARCHAR), ',' ORDER BY first_), '}}') AS answer FROM kinds GROUP BY id)
+SELECT id, concat('Name ', coalesce(names, ''), ' of: ', replace(whole, '_', ' ')) AS question, coalesce(answer, '{{}}') AS answer FROM (SELECT id, string_agg(token, '' ORDER BY i) AS whole FROM tg GROUP BY id) LEFT JOIN told USING (id) /* dialogue */""")
 def address_tags(t: Tables):
     """Tag runs with full names, a repeated one by its last text, in order of first place."""
-    n = F.col("turn").cast("string")
-    even = F.col("turn") % 2 == 0
-    tokens = F.when(even, F.array(F.upper("role"), n, F.lit("r"), F.lit("_"), F.lit("x"), F.lit("P"), n)).otherwise(F.array(F.upper("role"), n, F.lit("r"), F.lit("_"), F.lit("x")))
-    some = ["B-prov", "B-roadno", "E-roadno", "O", "O"]
-    tags = F.when(even, F.array(*map(F.lit, [*some, "B-prov", "E-prov"]))).otherwise(F.array(*map(F.lit, some)))
-    d = t.dialogue.select(F.concat_ws("-", F.lit("tags"), "conv_id", "turn").alias("id"), tokens.alias("tokens"), tags.alias("tags"))
-    return dialogues.address_tag_dialogues(d)
+    return dialogues.address_tag_dialogues(tagged(t))
 
 
 @query("f9_c2_sentence_pairs", "SELECT concat('match-', item_id) AS id, concat('Which address is the same as ', text, '?') AS question, upper(text) AS answer FROM benchmark WHERE item_id % 3 = 0 AND (text LIKE '%th%' OR upper(text) LIKE '%th%')")
@@ -146,3 +173,18 @@ def walk_logs(t: Tables):
     route = F.coalesce(F.try_element_at("diag", F.lit(2))["content"], F.lit(""))
     kept = sequences.dedup_first(logs.where("size(diag) > 0").withColumn("route", route), ["route"], "conv_id")
     return kept.select("conv_id", F.md5(flat("diag")).alias("digest"))
+
+
+_WALK = """m AS (SELECT conv_id, role, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, turn FROM dialogue WHERE role <> 'system' AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''),
+ n AS (SELECT *, row_number() OVER w AS i, split_part(lead(text) OVER w, chr(10), 1) AS next_line FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ walked AS (SELECT conv_id, i, CASE WHEN i = 1 THEN role WHEN role = 'assistant' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN i = 1 THEN text WHEN role = 'assistant' THEN coalesce(next_line, text) ELSE concat('After ', text) END AS text FROM n WHERE i <> 2)"""
+
+
+@query("c1_walk_dialogues", f"""WITH {_WALK} SELECT conv_id, string_agg(concat(role, ':', text), '|' ORDER BY i) AS told, concat_ws('|', first('user:' || text ORDER BY i) FILTER (role = 'user'), first('assistant:' || text ORDER BY i) FILTER (role = 'assistant')) AS one_round FROM walked GROUP BY conv_id /* dialogue */""")
+def walk_dialogues(t: Tables):
+    """Walks as dialogues whose questions hold the movement that follows them."""
+    from .dialogue_jobs import conversation
+
+    log = F.filter("messages", lambda m: m["role"] != "system")
+    d = conversation(t).select("conv_id", log.alias("log"))
+    return d.select("conv_id", dialogues.walk_dialogue(F.col("log")).alias("a"), dialogues.walk_dialogue(F.col("log"), one_round=True).alias("b")).where("size(a) > 0").select("conv_id", flat("a").alias("told"), flat("b").alias("one_round"))

@@ -187,17 +187,6 @@ def sum_chains(t: Tables):
     return t.route.select("route_id", chain.alias("chain"), total.alias("total"))
 
 
-@query(
-    "t18_bio_components",
-    """SELECT conv_id, turn, concat('prov=', upper(role), '|road=', turn || 'r') AS parts FROM dialogue""",
-)
-def bio(t: Tables):
-    tokens = F.array(F.upper("role"), F.concat(F.col("turn").cast("string")), F.lit("r"), F.lit(","))
-    tags = F.array(F.lit("B-prov"), F.lit("B-road"), F.lit("E-road"), F.lit("O"))
-    parts = text.bio_components(F.col("tokens"), F.col("tags"))
-    return t.dialogue.select("conv_id", "turn", tokens.alias("tokens"), tags.alias("tags")).select("conv_id", "turn", F.array_join(F.transform(parts, lambda p: F.concat(p["kind"], F.lit("="), p["text"])), "|").alias("parts"))
-
-
 @query("t13_fill_template", "SELECT poi_id, CASE (('0x' || substr(md5(concat_ws('#', poi_id, '3')), 1, 8))::BIGINT % 3) WHEN 0 THEN concat('Where is ', name, '?') WHEN 1 THEN concat('What is the address of ', name, '?') ELSE concat('Tell me where ', name, ' lies.') END AS question FROM poi")
 def templates(t: Tables):
     forms = ["Where is {name}?", "What is the address of {name}?", "Tell me where {name} lies."]

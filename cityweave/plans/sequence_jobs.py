@@ -44,6 +44,11 @@ def profile(t: Tables):
     return sequences.topk_locations(t.visit, 3).groupBy("rank").agg(F.round(F.avg("freq"), 6).alias("mean_freq"), F.count(F.when(F.col("loc_id") >= 0, 1)).alias("n"))
 
 
+@query("w5_topk_mass", f"WITH {_TOP}, m AS (SELECT loc_id, count(*) AS n FROM topk WHERE loc_id <> -1 GROUP BY 1) SELECT loc_id, n, round(n::DOUBLE / sum(n) OVER (), 8) AS share FROM m /* visit */")
+def mass(t: Tables):
+    return sequences.topk_mass(t.visit, 3).withColumn("share", F.round("share", 8))
+
+
 @query("w6_history_target", "SELECT traj_id, coalesce(string_agg(CASE WHEN seq < m THEN loc_id::VARCHAR END, ',' ORDER BY seq), '') AS history, max(CASE WHEN seq = m THEN loc_id END) AS target FROM (SELECT *, max(seq) OVER (PARTITION BY traj_id) AS m FROM visit) GROUP BY traj_id")
 def split(t: Tables):
     h = sequences.history_target(t.visit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.spatial import in_bbox
+from ..operators.spatial import in_bbox, sized_broadcast
 
 DUMP = "latitude double, longitude double, fsq_category_labels array<string>, name string"
 POINTS = "array<struct<x:double,y:double>>"
@@ -17,21 +17,18 @@ REGION = {
 DIALOGUE = "task string, id string, diag array<struct<role:string,content:string>>"
 
 
-def _files(spark: SparkSession, path: str, suffix: str) -> list[str]:
-    """Names of the data files of a folder, through Spark's own file systems."""
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    return sorted(s.getPath().toString() for s in fs.listStatus(jpath) if s.getPath().getName().endswith(suffix))
-
-
 def read_poi_dump(spark: SparkSession, path: str, bbox: tuple[float, float, float, float]) -> DataFrame:
     """Points of a folder of Parquet files inside a closed box; files without one of the
-    four columns are left out.  Box and columns are pushed to the scan."""
-    need = {"latitude", "longitude", "fsq_category_labels", "name"}
-    good = [f for f in _files(spark, path, ".parquet") if need <= set(spark.read.parquet(f).columns)]
-    if not good:
-        return spark.createDataFrame([], DUMP)
-    return in_bbox(spark.read.schema(DUMP).parquet(*good), "longitude", "latitude", bbox)
+    four columns are left out.  Box and columns are pushed to the scan.
+
+    A column that a file lacks reads as null, so one scan tells which files have all four:
+    those in which each has a value in some row (a file with an all-null column counts
+    as lacking it).  The driver opens no file; the names of the good ones are joined by
+    broadcast while they are few."""
+    need = ("latitude", "longitude", "fsq_category_labels", "name")
+    dump = spark.read.schema(DUMP).parquet(path).withColumn("_file", F.col("_metadata.file_path"))
+    good = dump.groupBy("_file").agg(*(F.max(F.col(c).isNotNull()).alias(c) for c in need)).where(" AND ".join(need)).select("_file")
+    return in_bbox(dump, "longitude", "latitude", bbox).join(sized_broadcast(good), "_file", "left_semi").drop("_file")
 
 
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
