@@ -20,8 +20,16 @@ from cityweave.llm.secrets import redact
 LEAST_QUALITY = 0.3
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """keys, marked for broadcast if they are at most a million rows."""
+    return F.broadcast(keys) if keys.limit(1_000_001).count() <= 1_000_000 else keys
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, trained on the labels, accepts."""
+    """Keeps the documents that the classifier, trained on the labels, accepts.
+
+    Null and empty texts score by the bias alone; rows that repeat an id are judged each
+    by its text.  Without labels of both classes all scores are the share of label 1."""
     model = train(docs, table(spark, sf_dir, "labels"))
     name = "quality_score"
     while name in docs.columns:
@@ -30,26 +38,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group that five-word shingles of a
-    Jaccard similarity of 0.8 or more link."""
-    found = similar_components(docs, words=5, percent=80)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(F.broadcast(gone) if gone.count() <= 1_000_000 else gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one document, that of the least id, of each group that five-word shingles of a
+    Jaccard similarity of 0.8 or more link.
+
+    It is rows that are kept or go, known by a hash of id and text: of several texts that
+    share an id each is judged by itself, and of rows equal in both one stays.  Null and
+    empty texts link with nothing, and rows without an id take no part, so all of them
+    stay.  An empty table stays empty; other columns pass through."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = similar_components(keyed.select(F.col(name).alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0 and doc_id is not null")
+    rows = keyed.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("key")).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    known = materialize(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct().join(rows, "key"), "near-duplicates")
+    best = known.groupBy("component").agg(F.min(F.struct("id", "key")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", F.col("m.key").alias("best"))
+    gone = materialize(known.join(sized(best), "component").where("key <> best").select(F.col("key").alias(name)), "near-duplicates-gone")
+    again = materialize(known.where("copies > 1").select(F.col("key").alias(name)), "near-duplicates-again")
+    kept = keyed.join(sized(gone), name, "left_anti")
+    single = kept.join(sized(again), name, "left_anti")
+    if not again.isEmpty():
+        single = single.unionByName(kept.join(sized(again), name, "left_semi").dropDuplicates([name]))
+    return single.select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret span is replaced by a mark; n_chars follows the text."""
+    """Every secret span, in any decoded layer, is replaced by a mark; n_chars follows the
+    text.  Null texts stay null; no row goes."""
     clean = redact(docs, "text")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are repeated to tempered weights, none over twice, none below once."""
+    """Sources are repeated to tempered weights, none over twice, none below once, in the
+    order of the block permutations.  A null source is one of its own; no row goes."""
     return mix(docs, target_entropy=0.99, max_repeat=2.0)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text."""
+    """Token counts and digests of ids and of the decoded text, a row for each document;
+    null counts as empty."""
     return round_trip_digests(docs, vocabulary_path())
 
 
