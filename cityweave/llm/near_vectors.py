@@ -10,8 +10,11 @@ forest counts in the first of them only, so link counts need no list of pairs;
 only spanning edges leave a task, and components are their union.
 
 Equal vectors are one class and are never compared with each other.  Vectors that
-are null, empty, zero, or hold null or non-finite parts link with nothing; vectors
-of another length than the most common one link only among equal ones.
+are null, empty, zero, or hold null or non-finite parts link with nothing.  Vectors of
+different lengths have no cosine; each length has leaves of its own.  The FORESTS most
+common lengths have a forest each; vectors of a rarer length lie in one leaf, which is
+compared whole, in blocks.  So does a table that fits a leaf: one tree, no splits.
+A leaf of m rows that no direction can part makes about (m / (3 * LEAF))^2 / 2 tasks.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SPILL = 0.35
 #: density of a normal variable at its median (in standard deviations).
 PARTED = 0.286 * 0.4
 MISSED = 1e-3
+#: Lengths of vectors that get a forest.
+FORESTS = 16
 #: Levels at most, and those whose nodes have cuts of their own.
 MOST_LEVELS, OWN_LEVELS = 40, 12
 SAMPLE = 20_000
@@ -57,7 +62,8 @@ class Forest:
         self.directions: list[np.ndarray] = []
         self.cuts: list[list[np.ndarray]] = []  # by tree and level: of each node, or of all
         self.depth, parted = MOST_LEVELS, 1.0
-        while not self.cuts or len(self.cuts) < TREES or self.depth and len(self.cuts) < MOST_TREES and parted ** len(self.cuts) > MISSED:
+        # without a split one tree holds all pairs; otherwise as many as the limit needs
+        while not self.cuts or self.depth and len(self.cuts) < TREES or self.depth and len(self.cuts) < MOST_TREES and parted ** len(self.cuts) > MISSED:
             d = rng.standard_normal((dims, self.depth)) / math.sqrt(dims)
             p = sample @ d
             row, node, cuts, survive = np.arange(n), np.zeros(n, np.int64), [], 1.0
@@ -151,36 +157,46 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     # one row per distinct vector; equal ones meet only as partial aggregates
     one = materialize(good.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "distinct-vectors")
     size = one.select("fp", "rep", "copies")
-    shapes = one.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
+    shapes = one.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(FORESTS).collect()
     if shapes:
-        dims, total = shapes[0]
-        drawn = one.where(F.size("vector") == dims).select("vector", F.xxhash64("rep").alias("h")).where(F.pmod("h", F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * SAMPLE / total))).limit(SAMPLE).collect()
-        sample = np.array([r[0] for r in drawn], np.float64).reshape(-1, dims)
-        sample /= np.sqrt((sample * sample).sum(axis=1))[:, None]
-        forest = spark.sparkContext.broadcast(Forest(sample, total, least))
+        forests = {}
+        for dims, total in shapes:
+            sample = np.empty((0, dims))
+            if total > LEAF:
+                drawn = one.where(F.size("vector") == dims).select("vector", F.xxhash64("rep").alias("h")).where(F.pmod("h", F.lit(1 << 20)) <= int((1 << 20) * min(1.0, 1.2 * SAMPLE / total))).limit(SAMPLE).collect()
+                sample = np.array([r[0] for r in drawn], np.float64).reshape(-1, dims)
+                sample /= np.sqrt((sample * sample).sum(axis=1))[:, None]
+            forests[dims] = Forest(sample, total, least)
+        sent = spark.sparkContext.broadcast(forests)
 
         def route(batches):
             for batch in batches:
-                x = matrix(batch.column(2))
-                row, leaf = forest.value.leaves(x / np.sqrt((x * x).sum(axis=1))[:, None])
-                order = np.lexsort((leaf, row))
-                row, leaf = row[order], leaf[order]
-                cut = np.searchsorted(row, np.arange(len(x) + 1))
-                every = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(leaf))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0).take(at), batch.column(1).take(at), every.take(at), batch.column(2).take(at)], names=["leaf", "rep", "copies", "leaves", "vector"])
-
-        routed = one.where(F.size("vector") == dims).select("rep", "copies", "vector").mapInArrow(route, "leaf bigint, rep bigint, copies bigint, leaves array<bigint>, vector array<double>")
+                sizes = np.diff(batch.column(2).offsets.to_numpy())
+                for dims in np.unique(sizes).tolist():
+                    part = batch.take(pa.array(np.flatnonzero(sizes == dims)))
+                    x = matrix(part.column(2))
+                    if dims in sent.value:
+                        row, leaf = sent.value[dims].leaves(x / np.sqrt((x * x).sum(axis=1))[:, None])
+                    else:
+                        row, leaf = np.arange(len(x)), np.zeros(len(x), np.int64)
+                    order = np.lexsort((leaf, row))
+                    row, leaf = row[order], leaf[order]
+                    cut = np.searchsorted(row, np.arange(len(x) + 1))
+                    every = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(leaf))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), dims, np.int32)), pa.array(leaf), part.column(0).take(at), part.column(1).take(at), every.take(at), part.column(2).take(at)], names=["dims", "leaf", "rep", "copies", "leaves", "vector"])
+
+        routed = one.select("rep", "copies", "vector").mapInArrow(route, "dims int, leaf bigint, rep bigint, copies bigint, leaves array<bigint>, vector array<double>")
         routed = materialize(routed, "routed-vectors")
         blocks = F.ceil(F.col("count") / (3 * LEAF)).cast("int")
-        count = routed.groupBy("leaf").count().select("leaf", blocks.alias("blocks"))
-        placed = routed.join(count, "leaf").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        count = routed.groupBy("dims", "leaf").count().select("dims", "leaf", blocks.alias("blocks"))
+        placed = routed.join(count, ["dims", "leaf"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "leaves", "vector"
+            "dims", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "leaves", "vector"
         )
 
         def compare(batches):
-            for (leaf, i, j), group in runs(batches, ["leaf", "i", "j"]):
+            for (_, leaf, i, j), group in runs(batches, ["dims", "leaf", "i", "j"]):
                 block, ids = np.array(group.column("block").to_pylist()), np.array(group.column("rep").to_pylist())
                 weight, x = np.array(group.column("copies").to_pylist()), matrix(group.column("vector"))
                 # earlier leaves that two or more of these rows share: a pair counts in its first
@@ -203,7 +219,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
                 b = np.concatenate((n[found], np.array([ids[order][q] for _, q in edges], np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([0] * len(found) + [1] * len(edges), pa.int8()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
-        dealt = pairs.repartition(n_parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "rep")
+        dealt = pairs.repartition(n_parts, "dims", "leaf", "i", "j").sortWithinPartitions("dims", "leaf", "i", "j", "rep")
         found = materialize(dealt.mapInArrow(compare, "kind tinyint, a bigint, b bigint"), "vector-links")
     else:
         found = spark.createDataFrame([], "kind tinyint, a bigint, b bigint")

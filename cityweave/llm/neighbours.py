@@ -8,14 +8,16 @@ neighbour's projection given the query's is normal; its slope and variance are
 those of the query's own nearest rows in a bounded sample (SAMPLE rows), in GROUPS
 from near to far.  Probing stops when the
 visited buckets hold TARGET of that chance, so easy data take few probes and hard
-data many, with no other cap.  A query whose visited buckets hold fewer than
-K + 1 rows then goes on through the filled buckets of the first table, in the same
-order, until they do or all are visited.  Candidates of all tables are merged and ranked
-by exact inner products in double precision on the original vectors.
-
-Buckets are dealt to groups of about GROUP rows, but to no more groups than the
-session's shuffle partitions can take: a query brings K + 1 candidates from each
-group, so their number follows the queries.  A bucket with more rows is cut
+data many.  A query whose visited buckets hold fewer than K + 1 rows goes on to WIDER
+of it.  Where directions say so little that a table would take more than PROBES
+buckets, or where even WIDER holds too few rows, probing costs more than it saves: such
+a query is compared with all rows, in blocks, which is exact.  A query thus
+has at most TABLES * PROBES rows of probes a round, whatever the data.  Candidates of
+all tables are merged and ranked by exact inner products in double precision on the
+original vectors.
+
+Buckets are dealt to groups of at most about GROUP rows, and to more groups while
+shuffle partitions are free.  A bucket with more than BUCKET rows is cut
 into slots that are visited one by one, so a hot bucket is spread out and every
 row of it is still compared.  Equal vectors are one class with its first K + 1
 ids.  Vectors that are null, zero or hold null or non-finite parts take no part,
@@ -39,10 +41,12 @@ from .vectors import classes, matrix, usable
 TABLES = 2
 WIDTH = 1.2  # of a cell, in standard deviations of a projection
 BUCKET = 1024
-GROUP = 4096
+GROUP = 32_768  # rows of a group, or of a block that all of a query's rows are compared with
 SAMPLE = 4096
 GROUPS = 4  # of a query's neighbours in the sample, each with an estimate of its own
 TARGET = 0.86  # of each table; two tables together reach about 1 - 0.14**2
+WIDER = 0.99
+PROBES = 4096  # of a query and table at most
 CELLS = 6  # cells at each side of the middle that are told apart; the outer ones are open
 
 
@@ -66,7 +70,7 @@ class Hashes:
         self.scale = [np.maximum((sample @ d).std(axis=0), 1e-12) for d in self.directions]
         self.centre = [(sample @ d).mean(axis=0) for d in self.directions]
         self.offset = [rng.uniform(0, WIDTH, self.k) for _ in range(TABLES)]
-        self.sample, self.norms, self.nearest = sample, (sample * sample).sum(axis=1), nearest
+        self.sample, self.norms, self.nearest, self.most = sample, (sample * sample).sum(axis=1), nearest, PROBES
 
     def near(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slope and remaining spread of the neighbours of each row, by GROUPS of them: for
@@ -93,8 +97,9 @@ class Hashes:
         cell = np.clip(np.floor((self._placed(x, t) + self.offset[t]) / WIDTH), -CELLS, CELLS).astype(np.int64) + CELLS
         return cell @ (2 * CELLS + 1) ** np.arange(self.k)
 
-    def probes(self, x: np.ndarray, t: int) -> list[np.ndarray]:
-        """The buckets that each query visits, in order of estimated success."""
+    def probes(self, x: np.ndarray, t: int, target: float = TARGET) -> list[np.ndarray | None]:
+        """The buckets that each query visits until their estimated success is `target`; None
+        if they are more than PROBES."""
         edges = (np.arange(-CELLS, CELLS + 2) * WIDTH)[None, None, :] - self.offset[t][None, :, None]
         raw = x @ self.directions[t]
         slopes, rests = self.near(x)
@@ -105,29 +110,11 @@ class Hashes:
             upto[:, :, 0], upto[:, :, -1] = 0.0, 1.0
             chance += np.diff(upto, axis=2) / slopes.shape[1]
         own = self.buckets(x, t)
-        return [np.unique(np.append(self._visit(one), b)) for one, b in zip(chance, own, strict=True)]
-
-    def fill(self, x: np.ndarray, buckets: np.ndarray, counts: np.ndarray, least: int) -> list[np.ndarray]:
-        """For each query the filled buckets of table 0, best first, up to `least` rows."""
-        edges = (np.arange(-CELLS, CELLS + 2) * WIDTH)[None, :] - self.offset[0][:, None]
-        low, high = edges[:, :-1].copy(), edges[:, 1:].copy()
-        low[:, 0], high[:, -1] = -np.inf, np.inf
-        digits = buckets[:, None] // (2 * CELLS + 1) ** np.arange(self.k) % (2 * CELLS + 1)
-        slopes, rests = self.near(x)
-        means = ((x @ self.directions[0]) * slopes.mean(axis=1)[:, None] - self.centre[0]) / self.scale[0]
-        out = []
-        for one, rest in zip(means, rests[:, -1], strict=True):
-            spread = (rest / self.scale[0])[:, None]
-            away = np.maximum(0, np.maximum(low - one[:, None], one[:, None] - high)) / spread
-            chance = _phi((high - one[:, None]) / spread) - _phi((low - one[:, None]) / spread)
-            # far tails by their leading term, so that they keep their order
-            logs = np.where(chance > 1e-14, np.log(np.maximum(chance, 1e-300)), -away * away / 2 - 10)
-            order = np.argsort(-logs[np.arange(self.k), digits].sum(axis=1), kind="stable")
-            out.append(buckets[order[: int(np.searchsorted(np.cumsum(counts[order]), least)) + 1]])
-        return out
-
-    def _visit(self, chance: np.ndarray) -> np.ndarray:
-        """Best-first over products of per-direction chances until TARGET is reached."""
+        found = [self._visit(one, target) for one in chance]
+        return [None if codes is None else np.unique(np.append(codes, b)) for codes, b in zip(found, own, strict=True)]
+
+    def _visit(self, chance: np.ndarray, target: float) -> np.ndarray | None:
+        """Best-first over products of per-direction chances until `target` is reached."""
         order = np.argsort(-chance, axis=1, kind="stable")
         ranked = np.take_along_axis(chance, order, 1)
         # directions are folded in one by one; what can never be needed is left out
@@ -137,8 +124,10 @@ class Hashes:
             c = (code[:, None] + order[j][None, :] * (2 * CELLS + 1) ** j).ravel()
             by = np.argsort(-m, kind="stable")
             total = np.cumsum(m[by])
-            # the kept share must still allow TARGET after the remaining directions
-            keep = by[: int(np.searchsorted(total, TARGET + (1 - TARGET) * (1 - (j + 1) / self.k) * 0.98)) + 1]
+            # the kept share must still allow the target after the remaining directions
+            keep = by[: int(np.searchsorted(total, target + (1 - target) * (1 - (j + 1) / self.k) * 0.98)) + 1]
+            if len(keep) >= self.most:
+                return None
             mass, code = m[keep], c[keep]
         return code
 
@@ -174,43 +163,50 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hashes.value.buckets(x, t)), batch.column(0), batch.column(1)], names=["t", "bucket", "rep", "vector"])
 
-    def visits(batches):
-        for batch in batches:
-            x = matrix(batch.column(1))
-            for t in range(TABLES):
-                lists = hashes.value.probes(x, t)
-                at = np.repeat(np.arange(len(x)), [len(p) for p in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
+    def visits(target: float):
+        """(t, bucket, query); one row of table -1 for a query that takes too many."""
+
+        def run(batches):
+            for batch in batches:
+                x = matrix(batch.column(1))
+                lists = [hashes.value.probes(x, t, target) for t in range(TABLES)]
+                hard = np.array([any(one[i] is None for one in lists) for i in range(len(x))], bool)
+                for t, one in ((-1, [np.zeros(int(h), np.int64) for h in hard]), *((t, [np.empty(0, np.int64) if h else p for p, h in zip(one, hard, strict=True)]) for t, one in enumerate(lists))):
+                    at = np.repeat(np.arange(len(x)), [len(p) for p in one])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate([*one, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
+
+        return run
 
     stored = materialize(every.select("rep", "vector").mapInArrow(index, "t int, bucket bigint, rep bigint, vector array<double>"), "buckets")
     slots = F.ceil(F.col("count") / BUCKET).cast("int")
     filled = stored.groupBy("t", "bucket").count().select("t", "bucket", slots.alias("slots"), "count")
     filled = materialize(filled, "filled-buckets")
-    groups = min(max(1, math.ceil(total / GROUP)), max(1, n_parts // TABLES))
+    groups = max(math.ceil(total / GROUP), min(math.ceil(total / (4 * BUCKET)), n_parts // TABLES), 1)
     group = F.pmod(F.xxhash64("t", "bucket", "slot"), F.lit(groups)).cast("int")
     rows = stored.join(filled.drop("count"), ["t", "bucket"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
     rows = rows.select("t", group.alias("g"), F.lit(0).alias("kind"), F.col("rep").alias("id"), F.array("bucket").alias("buckets"), "vector")
     # vectors of the asked classes, by class
-    wanted = every.join(asked.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("query"), "vector")
-    probes = wanted.mapInArrow(visits, "t int, bucket bigint, query bigint")
-    met = materialize(probes.join(filled, ["t", "bucket"]), "probes")
-    held = met.groupBy("query", "t").agg(F.sum("count").alias("n")).where(F.col("n") > k).select("query").distinct()
-    short = materialize(wanted.join(held, "query", "left_anti"), "short-queries")
-    if not short.isEmpty():
-        first_table = filled.where("t = 0").select("bucket", "count").toPandas()  # one row per filled bucket
-        known = spark.sparkContext.broadcast((first_table["bucket"].to_numpy(np.int64), first_table["count"].to_numpy(np.int64)))
-
-        def more(batches):
-            for batch in batches:
-                lists = hashes.value.fill(matrix(batch.column(1)), *known.value, k + 1)
-                at = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(np.concatenate([*lists, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
-
-        added = short.select("query", "vector").mapInArrow(more, "t int, bucket bigint, query bigint").join(filled, ["t", "bucket"])
-        met = met.unionByName(added)
-    met = met.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    wanted = materialize(every.join(asked.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("query"), "vector"), "queries")
+    met, rest, exact = None, wanted, None
+    for target in (TARGET, WIDER):
+        probes = materialize(rest.mapInArrow(visits(target), "t int, bucket bigint, query bigint"), "probes")
+        hard = probes.where("t = -1").select("query")
+        some = probes.where("t >= 0").join(filled, ["t", "bucket"])
+        full = some.groupBy("query", "t").agg(F.sum("count").alias("n")).where(F.col("n") > k).select("query").distinct()
+        met = some if met is None else met.unionByName(some)
+        exact = hard if exact is None else exact.union(hard)
+        rest = materialize(rest.join(full.union(hard), "query", "left_anti"), "short-queries")
+        if rest.isEmpty():
+            break
+    exact = materialize(exact.union(rest.select("query")).distinct(), "exact-queries")
+    met = met.join(exact, "query", "left_anti").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     met = met.select("t", group.alias("g"), "query", "bucket").groupBy("t", "g", "query").agg(F.collect_set("bucket").alias("buckets"))
     asks = met.join(wanted, "query").select("t", "g", F.lit(1).alias("kind"), F.col("query").alias("id"), "buckets", "vector")
+    if not exact.isEmpty():
+        blocks = max(math.ceil(total / GROUP), min(math.ceil(total / (4 * BUCKET)), n_parts))
+        whole = F.array(F.lit(0).cast("long")).alias("buckets")
+        rows = rows.unionByName(every.select(F.lit(-1).alias("t"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("kind"), F.col("rep").alias("id"), whole, "vector"))
+        asks = asks.unionByName(wanted.join(exact, "query").select(F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("g"), F.lit(1).alias("kind"), F.col("query").alias("id"), whole, "vector"))
 
     def rank(batches):
         ids = bucket = x = longest = None
@@ -225,8 +221,8 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
                 continue
             if current != (t, g):
                 continue
-            for a in range(0, part.num_rows, 256):
-                some = part.slice(a, 256)
+            for a in range(0, part.num_rows, 64):
+                some = part.slice(a, 64)
                 q = matrix(some.column("vector"))
                 asked_ = np.array(some.column("id").to_pylist())
                 visited = np.zeros((len(q), len(numbers)), bool)

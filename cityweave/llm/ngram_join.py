@@ -1,7 +1,9 @@
 """N-gram Jaccard join over globally ordered sets in prefix trees.
 
 1. Every text becomes its set of k-word shingles (64-bit hashes).  Sets travel as
-   packed blobs of (document, shingle), dealt by ranges of the shingle hash.
+   packed blobs of (document, shingle), dealt by the low bits of the shingle hash; 48
+   further bits travel, so two shingles are told apart by those and the part's number
+   (53 bits at 8 shuffle partitions, 64 from 16,384 on).
 2. Where a shingle's whole list is, its document frequency is known.  Shingles of
    one document only cannot be shared; of those only the number goes back.  The
    others return to their documents with their frequency.
