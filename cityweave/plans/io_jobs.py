@@ -4,6 +4,7 @@ Files go to the shared folder of the session (spark.checkpoint.dir)."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ from .dialogue_jobs import conversation
 def scratch(t: Tables, label: str) -> str:
     folder = t.spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not t.spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", t.spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         t.spark.conf.set("spark.checkpoint.dir", folder)
