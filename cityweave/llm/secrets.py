@@ -1,9 +1,10 @@
 """Secret scans by a recursive decoding worklist.
 
 Each text is scanned as it stands (the base spans).  Then layers are unwrapped:
-percent escapes and Unicode/character-reference escapes are decoded over the
-whole layer, base64 runs are decoded on their own, and compressed payloads
-(gzip, zlib) inside them are inflated.  Each new layer is scanned and put back
+percent escapes, Unicode, octal and character-reference escapes (by number or name) are
+decoded over the whole layer, base64 runs are decoded on their own, as UTF-8 and as
+UTF-16, and compressed payloads (gzip, zlib, bzip2) inside them are inflated.  Raw
+deflate has no head that tells it from other bytes and is not opened.  Each new layer is scanned and put back
 on the worklist until nothing new appears; a layer whose text was met before
 from the same place of the original is not opened again.  Every position of a layer keeps the range of code points
 of the original text that it came from, so spans are always given in the
@@ -18,12 +19,16 @@ decoded with them: the span found in it may end a few characters late.
 from __future__ import annotations
 
 import base64
+import bz2
 import codecs
 import hashlib
 import re
+import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
+from html.entities import html5
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,14 +47,15 @@ PIECE = 1 << 20
 
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})|&([A-Za-z][A-Za-z0-9]{1,30};)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 _BREAK = re.compile(r"[ \t\r\n]+")
 _URL_SAFE = str.maketrans("-_", "+/")
-_HEAD = re.compile(rb"[\x08\x18\x28\x38\x48\x58\x68\x78\x1f]")
+_HEAD = re.compile(rb"[\x08\x18\x28\x38\x48\x58\x68\x78\x1f]|BZh")
 #: Shorter stretches hold no secret, encoded or not.
 _READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{16,}")
+_PADDING = re.compile("={0,2}")
 _CUT = re.compile(r"""[^A-Za-z0-9+/_.=\-"'\s:%\\{}&#;]""")
 
 
@@ -164,17 +170,27 @@ def _unpercent(layer: Layer) -> Layer | None:
 
 def _unescape(layer: Layer) -> Layer | None:
     pieces = []
-    if "\\" in layer.text or "&#" in layer.text:
+    if "\\" in layer.text or "&" in layer.text:
         for m in _ESCAPE.finditer(layer.text):
-            code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
+            if m[8]:
+                char = html5.get(m[8], "")
+                code = ord(char) if len(char) == 1 else 0
+            else:
+                code = int(m[6]) if m[6] else int(m[7], 8) if m[7] else int(next(g for g in m.groups() if g), 16)
             if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000:
                 pieces.append((m.start(), m.end(), [(chr(code), m.start(), m.end())]))
     return _replaced(layer, pieces) if pieces else None
 
 
 def _inflate(parts: Iterable[bytes], rest: list[int]) -> Iterator[bytes]:
-    """gzip or zlib content in chunks; zlib.error where it is broken or cut off.  The
+    """gzip, zlib or bzip2 content in chunks; zlib.error where it is broken or cut off.  The
     number of bytes after it is put into rest."""
+    parts = iter(parts)
+    first = next(parts, b"")
+    parts = chain((first,), parts)
+    if first[:3] == b"BZh":
+        yield from _unbzip(parts, rest)
+        return
     d = zlib.decompressobj(wbits=47)
     for part in parts:
         while part and not d.eof:
@@ -190,8 +206,26 @@ def _inflate(parts: Iterable[bytes], rest: list[int]) -> Iterator[bytes]:
     rest[:] = [len(d.unused_data)]
 
 
+def _unbzip(parts: Iterable[bytes], rest: list[int]) -> Iterator[bytes]:
+    d = bz2.BZ2Decompressor()
+    try:
+        for part in parts:
+            while not d.eof:
+                yield d.decompress(part, PIECE)
+                part = b""
+                if d.needs_input:
+                    break
+            if d.eof:
+                break
+    except (OSError, ValueError) as broken:
+        raise zlib.error(str(broken)) from None
+    if not d.eof:
+        raise zlib.error("cut off")
+    rest[:] = [len(d.unused_data)]
+
+
 def _packed(head: bytes) -> bool:
-    return head[:3] == b"\x1f\x8b\x08" or len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] * 256 + head[1]) % 31 == 0
+    return head[:3] == b"BZh" or head[:3] == b"\x1f\x8b\x08" or len(head) > 2 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] * 256 + head[1]) % 31 == 0
 
 
 def _inflated(raw: bytes) -> tuple[Iterator[str], int] | None:
@@ -225,6 +259,23 @@ def _inflated(raw: bytes) -> tuple[Iterator[str], int] | None:
     return (decoder.decode(part) for part in make(depth)), used
 
 
+def _read(raw: bytes) -> Iterator[tuple[str, list[int] | range]]:
+    """raw as text with the byte offset of each character: as UTF-8, and as UTF-16 of either
+    order from either byte where many bytes are zero."""
+    text = raw.decode("utf-8", "surrogateescape")
+    if _READABLE.search(text):
+        yield text, _offsets(text)
+    if raw.count(0) >= 16:
+        for swapped in (sys.byteorder == "big", sys.byteorder == "little"):
+            for first in (0, 1):
+                units = array("H", raw[first : first + (len(raw) - first) // 2 * 2])
+                if swapped:
+                    units.byteswap()
+                text = "".join(map(chr, units))  # halves of pairs stay apart: two bytes a character
+                if _READABLE.search(text):
+                    yield text, range(first, first + 2 * len(units) + 1, 2)
+
+
 def _from_base64(layer: Layer) -> Iterator[Layer]:
     """What the base64 runs of a layer hold, each run as it stands and joined over line
     breaks.  A token may start anywhere in a run (after a path or prefix, say), so
@@ -245,18 +296,17 @@ def _from_base64(layer: Layer) -> Iterator[Layer]:
                         whole = (a, layer.origin(m.start(), m.end())[1] if last >= len(body) else b)
                         for _, text in _pieces(got[0]):
                             yield Layer(text, whole=whole)
-                text = raw.decode("utf-8", "surrogateescape")
-                bounds = _offsets(text) if _READABLE.search(text) else []
-                for r in _READABLE.finditer(text):
-                    if layer.whole:
-                        yield Layer(r[0], whole=layer.whole)
-                        continue
-                    starts, ends = array("q"), array("q")
-                    for i in range(r.start(), r.end()):
-                        a, b = shift + bounds[i] * 4 // 3, min(shift - (-bounds[i + 1] * 4 // 3), len(body)) - 1
-                        starts.append(layer.origin(place[a], place[a] + 1)[0])
-                        ends.append(layer.origin(place[b], place[b] + 1)[1])
-                    yield Layer(r[0], starts, ends)
+                for text, bounds in _read(raw):
+                    for r in _READABLE.finditer(text):
+                        if layer.whole:
+                            yield Layer(r[0], whole=layer.whole)
+                            continue
+                        starts, ends = array("q"), array("q")
+                        for i in range(r.start(), r.end()):
+                            a, b = shift + bounds[i] * 4 // 3, min(shift - (-bounds[i + 1] * 4 // 3), len(body)) - 1
+                            starts.append(layer.origin(place[a], place[a] + 1)[0])
+                            ends.append(layer.origin(place[b], place[b] + 1)[1])
+                        yield Layer(r[0], starts, ends)
 
 
 def _opened(layer: Layer) -> Iterator[Layer]:
@@ -313,11 +363,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_text(text: str | None, mark: str = "[REDACTED]") -> str | None:
     """The text with every secret span replaced by mark; overlapping spans become one."""
-    _, spans = find_secrets(text)
+    base, spans = find_secrets(text)
     if not spans:
         return text
     merged: list[list[int]] = []
-    for _, a, b in spans:
+    for kind, a, b in spans:
+        if (kind, a, b) not in base:  # what is left of an encoded run's padding goes with it
+            b += len(_PADDING.match(text, b)[0])
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
