@@ -8,11 +8,10 @@ neighbour's projection given the query's is normal; its slope and variance are
 those of the query's own nearest rows in a bounded sample (SAMPLE rows), in GROUPS
 from near to far.  Probing stops when the
 visited buckets hold TARGET of that chance, so easy data take few probes and hard
-data many.  A query whose visited buckets hold fewer than K + 1 rows goes on to WIDER
-of it.  Where directions say so little that a table would take more than PROBES
-buckets, or where even WIDER holds too few rows, probing costs more than it saves: such
-a query is compared with all rows, in blocks, which is exact.  A query thus
-has at most TABLES * PROBES rows of probes a round, whatever the data.  Candidates of
+data many.  Where directions say so little that a table would take more than PROBES
+buckets, or where the visited buckets of both tables hold fewer than K + 1 rows, such
+a query is compared with all rows instead, in blocks, which is exact.  A query thus
+has at most TABLES * PROBES rows of probes, whatever the data.  Candidates of
 all tables are merged and ranked by exact inner products in double precision on the
 original vectors.
 
@@ -45,7 +44,6 @@ GROUP = 32_768  # rows of a group, or of a block that all of a query's rows are
 SAMPLE = 4096
 GROUPS = 4  # of a query's neighbours in the sample, each with an estimate of its own
 TARGET = 0.86  # of each table; two tables together reach about 1 - 0.14**2
-WIDER = 0.99
 PROBES = 4096  # of a query and table at most
 CELLS = 6  # cells at each side of the middle that are told apart; the outer ones are open
 
@@ -97,8 +95,8 @@ class Hashes:
         cell = np.clip(np.floor((self._placed(x, t) + self.offset[t]) / WIDTH), -CELLS, CELLS).astype(np.int64) + CELLS
         return cell @ (2 * CELLS + 1) ** np.arange(self.k)
 
-    def probes(self, x: np.ndarray, t: int, target: float = TARGET) -> list[np.ndarray | None]:
-        """The buckets that each query visits until their estimated success is `target`; None
+    def probes(self, x: np.ndarray, t: int) -> list[np.ndarray | None]:
+        """The buckets that each query visits until their estimated success is TARGET; None
         if they are more than PROBES."""
         edges = (np.arange(-CELLS, CELLS + 2) * WIDTH)[None, None, :] - self.offset[t][None, :, None]
         raw = x @ self.directions[t]
@@ -110,11 +108,11 @@ class Hashes:
             upto[:, :, 0], upto[:, :, -1] = 0.0, 1.0
             chance += np.diff(upto, axis=2) / slopes.shape[1]
         own = self.buckets(x, t)
-        found = [self._visit(one, target) for one in chance]
+        found = [self._visit(one) for one in chance]
         return [None if codes is None else np.unique(np.append(codes, b)) for codes, b in zip(found, own, strict=True)]
 
-    def _visit(self, chance: np.ndarray, target: float) -> np.ndarray | None:
-        """Best-first over products of per-direction chances until `target` is reached."""
+    def _visit(self, chance: np.ndarray) -> np.ndarray | None:
+        """Best-first over products of per-direction chances until TARGET is reached."""
         order = np.argsort(-chance, axis=1, kind="stable")
         ranked = np.take_along_axis(chance, order, 1)
         # directions are folded in one by one; what can never be needed is left out
@@ -124,8 +122,8 @@ class Hashes:
             c = (code[:, None] + order[j][None, :] * (2 * CELLS + 1) ** j).ravel()
             by = np.argsort(-m, kind="stable")
             total = np.cumsum(m[by])
-            # the kept share must still allow the target after the remaining directions
-            keep = by[: int(np.searchsorted(total, target + (1 - target) * (1 - (j + 1) / self.k) * 0.98)) + 1]
+            # the kept share must still allow TARGET after the remaining directions
+            keep = by[: int(np.searchsorted(total, TARGET + (1 - TARGET) * (1 - (j + 1) / self.k) * 0.98)) + 1]
             if len(keep) >= self.most:
                 return None
             mass, code = m[keep], c[keep]
@@ -163,19 +161,15 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
             for t in range(TABLES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(hashes.value.buckets(x, t)), batch.column(0), batch.column(1)], names=["t", "bucket", "rep", "vector"])
 
-    def visits(target: float):
+    def visits(batches):
         """(t, bucket, query); one row of table -1 for a query that takes too many."""
-
-        def run(batches):
-            for batch in batches:
-                x = matrix(batch.column(1))
-                lists = [hashes.value.probes(x, t, target) for t in range(TABLES)]
-                hard = np.array([any(one[i] is None for one in lists) for i in range(len(x))], bool)
-                for t, one in ((-1, [np.zeros(int(h), np.int64) for h in hard]), *((t, [np.empty(0, np.int64) if h else p for p, h in zip(one, hard, strict=True)]) for t, one in enumerate(lists))):
-                    at = np.repeat(np.arange(len(x)), [len(p) for p in one])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate([*one, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
-
-        return run
+        for batch in batches:
+            x = matrix(batch.column(1))
+            lists = [hashes.value.probes(x, t) for t in range(TABLES)]
+            hard = np.array([any(one[i] is None for one in lists) for i in range(len(x))], bool)
+            for t, one in ((-1, [np.zeros(int(h), np.int64) for h in hard]), *((t, [np.empty(0, np.int64) if h else p for p, h in zip(one, hard, strict=True)]) for t, one in enumerate(lists))):
+                at = np.repeat(np.arange(len(x)), [len(p) for p in one])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate([*one, np.empty(0, np.int64)])), batch.column(0).take(pa.array(at))], names=["t", "bucket", "query"])
 
     stored = materialize(every.select("rep", "vector").mapInArrow(index, "t int, bucket bigint, rep bigint, vector array<double>"), "buckets")
     slots = F.ceil(F.col("count") / BUCKET).cast("int")
@@ -187,18 +181,10 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, id_col: str =
     rows = rows.select("t", group.alias("g"), F.lit(0).alias("kind"), F.col("rep").alias("id"), F.array("bucket").alias("buckets"), "vector")
     # vectors of the asked classes, by class
     wanted = materialize(every.join(asked.select("fp").distinct(), "fp", "left_semi").select(F.col("rep").alias("query"), "vector"), "queries")
-    met, rest, exact = None, wanted, None
-    for target in (TARGET, WIDER):
-        probes = materialize(rest.mapInArrow(visits(target), "t int, bucket bigint, query bigint"), "probes")
-        hard = probes.where("t = -1").select("query")
-        some = probes.where("t >= 0").join(filled, ["t", "bucket"])
-        full = some.groupBy("query", "t").agg(F.sum("count").alias("n")).where(F.col("n") > k).select("query").distinct()
-        met = some if met is None else met.unionByName(some)
-        exact = hard if exact is None else exact.union(hard)
-        rest = materialize(rest.join(full.union(hard), "query", "left_anti"), "short-queries")
-        if rest.isEmpty():
-            break
-    exact = materialize(exact.union(rest.select("query")).distinct(), "exact-queries")
+    probes = materialize(wanted.mapInArrow(visits, "t int, bucket bigint, query bigint"), "probes")
+    met = materialize(probes.where("t >= 0").join(filled, ["t", "bucket"]), "visited")
+    held = met.groupBy("query", "t").agg(F.sum("count").alias("n")).where(F.col("n") > k).select("query").distinct()
+    exact = materialize(wanted.select("query").join(held, "query", "left_anti"), "exact-queries")
     met = met.join(exact, "query", "left_anti").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     met = met.select("t", group.alias("g"), "query", "bucket").groupBy("t", "g", "query").agg(F.collect_set("bucket").alias("buckets"))
     asks = met.join(wanted, "query").select("t", "g", F.lit(1).alias("kind"), F.col("query").alias("id"), "buckets", "vector")
