@@ -105,16 +105,20 @@ def aoi_members(attached: DataFrame) -> DataFrame:
     return attached.groupBy("aoi_id").agg(F.array_sort(F.collect_list("poi_id")).alias("poi_ids"))
 
 
-def within(centers: DataFrame, pois: DataFrame, radius: float) -> DataFrame:
+def within(centers: DataFrame, pois: DataFrame, radius: float, hot: int = HOT_ROWS) -> DataFrame:
     """Pairs (center columns, poi columns, distance) at most radius apart.
 
     centers: center_id, cx, cy; pois: poi_id, x, y and more.  Equal centres are
-    searched once: the join runs on distinct points and is spread to ids after."""
+    searched once: the join runs on distinct points and is spread to ids after.  It is a
+    broadcast while there are few centres; otherwise cells with more than `hot` points are
+    dealt over salts."""
     points = centers.select("cx", "cy").distinct()
     offsets = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     near = points.withColumn("gx", F.explode(F.transform(offsets, lambda d: cell(F.col("cx"), radius) + d))).withColumn("gy", F.explode(F.transform(offsets, lambda d: cell(F.col("cy"), radius) + d)))
     gridded = pois.withColumns({"gx": cell(F.col("x"), radius), "gy": cell(F.col("y"), radius)})
-    met = near.join(gridded, ["gx", "gy"]).drop("gx", "gy").withColumn("distance", dist_xy(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"))).where(F.col("distance") <= radius)
+    few = near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cells = gridded.join(F.broadcast(near), ["gx", "gy"]) if few else salted_join(gridded, near, ["gx", "gy"], "poi_id", hot)
+    met = cells.drop("gx", "gy").withColumn("distance", dist_xy(F.col("cx"), F.col("cy"), F.col("x"), F.col("y"))).where(F.col("distance") <= radius)
     return centers.join(met, ["cx", "cy"])
 
 
