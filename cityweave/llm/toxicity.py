@@ -47,7 +47,7 @@ PASSAGE = 4
 TOP = 16
 LONG = 48
 SAMPLE = 1500
-SAMPLE_BYTES = 1 << 25
+SAMPLE_BYTES = 1 << 23
 EPOCHS = 10
 #: Random clean passages a text in each epoch, the most weight of a toxic passage, and the pace of the softmax.
 MORE, HEAVY, SOFT = 2, 4.0, 0.2
@@ -119,7 +119,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     if not 0 < share < 1:
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(DIMS, np.float32), math.log(share / (1 - share)))
-    bags: list[np.ndarray] = []  # buckets of each passage
+    bags, parts = [], []  # buckets of each passage
     owner: list[int] = []  # text of each passage
     for i, text in enumerate(texts):
         for points in pieces(text):
@@ -133,6 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     size = np.array([len(x) for x in bags], np.int64)
     start = np.concatenate(([0], np.cumsum(size)))
     flat = _concat(bags)
+    del bags, parts  # the driver holds each n-gram once
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (DIMS, WIDTH)).astype(np.float32) / WIDTH
     seen = np.full(DIMS, 1e-9, np.float32)  # Adagrad: summed squares of a bucket's gradients
