@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cityweave import registry
 from cityweave.functions.text import bio_components
 from cityweave.operators import dialogues, evaluation, helpers, sequences
 from cityweave.plans import mcq_jobs
@@ -120,3 +121,13 @@ def test_dump_of_many_files(spark, tmp_path):
 def test_axis_rule_is_checked():
     with pytest.raises(ValueError, match="axis_rule"):
         mcq_jobs.road_rows(None, "name", "none")
+
+
+def test_turns_without_a_tagged_run_are_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    path = f"{tmp_path}/conversations.parquet"
+    duckdb.execute(f"COPY (SELECT i AS conv_id, 0 AS turn, 'user' AS role, CASE WHEN i % 5 = 0 THEN '' ELSE concat('w', i) END AS text FROM range(300) t(i)) TO '{path}'")
+    got = {r.id: r.parts for r in registry.queries()["t18_bio_components"](spark, str(tmp_path)).collect()}
+    want = dict(duckdb.connect().execute(registry.oracle_sql()["t18_bio_components"].replace("FROM conversations", f"FROM '{path}'")).fetchall())
+    assert got == want and "=" in want.values()
