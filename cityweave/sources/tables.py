@@ -87,10 +87,11 @@ def read_dir(spark: SparkSession, path: str, name_contains: str, schema: str, fo
     return df.select("*", name.alias("file_name")).where(F.col("file_name").contains(name_contains))
 
 
-def read_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Generated traces, one JSON array per file below a folder per model, and the count
-    of unreadable files per model.  extra: what a step holds beyond event, span, place."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+def read_traces(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Generated traces, one JSON array per file below a folder per model (lines: one per
+    line, so that many traces need few files), and the count of unreadable ones per
+    model.  extra: what a step holds beyond event, span, place."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("file"))
     model = F.element_at(F.split("file", "/"), -2)
     parsed = raw.select(model.alias("model"), "file", F.from_json("value", "array<array<string>>").alias("trace"))
     bad = parsed.where("trace is null").groupBy("model").agg(F.count(F.lit(1)).alias("unreadable"))

@@ -131,3 +131,19 @@ def test_turns_without_a_tagged_run_are_as_in_the_sql(spark, tmp_path):
     got = {r.id: r.parts for r in registry.queries()["t18_bio_components"](spark, str(tmp_path)).collect()}
     want = dict(duckdb.connect().execute(registry.oracle_sql()["t18_bio_components"].replace("FROM conversations", f"FROM '{path}'")).fetchall())
     assert got == want and "=" in want.values()
+
+
+def test_traces_by_file_and_by_line(spark, tmp_path):
+    """The same traces, a file each (over several lines) or a line each; what cannot be read is counted."""
+    one, two = '[["home","(08:00, 09:00)","7","a"]]', '[["work","(09:00, 10:00)","8"],["home","(10:00, 11:00)","x"]]'
+    files, rows = tmp_path / "files" / "m", tmp_path / "rows" / "m"
+    for folder in (files, rows):
+        folder.mkdir(parents=True)
+    for name, text in (("a", one), ("b", two.replace("],", "],\n")), ("c", "no trace")):
+        (files / name).write_text(text)
+    (rows / "all").write_text(f"{one}\n{two}\nno trace\n")
+    want = [("m", 0, "home", "(08:00, 09:00)", 7, ["a"]), ("m", 0, "work", "(09:00, 10:00)", 8, []), ("m", 1, "home", "(10:00, 11:00)", None, [])]
+    for path, lines in ((files.parent, False), (rows.parent, True)):
+        good, bad = src.read_traces(spark, f"file://{path}", lines=lines)
+        assert sorted(tuple(r) for r in good.drop("file").select("model", "seq", "event", "span", "poi_id", "extra").collect()) == sorted(want)
+        assert [tuple(r) for r in bad.collect()] == [("m", 1)]
